@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fold, table
 
 
 def tokenizer_path() -> str:
@@ -30,9 +30,33 @@ def op2_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "lost_share")])
 
 
+def op6_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, fit(docs, fold("doc_id", 4) != 2), keep=["doc_id"])
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "language.lang_pred", "language.score", "language.accepted")
+
+
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    rows = mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3.0)
+    return rows.select("doc_id", *[f"mix.{c}" for c in ("size", "source_size", "target", "taken", "copies", "rate")])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture_packing": op1_mixture_packing,
     "op2_line_first_rules": op2_line_first_rules,
+    "op6_subword_language": op6_subword_language,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_entropy_mixing": op10_entropy_mixing,
 }
 
 ORACLES: dict[str, str] = {}
