@@ -30,6 +30,18 @@ def op2_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "lost_share")])
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    back = round_trip(table(spark, sf_dir, "pages"), least=0)
+    # Responses are measured on the payload that was read; revisits have the figures of their headers.
+    return back.select(
+        "page_id",
+        F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        "payload_digest", "record_type", "refers_to",
+    )
+
+
 def op6_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import fit, identify
 
@@ -38,6 +50,12 @@ def op6_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "language.lang_pred", "language.score", "language.accepted")
 
 
+def op7_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hilbert import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -54,9 +72,26 @@ def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture_packing": op1_mixture_packing,
     "op2_line_first_rules": op2_line_first_rules,
+    "op5_warc_round_trip": op5_warc_round_trip,
     "op6_subword_language": op6_subword_language,
+    "op7_hilbert_neighbours": op7_hilbert_neighbours,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_entropy_mixing": op10_entropy_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+_BASE32 = "".join(f" || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(hex, {1 + 5 * g}, 5))::BIGINT // {32 ** (3 - k)} % 32)::INT, 1)" for g in range(8) for k in range(4)).removeprefix(" || ")
+
+ORACLES: dict[str, str] = {
+    "op5_warc_round_trip": f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS first FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM q""",
+    "op7_hilbert_neighbours": """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""",
+}
