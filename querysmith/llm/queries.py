@@ -56,6 +56,12 @@ def op7_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op8_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_subword_language": op6_subword_language,
     "op7_hilbert_neighbours": op7_hilbert_neighbours,
+    "op8_page_differencing": op8_page_differencing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_entropy_mixing": op10_entropy_mixing,
 }
