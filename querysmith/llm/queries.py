@@ -30,6 +30,14 @@ def op2_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "lost_share")])
 
 
+def op3_latent_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_knn import fit, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0), keep=["doc_id"])
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -78,6 +86,7 @@ def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture_packing": op1_mixture_packing,
     "op2_line_first_rules": op2_line_first_rules,
+    "op3_latent_knn_quality": op3_latent_knn_quality,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_subword_language": op6_subword_language,
     "op7_hilbert_neighbours": op7_hilbert_neighbours,
