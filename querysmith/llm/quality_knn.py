@@ -80,7 +80,8 @@ class Model:
         near = self.latent(x) @ self.vectors.T
         k = min(VOTERS, near.shape[1])
         top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, top, axis=1), 1e-6) ** 4
+        share = np.bincount(self.labels.astype(int), minlength=2) / len(self.labels)  # labels weigh alike, however many were found
+        weight = np.maximum(np.take_along_axis(near, top, axis=1), 1e-6) ** 4 / share[self.labels[top].astype(int)]
         out = (weight * self.labels[top]).sum(axis=1) / weight.sum(axis=1)
         return np.where(np.abs(x).sum(axis=1) > 0, out, self.prior)
 

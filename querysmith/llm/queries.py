@@ -38,6 +38,13 @@ def op3_latent_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .interpolated_lm import score_text
+
+    scored = score_text(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -87,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture_packing": op1_mixture_packing,
     "op2_line_first_rules": op2_line_first_rules,
     "op3_latent_knn_quality": op3_latent_knn_quality,
+    "op4_deleted_interpolation": op4_deleted_interpolation,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_subword_language": op6_subword_language,
     "op7_hilbert_neighbours": op7_hilbert_neighbours,
