@@ -119,7 +119,7 @@ def lines(page: str | None) -> tuple[list[str], list[int]]:
                     articles -= article
                 del stack[place:]
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in RAW:
             end()
         elif tag == "a":
             links += 1

@@ -165,7 +165,7 @@ def _plain(source: _Source, wanted, payload: bool):
     n = 1 << 12
     while b"\r\n\r\n" not in (head := source.peek(n)):
         if len(head) < n:
-            source.skip(max(1, len(head)))
+            source.skip(len(head))  # trailing bytes that are no record
             return None
         n *= 2
     end = head.index(b"\r\n\r\n") + 4
