@@ -105,7 +105,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _BASE32 = "".join(f" || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(hex, {1 + 5 * g}, 5))::BIGINT // {32 ** (3 - k)} % 32)::INT, 1)" for g in range(8) for k in range(4)).removeprefix(" || ")
 
+_W = r"'[^\x20\x09-\x0D]+'"
+
+
+def _count(chars: str, col: str = "line") -> str:
+    return f"len(regexp_extract_all({col}, '[{chars}]'))"
+
+
+def _rules_sql() -> str:
+    from .quality_rules import BOILERPLATE, MAX_CAPITALS, MAX_LOST, MAX_MARKS, MAX_SEPARATORS, MAX_SYMBOLS
+
+    noise, letters, capitals, blanks = r"#*$%&<>{}\[\]\\^~=_@", r"\p{L}", r"\p{Lu}", r"\x20\x09-\x0D"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, generate_subscripts(l, 1) AS pos, unnest(l) AS word FROM (SELECT rid, regexp_extract_all(text, {_W}) AS l FROM d)),
+win AS (SELECT rid, pos, [word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o] AS k FROM w WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+rep AS (SELECT rid, pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY rid, k) AS c FROM win WHERE k[5] IS NOT NULL) WHERE c > 1),
+cov AS (SELECT rid, count(DISTINCT pos + i) AS n FROM rep, range(0, 5) r(i) GROUP BY rid),
+l AS (SELECT rid, generate_subscripts(a, 1) AS no, unnest(a) AS line FROM (SELECT rid, string_split(text, chr(10)) AS a FROM d)),
+m AS (SELECT *, len(regexp_extract_all(line, {_W})) AS words, {_count(noise)} AS symbols, {_count('!?')} AS marks, {_count('|»•·›')} + len(regexp_extract_all(line, ' > ')) AS seps, {_count(letters)} AS letters, {_count(capitals)} AS capitals,
+      row_number() OVER (PARTITION BY rid, line ORDER BY no) AS nth, length(line) - {_count(blanks)} AS chars FROM l),
+f AS (SELECT *, words > 0 AND ((symbols > {MAX_SYMBOLS}::DOUBLE * words AND symbols > 2) OR (marks > {MAX_MARKS}::DOUBLE * words AND marks > 2) OR (seps > 1 AND seps > {MAX_SEPARATORS}::DOUBLE * words)
+      OR (words >= 5 AND letters > 0 AND capitals > {MAX_CAPITALS}::DOUBLE * letters) OR (words <= 20 AND regexp_matches(line, '{BOILERPLATE.pattern}'))) AS failed FROM m),
+g AS (SELECT rid, sum(words) AS n_words, count(*) FILTER (words > 0 AND nth > 1) AS dups, count(*) FILTER (failed) AS failed_lines, coalesce(sum(chars) FILTER (failed), 0) AS lost FROM f GROUP BY rid),
+t AS (SELECT doc_id, g.n_words::BIGINT AS n_words, (length(text) - {_count(blanks, 'text')})::BIGINT AS word_chars, {_count('#*$%&|<>', 'text')}::BIGINT AS n_symbols, dups::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
+      failed_lines::BIGINT AS n_failed_lines, lost FROM d JOIN g USING (rid) LEFT JOIN cov USING (rid)),
+u AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CASE WHEN word_chars = 0 THEN 0 ELSE lost::DOUBLE / word_chars END AS lost_share FROM t)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost_share <= {MAX_LOST}::DOUBLE AS kept, n_failed_lines, lost_share FROM u"""
+
+
 ORACLES: dict[str, str] = {
+    "op2_line_first_rules": _rules_sql(),
     "op5_warc_round_trip": f"""
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
 q AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS first FROM p)
