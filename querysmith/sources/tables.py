@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import row_string
+from ..operators.ranking import with_rank
 
 
 def read_entities(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
@@ -73,6 +74,6 @@ def read_series(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_of_sample(sample: DataFrame, start: int, end: int, order: str = "id") -> DataFrame:
-    """Rows `start` (from 0) up to, without, `end` of a sample in order. The order is global, so the sample is one range-sorted table."""
-    ranked = sample.withColumn("__rn", F.row_number().over(Window.orderBy(order)) - 1)
+    """Rows `start` (from 0) up to, without, `end` of a sample in order."""
+    ranked = with_rank(sample, order, name="__rn").withColumn("__rn", F.col("__rn") - 1)
     return ranked.filter((F.col("__rn") >= start) & (F.col("__rn") < end)).drop("__rn")
