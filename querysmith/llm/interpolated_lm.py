@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, written
 
 #: Tokens after which a block is closed; share (one in) of training documents that is held out; entries that one task sums.
-BLOCK, HELD, ENTRIES = 3_000_000, 10, 6_000_000
+BLOCK, HELD, ENTRIES = 1_500_000, 10, 6_000_000
 #: Context-frequency buckets (powers of two), steps an octave of the held-out histogram, rounds of EM.
 BUCKETS, STEPS, ROUNDS = 33, 4, 60
 #: Strings that no word can be: words hold no space.
