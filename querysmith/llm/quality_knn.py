@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,10 +118,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if not sizes:
         return None
-    # About twice the sample by hash, so that few texts are joined and ranked.
-    share = F.when(F.col("label") == 1, F.lit(min(1.0, (2 * sample + 50) / sizes.get(1, 1)))).otherwise(F.lit(min(1.0, (2 * sample + 50) / sizes.get(0, 1))))
+    # About twice the sample by hash, so that few rows are ranked; at most that many are kept, which bounds what is broadcast.
+    most = 2 * sample + 50
+    share = F.when(F.col("label") == 1, F.lit(min(1.0, most / sizes.get(1, 1)))).otherwise(F.lit(min(1.0, most / sizes.get(0, 1))))
     picked = known.filter((F.col("h").cast("double") / float(2**63) + 1) / 2 <= share).select(F.col(f"`{id_col}`").alias("__id"), "label", "h")
-    texts = docs.filter(learn).select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(picked, "__id")
+    picked = picked.withColumn("__n", F.row_number().over(Window.partitionBy("label").orderBy("h", "__id"))).filter(F.col("__n") <= most).drop("__n")
+    texts = docs.filter(learn).select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(picked), "__id")
     ranked = texts.select("label", "h", "text").mapInArrow(_features, "label int, h long, x binary").groupBy("label").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "x"))), 1, sample).alias("rows"))
     found = sorted(ranked.collect(), key=lambda r: r["label"])
     if not found:
