@@ -45,8 +45,9 @@ def dataset(spark: SparkSession, sf_dir: str) -> Dataset:
     """benchmark against documents; indexed once a session and directory."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _kept:
-        local = src.as_entities(_read(spark, sf_dir, "benchmark"), "item_id", ["text"], "b:")
-        external = src.as_entities(_read(spark, sf_dir, "documents"), "doc_id", ["text"], "d:")
+        # Dealt out by id once, as texts: every count by (id, ...) is then made where its entity is, without a shuffle of tokens.
+        local = src.as_entities(_read(spark, sf_dir, "benchmark"), "item_id", ["text"], "b:").repartition("id")
+        external = src.as_entities(_read(spark, sf_dir, "documents"), "doc_id", ["text"], "d:").repartition("id").persist()
         _kept[key] = Dataset(local, external, contained(local, external).persist())
     return _kept[key]
 
@@ -288,6 +289,19 @@ def feature_vector_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.featurize(d.local_occ, d.idf, d.layout)
 
 
+@query()
+def external_tf_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six buckets of normalized frequency over the external side, as they are labelled."""
+    found = features.external_tf_buckets(dataset(spark, sf_dir).external_signals)
+    return spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(found)], "bucket int, lo double, hi double")
+
+
+@query("SELECT 'c:' || c_custkey AS id FROM customer ORDER BY 1 LIMIT 500 OFFSET 100")
+def sample_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of a sample list: the feature is the range."""
+    return src.first_of_sample(src.as_entities(_read(spark, sf_dir, "customer"), "c_custkey", [], "c:"), 100, 600)
+
+
 # Queries, search, evaluation.
 
 
@@ -306,6 +320,24 @@ def truth_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset(spark, sf_dir).truth
 
 
+@query(f"WITH {_TRUTH}, {_D} SELECT DISTINCT truth.* FROM truth JOIN dt ON dt.id = external_id")
+def indexed_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dataset(spark, sf_dir)
+    return evaluate.indexed_truth(d.truth, d.external_signals.select("id").distinct())
+
+
+@query(f"WITH {_TRUTH} SELECT DISTINCT local_id AS id FROM truth UNION ALL SELECT DISTINCT external_id FROM truth")
+def truth_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = dataset(spark, sf_dir).truth
+    return evaluate.side_ids(t).union(evaluate.side_ids(t, "external_id"))
+
+
+@query(f"WITH {_TRUTH}, {_D} SELECT DISTINCT local_id, lower(token) AS keyword FROM truth JOIN dt ON dt.id = external_id")
+def match_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dataset(spark, sf_dir)
+    return optimal.match_terms(d.truth, d.external_signals)
+
+
 @query(f"WITH {_EVAL} SELECT intent_id, n_returned, n_matches, round(rr, 6) AS rr FROM rrs")
 def match_and_rr(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dataset(spark, sf_dir)
