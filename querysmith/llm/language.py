@@ -3,7 +3,11 @@
 A text is the average of the embeddings of its hashed subwords (byte 2- to 4-grams of letters, word ends
 included); a linear softmax over that average gives the language. Embeddings and softmax are trained by
 stochastic gradient descent in numpy. A held-back part of the training rows calibrates the scores (one
-temperature) and sets the confidence below which a text is rejected.
+temperature) and sets what a text needs to be accepted.
+
+A softmax divides its mass among what it has learned and is as sure of foreign texts as of others. So there is a second
+measure: the mean log share of a text's subwords in the likeliest language, against what is usual there, in units of the
+spread that a text of so many subwords has. A text is rejected if either is below what held-back texts reach.
 
 Fitting uses a bounded sample of the labelled rows; predicting covers every whole text.
 """
@@ -13,6 +17,7 @@ from __future__ import annotations
 import io
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +31,8 @@ from .subwords import counts, has_letter, letters
 BUCKETS, DIM, SAMPLE, EPOCHS, RATE = 4096, 16, 400, 30, 0.5
 #: Most labelled rows over all languages, and most languages.
 TOTAL, LANGUAGES = 4096, 256
-#: Share of a calibration set's rightly labelled texts that rejection may cost.
-REJECT = 0.001
+#: Share of a calibration set's rightly labelled texts that either measure of rejection may cost; added to shares before their logarithm.
+REJECT, RARE = 0.001, 1e-5
 
 
 @dataclass
@@ -38,6 +43,9 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     least: float = 0.0
+    profile: np.ndarray | None = None  # languages x buckets: log shares
+    centre: np.ndarray | None = None  # what is usual of each language
+    fit_least: float = -np.inf
 
     def logits(self, average: np.ndarray) -> np.ndarray:
         return average @ self.embed @ self.soft + self.bias
@@ -47,6 +55,10 @@ class Model:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
+    def fits(self, average: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """How usual texts are for languages `k`; the spread of a mean goes with the root of its squared weights."""
+        return ((average * self.profile[k]).sum(axis=1) - self.centre[k]) / np.sqrt((average * average).sum(axis=1) + 1e-12)
+
 
 def average(text: str) -> np.ndarray:
     """Shares of the hashed subwords, damped by a square root so that a repeated word doesn't decide alone."""
@@ -61,11 +73,34 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 7) -> Model:
-    """Stochastic gradient descent on the cross-entropy, over embeddings and softmax together; a fifth of the rows calibrates."""
+    """A model fitted to four fifths of the rows; the others give its temperature.
+
+    What rejection asks for comes from all rows: each fifth is measured by a model of the other four, so that few rows do too.
+    """
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(x))
-    held = order[: len(x) // 5] if len(x) >= 20 else order
-    rows = order[len(x) // 5 :] if len(x) >= 20 else order
+    parts = np.split(order := rng.permutation(len(x)), [len(x) * i // 5 for i in range(1, 5)]) if len(x) >= 20 else [order]
+    model, odds, fits = None, [], []
+    for held in parts:
+        own = _descend(x, y, order[~np.isin(order, held)] if len(parts) > 1 else order, names, rng)
+        z = own.logits(x[held])
+        if model is None:
+            model = own
+            model.temperature = float(min(np.geomspace(0.25, 8, 26), key=lambda t: _loss(z / t, y[held])))
+        best = z.argmax(axis=1)
+        right = best == y[held]
+        odds.append(_odds(z[right] / model.temperature, best[right]))
+        fits.append(own.fits(x[held][right], best[right]).astype(np.float64))
+    odds, fits = np.concatenate(odds), np.concatenate(fits)
+    if len(odds):
+        # Odds have a longer tail below than a normal distribution; it is taken for that of a Laplace distribution.
+        least = _reached(odds, np.log(2 * REJECT) * np.abs(odds - np.median(odds)).mean())
+        model.least = float(1 / (1 + np.exp(-least)))
+        model.fit_least = _reached(fits, NormalDist().inv_cdf(REJECT) * fits.std())
+    return model
+
+
+def _descend(x: np.ndarray, y: np.ndarray, rows: np.ndarray, names: list[str], rng: np.random.Generator) -> Model:
+    """Stochastic gradient descent on the cross-entropy, over embeddings and softmax together."""
     k = max(len(names), 1)
     model = Model(names, rng.normal(0, 1, (BUCKETS, DIM)).astype(np.float32) * 0.3, np.zeros((DIM, k), np.float32), np.zeros(k, np.float32))
     weight = len(rows) / (k * np.maximum(np.bincount(y[rows], minlength=k), 1))
@@ -84,16 +119,38 @@ def train(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 7) -> Mode
             model.bias -= rate * p.sum(axis=0)
             model.embed -= rate * xb.T @ back
     model.embed *= 30
-    z = model.logits(x[held])
-    best = min(np.geomspace(0.25, 8, 26), key=lambda t: _loss(z / t, y[held]))
-    model.temperature = float(best)
-    p = model.proba(x[held])
-    right = p.argmax(axis=1) == y[held]
-    # Rejection: below what all but REJECT of the right ones reach, and never above chance by more than half.
-    model.least = float(min(np.quantile(p.max(axis=1)[right], REJECT), 1.5 / k)) if right.any() else 0.0
+    model.profile, model.centre = _profiles(x[rows], y[rows], k)
     return model
 
 
+def _odds(z: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """Log odds of the likeliest language, at most 500: probabilities near 1 don't tell them apart."""
+    z = z.astype(np.float64)
+    z -= z.max(axis=1, keepdims=True)
+    others = np.exp(z)
+    others[np.arange(len(z)), best] = 0
+    return np.minimum(-np.log(np.maximum(others.sum(axis=1), 1e-300)), 500.0)
+
+
+def _reached(values: np.ndarray, tail: float) -> float:
+    """What all but REJECT of such values reach: their quantile, or `tail` from their median if they are too few to show it."""
+    return float(min(np.quantile(values, REJECT), np.median(values) + tail * (1 + 1 / len(values)) ** 0.5))
+
+
+def _profiles(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log shares of subwords in each language, and the median of its rows' mean log shares, each row left out of its own."""
+    profile, centre = np.full((k, x.shape[1]), np.log(RARE), np.float32), np.full(k, np.nan)
+    for i in range(k):
+        own = x[y == i]
+        if len(own):
+            total = own.sum(axis=0)
+            profile[i] = np.log(total / len(own) + RARE)
+        if len(own) > 1:
+            centre[i] = np.median([float(r @ np.log(np.maximum(total - r, 0) / (len(own) - 1) + RARE)) for r in own])
+    known = centre[~np.isnan(centre)]
+    return profile, np.where(np.isnan(centre), np.median(known) if len(known) else np.log(RARE), centre)
+
+
 def _loss(z: np.ndarray, y: np.ndarray) -> float:
     z = z - z.max(axis=1, keepdims=True)
     return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y]))
@@ -128,15 +185,16 @@ def _predict(packed: bytes | None):
         model = None
         if packed:
             saved = np.load(io.BytesIO(packed), allow_pickle=False)
-            model = Model(saved["names"].tolist(), saved["embed"], saved["soft"], saved["bias"], float(saved["temperature"]), float(saved["least"]))
+            model = Model(saved["names"].tolist(), saved["embed"], saved["soft"], saved["bias"], float(saved["temperature"]), float(saved["least"]), saved["profile"], saved["centre"], float(saved["fit_least"]))
         for batch in batches:
             lang, score, accepted = ["und"] * batch.num_rows, [0.0] * batch.num_rows, [False] * batch.num_rows
             for i, text in enumerate(batch.column("text")):
                 text = text.as_py()
                 if model and has_letter(text):
-                    p = model.proba(average(text)[None, :])[0]
+                    x = average(text)[None, :]
+                    p = model.proba(x)[0]
                     k = int(p.argmax())
-                    lang[i], score[i], accepted[i] = model.names[k], float(p[k]), bool(p[k] >= model.least)
+                    lang[i], score[i], accepted[i] = model.names[k], float(p[k]), bool(p[k] >= model.least and model.fits(x, np.array([k]))[0] >= model.fit_least)
             yield pa.record_batch({"row": batch.column("row"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "accepted": pa.array(accepted, pa.bool_())})
 
     return run
@@ -146,13 +204,13 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     """The columns `keep` of `docs` (all by default) and `language`: a struct of lang_pred, score, accepted.
 
     lang_pred is the likeliest learned value, or `und` if the text is null or has no letter (score 0, not accepted; so is every
-    text if nothing could be learned). accepted: the calibrated score reaches the model's rejection threshold. Nulls in other
+    text if nothing could be learned). accepted: the calibrated score and the fit to the language reach the model's thresholds. Nulls in other
     columns are handed through, repeated rows predicted each, ties go to the first value in order, a column named `language`
-    is replaced, an empty table stays empty. One pass without a shuffle; what is sent along is the model (under 1 MB).
+    is replaced, an empty table stays empty. One pass without a shuffle; what is sent along is the model (under 1 MB, and 16 KB a language).
     """
     packed = None
     if model:
-        np.savez_compressed(to := io.BytesIO(), names=np.array(model.names), embed=model.embed, soft=model.soft, bias=model.bias, temperature=model.temperature, least=model.least)
+        np.savez_compressed(to := io.BytesIO(), names=np.array(model.names), embed=model.embed, soft=model.soft, bias=model.bias, temperature=model.temperature, least=model.least, profile=model.profile, centre=model.centre, fit_least=model.fit_least)
         packed = to.getvalue()
     kept = [c for c in keep or docs.columns if c != "language"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))

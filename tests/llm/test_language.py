@@ -35,3 +35,17 @@ def test_cases(spark):
 def test_counts_don_t_depend_on_blocks():
     raw = bytes(range(256)) * 20
     assert (subwords.counts(raw, 512, (2, 3), block=1 << 20) == subwords.counts(raw, 512, (2, 3), block=100)).all()
+
+
+def test_unlearned_languages_and_junk_are_rejected(spark):
+    draw = random.Random(2)
+    model = language.fit(spark.createDataFrame(corpus(100), "doc_id long, text string, lang string"), F.lit(True))
+    foreign = ["nie jest to na się że do jak ale tak co po czy już tylko być może przez który także", "ja on ei se että hän oli minä mutta kun niin mitä tämä sitten kuin joka vain ovat"]
+    odd = [" ".join(draw.choices(words.split(), k=30)) for words in foreign for _ in range(30)]
+    odd += [" ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(30)) for _ in range(30)]
+    odd += ["x" * 200, "qzx " * 50, "zzzz 123 ### kkkk 55 vvvv -- wwww jjjj"]
+    clean = [" ".join(draw.choices(WORDS[lang].split(), k=12)) for lang in list(WORDS) * 100]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd + clean)], "doc_id long, text string")
+    accepted = {r.doc_id for r in language.identify(df, model).filter("language.accepted").collect()}
+    assert not [odd[i] for i in accepted if i < len(odd)]
+    assert len(accepted) >= 0.98 * len(clean)
