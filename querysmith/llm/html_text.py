@@ -4,8 +4,9 @@ Pages of a host are put in the order of their URL paths; each is paired with the
 prefix. The two pages' text lines are aligned by their longest common subsequence, and lines that both have are the site's
 frame: they are deleted. Markup says more where it can: what stands in navigation, header, footer, aside, forms, scripts or
 elements that are named as adverts, notices, menus or comments is dropped before, and lines of an article element that aren't
-all links are kept although the neighbour repeats them, as copies of articles are common. A pair that shares most of its text
-is a pair of copies, and nothing is deleted for it.
+all links are kept although the neighbour repeats them, as copies of articles are common. An article only protects: lines beside
+it stay too unless the neighbour has them. A pair that shares most of its text is a pair of copies, and nothing is deleted for
+it but lines of links on pages with an article. A page without a neighbour keeps all that its markup leaves.
 """
 
 from __future__ import annotations
@@ -174,16 +175,21 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
 
 
 def extract(own: list[str], flags: list[int], other: list[str] | None) -> str:
-    """The main text: a page's lines without those in common with its partner, or only its article's lines if it has one."""
+    """The main text: a page's lines without those in common with its partner. None in place of a partner's lines asks for what
+    the markup alone says is the text: the article's lines if there is one."""
     article = any(f & 1 for f in flags)
-    shared: set[int] = set()
-    if other:
-        mine = [i for i, f in enumerate(flags) if not f & 1 or f & 2]
-        found = {mine[i] for i in common_lines([own[i] for i in mine], other)} if mine else set()
-        # Copies: the partner repeats most of the page. An article's lines are safe anyway.
-        if article or sum(len(own[i]) for i in found) <= COPIES * sum(map(len, own)):
-            shared = found
-    return " ".join(line for i, (line, f) in enumerate(zip(own, flags, strict=True)) if i not in shared and (f & 1 or not article))
+    if other is None:
+        return " ".join(line for line, f in zip(own, flags, strict=True) if f & 1 or not article)
+    mine = [i for i, f in enumerate(flags) if not f & 1 or f & 2]
+    shared = {mine[i] for i in common_lines([own[i] for i in mine], other)}
+    # Copies: the partner repeats most of the page. Text is kept then, and so are links unless an article shows what they aren't.
+    if article:
+        counted = {i for i in shared if not flags[i] & 2}
+    else:
+        counted = shared
+    if sum(len(own[i]) for i in counted) > COPIES * sum(map(len, own)):
+        shared -= counted
+    return " ".join(line for i, line in enumerate(own) if i not in shared)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,6 +258,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     pairs = partners(parsed.select("rid", "url"))
     others = parsed.filter(F.col("frame").isNotNull()).select(F.col("rid").alias("partner"), F.col("frame").alias("other"))
     paired = open_pages.join(pairs, "rid", "left").join(others, "partner", "left")
-    done = paired.select("id", "url", "lines", "flags", "other").mapInArrow(_difference, T.StructType([rows.schema["id"], *T.StructType.fromDDL("url string, text string")]))
+    # No partner, or one without such lines, shares none.
+    other = F.coalesce("other", F.array().cast("array<string>")).alias("other")
+    done = paired.select("id", "url", "lines", "flags", other).mapInArrow(_difference, T.StructType([rows.schema["id"], *T.StructType.fromDDL("url string, text string")]))
     out = parsed.filter(F.col("lines").isNull()).select("id", "url", "text").union(done)
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

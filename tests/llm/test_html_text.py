@@ -71,3 +71,23 @@ def test_very_long_page(spark):
     long = "<article>" + "<p>line of text</p>" * 40_000 + "</article>"
     row = h.main_text(spark.createDataFrame([(1, "http://a/b", long)], "page_id long, url string, html string")).first()
     assert row.n_chars == 40_000 * 13 - 1
+
+
+def test_an_article_only_protects_its_lines(spark):
+    def teasers(n, text):
+        cards = "".join(f"<article><a href=/{i}>Card {n + i}</a><p>Teaser {n + i}</p></article>" for i in range(2))
+        return page(f"<div><p>{text}</p></div>{cards}", menu="Home and about us")
+
+    rows = [
+        (1, "http://x.org/a/1", teasers(10, "The main text stands in a plain div and is long enough.")), (2, "http://x.org/a/2", teasers(20, "Another main text in a plain div, quite unlike the first one.")),
+        (3, "http://y.org/a/1", page("<article>Only an article</article><p>Beside it</p>")), (4, "http://y.org/a/2", "<article>The neighbour has nothing else</article>"),
+        (5, "http://z.org/a/1", teasers(30, "The same text on both pages, in a plain div, so long that it is most of all they have to say. " * 3)), (6, "http://z.org/a/2", teasers(40, "The same text on both pages, in a plain div, so long that it is most of all they have to say. " * 3)),
+        (7, "http://lone.org/", teasers(50, "Main text of a lone page.")),
+    ]
+    got = {r.page_id: r.text for r in h.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "The main text stands in a plain div and is long enough. Card 10 Teaser 10 Card 11 Teaser 11"
+    assert got[2] == "Another main text in a plain div, quite unlike the first one. Card 20 Teaser 20 Card 21 Teaser 21"
+    assert got[3] == "Home | About us Only an article Beside it Contact"
+    assert got[4] == "The neighbour has nothing else"
+    assert got[5].count("The same text") == 3 and got[6].count("The same text") == 3
+    assert got[7] == "Home and about us Main text of a lone page. Card 50 Teaser 50 Card 51 Teaser 51 Contact"
