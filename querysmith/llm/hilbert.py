@@ -68,8 +68,14 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _best(row: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Indices of each row's k best: highest score on a grid of SLACK, then smallest id."""
-    order = np.lexsort((ids, -np.round(score / SLACK), row))
+    """Indices of each row's k best ids: highest score on a grid of SLACK, then smallest id. An id that repeats counts once, with its best."""
+    order = np.lexsort((-score, ids, row))
+    again = (row[order[1:]] == row[order[:-1]]) & (ids[order[1:]] == ids[order[:-1]])
+    if again.any():
+        order = order[np.concatenate([[True], ~again])]
+    order = order[np.lexsort((ids[order], -np.round(score[order] / SLACK), row[order]))]
+    if not len(order):
+        return order
     row = row[order]
     first = np.concatenate([[True], row[1:] != row[:-1]])
     start = np.flatnonzero(first)[np.cumsum(first) - 1]
@@ -228,9 +234,6 @@ def _complete(packed, dim: int, k: int):
         def settle(new: list):
             nonlocal kept
             row, ids, score, vec = (np.concatenate(p) for p in zip(kept, *new, strict=True))
-            # The same id may repeat in the table; one is enough.
-            _, once = np.unique(np.stack([row, ids], axis=1), axis=0, return_index=True)
-            row, ids, score, vec = row[once], ids[once], score[once], vec[once]
             best = _best(row, score, ids, k)
             kept = row[best], ids[best], score[best], vec[best]
             full = np.bincount(kept[0], minlength=len(qid)) == k
@@ -278,7 +281,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
 
     exact=False returns what the windows of the curves found, without the completing pass.
     Vectors that are null, zero, hold a null or a non-finite component, have no id, or are of another length than most vectors
-    take no part. Rows that repeat a query's id are its own row; repeats of another id count once. A table without two usable
+    take no part. Rows that repeat a query's id are its own row; repeats of another id count once. Of an id with several vectors
+    the nearest pair counts, whichever side it is on; repeated rows are removed before they take places in windows and blocks. A table without two usable
     vectors gives no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -289,7 +293,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = common["dim"]
-    clean = written(rows.filter(F.size("vec") == dim).mapInArrow(_pack(dim), "id long, query boolean, vec binary"), "vectors")
+    packed_rows = rows.filter(F.size("vec") == dim).mapInArrow(_pack(dim), "id long, query boolean, vec binary")
+    clean = written(packed_rows.groupBy("id", "vec").agg(F.max("query").alias("query")).select("id", "query", "vec"), "vectors")
     n = shuffle_partitions(spark)
     ordered = clean.mapInArrow(_order(dim, curves, seed), "curve int, key long, id long, query boolean, vec binary")
     found = written(ordered.repartitionByRange(n, "curve", "key", "id").sortWithinPartitions("curve", "key", "id").mapInArrow(_along(dim, k), _FOUND), "curves")
@@ -299,10 +304,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     across = border.groupBy("border").applyInArrow(_borders(dim, k), "a long, b long, score double")
     windows = written(found.filter("kind = 'pair'").select("a", "b", "score").union(across), "windows")
     if exact:
-        ranked = windows.distinct().groupBy("a").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, k).alias("s"))
+        ranked = windows.groupBy("a", "b").agg(F.max("score").alias("score")).groupBy("a").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, k).alias("s"))
         least = ranked.select("a", F.when(F.size("s") == k, F.element_at("s", k)).otherwise(-2.0).alias("least"))
-        asking = clean.filter("query").dropDuplicates(["id"]).join(least, F.col("id") == F.col("a"), "left").select("id", "vec", F.coalesce("least", F.lit(-2.0)).alias("least"))
-        asking = written(asking.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(1 << 20))), "queries")
+        asking = clean.filter("query").join(least, F.col("id") == F.col("a"), "left").select("id", "vec", F.coalesce("least", F.lit(-2.0)).alias("least"))
+        asking = written(asking.withColumn("group", F.pmod(F.xxhash64("id", "vec"), F.lit(1 << 20))), "queries")
         count = asking.count()
         groups = max(1, -(-count * 5 // (QUERIES * 4)))
         parts = [windows]

@@ -69,3 +69,25 @@ def test_odd_vectors(spark):
 def test_fewer_candidates_than_k(spark):
     got = found(spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<double>"))
     assert [j for j, _ in got[0]] == [1]
+
+
+def test_repeated_rows_take_no_places(spark):
+    """A clustered table whose rows are all there six times, and ids that have several vectors."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8))
+    rows = [(i, (centres[i % 12] + 0.02 * rng.normal(size=8)).tolist()) for i in range(360)]
+    near = [(1000 + i % 3, (np.array(rows[0][1]) + 0.001 * rng.normal(size=8)).tolist()) for i in range(24)]
+    for once, times in ((rows, 6), (rows + near, 2)):
+        want = {}
+        for i, v in once:
+            for j, w in once if i % 5 == 0 else ():
+                if i != j:
+                    own = want.setdefault(i, {})
+                    own[j] = max(own.get(j, -2), float(h.cosines(np.array([v]), np.array([w]))[0]))
+        table = once * times
+        got = found(spark.createDataFrame(table, "vec_id long, embedding array<double>").repartition(5))
+        assert got.keys() == want.keys()
+        for q, own in want.items():
+            best = sorted((-s, j) for j, s in own.items())[:5]
+            assert [j for j, _ in got[q]] == [j for _, j in best]
+            assert [s for _, s in got[q]] == pytest.approx([-s for s, _ in best], abs=1e-12)
