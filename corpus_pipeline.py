@@ -17,8 +17,10 @@ from querysmith.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the line-first rules, unchanged."""
-    return quality_rules.apply_rules(docs, clean=False).filter("quality.kept").select(*[f"`{c}`" for c in docs.columns])
+    """Documents that pass the line-first rules, without their failing lines; n_chars is that of the text that is left."""
+    left = {"text": F.col("quality.clean_text"), "n_chars": F.length("quality.clean_text").cast("long")}
+    judged = quality_rules.apply_rules(docs).filter("quality.kept")
+    return judged.select(*[left[c].alias(c) if c in left else F.col(f"`{c}`") for c in docs.columns])
 
 
 def one_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,3 +35,12 @@ def test_empty(spark):
     for _, stage in p.STAGES:
         docs = stage(spark, docs, DATA)
     assert docs.count() == 0
+
+
+def test_failing_lines_are_removed(spark):
+    body = "\n".join(" ".join(f"word{i * 9 + j}" for j in range(9)) + "." for i in range(8))
+    rows = [(1, "Home | News | Sport | Contact\n" + body + "\nRead more", "en", "a", 0), (2, body, "en", None, None), (3, "Home | News | Sport | Contact", "en", "a", 29)]
+    got = {r.doc_id: r for r in p.quality(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), DATA).collect()}
+    assert got.keys() == {1, 2}
+    assert got[1].text == got[2].text == body and got[1].n_chars == got[2].n_chars == len(body)
+    assert (got[1].source, got[2].source, got[1].lang) == ("a", None, "en")
