@@ -29,8 +29,8 @@ from .subwords import counts, has_letter, letters
 
 #: Of the model and its fit. SAMPLE: most labelled rows a language that are fitted on, taken by a hash of their id and text.
 BUCKETS, DIM, SAMPLE, EPOCHS, RATE = 4096, 16, 400, 30, 0.5
-#: Most labelled rows over all languages, and most languages.
-TOTAL, LANGUAGES = 4096, 256
+#: Labelled rows over all languages, and rows a language that this never takes away.
+TOTAL, FEWEST = 4096, 16
 #: Share of a calibration set's rightly labelled texts that either measure of rejection may cost; added to shares before their logarithm.
 REJECT, RARE = 0.001, 1e-5
 
@@ -160,18 +160,18 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     """A model from at most `sample` rows a language among those where `learn` holds; None if there are none.
 
     Sampling is by a hash, not by position; features come from whole texts and only those (8 KB a row) reach the driver.
-    Languages are bounded too, to the LANGUAGES with most rows, and so are the rows of all together, by TOTAL.
+    Every language is learned. All together have TOTAL rows at most, or FEWEST a language where these are more.
     """
     rows = docs.filter(learn & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").rlike(r"\p{L}"))
     rows = rows.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(F.lit("language"), F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`")).alias("h"))
-    sizes = sorted(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect(), key=lambda r: r["lang"])
+    sizes = rows.groupBy("lang").count().collect()
     if not sizes:
         return None
-    sample = min(sample, TOTAL // len(sizes))
+    sample = min(sample, max(TOTAL // len(sizes), FEWEST))
     # A share of each language by hash that holds about twice the sample, so that ranking moves few rows.
     top = float(2**63)
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(float(min(1.0, (2 * sample + 50) / r["count"])))) for r in sizes])
-    picked = rows.filter((F.col("h").cast("double") / top + 1) / 2 <= share)
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (2 * sample + 50) / r["count"])) for r in sizes], "lang string, share double")
+    picked = rows.join(F.broadcast(shares), "lang").filter((F.col("h").cast("double") / top + 1) / 2 <= F.col("share"))
     ranked = picked.mapInArrow(_features, "lang string, h long, x binary").groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "x"))), 1, sample).alias("rows"))
     found = sorted(ranked.collect(), key=lambda r: r["lang"])
     names = [r["lang"] for r in found]

@@ -49,3 +49,9 @@ def test_unlearned_languages_and_junk_are_rejected(spark):
     accepted = {r.doc_id for r in language.identify(df, model).filter("language.accepted").collect()}
     assert not [odd[i] for i in accepted if i < len(odd)]
     assert len(accepted) >= 0.98 * len(clean)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 12)}{w}" for w in ("ra", "so", "mi", "tu")), f"l{i % 300}") for i in range(600)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert set(model.names) == {f"l{i}" for i in range(300)}
