@@ -35,6 +35,15 @@ FRAME = frozenset(
 )
 #: Elements and names that mark the article itself.
 CONTENT_TAGS = frozenset(("article", "main"))
+#: Start tags that end an open element whose end tag may be left out, and the elements beyond which none is looked for.
+_CELLS, _TABLE = frozenset(("table", "td", "th", "caption")), frozenset(("table",))
+IMPLIED: dict[str, tuple[frozenset, frozenset]] = {
+    **{t: (frozenset("p"), _CELLS) for t in "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()},
+    "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu", *_CELLS))), "dt": (frozenset(("dt", "dd")), frozenset(("dl", *_CELLS))), "dd": (frozenset(("dt", "dd")), frozenset(("dl", *_CELLS))),
+    "tr": (frozenset(("tr", "caption")), _TABLE), "td": (frozenset(("td", "th")), frozenset(("table", "tr"))), "th": (frozenset(("td", "th")), frozenset(("table", "tr"))),
+    **{t: (frozenset(("thead", "tbody", "tfoot", "caption")), _TABLE) for t in ("thead", "tbody", "tfoot")},
+    "option": (frozenset(("option",)), frozenset(("select", "datalist"))), "optgroup": (frozenset(("optgroup",)), frozenset(("select",))), "body": (frozenset(("head",)), frozenset()),
+}
 #: Share of characters in common above which a pair is one of copies.
 COPIES = 0.5
 
@@ -67,7 +76,8 @@ def lines(page: str | None) -> tuple[list[str], list[int]]:
     page = page or ""
     out: list[str] = []
     flags: list[int] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements that matter: tag, dropped, article
+    stack: list[tuple[str, bool, bool]] = []  # open block elements, and others that matter: tag, dropped, article
+    names: dict[str, int] = {}  # how many of each are open
     drops = articles = links = 0
     line: list[str] = []
     plain = linked = False
@@ -92,6 +102,22 @@ def lines(page: str | None) -> tuple[list[str], list[int]]:
                 else:
                     plain = True
 
+    def close(tags: frozenset, bounds: frozenset):
+        """Ends the innermost open element of these tags, with all inside it, unless one of `bounds` is nearer."""
+        nonlocal drops, articles
+        if not any(names.get(t) for t in tags):
+            return
+        for place in range(len(stack) - 1, -1, -1):
+            if stack[place][0] in tags:
+                for name, dropped, article in stack[place:]:
+                    names[name] -= 1
+                    drops -= dropped
+                    articles -= article
+                del stack[place:]
+                return
+            if stack[place][0] in bounds:
+                return
+
     at, size = 0, len(page)
     while at < size:
         start = page.find("<", at)
@@ -113,29 +139,29 @@ def lines(page: str | None) -> tuple[list[str], list[int]]:
                 end()
             if tag == "a":
                 links = max(0, links - 1)
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if place is not None:
-                for _, dropped, article in stack[place:]:
-                    drops -= dropped
-                    articles -= article
-                del stack[place:]
+            close(frozenset((tag,)), _TABLE if tag in _TABLE or tag in ("td", "th", "caption", "tr", "thead", "tbody", "tfoot") else frozenset() if tag in ("body", "html") else _CELLS)
             continue
         if tag not in INLINE and tag not in RAW:
             end()
         elif tag == "a":
             links += 1
+        if tag in IMPLIED:
+            close(*IMPLIED[tag])
+            if tag in ("li", "dt", "dd"):
+                close(*IMPLIED["p"])
         if tag == "br":
             add(" ")
         if tag in VOID or found[3].endswith("/") and tag not in DROPPED and tag not in INLINE and tag != "div":
             continue
         dropped, article = _role(tag, found[3])
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else size
+            closed = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = closed.end() if closed else size
             continue
-        if dropped or article or any(s[0] == tag for s in stack):
-            # Elements of the same name are kept too, so that their ends don't close an outer one.
+        if dropped or article or tag not in INLINE or names.get(tag):
+            # Blocks, and elements of the same name as an open one: their ends must not close an outer one.
             stack.append((tag, dropped, article))
+            names[tag] = names.get(tag, 0) + 1
             drops += dropped
             articles += article
     end()

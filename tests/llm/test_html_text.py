@@ -91,3 +91,21 @@ def test_an_article_only_protects_its_lines(spark):
     assert got[4] == "The neighbour has nothing else"
     assert got[5].count("The same text") == 3 and got[6].count("The same text") == 3
     assert got[7] == "Home and about us Main text of a lone page. Card 50 Teaser 50 Card 51 Teaser 51 Contact"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p class='notice'>x<p>main text<p>more</article>", "main text more"),
+        ("<article><ul><li class='share'>x<li>y</ul><p>main text</article>", "y main text"),
+        ("<div><p class=ad>x</div><p>main text", "main text"),
+        ("<div><ul><li class=share>a<ul><li>b</ul>c</ul>text</div>", "text"),
+        ("<dl><dt class=ad>x<dd>y</dl>z", "y z"),
+        ("<table><tr><td class=ad>x<td>y<tr class=menu><td>a<tr><td>b</table>z", "y b z"),
+        ("<table><tr><td><p class=ad>x<table><tr><td>i</table></td><td>y</table>z", "i y z"),
+        ("<head><title>t</title><body><p>text", "text"),
+        ("<div class=ad><p>x<p>y</div><p>text", "text"),
+    ],
+)
+def test_omitted_end_tags(page, text):
+    assert h.extract(*h.lines(page), []) == text
