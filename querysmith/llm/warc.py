@@ -175,6 +175,11 @@ def _plain(source: _Source, wanted, payload: bool):
         source.skip(size)
         return None
     block = source.take(size if payload else min(size, 4096))
+    while len(block) < size and _http_end(block, -4, headers) < 0:
+        piece = source.take(min(size - len(block), len(block)))
+        if not piece:
+            break
+        block += piece
     source.skip(size - len(block))
     return headers, block
 

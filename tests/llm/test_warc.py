@@ -81,3 +81,15 @@ def test_pushdown(spark, tmp_path):
 
     left = list(reader.pushFilters([EqualTo(("record_type",), "response"), In(("page_id",), (1, 2)), EqualTo(("headers", "x-page-id"), "1"), StringContains(("target_uri",), "x"), EqualTo(("payload_bytes",), 3)]))
     assert len(left) == 2 and len(reader.tests) == 3
+
+
+def test_long_http_headers_of_plain_archives_without_payloads():
+    import pyarrow as pa
+
+    from querysmith.llm import warc
+
+    http = b"HTTP/1.1 200 OK\r\nSet-Cookie: " + b"c" * 20000 + b"\r\n\r\n"
+    block = http + b"payload!" * 3000
+    head = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n\r\n" % len(block)
+    found = list(warc.records(pa.BufferReader((head + block + b"\r\n\r\n") * 2), payload=False))
+    assert [warc._row(*r, False)["payload_bytes"] for r in found] == [24000, 24000]
