@@ -49,7 +49,7 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
     back = round_trip(table(spark, sf_dir, "pages"), least=0)
-    # Responses are measured on the payload that was read; revisits have the figures of their headers.
+    # Responses are measured and digested on the payload that was read; revisits have the figures of their headers.
     return back.select(
         "page_id",
         F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),

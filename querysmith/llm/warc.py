@@ -3,7 +3,7 @@
 Reading plans partitions over files (small ones together), pushes predicates on record type and headers down, parses headers
 first and only then decides whether a payload is decoded at all. Records that this module writes are gzip members that carry
 their compressed length in an extra field, so what isn't wanted is skipped without inflating it; other members are inflated
-to find their end, plain archives are skipped by Content-Length.
+to find their end, plain archives are skipped by Content-Length. Payloads that are read are digested again.
 
 Paths are read and written with Arrow's file systems: whatever both Python and Spark reach (file, hdfs, s3, gs).
 """
@@ -33,7 +33,7 @@ ROLL, TASK = 256 << 20, 64 << 20
 #: Records in an Arrow batch: so many, or as soon as they hold so many payload bytes.
 ROWS, BYTES = 512, 8 << 20
 
-SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, page_id long, refers_to long, payload_bytes long, headers map<string,string>, payload binary"
+SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, page_id long, refers_to long, payload_bytes long, headers map<string,string>, intact boolean, payload binary"
 _FIELDS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "page_id": "x-page-id", "refers_to": "x-refers-to-page-id"}
 
 
@@ -120,36 +120,108 @@ def _parse(raw: bytes) -> dict[str, str]:
     return out
 
 
-def _member(source: _Source, wanted, payload: bool):
-    """The next record of a gzip archive: (headers, block or None), or None if it isn't wanted."""
+class _Inflated:
+    """What is in a gzip member, with what goes on in the members after it, as a source of its own."""
+
+    def __init__(self, source: _Source):
+        self.source, self.inflate, self.kept = source, zlib.decompressobj(31), b""
+
+    def _fill(self, on: bool) -> bool:
+        """Inflates a little more, of the next member too if `on`. False at the end."""
+        if self.inflate.eof:
+            if not on or self.source.peek(2) != b"\x1f\x8b":
+                return False
+            self.inflate = zlib.decompressobj(31)
+        piece = self.inflate.unconsumed_tail or self.source.more()
+        if not piece:
+            return False
+        self.kept += self.inflate.decompress(piece, 1 << 20)
+        if self.inflate.eof:
+            self.source.give_back(self.inflate.unused_data)
+        return True
+
+    def peek(self, n: int) -> bytes:
+        while len(self.kept) < n and self._fill(True):
+            pass
+        return self.kept[:n]
+
+    def take(self, n: int) -> bytes:
+        got = self.peek(n)
+        self.kept = self.kept[n:]
+        return got
+
+    def skip(self, n: int) -> None:
+        while n > len(self.kept):
+            n -= len(self.kept)
+            self.kept = b""
+            if not self._fill(True):
+                return
+        self.kept = self.kept[n:]
+
+    def ended(self) -> bool:
+        """Whether the member has nothing more than line ends; the next one isn't begun."""
+        while True:
+            while len(self.kept) < 2 and self._fill(False):
+                pass
+            if self.kept[:2] != b"\r\n":
+                return not self.kept.strip()
+            self.kept = self.kept[2:]
+
+
+def _own_member(source: _Source, wanted, payload: bool):
+    """The record of a member that carries its lengths, as (headers, block or None): found is None if it isn't wanted.
+
+    Returns (True, found), or (False, None) with the source where it was if the member isn't one record of that length."""
     start, extra = source.tell(), source.peek(24)
-    known = struct.unpack("<I", extra[16:20])[0] if extra[3:4] == b"\x04" and extra[12:14] == b"sl" else 0
+    known, size = struct.unpack("<II", extra[16:24])
     inflate, got = zlib.decompressobj(31), bytearray()
+
+    def to(place: int) -> None:
+        if place >= source.tell():
+            source.skip(place - source.tell())
+        else:
+            source.file.seek(place)
+            source.kept = b""
+
     # Headers first: a little at a time until they are whole.
     while b"\r\n\r\n" not in got and not inflate.eof:
-        piece = inflate.unconsumed_tail or (source.take(4096) if known else source.more())
+        piece = inflate.unconsumed_tail or source.take(4096)
         if not piece:
             break
         got += inflate.decompress(piece, 4096)
     end = got.find(b"\r\n\r\n")
     headers = _parse(bytes(got[: end + 4])) if end >= 0 else {}
+    n = int(headers.get("content-length", "0") or 0)
+    if end < 0 or size != (end + 4 + n + 4) & 0xFFFFFFFF:
+        to(start)
+        return False, None
     keep = wanted(headers)
-    if known and not (keep and payload) and _http_end(got, end, headers) >= 0:
-        source.skip(start + known - source.tell()) if start + known >= source.tell() else source.give_back(b"")
-        if source.tell() != start + known:
-            source.file.seek(start + known)
-            source.kept = b""
-        return (headers, bytes(got[end + 4 :])) if keep else None
+    if not keep or not payload and _http_end(got, end, headers) >= 0:
+        to(start + known)
+        return True, (headers, bytes(got[end + 4 :])) if keep else None
     while not inflate.eof:
         piece = inflate.unconsumed_tail or source.more()
         if not piece:
             break
-        part = inflate.decompress(piece, 1 << 20)
-        if keep:
-            got += part
-    source.give_back(inflate.unused_data)
-    n = int(headers.get("content-length", "0") or 0)
-    return (headers, bytes(got[end + 4 : end + 4 + n])) if keep and end >= 0 else None
+        got += inflate.decompress(piece, 1 << 20)
+    to(start + known)
+    return True, (headers, bytes(got[end + 4 : end + 4 + n]))
+
+
+def _members(source: _Source, wanted, payload: bool):
+    """The wanted records of the next gzip member, of which there may be many."""
+    extra = source.peek(24)
+    if extra[3:4] == b"\x04" and extra[12:14] == b"sl" and len(extra) == 24:
+        one, found = _own_member(source, wanted, payload)
+        if one:
+            if found:
+                yield found
+            return
+    inside = _Inflated(source)
+    while not inside.ended():
+        found = _plain(inside, wanted, payload)
+        if found:
+            yield found
 
 
 def _http_end(got: bytes, end: int, headers: dict) -> int:
@@ -162,7 +234,7 @@ def _http_end(got: bytes, end: int, headers: dict) -> int:
 def _plain(source: _Source, wanted, payload: bool):
     while source.peek(2) == b"\r\n":
         source.skip(2)
-    n = 1 << 12
+    n = 1 << 10
     while b"\r\n\r\n" not in (head := source.peek(n)):
         if len(head) < n:
             source.skip(len(head))  # trailing bytes that are no record
@@ -185,11 +257,13 @@ def _plain(source: _Source, wanted, payload: bool):
 
 
 def records(file, wanted=lambda headers: True, payload: bool = True) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of the wanted records of an open archive; without `payload`, blocks may be cut after their headers."""
+    """(headers, block) of the wanted records of an open archive: all records of plain archives and of gzip members, however many
+    a member holds or how members cut them. Without `payload`, blocks may be cut after their headers."""
     source = _Source(file)
     while len(start := source.peek(4)) >= 2:
-        found = (_member if start[:2] == b"\x1f\x8b" else _plain)(source, wanted, payload)
-        if found:
+        if start[:2] == b"\x1f\x8b":
+            yield from _members(source, wanted, payload)
+        elif found := _plain(source, wanted, payload):
             yield found
 
 
@@ -206,6 +280,11 @@ def _row(headers: dict[str, str], block: bytes, payload: bool) -> dict:
             size = int(http.get("content-length", size - end - 4))
     row["payload_bytes"] = size
     row["payload"] = body if payload and row["record_type"] != "revisit" else None
+    row["intact"] = None
+    if row["payload"] is not None and row["record_type"] == "response":
+        # What is returned is the digest of what was read; the header's stays in `headers`.
+        claimed, row["payload_digest"] = row["payload_digest"], digest(body)
+        row["intact"] = len(body) == size and (claimed is None or claimed == row["payload_digest"])
     row["headers"] = list(headers.items())
     return row
 
@@ -274,7 +353,7 @@ class WarcReader(DataSourceReader):
                     return False
             return True
 
-        kinds = {"page_id": pa.int64(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "headers": pa.map_(pa.string(), pa.string()), "payload": pa.binary()}
+        kinds = {"page_id": pa.int64(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "intact": pa.bool_(), "headers": pa.map_(pa.string(), pa.string()), "payload": pa.binary()}
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         if not self.payload:
             names.remove("payload")
@@ -337,7 +416,10 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcDataSource(DataSource):
-    """format("warc"): options path, payload ("false" leaves the column out and payloads undecoded), date (of written records)."""
+    """format("warc"): options path, payload ("false" leaves the column out and payloads undecoded), date (of written records).
+
+    payload_digest is that of the payload as it was read, where it was, and the header's elsewhere; intact says whether the two and
+    the length agree (null where no payload was read)."""
 
     @classmethod
     def name(cls):

@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import base64
 import io
+import random
 
 import pyarrow as pa
 import pytest
@@ -58,16 +59,65 @@ def test_foreign_archives(pack, payload):
         assert [b for _, b in got] == [b"A" * 70_000, b"last"]
 
 
+class Counted(io.BytesIO):
+    """An archive that counts the bytes that are read of it."""
+
+    taken = 0
+
+    def size(self):
+        return len(self.getvalue())
+
+    def read(self, n=-1):
+        got = super().read(n)
+        self.taken += len(got)
+        return got
+
+
 def test_own_members_are_valid_gzip_and_skipped():
-    records = [warc.encode_record(i, f"http://h/{i}", bytes([65 + i]) * 200_000, None if i % 2 else 9, "2020-01-01T00:00:00Z") for i in range(6)]
+    draw = random.Random(0)
+    records = [warc.encode_record(i, f"http://h/{i}", draw.randbytes(4_000_000), None if i % 2 else 9, "2020-01-01T00:00:00Z") for i in range(6)]
     assert all(gzip.decompress(r).startswith(b"WARC/1.1\r\n") for r in records)
+    whole = len(b"".join(records))
+
+    def taken(wanted, payload):
+        file = Counted(b"".join(records))
+        got = list(warc.records(file, lambda h: h["x-page-id"] in wanted, payload))
+        assert [h["x-page-id"] for h, _ in got] == list(wanted)
+        return file.taken
 
-    class Counted(io.BytesIO):
-        def size(self):
-            return len(self.getvalue())
+    # Blocks of a megabyte are read at the head of each record; payloads that nobody wants are jumped over.
+    assert taken(("1", "4"), False) < whole * 0.6
+    assert taken(("0", "2", "4"), True) < whole * 0.6
+    assert taken(tuple("012345"), False) < whole * 0.6
+    assert taken(tuple("012345"), True) >= whole * 0.99
 
-    got = list(warc.records(Counted(b"".join(records)), lambda h: h["x-page-id"] in ("1", "4"), False))
-    assert [h["x-page-id"] for h, _ in got] == ["1", "4"]
+
+@pytest.mark.parametrize("payload", [True, False])
+def test_every_record_of_a_member(payload):
+    """One member with many records, records that go on in the next member, and members of both kinds in one archive."""
+    own = [warc.encode_record(i, f"http://h/{i}", b"own" * 1000, None, "2020-01-01T00:00:00Z") for i in range(2)]
+    many = [plain("response", bytes([65 + i]) * (10 if i % 3 else 300_000)) for i in range(7)]
+    raw = b"".join(many)
+    cut = [gzip.compress(raw[i : i + 5000]) for i in range(0, len(raw), 5000)]
+    for parts, n in (([gzip.compress(raw)], 7), (cut, 7), ([own[0], gzip.compress(raw), own[1]], 9), ([gzip.compress(b"".join(many[:3])), gzip.compress(b"".join(many[3:]))], 7), ([own[0], *map(gzip.compress, many)], 8), ([own[0], *cut, own[1]], 9)):
+        got = list(warc.records(archive(parts), payload=payload))
+        assert len(got) == n
+        if payload:
+            assert [b for h, b in got if h["content-type"] == "text/plain"] == [bytes([65 + i]) * (10 if i % 3 else 300_000) for i in range(7)]
+    # A length in the extra field that isn't that of one record.
+    fake = bytearray(warc.encode_record(1, "http://h", b"x", None, "d"))
+    two = gzip.compress(b"".join(many[1:3]))
+    member = b"\x1f\x8b\x08\x04" + bytes(fake[4:16]) + len(two).to_bytes(4, "little") + (7).to_bytes(4, "little") + two[10:]
+    assert len(list(warc.records(archive([member]), payload=payload))) == 2
+
+
+def test_damaged_payloads_are_noticed(spark, tmp_path):
+    good, bad = (warc.encode_record(i, "http://h", b"<p>text</p>", None, "d", d) for i, d in ((1, None), (2, "A" * 32)))
+    (tmp_path / "a.warc.gz").write_bytes(good + bad)
+    rows = {r.page_id: r for r in warc.read_warc(spark, f"file://{tmp_path}/a.warc.gz").collect()}
+    assert rows[1].intact and not rows[2].intact
+    assert rows[1].payload_digest == rows[2].payload_digest == warc.digest(b"<p>text</p>") and rows[2].headers["warc-payload-digest"] == "sha1:" + "A" * 32
+    assert [r.intact for r in warc.read_warc(spark, f"file://{tmp_path}/a.warc.gz", payload=False).collect()] == [None, None]
 
 
 def test_pushdown(spark, tmp_path):
