@@ -5,10 +5,19 @@ uniform share for words never seen. The weights depend on how often the context
 learned by expectation-maximisation on held-out counts: a tenth of the training documents is kept out of the estimates while
 the weights are learned, then all training documents make the final ones.
 
-Counts are exact and cover the whole corpus. So that they need not be shuffled token by token, documents are gathered in blocks
-(as they are read), each with its distinct words and pairs. A block sends sorted 64-bit hashes with its own counts, packed, to the
+Counts cover the whole corpus. So that they need not be shuffled token by token, documents are gathered in blocks
+(as they are read), each with its distinct words and pairs. A block sends sorted hashes with its own counts, packed, to the
 task that owns their range; that task sums them over all blocks and answers with the totals in the same order. However frequent
 a word or a pair is, each block mentions it once.
+
+Both the number of blocks and that of ranges grow with the corpus, so a row for each block and range would make their product.
+Beyond FANOUT ranges the way therefore has levels: a block sends FANOUT rows, each to a node that sums up about FANOUT blocks
+within one coarse range and sends FANOUT rows on, of finer ranges; totals come back the same way. A node holds about as much as a
+block at every level, and rows grow with tokens times levels (one more level for each factor of FANOUT).
+
+Words are known by 64-bit hashes, pairs by 56-bit ones; counts are exact but for collisions. Of n distinct pairs one shares its
+hash with another with odds of n / 2**56: 1.4e-8 at 10**9 pairs, 1.4e-5 at 10**12. EM reads the held-out estimates in steps of a
+quarter octave, so each is off by 9 % at most while weights are learned (not in scores).
 """
 
 from __future__ import annotations
@@ -24,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, written
 
 #: Tokens after which a block is closed; share (one in) of training documents that is held out; entries that one task sums.
-BLOCK, HELD, ENTRIES = 1_500_000, 10, 6_000_000
+BLOCK, HELD, ENTRIES = 1_000_000, 10, 4_000_000
+#: Rows that a block, or a node that sums up blocks, sends at most.
+FANOUT = 512
 #: Context-frequency buckets (powers of two), steps an octave of the held-out histogram, rounds of EM.
 BUCKETS, STEPS, ROUNDS = 33, 4, 60
 #: Strings that no word can be: words hold no space.
@@ -75,89 +86,152 @@ class _Block:
         return np.bincount(where[self.role == role], minlength=n).astype(np.uint64)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (id, text, role) to blocks. Documents of role EM get blocks of their own."""
-    from xxhash import xxh64_intdigest
-
-    part, made = TaskContext.get().partitionId(), 0
-    kept = {held: ([], [], [], [], {END: 0}) for held in (False, True)}
-    size = {False: 0, True: 0}
-
-    def close(held: bool):
-        nonlocal made
-        seqs, lengths, ids, roles, words = kept[held]
-        seq = np.concatenate(seqs)
-        hashes = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
-        row = {
-            "block": pa.array([part << 24 | made], pa.int64()), "held": pa.array([held]), "ids": pa.array([ids], pa.list_(pa.int64())), "lengths": pa.array([np.array(lengths, "<u8").tobytes()], pa.binary()),
-            "roles": pa.array([np.array(roles, np.uint8).tobytes()], pa.binary()), "seq": pa.array([_pack(seq)], pa.binary()), "words": pa.array([hashes.astype("<u8").tobytes()], pa.binary()),
-            "tokens": pa.array([len(seq)], pa.int64()), "trained": pa.array([sum(n for n, r in zip(lengths, roles, strict=True) if r != ONLY)], pa.int64()), "fitted": pa.array([sum(n for n, r in zip(lengths, roles, strict=True) if r == FIT)], pa.int64()),
-            "docs": pa.array([sum(r != ONLY for r in roles)], pa.int64()), "fit_docs": pa.array([sum(r == FIT for r in roles)], pa.int64()),
-        }
-        made += 1
-        kept[held], size[held] = ([], [], [], [], {END: 0}), 0
-        return pa.record_batch(row)
-
-    for batch in batches:
-        roles, ids = batch.column("role").to_pylist(), batch.column("id").to_pylist()
-        for i, text in enumerate(batch.column("text")):
-            held = roles[i] == EM
-            seqs, lengths, own_ids, own_roles, words = kept[held]
-            found = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-            seq = [words.setdefault(w, len(words)) for w in found]
-            seq.append(0)
-            seqs.append(np.array(seq, np.uint32))
-            lengths.append(len(seq))
-            own_ids.append(ids[i])
-            own_roles.append(roles[i])
-            size[held] += len(seq)
-            if size[held] >= BLOCK:
+def _blocks(most: int):
+    """Rows of (id, text, role) to blocks. Documents of role EM get blocks of their own; a block is closed after `most` tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        part, made = TaskContext.get().partitionId(), 0
+        kept = {held: ([], [], [], [], {END: 0}) for held in (False, True)}
+        size = {False: 0, True: 0}
+
+        def close(held: bool):
+            nonlocal made
+            seqs, lengths, ids, roles, words = kept[held]
+            seq = np.concatenate(seqs)
+            hashes = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+            row = {
+                "block": pa.array([part << 24 | made], pa.int64()), "held": pa.array([held]), "ids": pa.array([ids], pa.list_(pa.int64())), "lengths": pa.array([np.array(lengths, "<u8").tobytes()], pa.binary()),
+                "roles": pa.array([np.array(roles, np.uint8).tobytes()], pa.binary()), "seq": pa.array([_pack(seq)], pa.binary()), "words": pa.array([hashes.astype("<u8").tobytes()], pa.binary()),
+                "tokens": pa.array([len(seq)], pa.int64()), "trained": pa.array([sum(n for n, r in zip(lengths, roles, strict=True) if r != ONLY)], pa.int64()), "fitted": pa.array([sum(n for n, r in zip(lengths, roles, strict=True) if r == FIT)], pa.int64()),
+                "docs": pa.array([sum(r != ONLY for r in roles)], pa.int64()), "fit_docs": pa.array([sum(r == FIT for r in roles)], pa.int64()),
+            }
+            made += 1
+            kept[held], size[held] = ([], [], [], [], {END: 0}), 0
+            return pa.record_batch(row)
+
+        for batch in batches:
+            roles, ids = batch.column("role").to_pylist(), batch.column("id").to_pylist()
+            for i, text in enumerate(batch.column("text")):
+                held = roles[i] == EM
+                seqs, lengths, own_ids, own_roles, words = kept[held]
+                found = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                seq = [words.setdefault(w, len(words)) for w in found]
+                seq.append(0)
+                seqs.append(np.array(seq, np.uint32))
+                lengths.append(len(seq))
+                own_ids.append(ids[i])
+                own_roles.append(roles[i])
+                size[held] += len(seq)
+                if size[held] >= most:
+                    yield close(held)
+        for held in (False, True):
+            if size[held]:
                 yield close(held)
-    for held in (False, True):
-        if size[held]:
-            yield close(held)
+
+    return run
 
 
 def _open(row: dict) -> _Block:
     return _Block(_unpack(row["seq"]).astype(np.int64), np.frombuffer(row["lengths"], "<u8"), np.frombuffer(row["roles"], np.uint8), np.frombuffer(row["words"], "<u8"))
 
 
-def _ask(ranges: int):
+_REQUEST = {"kind": pa.int32(), "range": pa.int64(), "node": pa.int64(), "names": pa.binary(), "fit": pa.binary(), "held": pa.binary()}
+_ASKED = "kind int, range long, node long, names binary, fit binary, held binary"
+_BITS = (64, 56)
+
+
+def _requests(kind: int, node: int, names: np.ndarray, fit: np.ndarray, held: np.ndarray, within: int, fan: int, level: int) -> list[tuple]:
+    """Sorted names of range `within` of the level before, dealt out to the `fan` ranges that it is cut into at this level."""
+    parts = fan**level
+    edges = np.array([((within * fan + r) << _BITS[kind]) // parts for r in range(1, fan)], np.uint64)
+    cuts = [0, *np.searchsorted(names, edges).tolist(), len(names)]
+    return [(kind, within * fan + r, node, _pack(np.diff(names[a:b], prepend=np.uint64(0))), _pack(fit[a:b]), _pack(held[a:b])) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+
+
+def _ask(fan: int):
     """Blocks to requests: for each range of hashes the block's own, in order, with its counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 block = _open(row)
-                for kind, names, bits in ((0, block.words, 64), (1, block.pairs, 56)):
-                    fit, held = block.own(kind, FIT), block.own(kind, EM)
-                    edges = np.array([(r << bits) // ranges for r in range(1, ranges)], np.uint64)
-                    cuts = [0, *np.searchsorted(names, edges).tolist(), len(names)]
-                    out = [(kind, r, row["block"], _pack(np.diff(names[a:b], prepend=np.uint64(0))), _pack(fit[a:b]), _pack(held[a:b])) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                    yield pa.record_batch([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["kind", "range", "block", "names", "fit", "held"])
+                for kind, names in ((0, block.words), (1, block.pairs)):
+                    out = _requests(kind, row["block"], names, block.own(kind, FIT), block.own(kind, EM), 0, fan, 1)
+                    yield pa.record_batch([pa.array([o[i] for o in out], k) for i, k in enumerate(_REQUEST.values())], list(_REQUEST))
 
     return run
 
 
-def _answer(asked: pa.Table) -> pa.Table:
-    """All requests of one kind and range to answers: totals in the order of each block's names, and how many names were trained on."""
-    rows = asked.to_pylist()
+def _summed(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Distinct names of requests for one range, each request's places among them, and their sums as [fit, held]."""
     names = [np.cumsum(_unpack(r["names"]), dtype=np.uint64) for r in rows]
     ends = np.cumsum([len(n) for n in names])
     distinct, place = np.unique(np.concatenate(names), return_inverse=True)
-    totals = []
-    for what in ("fit", "held"):
-        own = np.concatenate([_unpack(r[what]) for r in rows])
-        totals.append(np.bincount(place, weights=own.astype(np.float64), minlength=len(distinct)).astype(np.uint64))
-    trained = int(((totals[0] + totals[1]) > 0).sum())
-    cut = [place[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    del names
+    sums = [np.bincount(place, weights=np.concatenate([_unpack(r[what]) for r in rows]).astype(np.float64), minlength=len(distinct)).astype(np.uint64) for what in ("fit", "held")]
+    return distinct, [place[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], sums
+
+
+def _pass_on(fan: int, level: int):
+    """All requests of a node to its own, for the ranges of this level."""
+
+    def run(key: tuple, asked: pa.Table) -> pa.Table:
+        kind, within, group = (k.as_py() for k in key)
+        distinct, _, (fit, held) = _summed(asked.to_pylist())
+        out = _requests(kind, group, distinct, fit, held, within, fan, level)
+        return pa.table([pa.array([o[i] for o in out], k) for i, k in enumerate(_REQUEST.values())], list(_REQUEST))
+
+    return run
+
+
+def _told(rows: list[dict], places: list[np.ndarray], totals: list[np.ndarray], trained: int) -> pa.Table:
     return pa.table({
-        "kind": pa.array([r["kind"] for r in rows], pa.int32()), "range": pa.array([r["range"] for r in rows], pa.int32()), "block": pa.array([r["block"] for r in rows], pa.int64()),
-        "fit": pa.array([_pack(totals[0][p]) for p in cut], pa.binary()), "held": pa.array([_pack(totals[1][p]) for p in cut], pa.binary()), "trained": pa.array([trained] + [0] * (len(rows) - 1), pa.int64()),
+        "kind": pa.array([r["kind"] for r in rows], pa.int32()), "range": pa.array([r["range"] for r in rows], pa.int64()), "node": pa.array([r["node"] for r in rows], pa.int64()),
+        "fit": pa.array([_pack(totals[0][p]) for p in places], pa.binary()), "held": pa.array([_pack(totals[1][p]) for p in places], pa.binary()), "trained": pa.array([trained] + [0] * (len(rows) - 1), pa.int64()),
     })
 
 
+_ANSWERED = "kind int, range long, node long, fit binary, held binary, trained long"
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """All requests of one kind and range to answers: totals in the order of each request's names, and how many names were trained on."""
+    rows = asked.to_pylist()
+    _, places, totals = _summed(rows)
+    return _told(rows, places, totals, int(((totals[0] + totals[1]) > 0).sum()))
+
+
+def _hand_down(asked: pa.Table, answers: pa.Table) -> pa.Table:
+    """A node's requests and the answers to those that it sent on, to answers to the former."""
+    rows = asked.to_pylist()
+    _, places, _ = _summed(rows)
+    above = sorted(answers.select(["range", "fit", "held"]).to_pylist(), key=lambda r: r["range"])
+    return _told(rows, places, [np.concatenate([_unpack(r[what]) for r in above]) for what in ("fit", "held")], 0)
+
+
+def _exchange(content: DataFrame, blocks: int, ranges: int) -> tuple[DataFrame, int]:
+    """(kind, range, block, fit, held): totals in the order of each block's names, by ranges in order; and the number of words trained on."""
+    levels = next(n for n in range(1, 65) if FANOUT**n >= ranges)
+    fan = next(f for f in range(max(1, int(ranges ** (1 / levels)) - 1), ranges + 1) if f**levels >= ranges)
+    asked = content.mapInArrow(_ask(fan), _ASKED)
+    groups, below = blocks, []
+    for level in range(2, levels + 1):
+        groups = max(1, -(-groups // fan))
+        asked = written(asked.withColumn("group", F.pmod(F.xxhash64("node"), F.lit(groups))), f"requests-{level}")
+        below.append(asked)
+        asked = asked.groupBy("kind", "range", "group").applyInArrow(_pass_on(fan, level), _ASKED)
+    if below:
+        asked = written(asked, "requests")
+    answers = written(asked.groupBy("kind", "range").applyInArrow(_answer, _ANSWERED), "answers")
+    types = answers.filter("kind = 0").agg(F.coalesce(F.sum("trained"), F.lit(0))).first()[0]
+    for asked in reversed(below):
+        told = answers.select("kind", F.floor(F.col("range") / fan).alias("within"), F.col("node").alias("group"), "range", "fit", "held")
+        answers = written(asked.groupBy("kind", "range", "group").cogroup(told.groupBy("kind", "within", "group")).applyInArrow(_hand_down, _ANSWERED), "answers")
+    return answers.select("kind", "range", F.col("node").alias("block"), "fit", "held"), types
+
+
 def _totals(answers: pa.Table) -> list[list[np.ndarray]]:
     """[words, pairs], each as [fit, held] in the order of the block's names."""
     rows = sorted(answers.select(["kind", "range", "fit", "held"]).to_pylist(), key=lambda r: (r["kind"], r["range"]))
@@ -241,15 +315,12 @@ def score_text(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
     role = F.when(~F.coalesce(learn, F.lit(False)), ONLY).when(F.pmod(F.xxhash64(F.lit("held out"), name), F.lit(HELD)) == 0, EM).otherwise(FIT)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), role.cast("int").alias("role"))
-    blocks = written(rows.mapInArrow(_blocks, "block long, held boolean, ids array<long>, lengths binary, roles binary, seq binary, words binary, tokens long, trained long, fitted long, docs long, fit_docs long"), "blocks")
+    blocks = written(rows.mapInArrow(_blocks(BLOCK), "block long, held boolean, ids array<long>, lengths binary, roles binary, seq binary, words binary, tokens long, trained long, fitted long, docs long, fit_docs long"), "blocks")
     size = blocks.agg(F.count("*").alias("blocks"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "trained", "fitted", "docs", "fit_docs")]).first()
     ranges = max(2 * shuffle_partitions(spark), -(-size["tokens"] // ENTRIES))
     content = blocks.select("block", "held", "ids", "lengths", "roles", "seq", "words")
-    asked = content.select("block", "lengths", "roles", "seq", "words").mapInArrow(_ask(ranges), "kind int, range int, block long, names binary, fit binary, held binary")
-    answers = written(asked.groupBy("kind", "range").applyInArrow(_answer, "kind int, range int, block long, fit binary, held binary, trained long"), "answers")
-    types = answers.filter("kind = 0").agg(F.coalesce(F.sum("trained"), F.lit(0))).first()[0]
+    told, types = _exchange(content.select("block", "lengths", "roles", "seq", "words"), size["blocks"], ranges)
     held = content.filter("held")
-    told = answers.drop("trained")
     cells = held.groupBy("block").cogroup(told.join(held.select("block"), "block", "left_semi").groupBy("block")).applyInArrow(_histogram(size["fitted"], size["fit_docs"]), "cell long, n long")
     weights = learn_weights([(r["cell"], r["n"]) for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect()], types)
     scored = content.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(size["trained"], size["docs"], types, weights.tolist()), "id long, role int, n_tokens long, n_known long, base_score double, score double")

@@ -19,9 +19,12 @@ def tokens(text):
     return [*(text or "").encode().lower().split(), lm.END]
 
 
-@pytest.mark.parametrize("block", [50, 3_000_000])
-def test_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "entries", "fanout"), [(50, 4_000_000, 512), (3_000_000, 4_000_000, 512), (50, 100, 5), (200, 60, 3)])
+def test_against_brute_force(spark, monkeypatch, block, entries, fanout):
+    """One block and many; one level and several (2 of 25 ranges, 4 of 81)."""
     monkeypatch.setattr(lm, "BLOCK", block)
+    monkeypatch.setattr(lm, "ENTRIES", entries)
+    monkeypatch.setattr(lm, "FANOUT", fanout)
     rows = [*corpus(), (200, None), (201, ""), (None, "no id w1"), (304, "w1 w2"), (304, "w1 w2"), (302, "unseen w1 é")]
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, score int").repartition(3)
     learn = F.coalesce(F.col("doc_id"), F.lit(0)) % 7 != 2
@@ -58,6 +61,43 @@ def test_weights_sum_to_one_and_raise_likelihood():
     assert np.allclose(w.sum(axis=1), 1) and (w >= 0).all() and w[0, 0] == 0
 
 
+def test_rows_grow_with_tokens(spark, monkeypatch):
+    """Three sizes: the rows of requests over all levels grow with the blocks, not with blocks times ranges."""
+    monkeypatch.setattr(lm, "BLOCK", 100)
+    monkeypatch.setattr(lm, "ENTRIES", 150)
+    monkeypatch.setattr(lm, "FANOUT", 6)
+    rows, draw, keep = [], random.Random(8), lm.written
+    tables: list = []
+    monkeypatch.setattr(lm, "written", lambda df, label: (tables.append((label, out := keep(df, label))), out)[1])
+    for size in (50, 200, 800):
+        texts = [" ".join(f"x{draw.randrange(10**6)}" for _ in range(50)) for _ in range(size)]
+        tables.clear()
+        lm.score_text(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4), F.lit(True))
+        assert sum(df.count() for label, df in tables if label == "blocks") > size / 3
+        rows.append(sum(df.count() for label, df in tables if label.startswith("requests")) / size)
+    assert rows[0] > 0 and rows[2] < 4 * rows[0]  # a row for each block and range would be 16 times as many a document
+
+
+def test_very_long_text(spark):
+    text = "w1 w2 " * 200_000
+    row = lm.score_text(spark.createDataFrame([(1, text), (2, "w1")], "doc_id long, text string"), F.lit(True)).filter("doc_id = 1").first()
+    assert row.n_tokens == 400_001 and row.n_known == row.n_tokens and math.isfinite(row.score)
+
+
+def test_steps_of_em_hardly_matter():
+    """Weights from estimates in quarter octaves against the same from unrounded ones."""
+    draw = np.random.default_rng(1)
+    p = [(2.0 ** -draw.uniform(0, 6), 2.0 ** -draw.uniform(4, 14)) for _ in range(2000)]
+    cells = [(3 << 32 | (round(-lm.STEPS * math.log2(a)) + 1 if i % 3 else 0) << 16 | round(-lm.STEPS * math.log2(b)) + 1, 1) for i, (a, b) in enumerate(p)]
+    got, w = lm.learn_weights(cells, 1000)[3], np.array([0.4, 0.5, 0.1])
+    exact = np.array([[a if i % 3 else 0.0, b, 1 / 1001] for i, (a, b) in enumerate(p)])
+    for _ in range(lm.ROUNDS):
+        part = exact * w
+        w = (part / part.sum(axis=1, keepdims=True)).sum(axis=0)
+        w /= w.sum()
+    assert np.abs(got - w).max() < 0.01
+
+
 def test_packing_numbers():
     for numbers in ([], [0], [2**63, 5, 2**64 - 1], list(range(1000))):
         assert lm._unpack(lm._pack(np.array(numbers, np.uint64))).tolist() == numbers
