@@ -2,7 +2,7 @@
 
 Document rates r maximise entropy relative to the corpus (sum of size * (r log r - r + 1) is least) under one
 constraint a source: its tokens, at these rates, are its target. The convex dual has one multiplier a source and the
-solution is the exponential tilt r = exp(lambda). Newton's method on the dual needs, per iteration, each source's tokens
+solution is the exponential tilt r = exp(lambda) (target over size, as there is no other constraint). Newton's method on the dual needs, per iteration, each source's tokens
 at the current rates (gradient) and the same sum as its curvature: a distributed aggregation over the documents, which
 are pre-aggregated to a histogram (source, size), so that no hot source costs more than its distinct sizes.
 
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, fresh, ranked, written
 
 #: Sub-groups of documents of one source and size, so that copies of one text are ranked in many tasks.
 SALTS = 256
@@ -27,23 +27,26 @@ def word_count(text: Column) -> Column:
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
-    """(source, source_size, target) from (source, source_size).
+    """(source, source_size, target) from (source, source_size), one row a source.
 
     Sources in code-point order, null last, weigh `weights` in turn and share all tokens; a target stops at `most` times its
-    source's size and the excess is shared again by weight until none is above. Water-filling in closed form: sources are
-    capped in the order of size / weight, so two prefix sums tell where the level settles. Sources of size 0 get 0.
+    source's size and the excess is shared again by weight until none is above. Each sharing is a sum over the sources; only
+    the level reaches the driver, so there may be any number of them. Sources of size 0 get 0.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    all_rows = Window.partitionBy()
-    rows = sources.withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("total", F.sum("source_size").over(all_rows).cast("double"))
-    # Along cap / w: the level if exactly the sources before this one are capped.
-    by = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), F.col("source").cast("binary"))
-    before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
-    rows = rows.withColumn("level", level).withColumn("open", F.col("level") * F.col("w") <= F.col("cap"))
-    settled = F.min(F.when(F.col("open"), F.struct((F.col("cap") / F.col("w")).alias("k"), F.col("level").alias("level")))).over(all_rows)["level"]
-    return rows.select("source", "source_size", F.least(F.col("cap"), F.coalesce(settled, F.lit(float("inf"))) * F.col("w")).alias("target"))
+    ordered = sources.withColumn("__null", F.col("source").isNull()).withColumn("__bytes", F.col("source").cast("binary"))
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
+    rows = ranked(ordered, "__null", "__bytes").withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(float(most)))
+    rows = written(rows.select("source", "source_size", "w", "cap"), "sources")
+    total = rows.agg(F.sum("source_size")).first()[0] or 0
+    level, capped = 0.0, -1
+    while True:
+        above = F.col("cap") < F.lit(level) * F.col("w")
+        now = rows.agg(F.count(F.when(above, 1)).alias("n"), F.sum(F.when(above, F.col("cap")).otherwise(0.0)).alias("cap"), F.sum(F.when(above, 0.0).otherwise(F.col("w"))).alias("w")).first()
+        if now["n"] == capped or not now["w"]:
+            break
+        # The level only rises, so a source that is above its cap stays there, and each round but the last caps one more.
+        capped, level = now["n"], (total - now["cap"]) / now["w"]
+    return rows.select("source", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("w")).alias("target"))
 
 
 def balance(cells: DataFrame, goals: DataFrame, most: float = 3.0, rounds: int = 40, tolerance: float = 1e-9) -> DataFrame:
@@ -63,6 +66,8 @@ def balance(cells: DataFrame, goals: DataFrame, most: float = 3.0, rounds: int =
         worst = state.agg(F.max("off")).first()[0]
         if worst is None or worst <= tolerance:
             break
+    else:
+        raise RuntimeError(f"rates have not settled after {rounds} rounds: off by {worst}")
     return state.select("key", "target", F.when(F.col("target") > 0, F.least(F.exp("lam"), F.lit(float(most)))).otherwise(0.0).alias("rate"))
 
 
@@ -82,20 +87,22 @@ def _give_out(cells: pd.DataFrame) -> pd.DataFrame:
     return cells.assign(base=[int(r + 1e-9) for r in cells["rate"]], more=more)[["key", "size", "base", "more"]]
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of `docs` (by default `id_col`) with `mix`: a struct of source, size, source_size, target, rate, copies, taken.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, keep: list[str] | None = None, out: str = "mix") -> DataFrame:
+    """The columns `keep` of `docs` (by default `id_col`) with `out`: a struct of source, size, source_size, target, rate, copies, taken.
 
     size: words of the text (null text: 0, which are never needed and get no copies beyond the whole part of their source's
     rate). Null sources form a source, ordered last. Null ids are documents too. Ties in size are broken by a hash of the id,
     then the id, then a hash of the text; rows that repeat in all three are alike, so it doesn't matter which of them gets a
-    copy more, and reruns give the same rows. An empty table gives no rows. A column named `mix` is replaced.
+    copy more, and reruns give the same rows. An empty table gives no rows. A column named as `out` is replaced.
     """
-    kept = [c for c in keep or [id_col] if c != "mix"]
+    kept = [c for c in keep or [id_col] if c.lower() != out.lower()]
     name = F.struct(F.col(f"`{source_col}`").isNull().alias("null"), F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("name"))
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{source_col}`").cast("string").alias("source"), name.alias("key"), word_count(F.col(f"`{text_col}`")).alias("size"),
         F.xxhash64(F.lit("mix"), F.col(f"`{id_col}`").cast("string")).alias("h"), F.col(f"`{id_col}`").cast("string").alias("tie"), F.xxhash64(F.col(f"`{text_col}`")).alias("tie2"),
     ).withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int"))
+    if text_col not in kept:
+        rows = written(rows, "sizes")  # texts are read once; with texts among the kept columns, counting again is less than writing them
     fine = written(rows.groupBy("key", "source", "size", "salt").agg(F.count("*").alias("n")), "histogram")
     goals = targets(fine.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most)
     goals = goals.withColumn("key", F.struct(F.col("source").isNull().alias("null"), F.coalesce("source", F.lit("")).alias("name")))
@@ -108,14 +115,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = fine.select("key", "size", "salt", "n", ahead.alias("ahead")).join(given, ["key", "size"]).select("key", "size", "salt", "base", F.greatest(F.lit(0), F.least("n", F.col("more") - F.col("ahead"))).alias("take"))
     plan = plan.join(goals.select("key", "source_size", "target"), "key").join(rates.select("key", "rate"), "key")
     rank = F.row_number().over(Window.partitionBy("key", "size", "salt").orderBy("h", "tie", "tie2"))
-    out = rows.withColumn("rank", rank).join(plan, ["key", "size", "salt"])
+    found = rows.withColumn("rank", rank).join(plan, ["key", "size", "salt"])
     copies = (F.col("base") + (F.col("rank") <= F.col("take")).cast("int")).cast("long")
-    return out.select("row.*", F.struct("source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken")).alias("mix"))
+    return found.select("row.*", F.struct("source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken")).alias(out))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix: all columns of `docs`, each row as often as it has copies."""
-    rows = mix(docs, keep=docs.columns, **how)
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.copies")))).filter(F.col("mix.copies") > 0).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
+    name, copy = fresh(docs, "mix"), fresh(docs, "copy")
+    rows = mix(docs, keep=docs.columns, out=name, **how).filter(F.col(f"{name}.copies") > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{name}.copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -31,6 +31,8 @@ def test_targets(spark):
     check_targets(spark, {"a": 5, "B": 1, None: 3, "é": 1000})
     check_targets(spark, {"only": 7})
     check_targets(spark, {"a": 0, "b": 4})
+    check_targets(spark, {"a": 0})
+    check_targets(spark, {f"s{i}": 4**i for i in range(14)})  # capped one after the other
     for _ in range(4):
         check_targets(spark, {f"s{i}": int(rng.lognormal(4, 2)) for i in range(12)})
 
@@ -83,3 +85,47 @@ def test_all_one_text(spark):
 
 def test_empty(spark):
     assert m.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def brute_copies(cells):
+    """Whole parts to all, then from the largest size down as many more as are nearest to what is missing."""
+    out, missing = {}, 0.0
+    for size, n, rate in sorted(cells, reverse=True):
+        base = int(rate + 1e-9)
+        missing += (rate - base) * size * n
+        more = min(n, max(0, int(missing / size + 0.5))) if size and rate - base > 1e-9 else 0
+        missing -= more * size
+        out[size] = base * n + more
+    return out
+
+
+def test_rounding_against_brute_force(spark):
+    data = rows(3)
+    got: dict = {}
+    for r in m.mix(spark.createDataFrame(data, "doc_id long, text string, source string, n int").repartition(4)).collect():
+        got.setdefault(r.mix.source, {}).setdefault(r.mix.size, []).append((r.mix.rate, r.mix.copies))
+    for cells in got.values():
+        want = brute_copies([(size, len(found), found[0][0]) for size, found in cells.items()])
+        assert {size: sum(c for _, c in found) for size, found in cells.items()} == want
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "w " * 300_000, "a"), (2, "x", "b"), (3, "y " * 50_000, "b")], "doc_id long, text string, source string")
+    got = {r.doc_id: r.mix for r in m.mix(df).collect()}
+    assert got[1].size == 300_000 and got[1].taken in (0, 300_000) and got[3].taken <= 150_000 and got[3].target == 150_003
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c", "s", 1.5, 7, "k")], "doc_id long, text string, source string, mix double, copy int, size string")
+    out = m.mixed(df)
+    assert out.dtypes == df.dtypes and out.collect() == df.collect()
+
+
+def test_unsettled_rates_are_an_error(spark):
+    import pytest
+
+    cells = spark.createDataFrame([("a", 5, 10)], "key string, size long, n long")
+    goals = spark.createDataFrame([("a", 50, 1.0)], "key string, source_size long, target double")
+    with pytest.raises(RuntimeError, match="settled"):
+        m.balance(cells, goals, rounds=2)
+    assert abs(m.balance(cells, goals).first().rate - 0.02) < 1e-9
