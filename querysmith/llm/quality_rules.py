@@ -128,16 +128,16 @@ def _run(clean: bool):
     return run
 
 
-def apply_rules(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, clean: bool = True) -> DataFrame:
-    """The columns `keep` of `docs` (all by default) and `quality`: a struct of the counts, base_failed, kept, clean_text
+def apply_rules(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, clean: bool = True, out: str = "quality") -> DataFrame:
+    """The columns `keep` of `docs` (all by default) and `out`: a struct of the counts, base_failed, kept, clean_text
     (null unless `clean`), n_failed_lines and lost_share.
 
     Words are runs of anything but ASCII white space; lines are split at line feeds. `kept` is false if base_failed, or if
     failing lines hold more than MAX_LOST of the word characters. Null and empty texts have no words: zeros, base_failed, not
     kept, empty clean_text. Ties can't occur; repeated rows are judged each; an empty table stays empty. The other columns,
-    nulls in them included, are handed through. A column named `quality` is replaced. One pass, no shuffle.
+    nulls in them included, are handed through. A column named as `out` is replaced. One pass, no shuffle.
     """
-    kept = [c for c in keep or docs.columns if c != "quality"]
+    kept = [c for c in keep or docs.columns if c.lower() != out.lower()]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL(_FIELDS)])
-    return rows.mapInArrow(_run(clean), schema).select("row.*", F.struct(*_NAMES).alias("quality"))
+    return rows.mapInArrow(_run(clean), schema).select("row.*", F.struct(*_NAMES).alias(out))
