@@ -33,6 +33,8 @@ BUCKETS, DIM, SAMPLE, EPOCHS, RATE = 4096, 16, 400, 30, 0.5
 TOTAL, FEWEST = 4096, 16
 #: Share of a calibration set's rightly labelled texts that either measure of rejection may cost; added to shares before their logarithm.
 REJECT, RARE = 0.001, 1e-5
+#: Temperatures that calibration chooses from; texts whose products are computed together.
+TEMPERATURES, TEXTS = np.geomspace(1 / 64, 64, 61), 256
 
 
 @dataclass
@@ -75,21 +77,23 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 7) -> Model:
     """A model fitted to four fifths of the rows; the others give its temperature.
 
-    What rejection asks for comes from all rows: each fifth is measured by a model of the other four, so that few rows do too.
+    What rejection asks for comes from the other four fifths, each measured by a model of the rest, so that few rows tell too and no
+    row gives both. With fewer than 20 rows all serve for all.
     """
     rng = np.random.default_rng(seed)
     parts = np.split(order := rng.permutation(len(x)), [len(x) * i // 5 for i in range(1, 5)]) if len(x) >= 20 else [order]
     model, odds, fits = None, [], []
-    for held in parts:
+    for i, held in enumerate(parts):
         own = _descend(x, y, order[~np.isin(order, held)] if len(parts) > 1 else order, names, rng)
         z = own.logits(x[held])
         if model is None:
             model = own
-            model.temperature = float(min(np.geomspace(0.25, 8, 26), key=lambda t: _loss(z / t, y[held])))
-        best = z.argmax(axis=1)
-        right = best == y[held]
-        odds.append(_odds(z[right] / model.temperature, best[right]))
-        fits.append(own.fits(x[held][right], best[right]).astype(np.float64))
+            model.temperature = float(min(TEMPERATURES, key=lambda t: _loss(z / t, y[held])))
+        if i or len(parts) == 1:
+            best = z.argmax(axis=1)
+            right = best == y[held]
+            odds.append(_odds(z[right] / model.temperature, best[right]))
+            fits.append(own.fits(x[held][right], best[right]).astype(np.float64))
     odds, fits = np.concatenate(odds), np.concatenate(fits)
     if len(odds):
         # Odds have a longer tail below than a normal distribution; it is taken for that of a Laplace distribution.
@@ -99,6 +103,17 @@ def train(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 7) -> Mode
     return model
 
 
+def gradient(model: Model, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the weighted mean cross-entropy of a batch, by embeddings, softmax and bias."""
+    hidden = x @ model.embed
+    p = hidden @ model.soft + model.bias
+    p = np.exp(p - p.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(len(x)), y] -= 1
+    p *= weight[y, None] / len(x)
+    return x.T @ (p @ model.soft.T), hidden.T @ p, p.sum(axis=0)
+
+
 def _descend(x: np.ndarray, y: np.ndarray, rows: np.ndarray, names: list[str], rng: np.random.Generator) -> Model:
     """Stochastic gradient descent on the cross-entropy, over embeddings and softmax together."""
     k = max(len(names), 1)
@@ -107,17 +122,11 @@ def _descend(x: np.ndarray, y: np.ndarray, rows: np.ndarray, names: list[str], r
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for batch in np.array_split(rng.permutation(rows), max(1, len(rows) // 16)):
-            xb = x[batch] * 30  # averages are small numbers; the scale belongs to the embeddings
-            hidden = xb @ model.embed
-            p = hidden @ model.soft + model.bias
-            p = np.exp(p - p.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(batch)), y[batch]] -= 1
-            p *= weight[y[batch], None] / len(batch)
-            back = p @ model.soft.T
-            model.soft -= rate * hidden.T @ p
-            model.bias -= rate * p.sum(axis=0)
-            model.embed -= rate * xb.T @ back
+            # Averages are small numbers; the scale belongs to the embeddings.
+            embed, soft, bias = gradient(model, x[batch] * 30, y[batch], weight)
+            model.soft -= rate * soft
+            model.bias -= rate * bias
+            model.embed -= rate * embed
     model.embed *= 30
     model.profile, model.centre = _profiles(x[rows], y[rows], k)
     return model
@@ -172,7 +181,9 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     top = float(2**63)
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (2 * sample + 50) / r["count"])) for r in sizes], "lang string, share double")
     picked = rows.join(F.broadcast(shares), "lang").filter((F.col("h").cast("double") / top + 1) / 2 <= F.col("share"))
-    ranked = picked.mapInArrow(_features, "lang string, h long, x binary").groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "x"))), 1, sample).alias("rows"))
+    # Rows that repeat id and text have one hash and count once, or all copies would reach one group.
+    picked = picked.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    ranked = picked.select("lang", "text", "h").mapInArrow(_features, "lang string, h long, x binary").groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "x"))), 1, sample).alias("rows"))
     found = sorted(ranked.collect(), key=lambda r: r["lang"])
     names = [r["lang"] for r in found]
     x = np.stack([np.frombuffer(s["x"], "<f2").astype(np.float32) for r in found for s in r["rows"]])
@@ -188,32 +199,36 @@ def _predict(packed: bytes | None):
             model = Model(saved["names"].tolist(), saved["embed"], saved["soft"], saved["bias"], float(saved["temperature"]), float(saved["least"]), saved["profile"], saved["centre"], float(saved["fit_least"]))
         for batch in batches:
             lang, score, accepted = ["und"] * batch.num_rows, [0.0] * batch.num_rows, [False] * batch.num_rows
-            for i, text in enumerate(batch.column("text")):
-                text = text.as_py()
-                if model and has_letter(text):
-                    x = average(text)[None, :]
-                    p = model.proba(x)[0]
-                    k = int(p.argmax())
-                    lang[i], score[i], accepted[i] = model.names[k], float(p[k]), bool(p[k] >= model.least and model.fits(x, np.array([k]))[0] >= model.fit_least)
+            for at in range(0, batch.num_rows if model else 0, TEXTS):
+                texts = batch.column("text").slice(at, TEXTS).to_pylist()
+                known = [i for i, t in enumerate(texts) if has_letter(t)]
+                if not known:
+                    continue
+                x = np.stack([average(texts[i]) for i in known])
+                p = model.proba(x)
+                best = p.argmax(axis=1)
+                fits = model.fits(x, best)
+                for i, k, own, fit in zip(known, best.tolist(), p.max(axis=1).tolist(), fits.tolist(), strict=True):
+                    lang[at + i], score[at + i], accepted[at + i] = model.names[k], float(own), own >= model.least and fit >= model.fit_least
             yield pa.record_batch({"row": batch.column("row"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "accepted": pa.array(accepted, pa.bool_())})
 
     return run
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of `docs` (all by default) and `language`: a struct of lang_pred, score, accepted.
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None, out: str = "language") -> DataFrame:
+    """The columns `keep` of `docs` (all by default) and `out`: a struct of lang_pred, score, accepted.
 
     lang_pred is the likeliest learned value, or `und` if the text is null or has no letter (score 0, not accepted; so is every
     text if nothing could be learned). accepted: the calibrated score and the fit to the language reach the model's thresholds. Nulls in other
-    columns are handed through, repeated rows predicted each, ties go to the first value in order, a column named `language`
+    columns are handed through, repeated rows predicted each, ties go to the first value in order, a column named as `out`
     is replaced, an empty table stays empty. One pass without a shuffle; what is sent along is the model (under 1 MB, and 16 KB a language).
     """
     packed = None
     if model:
         np.savez_compressed(to := io.BytesIO(), names=np.array(model.names), embed=model.embed, soft=model.soft, bias=model.bias, temperature=model.temperature, least=model.least, profile=model.profile, centre=model.centre, fit_least=model.fit_least)
         packed = to.getvalue()
-    kept = [c for c in keep or docs.columns if c != "language"]
+    kept = [c for c in keep or docs.columns if c.lower() != out.lower()]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     fields = T.StructType.fromDDL("lang_pred string, score double, accepted boolean")
-    out = rows.mapInArrow(_predict(packed), T.StructType([rows.schema["row"], *fields]))
-    return out.select("row.*", F.struct("lang_pred", "score", "accepted").alias("language"))
+    found = rows.mapInArrow(_predict(packed), T.StructType([rows.schema["row"], *fields]))
+    return found.select("row.*", F.struct("lang_pred", "score", "accepted").alias(out))

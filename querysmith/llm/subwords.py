@@ -9,7 +9,8 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a character of Unicode's letter categories is in the text; digits of other kinds (²) and numerals (Ⅷ) aren't."""
+    return bool(text) and any(found[0].isalpha() for found in _LETTER.finditer(text))
 
 
 def letters(text: str) -> bytes:
