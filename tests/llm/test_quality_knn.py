@@ -34,7 +34,7 @@ def test_votes_are_those_of_brute_force(spark):
     x = np.stack([q.terms(t) for _, t in docs[:10]])
     near = model.latent(x) @ model.vectors.T
     for i, score in enumerate(model.score(x)):
-        top = sorted(range(60), key=lambda j: -near[i, j])[: q.VOTERS]
+        top = sorted(range(60), key=lambda j: (-round(float(near[i, j]), 5), j))[: q.VOTERS]
         w = [max(near[i, j], 1e-6) ** 4 for j in top]
         assert abs(score - sum(a * labels[j][1] for a, j in zip(w, top, strict=True)) / sum(w)) < 1e-5
 
@@ -48,3 +48,44 @@ def test_cases(spark):
     assert len(out) == 4 and all(0 <= r.quality_score <= 1 for r in out) and out[0].quality_score == out[1].quality_score
     assert q.score_quality(odd.limit(0), model).count() == 0
     assert q.fit(d, lab.limit(0), F.lit(True)) is None and q.score_quality(odd, None).first().quality_score == 0.5
+
+
+def test_document_frequencies_cover_all_documents(spark):
+    docs = [(i, t) for i, t in enumerate(["abcd", "abc", None, "", "xyz abc", "abc" * 50_000])] * 3
+    n, having = q.document_frequencies(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    want = sum(((q.counts(t.encode(), q.GRAMS, (3,)) > 0).astype(int) for _, t in docs if t), start=0)
+    assert n == 12 and (having == want).all()
+    none, zero = q.document_frequencies(spark.createDataFrame([], "doc_id long, text string"))
+    assert none == 0 and not zero.any()
+
+
+def test_scores_don_t_depend_on_neighbours_in_a_batch(spark):
+    """A text's score alone, among others, and at another place in the block; repeated labelled vectors tie at the last place."""
+    import numpy as np
+
+    docs, labels = corpus(80)
+    x = np.stack([q.terms(t) for _, t in docs])
+    model = q.train(np.concatenate([x, x]), np.array([g for _, g, _ in labels] * 2), 0.5)
+    whole = model.score(x)
+    for i in (0, 7, 41):
+        assert model.score(x[i : i + 1])[0] == whole[i] == model.score(x[i:])[0]
+
+
+def test_repeated_rows_count_once_in_the_sample(spark):
+    docs, labels = corpus(40)
+    once = q.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.lit(True))
+    more = q.fit(spark.createDataFrame(docs + [docs[0]] * 200, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.lit(True))
+    assert once.vectors.shape == more.vectors.shape == (40, 40)
+
+
+def test_decomposition_against_numpy():
+    """The randomised decomposition spans what the exact one does."""
+    import numpy as np
+
+    draw = np.random.default_rng(0)
+    x = np.abs(draw.normal(size=(300, 5)) @ draw.normal(size=(5, q.GRAMS + q.RUNS + q.BINS))).astype(np.float32)
+    model = q.train(x, np.arange(300) % 2, 0.5)
+    rows = x * model.idf
+    _, s, v = np.linalg.svd(rows, full_matrices=False)
+    mine, exact = np.linalg.norm(rows @ model.basis[:, :5]), np.linalg.norm(rows @ v[:5].T)
+    assert abs(mine - exact) < 1e-3 * exact and np.allclose(model.basis.T @ model.basis, np.eye(model.basis.shape[1]), atol=1e-3)
