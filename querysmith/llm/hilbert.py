@@ -7,7 +7,8 @@ the borders of partitions too. The windows' best are merged and ranked by their
 On vectors without structure no few projections keep neighbourhoods: windows alone then find a small part of the true
 neighbours. So a second pass makes the result exact. The first curve's ordering cuts the vectors into blocks, each with a
 bound on the angle to its centre; a query is multiplied with a block only if that bound lets it hold something better than
-what the windows found. Queries go in bounded groups against all blocks, and a task keeps a query's best only.
+what the windows found: the first curve's window, made as wide as the bound asks. Queries go in groups of bounded bytes against
+all blocks, and a task keeps a query's best only.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, written
+from .common import ranked, shuffle_partitions, written
 
-#: Curves, dimensions of each, bits a dimension, rows on either side of a query, vectors a block, queries at once.
-CURVES, DIMS, BITS, WINDOW, BLOCK, QUERIES = 4, 8, 7, 64, 256, 16384
+#: Curves, dimensions of each, bits a dimension, rows on either side of a query, vectors a block, rows of a product.
+CURVES, DIMS, BITS, WINDOW, BLOCK, ROWS = 4, 8, 7, 64, 256, 8192
+#: Bytes of query vectors that go along at once.
+BYTES = 16 << 20
 #: Scores closer than this are compared again by exact sums.
 SLACK = 1e-11
 
@@ -142,9 +145,9 @@ def _table(**columns) -> pa.RecordBatch:
     return pa.record_batch([pa.array(columns[c], _KINDS[c]) if c in columns else pa.nulls(n, _KINDS[c]) for c in _KINDS], list(_KINDS))
 
 
-def _window(rows: _Rows, ask: np.ndarray, k: int) -> pa.RecordBatch | None:
+def _window(rows: _Rows, ask: np.ndarray, k: int, window: int) -> pa.RecordBatch | None:
     """The k best of each asking row's window of the same curve."""
-    near = np.arange(-WINDOW, WINDOW + 1)
+    near = np.arange(-window, window + 1)
     unit = rows.vec / np.linalg.norm(rows.vec, axis=1, keepdims=True)
     a, b = [], []
     for i in range(0, len(ask), 256):
@@ -164,7 +167,7 @@ def _window(rows: _Rows, ask: np.ndarray, k: int) -> pa.RecordBatch | None:
     return _table(kind=["pair"] * len(a), a=rows.ids[a], b=rows.ids[b], score=cosines(rows.vec[a], rows.vec[b])) if len(a) else None
 
 
-def _along(dim: int, k: int):
+def _along(dim: int, k: int, window: int):
     """Sorted rows of a range partition to: pairs of its windows, the rows at both its ends, and blocks of the first curve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,17 +183,17 @@ def _along(dim: int, k: int):
 
         def ask(last: bool):
             nonlocal rows, done
-            upto = len(rows.ids) if last else max(done, len(rows.ids) - WINDOW)
+            upto = len(rows.ids) if last else max(done, len(rows.ids) - window)
             wanted = done + np.flatnonzero(rows.query[done:upto])
-            if len(wanted) and (found := _window(rows, wanted, k)):
+            if len(wanted) and (found := _window(rows, wanted, k, window)):
                 yield found
-            keep = max(0, upto - WINDOW)
+            keep = max(0, upto - window)
             rows, done = rows[slice(keep, None)], upto - keep
 
         for batch in batches:
             new = _Rows(batch.column("curve").to_numpy(), batch.column("id").to_numpy(), batch.column("query").to_numpy(zero_copy_only=False).astype(bool), _matrix(batch.column("vec"), dim))
-            if first is None or len(first.ids) < WINDOW:
-                first = (new if first is None else first + new)[slice(0, WINDOW)]
+            if first is None or len(first.ids) < window:
+                first = (new if first is None else first + new)[slice(0, window)]
             zero = new[new.curve == 0]
             block = zero if block is None else block + zero
             whole = len(block.ids) // BLOCK * BLOCK
@@ -202,18 +205,18 @@ def _along(dim: int, k: int):
             yield from ask(True)
             yield from blocks(block)
             yield from ends(first, "head")
-            yield from ends(rows[slice(max(0, len(rows.ids) - WINDOW), None)], "tail")
+            yield from ends(rows[slice(max(0, len(rows.ids) - window), None)], "tail")
 
     return run
 
 
-def _borders(dim: int, k: int):
+def _borders(dim: int, k: int, window: int):
     """Rows around one border, the earlier partition's first, to pairs across it."""
 
     def run(border: pa.Table) -> pa.Table:
         border = border.sort_by([("side", "ascending"), ("b", "ascending")])
         rows = _Rows(border["curve"].to_numpy(), border["a"].to_numpy(), border["query"].to_numpy().astype(bool), _matrix(border["vecs"].combine_chunks(), dim))
-        found = _window(rows, np.flatnonzero(rows.query), k) if rows.query.any() else None
+        found = _window(rows, np.flatnonzero(rows.query), k, window) if rows.query.any() else None
         names = ["a", "b", "score"]
         return pa.table({n: found.column(n) for n in names} if found else {n: pa.array([], _KINDS[n]) for n in names})
 
@@ -255,18 +258,19 @@ def _complete(packed, dim: int, k: int):
                     may = np.flatnonzero(bound >= least - 1e-9)
                 if not len(may):
                     continue
-                score = unit[may] @ block.T
-                q, v = np.nonzero(score >= least[may][:, None] - SLACK)
-                own = qid[may[q]] != ids[v]
-                q, v = q[own], v[own]
-                if len(q):
-                    best = _best(q, score[q, v], ids[v], k)
-                    q, v = q[best], v[best]
-                    found.append((may[q], ids[v], score[q, v], x[v]))
-                    size += len(q)
-                if size > 1 << 16:
-                    settle(found)
-                    found, size = [], 0
+                for some in (may[at : at + ROWS] for at in range(0, len(may), ROWS)):
+                    score = unit[some] @ block.T
+                    q, v = np.nonzero(score >= least[some][:, None] - SLACK)
+                    own = qid[some[q]] != ids[v]
+                    q, v = q[own], v[own]
+                    if len(q):
+                        best = _best(q, score[q, v], ids[v], k)
+                        q, v = q[best], v[best]
+                        found.append((some[q], ids[v], score[q, v], x[v]))
+                        size += len(q)
+                    if size > 1 << 16:
+                        settle(found)
+                        found, size = [], 0
         if found:
             settle(found)
         for i in range(0, len(kept[0]), 1 << 14):
@@ -276,10 +280,10 @@ def _complete(packed, dim: int, k: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = CURVES, exact: bool = True, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = CURVES, window: int = WINDOW, exact: bool = True, seed: int = 11) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest by cosine of every row where `queries` holds, ties to the smaller id.
 
-    exact=False returns what the windows of the curves found, without the completing pass.
+    exact=False returns what the windows (`window` rows on either side, on `curves` curves) found, without the completing pass.
     Vectors that are null, zero, hold a null or a non-finite component, have no id, or are of another length than most vectors
     take no part. Rows that repeat a query's id are its own row; repeats of another id count once. Of an id with several vectors
     the nearest pair counts, whichever side it is on; repeated rows are removed before they take places in windows and blocks. A table without two usable
@@ -297,25 +301,22 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     clean = written(packed_rows.groupBy("id", "vec").agg(F.max("query").alias("query")).select("id", "query", "vec"), "vectors")
     n = shuffle_partitions(spark)
     ordered = clean.mapInArrow(_order(dim, curves, seed), "curve int, key long, id long, query boolean, vec binary")
-    found = written(ordered.repartitionByRange(n, "curve", "key", "id").sortWithinPartitions("curve", "key", "id").mapInArrow(_along(dim, k), _FOUND), "curves")
+    found = written(ordered.repartitionByRange(n, "curve", "key", "id").sortWithinPartitions("curve", "key", "id").mapInArrow(_along(dim, k, window), _FOUND), "curves")
     ends = found.filter(F.col("kind").isin("head", "tail"))
-    # A border is named by the partition before it; its two sides hold WINDOW rows at most.
+    # A border is named by the partition before it; its two sides hold `window` rows at most.
     border = ends.select(F.when(F.col("kind") == "tail", F.col("slot")).otherwise(F.col("slot") - 1).alias("border"), F.when(F.col("kind") == "tail", 0).otherwise(1).alias("side"), "curve", "a", "b", "query", "vecs")
-    across = border.groupBy("border").applyInArrow(_borders(dim, k), "a long, b long, score double")
+    across = border.groupBy("border").applyInArrow(_borders(dim, k, window), "a long, b long, score double")
     windows = written(found.filter("kind = 'pair'").select("a", "b", "score").union(across), "windows")
     if exact:
-        ranked = windows.groupBy("a", "b").agg(F.max("score").alias("score")).groupBy("a").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, k).alias("s"))
-        least = ranked.select("a", F.when(F.size("s") == k, F.element_at("s", k)).otherwise(-2.0).alias("least"))
+        best = windows.groupBy("a", "b").agg(F.max("score").alias("score")).groupBy("a").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, k).alias("s"))
+        least = best.select("a", F.when(F.size("s") == k, F.element_at("s", k)).otherwise(-2.0).alias("least"))
         asking = clean.filter("query").join(least, F.col("id") == F.col("a"), "left").select("id", "vec", F.coalesce("least", F.lit(-2.0)).alias("least"))
-        asking = written(asking.withColumn("group", F.pmod(F.xxhash64("id", "vec"), F.lit(1 << 20))), "queries")
-        count = asking.count()
-        groups = max(1, -(-count * 5 // (QUERIES * 4)))
+        # Groups by rank have a size that is known; what is sent along so is bounded in bytes whatever the vectors' length.
+        most = max(1, BYTES // (8 * dim))
+        asking = written(ranked(asking, "id", "vec").withColumn("group", F.floor((F.col("rank") - 1) / most)).drop("rank"), "queries")
         parts = [windows]
-        for g in range(groups):
-            # A group by hash; its size is checked before it is sent, as a bound on what is broadcast.
-            own = asking.filter(F.pmod("group", F.lit(groups)) == g).limit(QUERIES + 1).collect()
-            if len(own) > QUERIES:
-                raise RuntimeError(f"a group of queries is larger than {QUERIES}")
+        for g in range((asking.agg(F.max("group")).first()[0] or 0) + 1):
+            own = asking.filter(F.col("group") == g).collect()
             if own:
                 own.sort(key=lambda r: r["id"])
                 packed = spark.sparkContext.broadcast((np.array([r["id"] for r in own], np.int64).tobytes(), b"".join(bytes(r["vec"]) for r in own), np.array([r["least"] for r in own]).tobytes()))

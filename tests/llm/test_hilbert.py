@@ -1,4 +1,5 @@
 import itertools
+import os
 
 import numpy as np
 import pytest
@@ -91,3 +92,28 @@ def test_repeated_rows_take_no_places(spark):
             best = sorted((-s, j) for j, s in own.items())[:5]
             assert [j for j, _ in got[q]] == [j for _, j in best]
             assert [s for _, s in got[q]] == pytest.approx([-s for s, _ in best], abs=1e-12)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+@pytest.mark.parametrize(("sf", "curves", "least"), [("sf0.01", 4, 0.8), ("sf0.01", 16, 0.99), ("sf0.1", 4, 0.4), ("sf0.1", 16, 0.88)])
+def test_recall_of_the_windows_on_vectors_without_structure(spark, sf, curves, least):
+    """What the curves find by themselves; the default (4 curves) needs the completing pass, which finds all."""
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in df.collect()]
+    unit, ids = np.stack([v / np.linalg.norm(v) for _, v in rows]), np.array([i for i, _ in rows])
+    got: dict = {}
+    for r in h.nearest(df, F.col("vec_id") % 50 == 0, exact=False, curves=curves).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for q in np.flatnonzero(ids % 50 == 0):
+        score = unit @ unit[q]
+        score[q] = -2
+        hits.append(len(got[ids[q]] & set(ids[np.argsort(-score)[:5]].tolist())) / 5)
+    assert np.mean(hits) >= least
+
+
+def test_groups_of_queries_are_bounded_in_bytes(spark, monkeypatch):
+    rows = data(300, 8, 2)
+    monkeypatch.setattr(h, "BYTES", 8 * 8 * 20)  # 20 queries a group, of 60
+    got, want = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)), brute(rows, 5)
+    assert {q: [j for j, _ in v] for q, v in got.items()} == {q: [j for j, _ in v] for q, v in want.items()}
