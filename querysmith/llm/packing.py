@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Marks a null source, apart from any real one.
-_NULL = "\x00null"
+#: Stands for a null source; a real one has a mark before it, so that no name can be taken for it.
+_NULL, _NAMED = "null", "="
 
 
 def _encoder(path: str):
@@ -80,10 +80,10 @@ def _tokenize(path: str, end: int):
 def tokenized(docs: DataFrame, tokenizer: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Writes each document's token ids once, in the shared folder.
 
-    Columns: rid (unique), part, id, source (a mark for null), n (ids with the end id), before (ids of the
+    Columns: rid (unique), part, id, source (marked, so that null has a name of its own), n (ids with the end id), before (ids of the
     same source and partition that precede it), width (bytes an id), ids. Null texts have the end id alone.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(source_col).cast("string"), F.lit(_NULL)).alias("source"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(F.concat(F.lit(_NAMED), F.col(f"`{source_col}`").cast("string")), F.lit(_NULL)).alias("source"))
     out = "rid long, part long, id long, source string, n long, before long, width int, ids binary"
     return written(rows.mapInArrow(_tokenize(tokenizer, end), out), "tokens")
 
@@ -132,7 +132,7 @@ def plan(tokens: DataFrame, window: int = 2048, segment: int = 256, weights: dic
         return tokens.select("rid", F.lit(0).cast("long").alias("start"), F.col("n").alias("length"), F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).limit(0)
     share = F.col("total") / F.lit(float(total))
     for source, weight in (weights or {}).items():
-        share = F.when(F.col("source") == F.lit(_NULL if source is None else source), F.lit(float(weight))).otherwise(share)
+        share = F.when(F.col("source") == F.lit(_NULL if source is None else _NAMED + source), F.lit(float(weight))).otherwise(share)
     items = (
         tokens.select("rid", "source", "part", "n", "before").join(parts, ["source", "part"])
         .select("rid", "source", (F.col("base") + F.col("before")).alias("head"), "n", (F.lit(float(window)) * share).alias("quantum"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(segment).cast("long"))).alias("start"))
@@ -184,4 +184,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, segment: int = 256
     pieces = plan(tokens, window, segment, weights).groupBy("rid").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
     rows = tokens.join(pieces, "rid").select("id", "source", "n", "width", "ids", "pieces")
     out = rows.mapInArrow(_cut, "id long, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-    return out.select(F.col("id").alias(id_col), F.when(F.col("source") != F.lit(_NULL), F.col("source")).alias("source"), "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
+    return out.select(F.col("id").alias(id_col), F.when(F.col("source") != F.lit(_NULL), F.substring("source", len(_NAMED) + 1, 1 << 30)).alias("source"), "start", "length", "ids", "doc_tokens", "sequence_id", "offset")

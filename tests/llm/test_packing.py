@@ -82,3 +82,10 @@ def test_checksum_matches(spark):
     pieces = packing.pack(spark.createDataFrame(texts(), DOCS), tokenizer_path()).withColumn("crc", F.crc32("ids")).toPandas()
     assert all(zlib.crc32(i) == c for i, c in zip(pieces.ids, pieces.crc, strict=True))
     assert isinstance(pieces, pd.DataFrame)
+
+
+def test_sources_that_look_like_null(spark):
+    rows = [(i, "one two three", s, 0, 0) for i, s in enumerate([None, "null", "=null", "", "\x00null", "=", None])]
+    pieces = packing.pack(spark.createDataFrame(rows, DOCS), tokenizer_path()).toPandas()
+    got = {int(r.doc_id): r.source for r in pieces.itertuples()}
+    assert {i: None if s is None or s != s else s for i, s in got.items()} == {i: s for i, _, s, *_ in rows}
