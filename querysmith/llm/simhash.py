@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, scratch_path, shuffle_partitions, written
@@ -54,7 +54,7 @@ def _fingerprints(width: int):
 
         for batch in batches:
             own = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.record_batch({"id": batch.column("id"), "fp": pa.array(own.view(np.int64))})
+            yield pa.record_batch({"id": batch.column("id"), "th": batch.column("th"), "fp": pa.array(own.view(np.int64))})
 
     return run
 
@@ -186,6 +186,25 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return table.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
+def _rooted(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, th, fp, root, component_id) of every row: a hash of the text, the fingerprint, and two names of its component, of
+    which only root (a fingerprint) tells components apart where ids repeat."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("th", _text_hash(F.col("text")))
+    rows = written(rows.select("id", "th", "text").mapInArrow(_fingerprints(width), "id long, th long, fp long"), "fingerprints")
+    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    nodes = written(nodes, "nodes")
+    roots = written(components(links(nodes)), "roots")
+    nodes = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    nodes = nodes.join(named, "root").select("fp", "root", "component_id")
+    # Many documents may share a fingerprint: the larger side is split where a key is hot.
+    return rows.join(nodes, "fp")
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """One row a document: `id_col`, fingerprint (16 hex digits), component_id (the smallest id reachable over links).
 
@@ -194,27 +213,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     they link others, keep a null id, and never name a component unless it has no other id (then null). Repeated rows and tied
     fingerprints share a component. An empty table gives no rows. Other columns are ignored.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = written(rows.mapInArrow(_fingerprints(width), "id long, fp long"), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    nodes = written(nodes, "nodes")
-    roots = written(components(links(nodes)), "roots")
-    nodes = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(named, "root").select("fp", "component_id")
-    # Many documents may share a fingerprint: the larger side is split where a key is hot.
-    out = rows.join(nodes, "fp")
+    out = _rooted(docs, id_col, text_col, width)
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """The documents of `docs` that stay, with all columns: of each component the row with the smallest id.
 
-    Of rows that repeat that id one stays. Rows without an id can't be named, so they all stay.
+    If ids repeat, of those rows the one with the smallest hash of its text stays; so of an id with two unlike texts both can.
+    Rows that repeat id and text differ in other columns at most: the one that is least as JSON stays. Rows without an id can't be
+    named, so they all stay. An empty table stays empty.
     """
-    found = near_duplicates(docs, id_col, text_col).filter(F.col(id_col) == F.col("component_id"))
-    found = written(found.groupBy(F.col(id_col).alias("__kept")).agg(F.count("*").alias("__rows")), "kept")
-    same = F.col(f"`{id_col}`").cast("long") == F.col("__kept")
-    once = docs.join(found.filter("__rows = 1"), same, "left_semi")
-    repeated = docs.join(found.filter("__rows > 1"), same, "left_semi").dropDuplicates([id_col])
-    return once.unionByName(repeated).unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
+    rows = _rooted(docs, id_col, text_col, width).filter("id IS NOT NULL")
+    least = rows.groupBy("root").agg(F.min(F.struct("id", "th")).alias("kept"))
+    kept = written(least.select("kept.id", "kept.th").distinct(), "kept")
+    # Rows that repeat are few or many; only those that repeat a kept one are gone through again.
+    again = written(rows.join(kept, ["id", "th"], "left_semi").groupBy("id", "th").agg(F.count("*").alias("n")).filter("n > 1").select("id", "th"), "repeated")
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # out of the way of ours
+    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    mine = (F.col(names[id_col]).cast("long") == F.col("id")) & (_text_hash(F.col(names[text_col]).cast("string")) == F.col("th"))
+    stay = own.join(kept, mine, "left_semi")
+    once = stay.join(again, mine, "left_anti")
+    whole = F.struct(*names.values())
+    repeated = stay.join(again, mine).groupBy("id", "th").agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+    out = once.unionByName(repeated).unionByName(own.filter(F.col(names[id_col]).isNull()))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])

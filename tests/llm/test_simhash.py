@@ -92,3 +92,23 @@ def test_operator(spark):
     assert {r.fingerprint for r in out if r.doc_id in (8, 9)} == {"0" * 16}
     assert sorted(str(r.doc_id) for r in s.one_of_each(df).collect()) == ["2", "7", "8", "None"]
     assert s.near_duplicates(df.limit(0)).count() == 0 and s.one_of_each(df.limit(0)).count() == 0
+
+
+def test_ids_that_repeat(spark):
+    """Unlike texts of one id both stay, alike ones count once, and which row stays doesn't depend on how the table is cut."""
+    draw = np.random.default_rng(1)
+    long = [" ".join(f"w{k}" for k in draw.integers(0, 10**6, 80)) for _ in range(4)]
+    rows = [(1, long[0], "x", 1), (1, long[1], "x", 2), (2, long[0], "y", 3), (3, long[2], "b", 4), (3, long[2], "a", 5), (3, long[2], "c", 6), (4, long[3], None, None), (4, long[3], None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, th string, id int")
+    for parts in (1, 5):
+        out = s.one_of_each(df.repartition(parts))
+        assert out.dtypes == df.dtypes
+        assert sorted((r.doc_id, long.index(r.text), r.th, r.id) for r in out.collect() if r.doc_id < 4) == [(1, 0, "x", 1), (1, 1, "x", 2), (3, 2, "a", 5)]
+        assert [tuple(r) for r in out.filter("doc_id = 4").collect()] == [(4, long[3], None, None)]
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i % 977}" for i in range(150_000))
+    rows = s.near_duplicates(spark.createDataFrame([(2, text), (1, text + " end"), (3, "short")], "doc_id long, text string")).collect()
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in rows}
+    assert got[2][0] == f"{brute_fingerprint(text):016x}" and got[2][1] == got[1][1] == 1 and got[3][1] == 3
