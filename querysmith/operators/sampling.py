@@ -1,17 +1,26 @@
-"""Intent draws, epsilon-greedy selection and samples, all from explicit seeds."""
+"""Intent draws, epsilon-greedy selection and samples, all from explicit seeds.
+
+A draw is a hash of the seed and of what is drawn for, so it depends on neither partitions nor engine, and reruns agree.
+"""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ranking import with_rank
 
 
+def unit(seed: int, *of: Column) -> Column:
+    """A number in [0, 1) for the seed and `of`: the first 52 bits of an MD5."""
+    key = F.concat_ws("/", F.lit(str(seed)), *[c.cast("string") for c in of])
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
 def interactions(spark: SparkSession, n: int, seed: int) -> DataFrame:
     """(interaction, u): numbered draws from [0, 1)."""
-    return spark.range(1, n + 1).select(F.col("id").alias("interaction"), F.rand(seed).alias("u"))
+    return spark.range(1, n + 1).select(F.col("id").alias("interaction"), unit(seed, F.col("id")).alias("u"))
 
 
 def uniform_draws(entities: DataFrame, n: int, seed: int) -> DataFrame:
@@ -32,7 +41,7 @@ def zipf_weights(order: DataFrame) -> DataFrame:
 
 def permutation(entities: DataFrame, seed: int) -> DataFrame:
     """(id, place): a random order that depends on the seed and the ids alone."""
-    return entities.select("id", F.xxhash64(F.lit(seed), "id").alias("place"))
+    return entities.select("id", unit(seed, F.col("id")).alias("place"))
 
 
 def zipf_draws(weights: DataFrame, n: int, seed: int, cells: int = 1024) -> DataFrame:
@@ -60,27 +69,28 @@ def series_draws(series: DataFrame, run_id: int) -> DataFrame:
 def epsilon_greedy(scored: DataFrame, n: int, epsilon: float, seed: int, key: str = "id") -> DataFrame:
     """Up to n rows a key in the order of choice (`pos` from 1): each choice is the best left, or with probability epsilon any.
 
-    Rows need `score` and `ord`. With epsilon 0 it is the plain top n.
+    Rows need `score` and `ord`; keyword and attr, if there, tell rows apart. With epsilon 0 it is the plain top n. Any of those
+    left is the first of them in a random order, which is the same for all choices of a key.
     """
     if epsilon == 0:
         rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "ord"))
         return scored.withColumn("pos", rank.cast("long")).filter(F.col("pos") <= n)
+    name = [F.col(c) for c in (key, "ord", "keyword", "attr") if c in scored.columns]
+    coins = F.array(*[unit(seed, F.lit("coin"), F.col(key), F.lit(i)) < epsilon for i in range(1, n + 1)])
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        import random
-        import zlib
-
-        draw = random.Random(zlib.crc32(f"{seed}/{rows[key].iloc[0]}".encode()))
-        left = rows.sort_values(["score", "ord"], ascending=[False, True], kind="stable").index.tolist()
-        taken = []
-        while left and len(taken) < n:
-            taken.append(left.pop(0 if draw.random() > epsilon else draw.randrange(len(left))))
-        return rows.loc[taken].assign(pos=range(1, len(taken) + 1))
+        best = rows.sort_values(["score", "ord", "__u"], ascending=[False, True, True], kind="stable").index.tolist()
+        some = rows.sort_values(["__u", "ord"], kind="stable").index.tolist()
+        taken: list = []
+        for lucky in rows["__coins"].iloc[0][: len(rows)]:
+            taken.append(next(i for i in (some if lucky else best) if i not in taken))
+        return rows.loc[taken].drop(columns=["__u", "__coins"]).assign(pos=range(1, len(taken) + 1))
 
     fields = ", ".join(f"`{c}` {t}" for c, t in scored.dtypes) + ", pos long"
-    return scored.groupBy(key).applyInPandas(choose, fields)
+    return scored.withColumn("__u", unit(seed, F.lit("any"), *name)).withColumn("__coins", coins).groupBy(key).applyInPandas(choose, fields)
 
 
-def replay_sample(buffer: DataFrame, n: int, seed: int) -> DataFrame:
-    """n rows of a buffer, uniform and without replacement."""
-    return buffer.orderBy(F.rand(seed)).limit(n)
+def replay_sample(buffer: DataFrame, n: int, seed: int, by: list[str] | None = None) -> DataFrame:
+    """n rows of a buffer, uniform and without replacement; `by` are the columns that tell rows apart (all by default)."""
+    names = [F.col(c) for c in by] if by else [F.to_json(F.struct(*buffer.columns))]
+    return buffer.withColumn("__u", unit(seed, *names)).orderBy("__u").limit(n).drop("__u")

@@ -171,9 +171,12 @@ def term_occurrences_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.occurrences(parts(spark, sf_dir), stem=True)
 
 
-@query()
+@query(f"WITH {_P}, o AS (SELECT id, lower(token) AS keyword, token, attr, count(*) AS cnt, min(ord) AS ord FROM pt GROUP BY 1, 2, 3, 4) SELECT id, keyword, string_agg(token, '|' ORDER BY ord, token) AS tokens, string_agg(attr, '|' ORDER BY ord, token) AS attrs, string_agg(cnt::VARCHAR, '|' ORDER BY ord, token) AS counts, sum(cnt)::BIGINT AS tf, true AS is_local FROM o GROUP BY 1, 2")
 def nested_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.nested_signals(index.occurrences(parts(spark, sf_dir)))
+    """Terms with their origins nested, read as three lists in the order in which they were seen."""
+    nested = index.nested_signals(index.occurrences(parts(spark, sf_dir)))
+    columns = index.origin_columns(nested).join(nested.select("id", "keyword", "tf", "is_local"), ["id", "keyword"])
+    return columns.select("id", "keyword", *[F.array_join(F.col(c).cast("array<string>"), "|").alias(c) for c in ("tokens", "attrs", "counts")], "tf", "is_local")
 
 
 @query(f"WITH {_P}, a AS (SELECT id, lower(token) AS keyword, attr, count(*) AS tf_attr, min(ord) AS attr_ord FROM pt GROUP BY 1, 2, 3) SELECT id, keyword, attr, tf_attr, (sum(tf_attr) OVER (PARTITION BY id, keyword))::BIGINT AS tf_total, (min(attr_ord) OVER (PARTITION BY id, keyword))::BIGINT AS ord, attr_ord::BIGINT AS attr_ord FROM a")
@@ -282,14 +285,38 @@ def feature_vector_external(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "keyword", *[F.col("x")[i].alias(n) for i, n in enumerate(GIVEN.external_names)])
 
 
-@query()
+def _labels(name: str, values: str, size: int) -> str:
+    """Buckets as they are labelled, in SQL: (lo, hi) as two lists."""
+    rounded = "CASE WHEN {x} = 0 THEN 0.0 WHEN trunc({x}) <> 0 THEN round({x}, {p}) ELSE round({x}, ({p} - 1 - floor(log10(abs({x}))))::INTEGER) END"
+    shares = ", ".join(f"{i}/{size}::DOUBLE" for i in range(size + 1))
+    cases = " UNION ALL ".join(f"SELECT {p} AS p, list_transform(e, lambda x: {rounded.format(x='x', p=p)}) AS n, {rounded.format(x=f'(list_transform(e, lambda x: {rounded.format(x=chr(120), p=p)})[1] - 1e-{p})', p=p)} AS low FROM {name}_e" for p in range(3, 10))
+    return (
+        f"{name}_e AS (SELECT list_sort(list_distinct(quantile_cont(v::DOUBLE, [{shares}]))) AS e FROM ({values})), {name}_c AS ({cases}), "
+        f"{name} AS (SELECT list_concat([low], n[2:-2]) AS lo, n[2:] AS hi FROM {name}_c WHERE len(list_distinct(n)) = len(n) ORDER BY p LIMIT 1)"
+    )
+
+
+def _one_hot_list(value: str, of: str) -> str:
+    return f"list_transform(range(1, len({of}.hi) + 1), lambda i: ({value} > {of}.lo[i] AND {value} <= {of}.hi[i])::INT::DOUBLE)"
+
+
+#: Vectors of all local terms with the dataset's own buckets: fx (id, keyword, attr, ord, x).
+_FULL = (
+    f"{_LOCAL}, ntf AS (SELECT id, keyword, ord, tf / max(tf) OVER (PARTITION BY id) AS norm_tf FROM bs), {_labels('li', 'SELECT idf AS v FROM bidf', 7)}, {_labels('ll', 'SELECT length(keyword) AS v FROM bs', 6)}, {_labels('lt', 'SELECT norm_tf AS v FROM ntf', 6)}, "
+    f"bsh AS (SELECT id, lower(token) AS keyword, bool_or(regexp_matches(token, '{_TITLE}')) AS title, bool_or(upper(token) = token AND lower(token) <> token) AS upper FROM bt GROUP BY 1, 2), "
+    f"fx AS (SELECT id, keyword, 'text' AS attr, ord, list_concat({_one_hot_list('idf', 'li')}, list_concat([norm_tf], list_concat({_one_hot_list('norm_tf', 'lt')}, list_concat([1.0, 1.0], list_concat({_one_hot_list('length(keyword)', 'll')}, "
+    "[regexp_matches(keyword, '[^\\p{L}]')::INT::DOUBLE, title::INT::DOUBLE, upper::INT::DOUBLE, 0.0, 0.0, 0.0, 0.0]))))) AS x FROM ntf JOIN bidf USING (keyword) JOIN bsh USING (id, keyword), li, ll, lt)"
+)
+
+
+@query(f"WITH {_FULL} SELECT id, keyword, attr, ord::BIGINT AS ord, i::INTEGER - 1 AS i, round(x[i], 6) AS v FROM fx, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i)")
 def feature_vector_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the dataset's own buckets, whose labels are rounded on the driver."""
+    """With the dataset's own buckets, whose labels are rounded on the driver; one row a component."""
     d = dataset(spark, sf_dir)
-    return features.featurize(d.local_occ, d.idf, d.layout)
+    return features.featurize(d.local_occ, d.idf, d.layout).select("id", "keyword", "attr", "ord", F.posexplode("x").alias("i", "v")).withColumn("v", _r("v"))
 
 
-@query()
+@query(f"WITH {_D}, {_sig('ds', 'dt')}, {_labels('lx', 'SELECT tf / max(tf) OVER (PARTITION BY id) AS v FROM ds', 6)} SELECT i::INTEGER - 1 AS bucket, lo[i] AS lo, hi[i] AS hi FROM lx, LATERAL (SELECT unnest(range(1, len(hi) + 1)) AS i)")
 def external_tf_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six buckets of normalized frequency over the external side, as they are labelled."""
     found = features.external_tf_buckets(dataset(spark, sf_dir).external_signals)
@@ -462,8 +489,21 @@ def linucb_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bandit.mse(s).withColumn("loss", _r("loss"))
 
 
-@query()
+_COLD = (
+    f"{_FULL}, {_POSTS}, q AS (SELECT * FROM (SELECT id AS intent_id, row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) AS pos, keyword, 'text' AS attr, score FROM (SELECT *, round(0.2 * sqrt(list_sum(list_transform(x, lambda v: v * v))), 9) AS score FROM fx)) WHERE pos <= 2), "
+    f"{_RESULTS}, {_TRUTH}, {_MATCHES}, {_RR}, qs AS (SELECT intent_id, string_agg(keyword, ' ' ORDER BY pos) AS query FROM q GROUP BY 1)"
+)
+
+
+@query(f"WITH {_COLD} SELECT rrs.intent_id AS local_id, query, n_returned, n_matches, round(rr, 6) AS rr FROM rrs JOIN qs USING (intent_id)")
 def linucb_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A round over all entities with a shared model that knows nothing yet: candidates, vectors, scores, queries, search, metrics."""
+    log = _played(spark, sf_dir, "dataset_level", PolicyConfig(), rounds=1)
+    return log.select("local_id", F.array_join("query.keyword", " ").alias("query"), "n_returned", "n_matches", _r("rr").alias("rr"))
+
+
+@query()
+def linucb_two_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rounds over all entities with the shared model: the second uses what the first taught."""
     return _played(spark, sf_dir, "dataset_level", PolicyConfig())
 
@@ -483,20 +523,37 @@ def neural_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _played(spark, sf_dir, "neural", PolicyConfig(), hidden=(32, 32))
 
 
-def _played(spark: SparkSession, sf_dir: str, model: str, policy: PolicyConfig, **how) -> DataFrame:
+def _played(spark: SparkSession, sf_dir: str, model: str, policy: PolicyConfig, rounds: int = 2, **how) -> DataFrame:
+    """All entities in turn, in so many rounds of all of them."""
     d = dataset(spark, sf_dir)
     ids = with_rank(d.local_signals.select("id").distinct(), "id", name="pos")
     n = d.local.count()
-    series = ids.select(F.lit(1).alias("run_id"), F.explode(F.array("pos", F.col("pos") + n)).alias("pos"), F.col("id").alias("local_id")).persist()
-    run = RunConfig(interactions=2 * n, query_length=2, distribution="fixed", model=model, batch=n, policy=policy)
+    series = ids.select(F.lit(1).alias("run_id"), F.explode(F.array(*[F.col("pos") + n * r for r in range(rounds)])).alias("pos"), F.col("id").alias("local_id")).persist()
+    run = RunConfig(interactions=rounds * n, query_length=2, distribution="fixed", model=model, batch=n, policy=policy)
     return play(d, run, series, **how)
 
 
-@query()
+_UNIT = "(('0x' || substr(md5({}), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+def _unit(*of: str) -> str:
+    """A draw in SQL: a number in [0, 1) by a hash."""
+    return _UNIT.format(" || '/' || ".join(of))
+
+
+def _uniform(seed: str, n: str) -> str:
+    """(interaction, local_id) in SQL: uniform draws from the entities of bs."""
+    return f"SELECT interaction, id AS local_id FROM (SELECT i AS interaction, floor({_unit(seed, 'i')} * (SELECT count(DISTINCT id) FROM bs))::BIGINT + 1 AS rn FROM range(1, {n} + 1) r(i)) JOIN (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM (SELECT DISTINCT id FROM bs)) USING (rn)"
+
+
+@query(f"WITH {_EVAL}, runs AS ({' UNION ALL '.join(f'SELECT {r} AS run_id, * FROM ({_uniform(_quoted(str(r)), '(SELECT count(*) FROM benchmark)')})' for r in (1, 2))}), "
+       "l AS (SELECT run_id, interaction, rr, (SELECT count(*) FROM q WHERE q.intent_id = rrs.intent_id) AS n FROM runs JOIN rrs ON rrs.intent_id = local_id) "
+       "SELECT * FROM (SELECT run_id::BIGINT AS run_id, interaction, round(avg(rr) OVER w, 6) AS running_rr, round(avg(n) OVER w, 6) AS running_length FROM l WINDOW w AS (PARTITION BY run_id ORDER BY interaction)) WHERE interaction % 10 = 0")
 def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two repetitions of as many uniform draws as there are entities, with the idf policy."""
     d = dataset(spark, sf_dir)
     run = RunConfig(interactions=d.local.count(), query_length=4, distribution="uniform", model="idf", batch=10_000, average_runs=2)
-    return progress(play(d, run), every=10)
+    return progress(play(d, run), every=10).select("run_id", "interaction", _r("running_rr").alias("running_rr"), _r("running_length").alias("running_length"))
 
 
 # Feedback.
@@ -558,9 +615,20 @@ def hybrid_last_rr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.last_rr(event_log(spark, sf_dir)).withColumn("last_rr", _r("last_rr"))
 
 
-@query(f"WITH {_WINDOWS}, {_LAST} SELECT local_id, round(last_rr, 6) AS last_rr FROM la, (SELECT * FROM w ORDER BY win DESC LIMIT 1) WHERE last_rr <= 1 / 15.0 AND last_mrr >= mrr")
+_RUNS = (
+    "log AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS interaction, user_id AS local_id, 1 / (1 + abs(value)) AS rr FROM events), "
+    "w AS (SELECT *, lag(mrr) OVER (PARTITION BY event_type ORDER BY win) AS last_mrr, max(win) OVER (PARTITION BY event_type) AS latest FROM (SELECT event_type, (interaction - 1) // 50 AS win, avg(rr) AS mrr FROM log GROUP BY 1, 2 HAVING count(*) = 50)), "
+    "la AS (SELECT event_type, local_id, arg_max(rr, interaction) AS last_rr FROM log WHERE interaction >= 50 GROUP BY 1, 2)"
+)
+
+
+@query(f"WITH {_RUNS} SELECT event_type, local_id, round(last_rr, 6) AS last_rr FROM la JOIN w USING (event_type) WHERE win = latest AND last_rr <= 1 / 15.0 AND last_mrr >= mrr")
 def hybrid_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.hybrid_trigger(event_log(spark, sf_dir)).withColumn("last_rr", _r("last_rr"))
+    """Each type of event as a run of its own."""
+    rows = _read(spark, sf_dir, "events").select("event_type", "ts", "event_id", "user_id", "value")
+    number = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")).cast("long")
+    log = rows.select("event_type", number.alias("interaction"), F.col("user_id").alias("local_id"), (1 / (1 + F.abs("value"))).alias("rr"))
+    return evaluate.hybrid_trigger(log, by=["event_type"]).withColumn("last_rr", _r("last_rr"))
 
 
 # Optimal queries.
@@ -568,6 +636,21 @@ def hybrid_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OVER = f"{_LOCAL}, {_POSTS}, {_TRUTH}, mt AS (SELECT DISTINCT local_id, keyword FROM truth JOIN ds ON ds.id = external_id), ov AS (SELECT id AS local_id, keyword FROM bs WHERE (id, keyword) IN (SELECT local_id, keyword FROM mt)), no AS (SELECT id AS local_id, keyword FROM bs WHERE id IN (SELECT local_id FROM truth) AND (id, keyword) NOT IN (SELECT local_id, keyword FROM mt))"
 
 
+#: Local texts with the start of the next one behind them, so that some of their terms aren't in what they match.
+_NOISY_TABLE = "(SELECT b.item_id, concat_ws(' ', b.text, substr(c.text, 1, 60)) AS text FROM benchmark b LEFT JOIN benchmark c ON c.item_id = b.item_id + 1)"
+_NOISY = _OVER.replace(f"{_B}, ", _tokens("bt", _NOISY_TABLE, "item_id", ["text"], "b:") + ", ", 1)
+
+
+def noisy(spark: SparkSession, sf_dir: str) -> Dataset:
+    """The dataset with such local texts; the external side and the truth are the same."""
+    d, b = dataset(spark, sf_dir), _read(spark, sf_dir, "benchmark")
+    more = b.select((F.col("item_id") - 1).alias("item_id"), F.substring("text", 1, 60).alias("more"))
+    local = src.as_entities(b.join(more, "item_id", "left").select("item_id", F.concat_ws(" ", "text", "more").alias("text")), "item_id", ["text"], "b:")
+    out = Dataset(local, d.external, d.truth)
+    out.__dict__.update(external_occ=d.external_occ, external_signals=d.external_signals, weighted=d.weighted)
+    return out
+
+
 def _rr_sql(name: str, sets: str) -> str:
     """rr of queries (local_id, query) in SQL."""
     return (
@@ -601,9 +684,9 @@ def overlap_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overlap(dataset(spark, sf_dir))
 
 
-@query(f"WITH {_OVER} SELECT * FROM no")
+@query(f"WITH {_NOISY} SELECT * FROM no")
 def nonoverlap_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fillers(dataset(spark, sf_dir))
+    return _fillers(noisy(spark, sf_dir))
 
 
 @query(f"WITH {_LOCAL}, {_D}, {_sig('ds', 'dt')} SELECT id, keyword FROM bs WHERE keyword NOT IN (SELECT keyword FROM ds)")
@@ -629,35 +712,40 @@ def optimal_queries_len2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _best(optimal.reciprocal_ranks(optimal.combinations(_overlap(d), 2), d.weighted, d.truth))
 
 
-#: The first shared term of each entity alone stands for its longer queries, so that a filler is worth a try.
-_FILL = "SELECT DISTINCT b.local_id, list_sort(list_append(b.query, no.keyword)) AS query FROM (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY local_id ORDER BY rr DESC) AS r FROM r1 WHERE rr > 0) WHERE r = 1) b JOIN no USING (local_id)"
+def _filled(of: str, where: str = "true") -> str:
+    """The best queries of `of` with one filler more, in SQL."""
+    return f"SELECT DISTINCT b.local_id, list_sort(list_append(b.query, no.keyword)) AS query FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY local_id ORDER BY query) AS n FROM (SELECT *, rank() OVER (PARTITION BY local_id ORDER BY rr DESC) AS r FROM {of} WHERE rr > 0) WHERE r = 1) WHERE n <= 100) b JOIN no USING (local_id) WHERE {where}"
 
 
-@query(f"WITH {_OVER}, {_rr_sql('r1', _ONE)} SELECT local_id, array_to_string(query, ' ') AS query FROM ({_FILL})")
+@query(f"WITH {_NOISY}, {_rr_sql('r1', _ONE)} SELECT local_id, array_to_string(query, ' ') AS query FROM ({_filled('r1')})")
 def filler_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best single terms with one filler more, as if no longer query of shared terms found a match."""
-    d = dataset(spark, sf_dir)
+    d = noisy(spark, sf_dir)
     one = optimal.reciprocal_ranks(optimal.combinations(_overlap(d), 1), d.weighted, d.truth).persist()
     out = optimal.filler_queries(optimal.best_queries(one), optimal.best_rr(one), optimal.best_rr(one).limit(0), _fillers(d))
     return out.select("local_id", F.concat_ws(" ", "query").alias("query"))
 
 
-_PART = "SELECT a.local_id, list_sort([a.keyword, no.keyword]) AS query FROM ov a JOIN no USING (local_id)"
+#: Fillers where those that no document has count as one kind, of which the first stands for all.
+_FEW = "few AS (SELECT local_id, keyword FROM (SELECT *, row_number() OVER (PARTITION BY local_id, absent ORDER BY keyword) AS n FROM (SELECT *, keyword NOT IN (SELECT keyword FROM ds) AS absent FROM no)) WHERE NOT absent OR n < 2)"
+_PART = "SELECT a.local_id, list_sort([a.keyword, few.keyword]) AS query FROM ov a JOIN few USING (local_id)"
 
 
-@query(f"WITH {_OVER}, {_rr_sql('r2', _PART)} {_best_sql('r2')}")
+@query(f"WITH {_NOISY}, {_FEW}, {_rr_sql('r2', _PART)} {_best_sql('r2')}")
 def optimal_queries_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a shared term and a filler. Of fillers that no document has, one stands for all; here every local term occurs in
-    some document or is the only one of its kind."""
-    d = dataset(spark, sf_dir)
+    """Pairs of a shared term and a filler. Of fillers that no document has, one stands for all."""
+    d = noisy(spark, sf_dir)
     sets = optimal.partial_queries(_overlap(d), _fillers(d), d.external_signals, 2)
     return _best(optimal.reciprocal_ranks(sets, d.weighted, d.truth))
 
 
-@query()
+_WORSE = "b.local_id IN (SELECT a.local_id FROM (SELECT local_id, max(rr) AS s FROM r1 GROUP BY 1) a LEFT JOIN (SELECT local_id, max(rr) AS l FROM r2 GROUP BY 1) c USING (local_id) WHERE s > coalesce(l, 0))"
+
+
+@query(f"WITH {_NOISY}, {_rr_sql('r1', _ONE)}, {_rr_sql('r2', _TWO)}, {_rr_sql('r3', _filled('r1', _WORSE))}, r4 AS (SELECT * FROM r2 UNION ALL SELECT * FROM r3) SELECT 1::INTEGER AS length, * FROM ({_best_sql('r1')}) UNION ALL SELECT 2::INTEGER, * FROM ({_best_sql('r4')})")
 def optimal_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths one and two with fillers where they help."""
-    d = dataset(spark, sf_dir)
+    d = noisy(spark, sf_dir)
     found = optimal.optimal_queries(d.local_signals, d.truth, d.external_signals, d.weighted, 1, 2)
     return found[1].withColumn("length", F.lit(1)).unionByName(found[2].withColumn("length", F.lit(2))).select("local_id", "length", F.concat_ws(" ", "query").alias("query"), _r("rr").alias("rr"), "n")
 
@@ -671,13 +759,16 @@ def zipf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.zipf_weights(order).select("id", "rn", _r("weight", 9).alias("weight"), _r("upto").alias("upto"))
 
 
-@query()
+@query(
+    f"WITH z AS (SELECT id, rn, sum(1 / rn) OVER (ORDER BY rn) / sum(1 / rn) OVER () AS upto, max(rn) OVER () AS last FROM (SELECT id, row_number() OVER (ORDER BY {_unit(_quoted('5'), 'id')}, id) AS rn FROM (SELECT 'b:' || item_id AS id FROM benchmark))), "
+    f"u AS (SELECT i AS interaction, {_unit(_quoted('6'), 'i')} AS u FROM range(1, 2001) r(i)) SELECT interaction, arg_min(id, rn) AS local_id FROM u JOIN z ON u <= upto OR rn = last GROUP BY 1"
+)
 def zipf_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dataset(spark, sf_dir)
     return sampling.zipf_draws(sampling.zipf_weights(sampling.permutation(d.local, 5)), 2000, 6)
 
 
-@query()
+@query(f"WITH bs AS (SELECT 'b:' || item_id AS id FROM benchmark) {_uniform(_quoted('4'), '2000')}")
 def uniform_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.uniform_draws(dataset(spark, sf_dir).local, 2000, 4)
 
@@ -687,14 +778,24 @@ def epsilon_greedy_eps0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.epsilon_greedy(local_candidates(dataset(spark, sf_dir)), 4, 0.0, 1).select("id", "pos", "keyword")
 
 
-@query()
+def _choices(n: int, epsilon: float, seed: str) -> str:
+    """Epsilon-greedy choices in SQL, one after the other, from the terms of bs with idf as score."""
+    out = [f"c0 AS (SELECT id, keyword, ord, idf AS score, {_unit(seed, _quoted('any'), 'id', 'ord', 'keyword', _quoted('text'))} AS u FROM bs JOIN bidf USING (keyword))"]
+    for i in range(1, n + 1):
+        out.append(f"t{i} AS (SELECT id, {i} AS pos, CASE WHEN {_unit(seed, _quoted('coin'), 'id', _quoted(str(i)))} < {epsilon} THEN arg_min(keyword, u) ELSE arg_min(keyword, (-score, ord)) END AS keyword FROM c{i - 1} GROUP BY id)")
+        out.append(f"c{i} AS (SELECT * FROM c{i - 1} WHERE (id, keyword) NOT IN (SELECT id, keyword FROM t{i}))")
+    return ", ".join(out)
+
+
+@query(f"WITH {_LOCAL}, {_choices(4, 0.3, _quoted('1'))} {' UNION ALL '.join(f'SELECT id, pos::BIGINT AS pos, keyword FROM t{i}' for i in range(1, 5))}")
 def epsilon_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.epsilon_greedy(local_candidates(dataset(spark, sf_dir)), 4, 0.05, 1).select("id", "pos", "keyword")
+    return sampling.epsilon_greedy(local_candidates(dataset(spark, sf_dir)).select("id", "keyword", "attr", "ord", "score"), 4, 0.3, 1).select("id", "pos", "keyword")
 
 
-@query()
+@query(f"WITH {_SAMPLES} SELECT id, keyword, round(x[1], 6) AS idf, round(y, 6) AS y FROM f ORDER BY {_unit(_quoted('3'), 'id', 'keyword')} LIMIT 8")
 def replay_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.replay_sample(small_samples(dataset(spark, sf_dir)), 8, 3)
+    found = sampling.replay_sample(small_samples(dataset(spark, sf_dir)), 8, 3, ["id", "keyword"])
+    return found.select("id", "keyword", _r(F.col("x")[0]).alias("idf"), _r("y").alias("y"))
 
 
 # Sub-words and the neural scorer.
@@ -718,7 +819,16 @@ def mean_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled.select(F.col("keyword").cast("int").alias("label"), F.posexplode("vector").alias("i", "v")).withColumn("v", _r("v"))
 
 
-@query()
+_NETWORK = neural.Network((64, 32, 32), seed=1)
+
+
+def _layer(x: str, i: int) -> str:
+    """A layer's sums in SQL, the weights written out."""
+    w, b = _NETWORK.layers[i]
+    return f"list_transform([{', '.join('[' + ', '.join(repr(float(v)) for v in [*w[:, j], b[j]]) + ']' for j in range(w.shape[1]))}]::DOUBLE[][], lambda w: list_dot_product(w, list_append({x}, 1.0::DOUBLE)))"
+
+
+@query(f"WITH a AS (SELECT vec_id, list_transform({_layer('embedding::DOUBLE[]', 0)}, lambda v: greatest(v, 0.0)) AS h FROM embeddings), b AS (SELECT vec_id, list_transform({_layer('h', 1)}, lambda v: greatest(v, 0.0)) AS h FROM a) SELECT vec_id, round(1 / (1 + exp(-{_layer('h', 2)}[1])), 6) AS score FROM b")
 def neural_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
-    return rows.select("vec_id", neural.score_column(neural.Network((64, 32, 32), seed=1), F.col("x")).alias("score"))
+    return rows.select("vec_id", _r(neural.score_column(_NETWORK, F.col("x"))).alias("score"))
