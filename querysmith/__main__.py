@@ -4,7 +4,7 @@
     python -m querysmith optimal --data DIR --out DIR [--least 1 --most 3 --top_k 20 --first 0 --last 1000]
 
 DIR holds NAME/source.csv, NAME/target.csv and NAME/ground_truth.csv (for `optimal`: without NAME). A run whose results are
-there already is skipped; fixed series are read from NAME/series.parquet (run_id, pos, local_id).
+all there already is skipped, a half-written one is run again; fixed series are read from NAME/series.parquet (run_id, pos, local_id).
 """
 
 from __future__ import annotations
@@ -44,13 +44,13 @@ def run(spark: SparkSession, args: list[str]) -> str:
     where, rest = own.parse_known_args(args)
     config = parse(rest)
     out = save_path(where.out, config)
-    if tables.exists(spark, out):
+    if tables.complete(spark, out):
         return out
     series = None
     if config.distribution in ("fixed", "uniform_fixed"):
         series = tables.read_series(spark, f"{where.data}/{config.dataset_name}/series.parquet")
     data = load(spark, f"{where.data}/{config.dataset_name}", where.store)
-    tables.write_log(play(data, config, series, findable_only=where.findable_only), out)
+    tables.write_log(play(data, config, series, findable_only=where.findable_only), out, "overwrite")
     return out
 
 

@@ -28,7 +28,6 @@ class PolicyConfig:
     buffer_size: int = 30
     buffer_sample_size: int = 8
     split_sample: bool = False
-    lm_prefixes: int = 5
     attribute_encoding: bool = True
 
 
@@ -80,7 +79,7 @@ def result_name(config: dict, keys: list[str]) -> str:
 def save_path(root: str, run: RunConfig) -> str:
     """Where a run's results go, named after all that distinguishes it."""
     own = asdict(run.policy)
-    keys = ["epsilon", "learning_rate", "buffer_size", "buffer_sample_size", "split_sample", "lm_prefixes", "attribute_encoding"] if run.model == "neural" else ["unsupervised_term_borrowing", "external_feat_specific_unsupervised", "p_thresh", "alpha", "external_feat_specific", "supervised_term_borrowing"]
+    keys = ["epsilon", "learning_rate", "buffer_size", "buffer_sample_size", "split_sample", "attribute_encoding"] if run.model == "neural" else ["unsupervised_term_borrowing", "external_feat_specific_unsupervised", "p_thresh", "alpha", "external_feat_specific", "supervised_term_borrowing"]
     keys += ["window_size", "rr_threshold"] if run.model == "hybrid" else []
     return f"{root.rstrip('/')}/{result_name(asdict(run), ['dataset_name', 'query_length', 'interactions', 'distribution'])}/{run.model}-{result_name(own, keys)}"
 
@@ -106,7 +105,6 @@ def parse(args: list[str] | None = None) -> RunConfig:
     p.add_argument("--learning_rate", type=float, default=0.001)
     p.add_argument("--buffer_size", type=int, default=50)
     p.add_argument("--buffer_sample_size", type=int, default=8)
-    p.add_argument("--lm_prefixes", type=int, default=0)
     for name in ("attribute_encoding", "split_sample", "term_borrowing", "unsupervised_term_borrowing", "ts_features", "external_feat_specific_unsupervised"):
         p.add_argument(f"--{name}", type=_flag, default=False)
     p.add_argument("--seeds", type=lambda s: tuple(int(x) for x in s.split(",")), default=())

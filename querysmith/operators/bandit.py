@@ -56,6 +56,13 @@ class LinUCB:
         self.a, self.b = self.a + gram, self.b + moment
         self._solve()
 
+    def learn(self, gram: np.ndarray, moment: np.ndarray, n: int, yy: float) -> float:
+        """Adds the sums of n samples (yy: of squared rewards) and returns their mean squared error before, which the sums tell."""
+        self.start(len(moment))
+        loss = float(self.theta @ gram @ self.theta - 2 * self.theta @ moment + yy) / n
+        self.add(gram, moment)
+        return max(loss, 0.0)
+
     def remove(self, x: np.ndarray, y: np.ndarray) -> None:
         self.add(-(x.T @ x), -(x.T @ y))
 

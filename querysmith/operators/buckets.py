@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
-from math import floor, isfinite, log10
+from math import ceil, floor, isfinite, log10
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import with_rank
+
 Buckets = list[tuple[float, float]]
 
 
 def quantile_edges(values: DataFrame, col: str, size: int) -> list[float]:
-    """Exact quantile edges (linear interpolation), repeats dropped; size + 1 numbers at most reach the driver."""
-    shares = [i / size for i in range(size + 1)]
-    found = values.agg(F.percentile(F.col(col).cast("double"), F.array(*[F.lit(s) for s in shares])).alias("e")).first()["e"]
-    return sorted({float(e) for e in found or [] if e is not None})
+    """Exact quantile edges (linear interpolation), repeats dropped; size + 1 numbers at most reach the driver.
+
+    Values are counted before they are ranked, and ranks are running sums over range partitions, so no task holds all values.
+    """
+    counted = values.select(F.col(col).cast("double").alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    ranks = with_rank(counted, "v", value=F.col("n"), total="upto").select("v", "upto").persist()
+    n = ranks.agg(F.max("upto")).first()[0]
+    edges = set()
+    if n:
+        places = [(n - 1) * i / size for i in range(size + 1)]
+        at = sorted({f(p) for p in places for f in (floor, ceil)})
+        found = ranks.agg(*[F.min(F.when(F.col("upto") > p, F.col("v"))).alias(f"p{p}") for p in at]).first()
+        for p in places:
+            low, high = floor(p), ceil(p)
+            edges.add(found[f"p{low}"] if low == high else (high - p) * found[f"p{low}"] + (p - low) * found[f"p{high}"])
+    ranks.unpersist()
+    return sorted(edges)
 
 
 def _rounded(x: float, precision: int) -> float:

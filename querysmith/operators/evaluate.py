@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import with_rank
+
 
 def symmetric(truth: DataFrame) -> DataFrame:
     """Pairs in both directions, once each: an equality join on both ids then is the symmetric test."""
@@ -88,9 +90,13 @@ def rewards(queries: DataFrame, results: DataFrame, truth: DataFrame, external_s
 
 
 def running_mean(log: DataFrame, value: str = "rr", order: str = "interaction", by: list[str] | None = None, every: int = 1) -> DataFrame:
-    """The mean to date of a run's log, at every so many interactions. Runs are independent; one run is one ordered series."""
-    w = Window.partitionBy(*(by or [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = log.withColumn(f"running_{value}", F.avg(value).over(w))
+    """The mean to date of a log, at every so many interactions. Runs (`by`) are independent, each one ordered series; without
+    them the whole log is one, whose sums run over range partitions."""
+    if by:
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        out = log.withColumn(f"running_{value}", F.avg(value).over(w))
+    else:
+        out = with_rank(log, order, name="__at", value=F.col(value), total="__upto").withColumn(f"running_{value}", F.col("__upto") / F.col("__at")).drop("__at", "__upto")
     return out.filter(F.col(order) % every == 0) if every > 1 else out
 
 
@@ -101,13 +107,16 @@ def count_windows(log: DataFrame, size: int = 50, by: list[str] | None = None) -
     return full.withColumn("last_mrr", F.lag("mrr").over(Window.partitionBy(*keys).orderBy("window")))
 
 
-def last_rr(log: DataFrame, size: int = 50) -> DataFrame:
+def last_rr(log: DataFrame, size: int = 50, by: list[str] | None = None) -> DataFrame:
     """(local_id, last_rr): each entity's latest reciprocal rank, from the interaction on that closes the first window."""
-    return log.filter(F.col("interaction") >= size).groupBy("local_id").agg(F.max_by("rr", "interaction").alias("last_rr"))
+    return log.filter(F.col("interaction") >= size).groupBy(*(by or []), "local_id").agg(F.max_by("rr", "interaction").alias("last_rr"))
 
 
-def hybrid_trigger(log: DataFrame, size: int = 50, threshold: float = 1 / 15) -> DataFrame:
+def hybrid_trigger(log: DataFrame, size: int = 50, threshold: float = 1 / 15, by: list[str] | None = None) -> DataFrame:
     """(local_id, last_rr) of entities that get a model of their own now: their last try was poor, and the last whole window was
-    no better than the one before it."""
-    latest = count_windows(log, size).agg(F.max_by(F.struct("mrr", "last_mrr"), "window").alias("w"))
-    return last_rr(log, size).join(F.broadcast(latest)).filter((F.col("last_rr") <= threshold) & (F.col("w.last_mrr") >= F.col("w.mrr"))).select("local_id", "last_rr")
+    no better than the one before it. `by` names the runs of a log of several."""
+    keys = by or []
+    latest = count_windows(log, size, keys).groupBy(*keys).agg(F.max_by(F.struct("mrr", "last_mrr"), "window").alias("w"))
+    tried = last_rr(log, size, keys)
+    rows = tried.join(F.broadcast(latest), keys) if keys else tried.join(F.broadcast(latest))  # one row a run
+    return rows.filter((F.col("last_rr") <= threshold) & (F.col("w.last_mrr") >= F.col("w.mrr"))).select(*keys, "local_id", "last_rr")

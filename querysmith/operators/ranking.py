@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import settled
+
 
 def with_rank(df: DataFrame, *order: str, name: str = "rn", value: Column | None = None, total: str | None = None) -> DataFrame:
     """Adds the rank from 1 in a global order, and with `value` its running sum as `total`.
 
-    Range partitions are ranked by themselves; their counts and sums, one row a partition, give each its offset. The
-    partitioning is fixed once, by a cache that spills, so that both passes see the same one.
+    Range partitions are ranked by themselves; their counts and sums, one row a partition, give each its offset. They are
+    written once, so that both passes see the same ones, on lost executors too.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumn("__v", (value if value is not None else F.lit(0.0)).cast("double")).repartitionByRange(n, *order).withColumn("__slot", F.spark_partition_id()).persist()
+    dealt = settled(df.withColumn("__v", (value if value is not None else F.lit(0.0)).cast("double")).repartitionByRange(n, *order).withColumn("__slot", F.spark_partition_id()), "ranked")
     sizes = dealt.groupBy("__slot").agg(F.count("*").alias("c"), F.sum("__v").alias("s"))
     before = Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__slot", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__c"), F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("__s"))

@@ -72,11 +72,11 @@ class Dataset:
 
 
 def contained(local: DataFrame, external: DataFrame, text: str = "text") -> DataFrame:
-    """(local_id, external_id): external texts that hold a local text as it stands.
+    """(local_id, external_id): external texts that hold a local text as it stands. Empty local texts are held by none.
 
     A text that is held brings its inner words (all but the first and last) along. So each local text is looked up by its
-    rarest inner word, an equality join, and only those candidates are compared as strings. Texts without an inner word are
-    compared with every document.
+    rarest inner word, an equality join, and only those candidates are compared as strings. A text without an inner word is
+    looked up by a word that holds its longest part; such words are found by the part's first characters.
     """
     words = F.split(F.col(text), r"\s+")
     inner = local.select("id", text, F.explode(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))).alias("word")).filter("word <> ''")
@@ -85,7 +85,22 @@ def contained(local: DataFrame, external: DataFrame, text: str = "text") -> Data
     df = asked.groupBy("word").agg(F.count("*").alias("df"))
     rarest = inner.join(df, "word", "left").groupBy("id", text).agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
     candidates = rarest.select(F.col("id").alias("local_id"), F.col(text).alias("__needle"), "word").join(asked.withColumnRenamed("id", "external_id"), "word")
-    found = candidates.join(external.select(F.col("id").alias("external_id"), F.col(text).alias("__text")), "external_id").filter(F.contains("__text", "__needle"))
-    short = local.join(inner.select("id"), "id", "left_anti").filter(F.col(text).isNotNull()).select(F.col("id").alias("local_id"), F.col(text).alias("__needle"))
-    rest = short.join(external.select(F.col("id").alias("external_id"), F.col(text).alias("__text")), F.contains("__text", "__needle"))
-    return found.select("local_id", "external_id").union(rest.select("local_id", "external_id")).distinct()
+    short = local.join(inner.select("id"), "id", "left_anti").filter(F.col(text) != "").select(F.col("id").alias("local_id"), F.col(text).alias("__needle"))
+    if not short.isEmpty():
+        candidates = candidates.unionByName(_holding(short, docs))
+    texts = external.select(F.col("id").alias("external_id"), F.col(text).alias("__text"))
+    return candidates.select("local_id", "__needle", "external_id").distinct().join(texts, "external_id").filter(F.contains("__text", "__needle")).select("local_id", "external_id").distinct()
+
+
+def _holding(short: DataFrame, docs: DataFrame, most: int = 3) -> DataFrame:
+    """(local_id, __needle, word, external_id): words of documents (id, word) that hold the longest part of a needle, or, for needles
+    of white space alone, any word."""
+    parts = F.split("__needle", r"\s+")
+    longest = F.array_max(F.transform(parts, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    needles = short.withColumn("part", longest).withColumn("gram", F.substring("part", 1, most)).persist()
+    vocabulary = docs.select("word").distinct()
+    # Grams of words, of every length up to `most`; the empty one is that of white space.
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(0), F.lit(most)), lambda n: F.col("word").substr(i, n)))))
+    held = vocabulary.select("word", F.explode(grams).alias("gram")).join(needles.select("gram").distinct(), "gram", "left_semi")
+    pairs = held.join(needles, "gram").filter(F.contains("word", "part")).select("local_id", "__needle", "word").distinct()
+    return pairs.join(docs.withColumnRenamed("id", "external_id"), "word").select("local_id", "__needle", "word", "external_id")

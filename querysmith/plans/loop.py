@@ -1,20 +1,22 @@
 """Interactions in rounds: intents, queries, search, rewards, feedback, learning.
 
 Updates of the models are sums, so a round of B interactions learns what B single ones would; only the queries inside a round
-don't see each other's lessons. With B = 1 the order is the sequential one. A round is one Spark job over the whole index; what
-comes back to the driver is bounded by B times the query length and the result size.
+don't see each other's lessons. With B = 1 the order is the sequential one. A round is a few Spark jobs over the whole index.
+Intents, what was matched and sent, samples and the log are tables throughout; what a round brings to the driver are a model's
+sums (the square of a vector's length), and for policies that learn in order (hybrid, neural) the round's own samples.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
-from ..operators import evaluate, features, index, search
+from ..operators import evaluate, features, feedback, index, search
 from ..operators.sampling import permutation, series_draws, uniform_draws, zipf_draws, zipf_weights
+from ..sources.store import exists, scratch, settled
 from .dataset import Dataset
 from .policies import Policy, make
 
@@ -36,12 +38,19 @@ def intents(data: Dataset, run: RunConfig, run_id: int, series: DataFrame | None
 
 @dataclass
 class State:
-    """What a run has learned about entities: pairs that matched (with the way of borrowing) and words that were sent."""
+    """What a run has learned about entities, as tables: pairs that matched, those of them that are borrowed from without
+    supervision (None while there are none), and words that were offered, with whether they were sent."""
 
-    matched: set[tuple[str, str]] = field(default_factory=set)
-    unsupervised: set[tuple[str, str]] = field(default_factory=set)
-    sent: dict[str, set[str]] = field(default_factory=dict)
-    terms: dict[str, int] = field(default_factory=dict)
+    matched: DataFrame | None = None
+    unsupervised: DataFrame | None = None
+    sent: DataFrame | None = None
+
+
+def _added(known: DataFrame | None, new: DataFrame) -> DataFrame | None:
+    """Pairs with those that weren't known, or None if there are none yet."""
+    new = new if known is None else feedback.new_pairs(new, known)
+    out = settled((new if known is None else known.unionByName(new)).distinct(), "pairs")
+    return None if known is None and out.isEmpty() else out
 
 
 class Loop:
@@ -53,14 +62,15 @@ class Loop:
         self.layout = features.Layout(base.attrs, base.idf, base.length, base.tf, borrowed=c.supervised_term_borrowing, external=c.external_feat_specific or c.external_feat_specific_unsupervised, unsupervised=c.external_feat_specific_unsupervised)
         self._static: DataFrame | None = None
 
-    def _pairs(self, pairs: set[tuple[str, str]]) -> DataFrame:
-        return self.spark.createDataFrame(sorted(pairs), "local_id string, external_id string")
+    def _pairs(self, pairs: DataFrame | None) -> DataFrame:
+        return self.spark.createDataFrame([], "local_id string, external_id string") if pairs is None else pairs
 
     def candidates(self, asked: DataFrame) -> DataFrame:
         """The candidate terms of some entities (id), with features as of now."""
         data, c = self.data, self.run.policy
         with_idf = lambda df: index.with_idf(df, data.idf)
-        changing = (c.external_feat_specific or c.supervised_term_borrowing) and self.state.matched or self.state.unsupervised
+        matched_matters = (c.external_feat_specific or c.supervised_term_borrowing) and self.state.matched is not None
+        changing = matched_matters or self.state.unsupervised is not None
         if self._static is None:
             self._static = with_idf(features.featurize(data.local_occ, data.idf, self.layout, data.lexicon)).withColumn("is_external", F.lit(False)).persist()
         if not changing:
@@ -76,11 +86,11 @@ class Loop:
         parts = [with_idf(features.featurize(own, data.idf, self.layout, data.lexicon, extra=extra)).withColumn("is_external", F.lit(False))]
         known = data.local_signals.select("id", "keyword").join(asked, "id", "left_semi")
         order = F.lit(1 << 60)
-        if c.supervised_term_borrowing and self.state.matched:
+        if c.supervised_term_borrowing and self.state.matched is not None:
             terms = self._borrowed(matched, known)
             parts.append(with_idf(features.featurize(terms, data.idf, self.layout, data.lexicon, is_local=False, extra=extra.withColumn("is_borrowed", F.lit(True)))).withColumn("is_external", F.lit(False)).withColumn("ord", F.col("ord") + order))
             known = known.union(terms.select("id", "keyword").distinct())
-        if self.state.unsupervised:
+        if self.state.unsupervised is not None:
             terms = self._borrowed(freely, known)
             short = features.featurize_external(terms.select("id", "keyword").distinct(), data.idf, self.layout, loose if c.external_feat_specific_unsupervised else None)
             rows = index.split_by_attribute(terms).join(short, ["id", "keyword"])
@@ -97,58 +107,57 @@ class Loop:
         first = rows.groupBy("id", "keyword").agg(F.min("external_id").alias("external_id"))
         return rows.join(first, ["id", "keyword", "external_id"], "left_semi").select("id", "keyword", "token", "attr", "cnt", "ord")
 
-    def round(self, batch: list[tuple[int, str]]) -> list[tuple]:
-        """Runs interactions (number, local id) with one state of the model; returns their log rows."""
-        data, run = self.data, self.run
-        asked = self.spark.createDataFrame(sorted({(i,) for _, i in batch}), "id string")
+    def round(self, batch: DataFrame, first: int) -> DataFrame:
+        """Runs the interactions of a batch (interaction, local_id) with one state of the model; returns their log. `first` is the
+        number of the first of them."""
+        data, run, c = self.data, self.run, self.run.policy
+        asked = batch.select(F.col("local_id").alias("id")).distinct()
         offered = self.candidates(asked).persist()
-        query = self.policy.query(offered, run.query_length, run.seed(self.run_id) * 100_003 + batch[0][0]).withColumn("intent_id", F.col("id")).persist()
+        query = self.policy.query(offered, run.query_length, run.seed(self.run_id) * 100_003 + first).withColumn("intent_id", F.col("id")).persist()
         results = search.search(query, data.weighted, run.top_k_size).persist()
-        found = evaluate.metrics(asked.select(F.col("id").alias("intent_id")), results, data.truth)
         y = evaluate.rewards(query.select("intent_id", "pos", "keyword", "attr"), results, data.truth, data.external_signals)
-        terms = query.join(y.select("intent_id", "pos", "y"), ["intent_id", "pos"]).select("id", "pos", "keyword", "attr", "score", "is_external", "x", "y").collect()
-        measured = {r["intent_id"]: r for r in found.collect()}
-        pairs = [(r["intent_id"], r["external_id"]) for r in evaluate.matches(results, data.truth).select("intent_id", "external_id").collect()]
+        terms = settled(query.join(y.select("intent_id", "pos", "y"), ["intent_id", "pos"]).select("id", "pos", "keyword", "attr", "score", "is_external", "x", "y"), "terms")
+        found = evaluate.metrics(asked.select(F.col("id").alias("intent_id")), results, data.truth)
+        nested = terms.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "keyword", "attr", "score"))), lambda t: F.struct(t["keyword"], t["attr"], t["score"].cast("double"))).alias("query"))
+        log = batch.join(found.withColumnRenamed("intent_id", "local_id"), "local_id").join(nested.withColumnRenamed("id", "local_id"), "local_id", "left")
+        log = settled(log.select("interaction", "local_id", F.coalesce("query", F.array()).alias("query"), "n_returned", "n_matches", "rr", "precision", "recall"), "measured")
+        before = (self.state.matched, self.state.unsupervised)
+        if c.supervised_term_borrowing or c.unsupervised_term_borrowing or c.external_feat_specific:
+            self._remember(asked, offered, terms, evaluate.matches(results, data.truth).select(F.col("intent_id").alias("local_id"), "external_id").distinct())
+        loss = None
+        if self.policy.learns:
+            samples = batch.join(terms.withColumnRenamed("id", "local_id"), "local_id")
+            # Feedback comes before learning, so a model sees vectors as they are after it.
+            if self.policy.fresh and before != (self.state.matched, self.state.unsupervised):
+                now = self.candidates(asked).select(F.col("id").alias("local_id"), "keyword", "attr", "is_external", F.col("x").alias("now"))
+                samples = samples.join(now, ["local_id", "keyword", "attr", "is_external"], "left").withColumn("x", F.coalesce("now", "x")).drop("now")
+            loss = self.policy.update(samples.select("interaction", F.col("local_id").alias("id"), "pos", "keyword", "is_external", "x", "y"))
         for df in (offered, query, results):
             df.unpersist()
-        by_id: dict[str, list] = {}
-        for r in sorted(terms, key=lambda r: (r["id"], r["pos"])):
-            by_id.setdefault(r["id"], []).append(r)
-        self._remember(by_id, pairs)
-        samples = [{"id": i, "is_external": t["is_external"], "x": list(t["x"]), "y": t["y"]} for _, i in batch for t in by_id.get(i, [])]
-        # Feedback comes before learning, so a model sees vectors as they are after it.
-        if self.policy.learns and (run.policy.external_feat_specific or run.policy.supervised_term_borrowing) and pairs:
-            now = {(r["id"], r["keyword"], r["attr"], r["is_external"]): list(r["x"]) for r in self.candidates(asked).collect()} if self.policy.name != "neural" else {}
-            fresh = iter([now.get((i, t["keyword"], t["attr"], t["is_external"])) for _, i in batch for t in by_id.get(i, [])])
-            samples = [s | {"x": x} if x is not None else s for s, x in zip(samples, fresh, strict=True)]
-        loss = self.policy.update(samples)
-        log = []
-        for number, i in batch:
-            own = by_id.get(i, [])
-            self.policy.observe(number, i, [t["y"] for t in own])
-            m = measured[i]
-            log.append((self.run_id, number, i, [(t["keyword"], t["attr"], float(t["score"])) for t in own], m["n_returned"], m["n_matches"], m["rr"], m["precision"], m["recall"], loss))
-        return log
-
-    def _remember(self, queries: dict[str, list], pairs: list[tuple[str, str]]) -> None:
-        state, c = self.state, self.run.policy
-        for i, own in queries.items():
-            state.sent.setdefault(i, set()).update(t["keyword"] for t in own)
-        state.matched.update(pairs)
-        if c.unsupervised_term_borrowing and pairs:
-            new = sorted({i for i, _ in pairs} - state.terms.keys())
-            if new:
-                ids = self.spark.createDataFrame([(i,) for i in new], "id string")
-                state.terms.update({r["id"]: r["n"] for r in self.data.local_signals.join(ids, "id", "left_semi").groupBy("id").agg(F.count("*").alias("n")).collect()})
-            state.unsupervised.update(p for p in pairs if len(state.sent.get(p[0], ())) >= 0.7 * state.terms[p[0]])
-
-    def play(self, drawn: DataFrame) -> DataFrame:
-        """All interactions of a run, in rounds; the log as a DataFrame. Intents are as many as the run has interactions."""
-        numbered = [(r["interaction"], r["local_id"]) for r in drawn.orderBy("interaction").collect()]
-        log: list[tuple] = []
-        for at in range(0, len(numbered), self.run.batch):
-            log += self.round(numbered[at : at + self.run.batch])
-        return self.spark.createDataFrame(log, LOG)
+        names = [f.split()[0] for f in LOG.replace("struct<keyword:string,attr:string,score:double>", "").split(", ")]
+        return log.withColumn("run_id", F.lit(self.run_id).cast("long")).withColumn("loss", F.lit(loss).cast("double")).select(*names)
+
+    def _remember(self, asked: DataFrame, offered: DataFrame, terms: DataFrame, pairs: DataFrame) -> None:
+        state = self.state
+        state.matched = _added(state.matched, pairs)
+        if not self.run.policy.unsupervised_term_borrowing:
+            return
+        # Of an entity count its own words, those borrowed without supervision once they were offered, and whatever was sent.
+        own = self.data.local_signals.join(asked, "id", "left_semi").select("id", "keyword").union(offered.filter("is_external").select("id", "keyword"))
+        own = own.distinct().select(F.col("id").alias("local_id"), "keyword", F.lit(False).alias("sent"))
+        known = own if state.sent is None else own.unionByName(state.sent).groupBy("local_id", "keyword").agg(F.bool_or("sent").alias("sent"))
+        state.sent = settled(feedback.mark_sent(known, terms.withColumnRenamed("id", "intent_id")), "sent")
+        done = feedback.exhausted(state.sent).filter("exhausted").select("local_id")
+        state.unsupervised = _added(state.unsupervised, pairs.join(done, "local_id", "left_semi"))
+
+    def play(self, drawn: DataFrame, path: str | None = None) -> DataFrame:
+        """All interactions of a run (numbered from 1), in rounds; the log, which each round appends to the table at `path`."""
+        path, size = path or scratch(self.spark, "log"), self.run.batch
+        drawn = settled(drawn.select("interaction", "local_id").withColumn("round", F.floor((F.col("interaction") - 1) / size)), "intents")
+        for r in sorted(drawn.groupBy("round").agg(F.min("interaction").alias("first")).collect(), key=lambda r: r["round"]):
+            self.round(drawn.filter(F.col("round") == r["round"]).select("interaction", "local_id"), r["first"]).write.mode("append").parquet(path)
+        out = self.spark.createDataFrame([], LOG)
+        return self.spark.read.schema(out.schema).parquet(path) if exists(self.spark, path) else out
 
 
 def play(data: Dataset, run: RunConfig, series: DataFrame | None = None, findable_only: bool = False, **how) -> DataFrame:

@@ -19,6 +19,8 @@ class Policy(ABC):
 
     name = "policy"
     learns = True
+    #: Whether vectors of samples are those after feedback (rather than those that were scored).
+    fresh = True
 
     def __init__(self, config: PolicyConfig):
         self.config = config
@@ -33,13 +35,10 @@ class Policy(ABC):
             return probability_mass(scored, n, self.config.p_thresh)
         return top_terms(scored, n, self.config.dedupe_keywords)
 
-    def update(self, samples: list[dict]) -> float | None:
-        """Learns from a round's samples: id, is_external, x, y of each sent term, in the order of interactions. Returns the loss."""
+    def update(self, samples: DataFrame) -> float | None:
+        """Learns from a round's samples: interaction, id, pos, keyword, is_external, x, y of each sent term. Returns the loss."""
         return None
 
-    def observe(self, interaction: int, local_id: str, rewards: list[float]) -> None:
-        """Sees each interaction's rewards, in order."""
-
     def is_fitted(self) -> bool:
         return True
 
@@ -56,8 +55,19 @@ class IdfPolicy(Policy):
         return candidates.withColumn("score", F.col("idf"))
 
 
+def in_order(samples: DataFrame) -> list[dict]:
+    """A round's samples (its interactions times the query length) on the driver, for what learns one by one."""
+    return [r.asDict() for r in samples.orderBy("interaction", "pos").collect()]
+
+
+def _arrays(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([s["x"] for s in rows]), np.array([s["y"] for s in rows])
+
+
 class DatasetPolicy(Policy):
-    """One model for all entities' own terms and one for terms borrowed without supervision, whose vectors are shorter."""
+    """One model for all entities' own terms and one for terms borrowed without supervision, whose vectors are shorter.
+
+    Samples stay where they are: each partition sends its sums."""
 
     name = "dataset_level"
 
@@ -65,17 +75,25 @@ class DatasetPolicy(Policy):
         super().__init__(config)
         self.local, self.external = bandit.LinUCB(config.alpha), bandit.LinUCB(config.alpha)
 
-    def score(self, candidates: DataFrame) -> DataFrame:
+    def _sided(self, candidates: DataFrame, score) -> DataFrame:
+        """Scores own and borrowed terms apart; score: (rows, side, dimension) to a column. Rounded, so that the order of a sum
+        can't change a ranking."""
         sizes = {r["is_external"]: r["d"] for r in candidates.groupBy("is_external").agg(F.max(F.size("x")).alias("d")).collect()}
-        parts = [candidates.filter(F.col("is_external") == side).withColumn("score", bandit.score_column(model, F.col("x"), sizes[side])) for side, model in ((False, self.local), (True, self.external)) if side in sizes]
+        parts = [candidates.filter(F.col("is_external") == side).withColumn("score", F.round(score(side, d), 9)) for side, d in sorted(sizes.items())]
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]) if parts else candidates.withColumn("score", F.lit(0.0))
 
-    def update(self, samples: list[dict]) -> float | None:
+    def score(self, candidates: DataFrame) -> DataFrame:
+        return self._sided(candidates, lambda side, d: bandit.score_column(self.external if side else self.local, F.col("x"), d))
+
+    def update(self, samples: DataFrame) -> float | None:
+        samples = samples.persist()
+        sizes = samples.groupBy("is_external").agg(F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.max(F.size("x")).alias("d")).collect()
         losses = []
-        for side, model in ((False, self.local), (True, self.external)):
-            own = [s for s in samples if s["is_external"] == side]
-            if own:
-                losses.append(model.fit(np.array([s["x"] for s in own]), np.array([s["y"] for s in own])))
+        for r in sorted(sizes, key=lambda r: r["is_external"]):
+            model = self.external if r["is_external"] else self.local
+            sums = bandit.collect_gram(bandit.gram(samples.filter(F.col("is_external") == r["is_external"])), r["d"])
+            losses.append(model.learn(*sums, r["n"], r["yy"]))
+        samples.unpersist()
         return float(np.mean(losses)) if losses else None
 
     def is_fitted(self) -> bool:
@@ -89,7 +107,8 @@ class HybridPolicy(DatasetPolicy):
     """The shared model, and models of their own for entities that do poorly while the shared one makes no progress.
 
     An entity's own model knows all its samples and nothing else, and the shared model all samples of the other entities. A new
-    model so is the sum of samples that were kept, and the shared model loses exactly what it gains.
+    model so is the sum of samples that were kept, and the shared model loses exactly what it gains. Terms borrowed without
+    supervision have shorter vectors and one model for all entities.
     """
 
     name = "hybrid"
@@ -97,7 +116,7 @@ class HybridPolicy(DatasetPolicy):
     def __init__(self, config: PolicyConfig):
         super().__init__(config)
         self.own: dict[str, bandit.LinUCB] = {}
-        self.samples: dict[str, list[dict]] = {}
+        self.sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # of entities without a model: what their samples add up to
         self.last: dict[str, float] = {}
         self.windows: list[float] = []
         self.open: list[float] = []
@@ -110,81 +129,110 @@ class HybridPolicy(DatasetPolicy):
         """Gives models to the entities that ask for one now."""
         for i in ids:
             if self.triggered(i):
-                kept = self.samples.pop(i, [])
-                x, y = np.array([s["x"] for s in kept]), np.array([s["y"] for s in kept])
                 self.own[i] = bandit.LinUCB(self.config.alpha)
-                if len(kept):
-                    self.own[i].fit(x, y)
-                    self.local.remove(x, y)
+                if i in self.sums:
+                    gram, moment = self.sums.pop(i)
+                    self.own[i].add(gram, moment)
+                    self.local.add(-gram, -moment)
 
     def score(self, candidates: DataFrame) -> DataFrame:
         ids = [r["id"] for r in candidates.select("id").distinct().collect()]  # a round's entities
         self.split(ids)
-        first = candidates.select(F.size("x").alias("d")).first()
-        if first is None:
-            return candidates.withColumn("score", F.lit(0.0))
         special = {i: self.own[i] for i in ids if i in self.own}
-        return candidates.withColumn("score", bandit.score_by_key(special, self.local, F.col("id"), F.col("x"), first["d"]))
+        return self._sided(candidates, lambda side, d: bandit.score_column(self.external, F.col("x"), d) if side else bandit.score_by_key(special, self.local, F.col("id"), F.col("x"), d))
 
     def observe(self, interaction: int, local_id: str, rewards: list[float]) -> None:
         rr = max(rewards, default=0.0)
         self.open.append(rr)
         if len(self.open) == self.config.window_size:
-            self.windows.append(sum(self.open) / len(self.open))
+            self.windows = [*self.windows[-1:], sum(self.open) / len(self.open)]
             self.open = []
         if self.windows:
             self.last[local_id] = rr
 
-    def update(self, samples: list[dict]) -> float | None:
+    def update(self, samples: DataFrame) -> float | None:
+        return self.learn(in_order(samples))
+
+    def learn(self, samples: list[dict]) -> float | None:
         losses, shared = [], []
         by_id: dict[str, list[dict]] = {}
         for s in samples:
             by_id.setdefault(s["id"], []).append(s)
         for i, rows in by_id.items():
-            if i in self.own:
-                losses.append(self.own[i].fit(np.array([s["x"] for s in rows]), np.array([s["y"] for s in rows])))
-            else:
-                self.samples.setdefault(i, []).extend(rows)
-                shared += rows
-        if shared:
-            losses.append(self.local.fit(np.array([s["x"] for s in shared]), np.array([s["y"] for s in shared])))
+            local = [s for s in rows if not s["is_external"]]
+            if local and i in self.own:
+                losses.append(self.own[i].fit(*_arrays(local)))
+            elif local:
+                x, y = _arrays(local)
+                gram, moment = self.sums.get(i, (0.0, 0.0))
+                self.sums[i] = (gram + x.T @ x, moment + x.T @ y)
+                shared += local
+        borrowed = [s for s in samples if s["is_external"]]
+        for model, rows in ((self.local, shared), (self.external, borrowed)):
+            if rows:
+                losses.append(model.fit(*_arrays(rows)))
+        turns: dict[int, list[dict]] = {}
+        for s in samples:
+            turns.setdefault(s.get("interaction", 0), []).append(s)
+        for number, rows in sorted(turns.items()):
+            self.observe(number, rows[0]["id"], [s["y"] for s in rows])
         return float(np.mean(losses)) if losses else None
 
 
 class NeuralPolicy(Policy):
-    """A network over term vectors and characteristics, with epsilon-greedy choice and replay. vectors: (keyword, vector)."""
+    """A network over term vectors and characteristics, with epsilon-greedy choice and replay.
+
+    vectors: (keyword, vector). subwords, instead: a frozen model's output, as tables of sequences (id, sequence), terms' patterns
+    (id, keyword, pattern) and the vectors of each place (id, pos, vector); a term's vector is the mean over its places, and terms
+    that aren't found in their sequence are no candidates. A learned prefix before a frozen model needs that model and isn't here.
+    """
 
-    name = "neural"
+    name, fresh = "neural", False
 
-    def __init__(self, config: PolicyConfig, vectors: DataFrame | None = None, hidden: tuple[int, ...] = (512, 512), seed: int = 0):
+    def __init__(self, config: PolicyConfig, vectors: DataFrame | None = None, hidden: tuple[int, ...] = (512, 512), seed: int = 0, subwords: tuple[DataFrame, DataFrame, DataFrame] | None = None):
         super().__init__(config)
-        self.vectors, self.hidden, self.seed = vectors, hidden, seed
+        self.vectors, self.hidden, self.seed, self.found_only = vectors, hidden, seed, subwords is not None
+        if subwords:
+            sequences, patterns, places = subwords
+            self.vectors = neural.mean_pool(places, neural.prepare(sequences, patterns)).persist()
         self.replay: neural.Replay | None = None
+        self.width = 0
 
     def inputs(self, candidates: DataFrame) -> DataFrame:
-        if self.vectors is None:
-            return candidates
-        d = self.vectors.select(F.size("vector").alias("d")).first()["d"]
-        rows = candidates.join(self.vectors.select("keyword", "vector"), "keyword", "left")
-        return rows.withColumn("x", F.concat(F.coalesce(F.col("vector").cast("array<double>"), F.array_repeat(F.lit(0.0), d)), "x")).drop("vector")
+        """Candidates with the network's inputs for x: a term's vector if there are any, its attribute if attributes are encoded,
+        its characteristics. The shorter ones of borrowed terms are filled up with zeros."""
+        rows, parts = candidates, []
+        if self.vectors is not None:
+            d = self.vectors.select(F.size("vector").alias("d")).first()["d"]
+            keys = [c for c in ("id", "keyword") if c in self.vectors.columns]
+            rows = rows.join(self.vectors.select(*keys, "vector"), keys, "inner" if self.found_only else "left")
+            parts.append(F.coalesce(F.col("vector").cast("array<double>"), F.array_repeat(F.lit(0.0), d)))
+        if self.config.attribute_encoding:
+            # One input an attribute: the first layer's weights of it are the attribute's embedding, learned with all others.
+            self.attrs = getattr(self, "attrs", None) or sorted(r["attr"] for r in candidates.select("attr").distinct().collect())
+            ids = neural.attribute_ids(self.attrs)
+            parts.append(F.array(*[F.when(F.col("attr") == a, 1.0).otherwise(0.0) for a in ids]))
+        self.width = max(self.width, candidates.agg(F.max(F.size("x"))).first()[0] or 0)
+        filled = F.concat("x", F.array_repeat(F.lit(0.0), F.lit(self.width) - F.size("x")))
+        return rows.withColumn("x", F.concat(*parts, filled)).drop("vector")
 
     def score(self, candidates: DataFrame) -> DataFrame:
         rows = self.inputs(candidates)
         first = rows.select(F.size("x").alias("d")).first()
         if self.replay is None and first is not None:
             self.replay = neural.Replay(neural.Network((first["d"], *self.hidden), self.config.learning_rate, self.seed), self.config.buffer_size, self.config.buffer_sample_size, self.config.split_sample, self.seed)
-        return rows.withColumn("score", neural.score_column(self.replay.network, F.col("x")) if first is not None else F.lit(0.0))
+        return rows.withColumn("score", F.round(neural.score_column(self.replay.network, F.col("x")), 9) if first is not None else F.lit(0.0))
 
     def query(self, candidates: DataFrame, n: int, seed: int = 0) -> DataFrame:
         return epsilon_greedy(self.score(candidates), n, self.config.epsilon, seed)
 
-    def update(self, samples: list[dict]) -> float | None:
-        by_id: dict[str, list[dict]] = {}
-        for s in samples:
-            by_id.setdefault(s["id"], []).append(s)
+    def update(self, samples: DataFrame) -> float | None:
+        turns: dict[int, list[dict]] = {}
+        for s in in_order(samples):
+            turns.setdefault(s["interaction"], []).append(s)
         loss = None
-        for rows in by_id.values():
-            self.replay.add(np.array([s["x"] for s in rows]), np.array([s["y"] for s in rows]))
+        for rows in turns.values():
+            self.replay.add(*_arrays(rows))
             loss = self.replay.fit()
         return loss
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import row_string
 from ..operators.ranking import with_rank
+from .store import exists
 
 
 def read_entities(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
@@ -48,14 +49,9 @@ def header(df: DataFrame) -> list[str]:
     return df.columns
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def cached_table(spark: SparkSession, path: str, make: Callable[[], DataFrame], bucket_by: str | None = None, buckets: int = 0) -> DataFrame:
     """The table at `path`, made and written first if it isn't complete yet. A half-written one is written anew."""
-    if not exists(spark, f"{path}/_SUCCESS"):
+    if not complete(spark, path):
         df = make()
         if bucket_by:
             df = df.repartition(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), bucket_by).sortWithinPartitions(bucket_by)
@@ -63,9 +59,14 @@ def cached_table(spark: SparkSession, path: str, make: Callable[[], DataFrame],
     return spark.read.parquet(path)
 
 
-def write_log(log: DataFrame, path: str) -> None:
-    """Appends interaction logs, one directory a run."""
-    log.write.mode("append").partitionBy("run_id").parquet(path)
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
+def write_log(log: DataFrame, path: str, mode: str = "append") -> None:
+    """Writes interaction logs, one directory a run."""
+    log.write.mode(mode).partitionBy("run_id").parquet(path)
 
 
 def read_series(spark: SparkSession, path: str) -> DataFrame:

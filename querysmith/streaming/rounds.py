@@ -13,19 +13,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.loop import LOG, Loop
+from ..plans.loop import Loop
 
 
 def start(stream: DataFrame, loop: Loop, log_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Plays a stream of (interaction, local_id) and writes the log below `log_path`, one directory a batch."""
 
     def play(batch: DataFrame, batch_id: int) -> None:
-        rows = [(r["interaction"], r["local_id"]) for r in batch.select("interaction", "local_id").orderBy("interaction").collect()]
-        log: list[tuple] = []
-        for at in range(0, len(rows), loop.run.batch):
-            log += loop.round(rows[at : at + loop.run.batch])
-        if log:
-            batch.sparkSession.createDataFrame(log, LOG).write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
+        size, path = loop.run.batch, f"{log_path}/batch_id={batch_id}"
+        numbers = [r["interaction"] for r in batch.select("interaction").orderBy("interaction").collect()]  # of one micro-batch
+        for at in range(0, len(numbers), size):
+            part = batch.filter(F.col("interaction").between(numbers[at], numbers[min(at + size, len(numbers)) - 1])).select("interaction", "local_id")
+            loop.round(part, numbers[at]).write.mode("append" if at else "overwrite").parquet(path)
 
     writer = stream.writeStream.foreachBatch(play).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

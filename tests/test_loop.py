@@ -23,7 +23,7 @@ SERIES = [(1, 1, "b:1"), (1, 2, "b:2"), (1, 3, "b:1"), (1, 4, "b:3")]
 def play(spark, data, **how):
     config = {k: how.pop(k) for k in list(how) if hasattr(PolicyConfig(), k)}
     extra = {k: how.pop(k) for k in ("hidden",) if k in how}
-    run = RunConfig(interactions=4, query_length=2, distribution="fixed", policy=PolicyConfig(**config), **how)
+    run = RunConfig(interactions=4, distribution="fixed", policy=PolicyConfig(**config), **({"query_length": 2} | how))
     return L.play(data, run, spark.createDataFrame(SERIES, "run_id int, pos int, local_id string"), **extra).orderBy("interaction").collect()
 
 
@@ -56,7 +56,8 @@ def test_one_by_one_is_the_sequential_order(spark, data):
         assert model.fit(np.array([vectors[k] for k in best]), np.array(y)) == pytest.approx(r.loss)
 
 
-@pytest.mark.parametrize("how", [{"model": "hybrid", "window_size": 1, "rr_threshold": 1.0}, {"model": "neural", "hidden": (8,)}, {"model": "dataset_level", "supervised_term_borrowing": True, "external_feat_specific": True}, {"model": "dataset_level", "unsupervised_term_borrowing": True, "external_feat_specific_unsupervised": True, "p_thresh": 0.4}])
+@pytest.mark.parametrize("how", [{"model": "hybrid", "window_size": 1, "rr_threshold": 1.0}, {"model": "neural", "hidden": (8,)}, {"model": "dataset_level", "supervised_term_borrowing": True, "external_feat_specific": True}, {"model": "dataset_level", "unsupervised_term_borrowing": True, "external_feat_specific_unsupervised": True, "p_thresh": 0.4},
+                                 {"model": "hybrid", "window_size": 1, "rr_threshold": 1.0, "unsupervised_term_borrowing": True, "supervised_term_borrowing": True, "query_length": 3}, {"model": "neural", "hidden": (8,), "unsupervised_term_borrowing": True, "external_feat_specific_unsupervised": True, "query_length": 3}])
 def test_other_policies_run(spark, data, how):
     log = play(spark, data, batch=2, **how)
     assert [r.interaction for r in log] == [1, 2, 3, 4] and all(0 <= r.rr <= 1 and len(r.query) >= 1 for r in log)
@@ -64,14 +65,46 @@ def test_other_policies_run(spark, data, how):
 
 def test_hybrid_moves_samples():
     p = HybridPolicy(PolicyConfig(window_size=1, rr_threshold=0.5))
-    x = [{"id": "e", "is_external": False, "x": [1.0, 2.0], "y": 0.0}, {"id": "f", "is_external": False, "x": [0.0, 1.0], "y": 1.0}]
-    p.update(x)
-    for i, (who, y) in enumerate([("e", 0.0), ("e", 0.0)]):
-        p.observe(i, who, [y])
+    x = [{"interaction": 1, "id": "e", "is_external": False, "x": [1.0, 2.0], "y": 0.0}, {"interaction": 2, "id": "f", "is_external": False, "x": [0.0, 1.0], "y": 1.0}]
+    p.learn(x)
+    p.observe(3, "e", [0.0])
+    p.observe(4, "e", [0.0])
     p.split(["e", "f"])
     assert set(p.own) == {"e"} and np.allclose(p.local.a, np.eye(2) + np.outer([0, 1], [0, 1])) and np.allclose(p.own["e"].a, np.eye(2) + np.outer([1, 2], [1, 2]))
 
 
+def test_sent_share_and_borrowing(spark, data):
+    """Words of an entity are its own and, once offered, those it borrowed without supervision: b:1 has sent 2 of 3 after one query
+    of two terms, all 3 after one of three; then the two terms it borrowed from d:1 count too."""
+    for length, borrowed in ((2, None), (3, {"b:1"})):
+        run = RunConfig(interactions=4, query_length=length, distribution="fixed", batch=1, policy=PolicyConfig(unsupervised_term_borrowing=True, external_feat_specific_unsupervised=True))
+        loop = L.Loop(data, make("dataset_level", run.policy), run)
+        batch = spark.createDataFrame([(1, "b:1")], "interaction long, local_id string")
+        loop.round(batch, 1)
+        found = loop.state.unsupervised
+        assert (found and {r.local_id for r in found.collect()}) == borrowed
+        assert {r.keyword: r.sent for r in loop.state.sent.collect()} == {k: True for k in ("alpha", "beta", "common")} if length == 3 else sum(r.sent for r in loop.state.sent.collect()) == 2
+    offered = loop.candidates(spark.createDataFrame([("b:1",)], "id string"))
+    assert {r.keyword for r in offered.filter("is_external").collect()} == {"say"} or {r.keyword for r in offered.filter("is_external").collect()} == {"say", "again"}
+    loop.round(batch, 2)
+    sent = {r.keyword: r.sent for r in loop.state.sent.collect()}
+    assert sent.keys() > {"alpha", "beta", "common"} and all(sent[k] for k in ("alpha", "beta", "common")) and loop.policy.external.is_fitted
+
+
+def test_distributed_sums_are_those_of_the_samples(spark):
+    draw = np.random.default_rng(0)
+    x, y = draw.random((40, 3)), draw.random(40)
+    rows = [(i, f"e{i}", 1, "k", i % 2 == 0, x[i].tolist() if i % 2 else x[i, :2].tolist(), float(y[i])) for i in range(40)]
+    policy = make("dataset_level", PolicyConfig())
+    df = spark.createDataFrame(rows, "interaction long, id string, pos int, keyword string, is_external boolean, x array<double>, y double").repartition(4)
+    one, two = LinUCB(0.2), LinUCB(0.2)
+    for _ in range(2):
+        got = policy.update(df)
+        want = np.mean([one.fit(x[1::2], y[1::2]), two.fit(x[::2, :2], y[::2])])
+        assert got == pytest.approx(want)
+    assert np.allclose(policy.local.theta, one.theta) and np.allclose(policy.external.theta, two.theta)
+
+
 def test_draws_and_progress(spark, data):
     for distribution in ("uniform", "zipfian"):
         run = RunConfig(interactions=30, query_length=1, distribution=distribution, model="idf", batch=30, average_runs=2)

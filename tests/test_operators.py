@@ -206,3 +206,52 @@ def test_preparation(spark):
     v = spark.createDataFrame([("i", n, [float(n), 1.0]) for n in range(5)], "id string, pos int, vector array<double>")
     assert neural.mean_pool(v, p).first().vector == [2.0, 1.0]
     assert neural.attribute_ids(["x", "y"]) == {"x": 0, "y": 1}
+
+
+def test_short_texts_are_found_without_comparing_all(spark):
+    from querysmith.plans.dataset import contained
+
+    local = [(str(i), t) for i, t in enumerate(["ab", "b c", "one two three", "x", " ", "", None, "ü w", "zz zz", "two", "cd ", "e\tf"])]
+    docs = [(f"d{i}", t) for i, t in enumerate(["ab cd e", "cab cd", "say one two three", "one  two three", "x", "", None, "grüß wü walt", "b c", "two words", "zz zzz", "e\tf", "ex zz"])]
+    got = contained(spark.createDataFrame(local, "id string, text string"), spark.createDataFrame(docs, "id string, text string")).collect()
+    assert {(r.local_id, r.external_id) for r in got} == {(i, j) for i, t in local for j, d in docs if t and d is not None and t in d}
+
+
+def test_quantile_edges_against_numpy(spark):
+    draw = np.random.default_rng(2)
+    for values in (draw.normal(size=501).round(1).tolist(), [3.0], [1.0, 2.0], [5.0] * 9):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(3)
+        want = sorted({float(q) for q in np.quantile(values, [i / 7 for i in range(8)])})
+        assert np.allclose(buckets.quantile_edges(df, "v", 7), want)
+    assert buckets.quantile_edges(df.limit(0), "v", 7) == []
+
+
+def test_running_mean_of_one_log(spark):
+    rows = [(i, float(i % 7)) for i in range(1, 200)]
+    out = evaluate.running_mean(spark.createDataFrame(rows, "interaction long, rr double").repartition(5), every=10).collect()
+    assert len(out) == 19 and all(abs(r.running_rr - sum(v for i, v in rows[: r.interaction]) / r.interaction) < 1e-12 for r in out)
+
+
+def test_neural_inputs(spark):
+    """Attributes, vectors of terms from sub-words, and short vectors of borrowed terms side by side."""
+    from querysmith.config import PolicyConfig
+    from querysmith.plans.policies import make
+
+    candidates = spark.createDataFrame([("e", "run", "a", False, [1.0, 2.0, 3.0]), ("e", "far", "b", False, [4.0, 5.0, 6.0]), ("e", "say", "a", True, [7.0])], "id string, keyword string, attr string, is_external boolean, x array<double>")
+    plain = make("neural", PolicyConfig(attribute_encoding=True))
+    assert {r.keyword: r.x for r in plain.inputs(candidates).collect()} == {"run": [1, 0, 1, 2, 3], "far": [0, 1, 4, 5, 6], "say": [1, 0, 7, 0, 0]}
+    sequences = spark.createDataFrame([("e", [5, 6, 7, 5])], "id string, sequence array<int>")
+    patterns = spark.createDataFrame([("e", "run", [5]), ("e", "far", [6, 7]), ("e", "say", [9])], "id string, keyword string, pattern array<int>")
+    places = spark.createDataFrame([("e", i, [float(i), 1.0]) for i in range(4)], "id string, pos int, vector array<double>")
+    deep = make("neural", PolicyConfig(attribute_encoding=False), subwords=(sequences, patterns, places))
+    assert {r.keyword: r.x for r in deep.inputs(candidates).collect()} == {"run": [1.5, 1, 1, 2, 3], "far": [1.5, 1, 4, 5, 6]}
+
+
+def test_draws_depend_on_nothing_but_their_seed(spark):
+    ids = spark.createDataFrame([(f"e{i}", i, i / 10) for i in range(30)], "id string, ord int, score double")
+    one, two = (sampling.uniform_draws(ids.repartition(n), 200, 7).orderBy("interaction").collect() for n in (1, 6))
+    assert one == two and 15 < len({r.local_id for r in one}) and one != sampling.uniform_draws(ids, 200, 8).orderBy("interaction").collect()
+    assert sampling.replay_sample(ids.repartition(5), 4, 1).collect() == sampling.replay_sample(ids.coalesce(1), 4, 1).collect()
+    many = ids.select(F.lit("k").alias("id"), "ord", "score")
+    first = [r.ord for r in sampling.epsilon_greedy(many, 30, 0.5, 3).orderBy("pos").collect()]
+    assert sorted(first) == list(range(30)) and first != list(range(29, -1, -1))
