@@ -71,6 +71,23 @@ def truncated(sequence: Column, most: int = 4094, prefix: int = 0) -> Column:
     return F.slice(sequence, 1, max(0, most - prefix))
 
 
+def subword_ids(text: Column, path: str, lead: bool = True) -> Column:
+    """The ids of a text's sub-words by the tokenizer file at `path`, which executors must see under that name; with `lead`, as of a
+    text inside another (a space before it). A null text has none. Texts are encoded whole, in batches; a worker reads the file once."""
+
+    @F.pandas_udf("array<int>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        for batch in batches:
+            known = batch.fillna("")
+            found = tokenizer.encode_batch([" " + t if lead and t else t for t in known], add_special_tokens=False)
+            yield pd.Series([e.ids for e in found], dtype=object)
+
+    return encode(text.cast("string"))
+
+
 def matches_at(sequence: Column, pattern: Column) -> Column:
     """Starts (from 0) at which a token sequence holds a pattern."""
     starts = F.sequence(F.lit(0), F.size(sequence) - F.size(pattern))

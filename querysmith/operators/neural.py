@@ -15,13 +15,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import matches_at, truncated
+from ..functions.text import matches_at, subword_ids, truncated
 
 
 def attribute_ids(attrs: list[str]) -> dict[str, int]:
     return {a: i for i, a in enumerate(attrs)}
 
 
+def tokenized(entities: DataFrame, terms: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """What `prepare` takes, (id, sequence) and (id, keyword, pattern), by the tokenizer file at `path`.
+
+    entities: (id, text), terms: (id, keyword). A term's pattern is that of a word after a space; each keyword is encoded once.
+    """
+    patterns = terms.select("keyword").distinct().withColumn("pattern", subword_ids(F.col("keyword"), path))
+    return entities.select("id", subword_ids(F.col("text"), path).alias("sequence")), terms.select("id", "keyword").join(patterns, "keyword").select("id", "keyword", "pattern")
+
+
 def prepare(entities: DataFrame, terms: DataFrame, most: int = 4094, prefix: int = 0) -> DataFrame:
     """(id, keyword, positions): where a term's sub-words are in an entity's sub-word sequence. Terms that aren't found go.
 

@@ -247,6 +247,25 @@ def test_neural_inputs(spark):
     assert {r.keyword: r.x for r in deep.inputs(candidates).collect()} == {"run": [1.5, 1, 1, 2, 3], "far": [1.5, 1, 4, 5, 6]}
 
 
+def test_subwords_of_a_tokenizer_file(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    texts = [("e", "the runner runs far, the runner"), ("n", None), ("z", ""), ("é", "naïve 漢字 " * 3000)]
+    terms = [("e", "runner"), ("e", "absent"), ("é", "漢字"), ("n", "runner"), ("z", "runner")]
+    entities = spark.createDataFrame(texts, "id string, text string").repartition(3)
+    sequences, patterns = neural.tokenized(entities, spark.createDataFrame(terms, "id string, keyword string"), path)
+    own = tokenizers.Tokenizer.from_file(path)
+    ids = {i: own.encode(" " + t, add_special_tokens=False).ids if t else [] for i, t in texts}
+    assert {r.id: r.sequence for r in sequences.collect()} == ids
+    assert {(r.id, r.keyword): r.pattern for r in patterns.collect()} == {(i, k): own.encode(" " + k, add_special_tokens=False).ids for i, k in terms}
+    found = {(r.id, r.keyword): r.positions for r in neural.prepare(sequences, patterns).collect()}
+    assert found.keys() == {("e", "runner"), ("é", "漢字")}
+    at = found["e", "runner"]
+    assert own.decode([ids["e"][i] for i in at]).split() == ["runner", "runner"]
+    empty = neural.tokenized(entities.limit(0), patterns.limit(0).select("id", "keyword"), path)
+    assert [df.count() for df in empty] == [0, 0]
+
+
 def test_draws_depend_on_nothing_but_their_seed(spark):
     ids = spark.createDataFrame([(f"e{i}", i, i / 10) for i in range(30)], "id string, ord int, score double")
     one, two = (sampling.uniform_draws(ids.repartition(n), 200, 7).orderBy("interaction").collect() for n in (1, 6))
