@@ -90,6 +90,12 @@ def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[f"mix.{c}" for c in ("size", "source_size", "target", "taken", "copies", "rate")])
 
 
+def op12_peak_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .concurrency import open_sales
+
+    return open_sales(table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "clients"), grid=60, days=7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture_packing": op1_mixture_packing,
     "op2_line_first_rules": op2_line_first_rules,
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_page_differencing": op8_page_differencing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_entropy_mixing": op10_entropy_mixing,
+    "op12_peak_sweep": op12_peak_sweep,
 }
 
 _BASE32 = "".join(f" || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(hex, {1 + 5 * g}, 5))::BIGINT // {32 ** (3 - k)} % 32)::INT, 1)" for g in range(8) for k in range(4)).removeprefix(" || ")
@@ -148,4 +155,16 @@ WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op12_peak_sweep": """
+WITH ends AS (SELECT sale_id, epoch(date_trunc('minute', min(shipped_at)))::BIGINT + 7 * 86400 AS stop FROM sale_lines GROUP BY sale_id),
+own AS (SELECT client_id, min(nation_id) AS nation FROM clients GROUP BY client_id),
+s AS (SELECT coalesce(own.nation, -1) AS nation, epoch(date_trunc('minute', sold_at))::BIGINT AS start, stop, coalesce(floor(100 * total + 0.5), 0)::BIGINT AS cents
+      FROM sales LEFT JOIN ends USING (sale_id) LEFT JOIN own USING (client_id) WHERE sold_at IS NOT NULL),
+i AS (SELECT * FROM s WHERE stop IS NULL OR stop > start),
+e AS (SELECT nation, start AS moment, 1 AS n, cents FROM i UNION ALL SELECT nation, stop, -1, -cents FROM i WHERE stop IS NOT NULL),
+b AS (SELECT nation, moment, n, cents FROM e UNION ALL SELECT -2, moment, n, cents FROM e),
+m AS (SELECT nation, moment, sum(n) AS n, sum(cents) AS cents FROM b GROUP BY nation, moment HAVING sum(n) <> 0 OR sum(cents) <> 0),
+r AS (SELECT nation, moment, lead(moment) OVER w AS until, sum(n) OVER w AS n, sum(cents) OVER w AS cents FROM m WINDOW w AS (PARTITION BY nation ORDER BY moment)),
+h AS (SELECT *, max(n) OVER (PARTITION BY nation ORDER BY moment) AS high, max(cents) OVER (PARTITION BY nation) AS top FROM r)
+SELECT nation::INTEGER AS nation_id, moment AS from_s, until AS to_s, n::BIGINT AS n_open, cents::BIGINT AS open_cents, high::BIGINT AS high_open, cents = top AS is_peak FROM h""",
 }
