@@ -90,6 +90,16 @@ def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[f"mix.{c}" for c in ("size", "source_size", "target", "taken", "copies", "rate")])
 
 
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import decode, encode
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = decode(encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"]), path)
+    return coded.select("doc_id", "bpe.n_tokens", F.sha2("bpe.ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op12_peak_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .concurrency import open_sales
 
@@ -107,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_page_differencing": op8_page_differencing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_entropy_mixing": op10_entropy_mixing,
+    "op11_bpe_round_trip": op11_bpe_round_trip,
     "op12_peak_sweep": op12_peak_sweep,
 }
 
