@@ -106,6 +106,12 @@ def op12_peak_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return open_sales(table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "clients"), grid=60, days=7)
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), most=2000, longest=4, least=30, cover=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture_packing": op1_mixture_packing,
     "op2_line_first_rules": op2_line_first_rules,
@@ -119,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_entropy_mixing": op10_entropy_mixing,
     "op11_bpe_round_trip": op11_bpe_round_trip,
     "op12_peak_sweep": op12_peak_sweep,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 _BASE32 = "".join(f" || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(hex, {1 + 5 * g}, 5))::BIGINT // {32 ** (3 - k)} % 32)::INT, 1)" for g in range(8) for k in range(4)).removeprefix(" || ")
@@ -178,4 +185,24 @@ m AS (SELECT nation, moment, sum(n) AS n, sum(cents) AS cents FROM b GROUP BY na
 r AS (SELECT nation, moment, lead(moment) OVER w AS until, sum(n) OVER w AS n, sum(cents) OVER w AS cents FROM m WINDOW w AS (PARTITION BY nation ORDER BY moment)),
 h AS (SELECT *, max(n) OVER (PARTITION BY nation ORDER BY moment) AS high, max(cents) OVER (PARTITION BY nation) AS top FROM r)
 SELECT nation::INTEGER AS nation_id, moment AS from_s, until AS to_s, n::BIGINT AS n_open, cents::BIGINT AS open_cents, high::BIGINT AS high_open, cents = top AS is_peak FROM h""",
+    "op13_phrase_collocations": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT rid, lang, generate_subscripts(l, 1) AS piece, unnest(l) AS text FROM (SELECT rid, lang, regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]') AS l FROM d)),
+w AS (SELECT rid, lang, piece, generate_subscripts(l, 1) AS pos, unnest(l) AS word FROM (SELECT rid, lang, piece, regexp_extract_all(text, '[^\x20\x09]+') AS l FROM p)),
+g AS (SELECT lang, word AS w1, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3, lead(word, 3) OVER o AS w4 FROM w WINDOW o AS (PARTITION BY rid, piece ORDER BY pos)),
+f AS (SELECT lang, phrase, size, count(*) AS f FROM (
+        SELECT lang, w1 AS phrase, 1 AS size FROM g UNION ALL SELECT lang, w1 || ' ' || w2, 2 FROM g WHERE w2 IS NOT NULL
+        UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, 3 FROM g WHERE w3 IS NOT NULL UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, 4 FROM g WHERE w4 IS NOT NULL
+      ) AS x GROUP BY lang, phrase, size),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND f >= 30),
+cut AS (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS lw, array_to_string(ws[k + 1:size], ' ') AS rw FROM c, range(1, 4) t(k) WHERE k < size),
+s AS (SELECT cut.lang, cut.phrase, a, k, x.f AS l, y.f AS r, (2000000 * a::HUGEINT // (x.f::HUGEINT + y.f))::BIGINT AS score
+      FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = lw JOIN f y ON y.lang = cut.lang AND y.phrase = rw),
+m AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM s),
+i AS (SELECT lang, a AS longer, array_to_string(ws[b:b + k - 1], ' ') AS phrase FROM c, range(2, 4) t(k), range(1, 4) u(b) WHERE k < size AND b + k - 1 <= size),
+j AS (SELECT lang, phrase, max(longer) AS longer FROM i GROUP BY lang, phrase),
+o AS (SELECT m.lang, m.phrase, a, l, r, score FROM m LEFT JOIN j ON j.lang = m.lang AND j.phrase = m.phrase WHERE nth = 1 AND (longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT)),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT q.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM q JOIN n ON n.lang = q.lang WHERE rank <= 2000""",
 }
