@@ -93,6 +93,11 @@ def _apart(absent: Column, *of: str) -> Column:
     return F.when(absent, 1 + F.pmod(F.xxhash64(*of), F.lit(SPREAD))).otherwise(F.lit(0).cast("long"))
 
 
+def _together(key: str) -> Column:
+    """The second key of rows that are joined by `key`: 0, but not as a constant, which Spark would take out of the join's keys."""
+    return F.pmod(F.xxhash64(key), F.lit(1))
+
+
 def _with_nation(sales: DataFrame, clients: DataFrame) -> DataFrame:
     """Sales with `nation`, null if it isn't known."""
     known = clients.select("client_id", "nation_id").filter("client_id is not null").groupBy("client_id").agg(F.min("nation_id").cast("int").alias("nation"))
@@ -102,7 +107,7 @@ def _with_nation(sales: DataFrame, clients: DataFrame) -> DataFrame:
     hot = F.broadcast(often).join(known, "client_id", "left").select(F.col("client_id").alias("hot_id"), F.col("nation").alias("hot_nation"))
     rows = sales.join(F.broadcast(hot), F.col("client_id") == F.col("hot_id"), "left")
     rows = rows.withColumn("apart", _apart(F.col("client_id").isNull() | F.col("hot_id").isNotNull(), "sale_id", "start", "cents"))
-    rows = rows.join(known.withColumn("apart", F.lit(0).cast("long")), ["client_id", "apart"], "left")
+    rows = rows.join(known.withColumn("apart", _together("client_id")), ["client_id", "apart"], "left")
     return rows.withColumn("nation", F.coalesce("hot_nation", "nation")).drop("hot_id", "hot_nation", "apart")
 
 
@@ -115,7 +120,7 @@ def intervals(sales: DataFrame, lines: DataFrame, clients: DataFrame, grid: int
     cents = F.when(F.abs(amount) < float(1 << 62), F.floor(amount)).otherwise(F.lit(0))
     rows = sales.select("sale_id", "client_id", seconds("sold_at", kinds["sold_at"], grid).alias("start"), cents.cast("long").alias("cents")).filter("start is not null")
     rows = _with_nation(rows, clients).withColumn("apart", _apart(F.col("sale_id").isNull(), "client_id", "start", "cents"))
-    rows = rows.join(ends.withColumn("apart", F.lit(0).cast("long")), ["sale_id", "apart"], "left").filter("end is null or end > start")
+    rows = rows.join(ends.withColumn("apart", _together("sale_id")), ["sale_id", "apart"], "left").filter("end is null or end > start")
     return rows.select(F.coalesce("nation", F.lit(UNKNOWN)).alias("nation"), "start", "end", "cents")
 
 
