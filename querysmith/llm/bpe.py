@@ -17,18 +17,21 @@ import re
 import sys
 import types
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .common import fresh
 
 #: Runs of characters that are kept with their ids by each process, and the characters that they may have in all.
-KEPT, KEPT_CHARS = 1 << 19, 1 << 25
+KEPT, KEPT_CHARS = 1 << 18, 1 << 24
 
-#: Characters of a text that are worked on at a time.
-BLOCK = 1 << 20
+#: Characters of a text that are worked on at a time, and of rows that leave together.
+BLOCK, PART = 1 << 20, 1 << 22
 
 #: Slots for tested pairs.
 _SLOTS = 1 << 20
@@ -366,21 +369,44 @@ def vocabulary(path: str) -> Vocabulary:
     return kept[key]
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "bpe", keep: list[str] | None = None) -> DataFrame:
-    """Adds a struct `out`: ids (binary, little-endian unsigned 32-bit) and n_tokens of whole texts, and keeps the columns `keep` (all).
+def _run(path: str, decoded: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path)
 
-    The ids are those of the tokenizers library without special tokens of its own; the strings of special tokens inside a text are
-    those tokens. A null text is empty. A column named like `out` gives its name to neither: an underscore is put before ours.
-    Repeated rows are encoded each; an empty table stays empty.
-    """
+        def coded(rows: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+            ids = vocab.encode(texts)
+            own = {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64())}
+            if decoded:
+                own["decoded"] = pa.array([vocab.decode(i) for i in ids], pa.string())
+            return pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.StructArray.from_arrays(list(own.values()), list(own))], rows.schema.names)
+
+        for batch in batches:
+            at, size, texts = 0, 0, []
+            for i, text in enumerate(batch.column(batch.num_columns - 1), 1):
+                texts.append(text.as_py() or "")
+                size += len(texts[-1])
+                if size >= PART:  # so that a batch of long texts isn't held several times over
+                    yield coded(batch.slice(at, i - at), texts)
+                    at, size, texts = i, 0, []
+            if texts:
+                yield coded(batch.slice(at), texts)
 
-    @F.pandas_udf("ids binary, n_tokens long")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        ids = vocabulary(path).encode([text or "" for text in texts])
-        return pd.DataFrame({"ids": ids, "n_tokens": [len(i) // 4 for i in ids]})
+    return run
 
-    kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
-    return docs.select(*kept, run(F.col(f"`{text_col}`").cast("string")).alias(fresh(docs, out)))
+
+def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "bpe", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
+    """Adds a struct `out` to the columns `keep` (all): ids (binary, little-endian unsigned 32-bit) and n_tokens of whole texts, and with
+    `decoded` what `decode` gives of the ids.
+
+    The ids are those of the tokenizers library without special tokens of its own; the strings of special tokens inside a text are
+    those tokens. A null text is empty. If a column is named like `out`, an underscore is put before ours. Repeated rows are encoded
+    each; an empty table stays empty.
+    """
+    own, name = docs.columns if keep is None else keep, fresh(docs, out)
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text_col}`").cast("string").alias(name))
+    kinds = {"ids": BinaryType(), "n_tokens": LongType()} | ({"decoded": StringType()} if decoded else {})
+    coded = StructField(name, StructType([StructField(*field) for field in kinds.items()]))
+    return rows.mapInArrow(_run(path, decoded), StructType([*rows.schema.fields[:-1], coded]))
 
 
 def decode(rows: DataFrame, path: str, ids: str = "bpe.ids", out: str = "decoded") -> DataFrame:

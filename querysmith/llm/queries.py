@@ -93,11 +93,10 @@ def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .bpe import decode, encode
+    from .bpe import encode
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    coded = decode(encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"]), path)
-    return coded.select("doc_id", "bpe.n_tokens", F.sha2("bpe.ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    coded = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"], decoded=True)
+    return coded.select("doc_id", "bpe.n_tokens", F.sha2("bpe.ids", 256).alias("ids_sha256"), F.sha2(F.col("bpe.decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op12_peak_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:

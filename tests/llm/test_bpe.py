@@ -103,6 +103,8 @@ def test_columns_and_odd_rows(spark, library):
     got = [(r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist(), r["n_tokens"], r["decoded"]) for r in bpe.decode(found.select("doc_id", "_bpe.*"), PATH, "ids").collect()]
     hello = library.encode("Hello World", add_special_tokens=False).ids
     assert sorted(got, key=str) == sorted([(1, hello, 2, "hello</w> world</w>")] * 2 + [(None, [], 0, ""), (4, [], 0, "")], key=str)
+    both = bpe.encode(docs, PATH, keep=["doc_id"], decoded=True).select("doc_id", "_bpe.*").collect()
+    assert sorted((str(r["doc_id"]), r["decoded"]) for r in both) == sorted((str(r[0]), r[3]) for r in got)
     assert bpe.decode(bpe.encode(docs.limit(0), PATH), PATH, "_bpe.ids").count() == 0
 
 
