@@ -1,225 +1,282 @@
 """Phrases that hang together: frequent n-grams by level-wise passes, cuts scored from the levels' tables.
 
-A phrase can only be frequent if its two parts that are a word shorter are (Apriori), so pass k reads the texts again and counts only
-phrases of k words whose overlapping parts of k - 1 words came out frequent of the pass before. Those are sent along to the tasks:
-as a set of their own while their bytes are at most BOUND, and beyond that as a table of bits of at most BOUND bytes, in which none
-is missing and a few others are counted in vain. Counts are exact either way, as what was counted in vain fails the threshold.
-Tasks count in numbers of their own (a number a word and language, pairs of numbers a phrase) and hand over sums of blocks.
+A phrase can only be frequent if its two parts that are a word shorter are (Apriori), so pass k counts only phrases of k words whose
+overlapping parts of k - 1 words came out frequent of the pass before. Those are sent along to the tasks: as sorted numbers while they
+have at most BOUND bytes, and beyond that as a table of bits of BOUND bytes, in which none is missing and a few others are counted
+in vain. Counts are exact either way, as what was counted in vain fails the threshold.
+
+The first pass counts words. Frequent ones get a number, of their language each, and the texts are written once as numbers, with
+breaks where a piece ends or a word isn't frequent; the passes for longer phrases read those. If the dictionary is larger than BOUND,
+it goes through the texts part by part. Tasks count block by block and hand over sums.
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ranked, written
 
-#: What separates pieces; words are what spaces and tabs leave.
-PIECE = re.compile(rb"[.,;:!?\n-\r]")
-
 #: Language of texts without one.
 NONE = "und"
 
-#: Bytes of frequent phrases that are sent along as they are, and of the table of bits that stands for more.
+#: Bytes of a dictionary or of frequent phrases that are sent along at a time, and of the table of bits that stands for more.
 BOUND = 1 << 25
 
-#: Words that are counted together, sums that a task holds back, words that it has numbers for.
-BLOCK, HELD, WORDS = 1 << 20, 1 << 22, 1 << 21
+#: Numbers that are counted together, sums that a task holds back, words that it counts before it hands them over.
+BLOCK, HELD, WORDS = 1 << 19, 1 << 20, 1 << 18
 
-#: Bits of one of Spark's bitmaps; bytes of a long text that are split at a time.
-_BITS, _PART = 1 << 15, 1 << 24
+#: Bits of one of Spark's bitmaps.
+_BITS = 1 << 15
 
+#: A-Z in lower case; what separates pieces as line ends (_PIECES) or as spaces (_WORDS), tabs as spaces.
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_ENDS = b".,;:!?\n\x0b\x0c\r"
+_PIECES = bytes(10 if b in _ENDS else 32 if b == 9 else _LOWER[b] for b in range(256))
+_WORDS = bytes(32 if b in _ENDS or b == 9 else _LOWER[b] for b in range(256))
 
-def _hash(lang: bytes, phrase: bytes) -> int:
-    """Spark's xxhash64 of two strings, unsigned."""
-    import xxhash
 
-    return xxhash.xxh64_intdigest(phrase, xxhash.xxh64_intdigest(lang, 42))
+def _texts(batch: pa.RecordBatch, table: bytes) -> Iterator[tuple[str, bytes]]:
+    for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
+        yield lang.as_py(), text.as_py().encode().translate(table)
 
 
-class _Frequent:
-    """Which phrases of a level are frequent: sets by language, or bits."""
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: dict[str, Counter] = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for lang, own in counts.items():
+            words = pa.array(list(own), pa.binary()).cast(pa.string())
+            yield pa.record_batch([pa.array([lang] * len(own), pa.string()), words, pa.array(list(own.values()), pa.int64())], ["lang", "phrase", "f"])
+        counts.clear()
+
+    for batch in batches:
+        for lang, text in _texts(batch, _WORDS):
+            words = text.split(b" ")
+            counts.setdefault(lang, Counter()).update(words)
+            counts[lang].pop(b"", None)
+            if sum(map(len, counts.values())) > WORDS:
+                yield from rows()
+    yield from rows()
 
-    def __init__(self, sent: dict):
-        self.bits, self.size = sent.get("bits"), sent.get("size", 0)
-        self.known = {lang: frozenset(phrases) for lang, phrases in sent.get("known", {}).items()}
-
-    def has(self, lang: bytes, phrase: bytes) -> bool:
-        if self.bits is None:
-            return phrase in self.known.get(lang, ())
-        at = (_hash(lang, phrase) & (1 << 63) - 1) % self.size
-        return bool(self.bits[at >> 3] >> (at & 7) & 1)
-
-
-class _Words(dict):
-    """Numbers of words of a language; -1 for those that aren't frequent, if that is known."""
-
-    def __init__(self, lang: bytes, frequent: _Frequent | None):
-        super().__init__()
-        self.lang, self.frequent, self.names = lang, frequent, []
-
-    def __missing__(self, word: bytes) -> int:
-        number = -1
-        if self.frequent is None or self.frequent.has(self.lang, word):
-            number = len(self.names)
-            self.names.append(word)
-        self[word] = number
-        return number
-
-
-class _Counter:
-    """Counts phrases of k words, block by block. sent: what came out frequent of the levels before."""
-
-    def __init__(self, k: int, sent: list[dict]):
-        self.k, self.frequent = k, [_Frequent(s) for s in sent]
-        self.reset()
-
-    def reset(self) -> None:
-        self.numbers: dict[bytes, _Words] = {}
-        self.open: dict[bytes, list[int]] = {}
-        self.sums: dict[bytes, list] = {}
-        self.pending = 0
-
-    def add(self, lang: bytes, text: bytes) -> Iterator[tuple[list, list, list]]:
-        if lang not in self.numbers:
-            self.numbers[lang], self.open[lang] = _Words(lang, self.frequent[0] if self.frequent else None), []
-        numbers = self.numbers[lang]
-        for piece in _pieces(text):
-            own = self.open[lang]
-            own += [numbers[word] for word in piece.split()]
-            own.append(-1)
-            if len(own) >= BLOCK:
-                self.count(lang)
-        if self.pending > HELD or sum(map(len, self.numbers.values())) > WORDS:
-            yield from self.flush()
-
-    def count(self, lang: bytes) -> None:
-        """Sums of the phrases in a block, as rows of word numbers with a count."""
-        import numpy as np
 
-        x = np.array(self.open[lang], np.int64)
-        self.open[lang] = []
-        at = np.flatnonzero(x >= 0)
-        code = x[at]
-        for size in range(2, self.k + 1):
-            # A number for each phrase of size - 1 words; where two follow each other and both are frequent, they make one of size words.
-            _, first, number = np.unique(code, return_index=True, return_inverse=True)
-            follows = np.flatnonzero(at[1:] == at[:-1] + 1)
-            if size > 2:  # words that aren't frequent have no number
-                ok = self.has(lang, x, at[first], size - 1)
-                follows = follows[ok[number[follows]] & ok[number[follows + 1]]]
-            at, code = at[follows], (number[follows] << 32) | x[at[follows] + size - 1]
-        _, first, n = np.unique(code, return_index=True, return_counts=True)
-        if len(n):
-            self.sums.setdefault(lang, []).append((np.stack([x[at[first] + i] for i in range(self.k)], axis=1), n))
-            self.pending += len(n)
-            if self.pending > HELD:
-                self.merge()
-
-    def has(self, lang: bytes, x, at, size: int):
-        """Which phrases of `size` words, each seen at a place of x, are frequent."""
+def _number(part: Broadcast, first: bool, last: bool):
+    """Texts to numbers of the words in a part of the dictionary, beside those of the parts before; -1 for others and where a piece ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        names, has = self.numbers[lang].names, self.frequent[size - 1].has
-        spelled = zip(*[x[at + i].tolist() for i in range(size)], strict=True)
-        return np.fromiter((has(lang, b" ".join([names[i] for i in words])) for words in spelled), bool, len(at))
+        # An empty word is between two spaces and is left out.
+        known = {lang: dict(zip([*words, b""], [*numbers, -2], strict=True)).get for lang, (words, numbers) in part.value.items()}
+        none = {b"": -2}.get
+        for batch in batches:
+            out = []
+            for i, (lang, text) in enumerate(_texts(batch, _PIECES)):
+                words = text.replace(b"\n", b" \n ").split(b" ")
+                x = np.fromiter(map(known.get(lang, none), words, repeat(-1)), np.int32, len(words))
+                x = np.append(x[x != -2], np.int32(-1))
+                out.append((x if first else np.maximum(x, np.frombuffer(batch.column("x")[i].as_py(), np.int32))).tobytes())
+            columns = {"x": pa.array(out, pa.binary())}
+            yield pa.RecordBatch.from_pydict(columns if last else {"lang": batch.column("lang"), "text": batch.column("text"), **columns})
+
+    return run
+
 
-    def merge(self) -> None:
-        """One row for each phrase of what is held back."""
+def _mix(values, seed):
+    """Spark's xxhash64 of whole numbers."""
+    import numpy as np
+
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, n: (v << np.uint64(n)) | (v >> np.uint64(64 - n))
+    with np.errstate(over="ignore"):
+        h = (np.asarray(seed, np.uint64) + p5 + np.uint64(8)) ^ (turn(values.astype(np.uint64) * p2, 31) * p1)
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+
+def _keys(words: list) -> list:
+    """Numbers of a phrase's words as one or two keys."""
+    return [(words[i] << 32) | words[i + 1] if i + 1 < len(words) else words[i] for i in range(0, len(words), 2)]
+
+
+class _Frequent:
+    """Which phrases of a level are frequent: by sorted keys, or by bits."""
+
+    def __init__(self, sent: dict):
+        self.keys, self.bits, self.size = sent.get("keys"), sent.get("bits"), sent.get("size", 0)
+
+    def has(self, words: list):
+        """For each place whether the phrase there is; words: numbers of its first, second, ... word."""
         import numpy as np
 
-        self.pending = 0
-        for lang, parts in self.sums.items():
-            if len(parts) > 1:
-                rows, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                order = np.lexsort(rows.T[::-1])
-                rows = rows[order]
-                new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
-                self.sums[lang] = [(rows[new], np.add.reduceat(n[order], new))]
-            self.pending += sum(len(n) for _, n in self.sums[lang])
-
-    def flush(self) -> Iterator[tuple[list, list, list]]:
-        """(languages, phrases, counts) of all that was counted; forgets it."""
-        for lang in list(self.open):
-            self.count(lang)
-        self.merge()
-        for lang, parts in self.sums.items():
-            names = self.numbers[lang].names
-            for rows, n in parts:
-                for at in range(0, len(n), 1 << 16):
-                    part = rows[at : at + (1 << 16)]
-                    phrases = [b" ".join([names[i] for i in words]) for words in zip(*part.T.tolist(), strict=True)]
-                    yield [lang] * len(phrases), phrases, n[at : at + (1 << 16)].tolist()
-        self.reset()
-
-
-def _pieces(text: bytes) -> Iterator[bytes]:
-    """The pieces of a text; a long one is split part by part."""
-    at = 0
-    while len(text) - at > 2 * _PART and (cut := PIECE.search(text, at + _PART)):
-        yield from PIECE.split(text[at : cut.start()])
-        at = cut.end()
-    yield from PIECE.split(text[at:] if at else text)
+        keys = _keys(words)
+        if self.bits is not None:
+            h = np.uint64(42)
+            for key in keys:
+                h = _mix(key, h)
+            at = (h & np.uint64((1 << 63) - 1)) % np.uint64(self.size)
+            return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        low, high = np.zeros(len(keys[0]), np.int64), np.full(len(keys[0]), len(self.keys[0]))
+        for own, key in zip(self.keys, keys, strict=True):
+            # Keys are sorted by the first, then the second: the rows of a first key are a range, in which the second is searched.
+            low, high = _range(own, key, low, high)
+        return low < high
+
+
+def _range(own, key, low, high):
+    """Where a sorted part [low, high) of `own` has a key: its first place and the one after its last."""
+    import numpy as np
+
+    ends = []
+    for side in (0, 1):
+        a, b = low.copy(), high.copy()
+        while (todo := a < b).any():
+            mid = (a + b) >> 1
+            less = todo & ((own[np.minimum(mid, len(own) - 1)] < key) if side == 0 else (own[np.minimum(mid, len(own) - 1)] <= key))
+            a, b = np.where(less, mid + 1, a), np.where(todo & ~less, mid, b)
+        ends.append(a)
+    return ends
 
 
 def _count(k: int, sent: list[Broadcast]):
+    """Sums of the phrases of k words whose parts are frequent: their keys p and q (0 for two words) and how often they are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(part: tuple[list, list, list]) -> pa.RecordBatch:
-            langs, phrases, n = part
-            return pa.record_batch([pa.array(langs, pa.binary()).cast(pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "f"])
+        import numpy as np
 
-        counter = _Counter(k, [level.value for level in sent])
+        levels = [_Frequent(level.value) for level in sent]
+        held: list[tuple] = []
+
+        def phrases(x):
+            at = np.flatnonzero((x[:-1] >= 0) & (x[1:] >= 0))
+            for size in range(2, k):
+                at = at[levels[size - 2].has([x[at + i] for i in range(size)])]
+                at = at[:-1][at[1:] == at[:-1] + 1]
+            return _keys([x[at + i] for i in range(k)])
+
+        def sums(p, q, n):
+            order = np.lexsort((q, p))
+            p, q, n = p[order], q[order], n[order]
+            new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])])) if len(p) else np.zeros(0, np.int64)
+            return p[new], q[new], np.add.reduceat(n, new) if len(new) else n
+
+        def block(parts: list[bytes]) -> None:
+            keys = phrases(np.frombuffer(b"".join(parts), np.int32).astype(np.int64))
+            if k == 2:
+                p, n = np.unique(keys[0], return_counts=True)
+                held.append((p, np.zeros(len(p), np.int64), n))
+            else:
+                held.append(sums(*keys, np.ones(len(keys[0]), np.int64)))
+
+        def together() -> tuple:
+            return held[0] if len(held) == 1 else sums(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+        def rows(found: tuple) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(found[0]), 1 << 16):
+                yield pa.record_batch([pa.array(c[at : at + (1 << 16)], pa.int64()) for c in found], ["p", "q", "f"])
+
+        open_, size = [], 0
         for batch in batches:
-            for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
-                # Lower case of bytes is that of A-Z alone.
-                for part in counter.add((lang.as_py() or "").encode(), (text.as_py() or "").encode().lower()):
-                    yield rows(part)
-        for part in counter.flush():
-            yield rows(part)
+            for x in batch.column("x"):
+                open_.append(x.as_py())
+                size += len(open_[-1])
+                if size >= 4 * BLOCK:
+                    block(open_)
+                    open_, size = [], 0
+                    if sum(len(h[0]) for h in held) > HELD:
+                        held = [together()]
+                        if 2 * len(held[0][0]) > HELD:
+                            yield from rows(held[0])
+                            held = []
+        if open_:
+            block(open_)
+        if held:
+            yield from rows(together())
 
     return run
 
 
-def _sent(level: DataFrame, bound: int) -> Broadcast:
-    """A level's frequent phrases for the tasks: themselves if they have few bytes, else bits at their hashes."""
+def _sent(level: DataFrame, k: int, bound: int) -> Broadcast:
+    """A level's frequent phrases (p, q) for the tasks: their sorted keys if those have few bytes, else bits at their hashes."""
+    import numpy as np
+
     spark: SparkSession = level.sparkSession
-    size = level.agg(F.coalesce(F.sum(F.octet_length("phrase") + 64), F.lit(0))).first()[0]
-    if size <= bound:
-        known: dict[bytes, list[bytes]] = {}
-        for r in level.select("lang", "phrase").toLocalIterator():
-            known.setdefault(r["lang"].encode(), []).append(r["phrase"].encode())
-        return spark.sparkContext.broadcast({"known": known})
+    columns = ["p", "q"][: (k + 1) // 2]
+    if level.count() * 8 * len(columns) <= bound:
+        table = level.select(*columns).toArrow()
+        keys = [table.column(c).to_numpy() for c in columns]
+        order = np.lexsort(keys[::-1])
+        return spark.sparkContext.broadcast({"keys": [key[order] for key in keys]})
     total = max(bound * 8 // _BITS, 1) * _BITS
-    bit = F.pmod(F.xxhash64("lang", "phrase").bitwiseAND(F.lit((1 << 63) - 1)), F.lit(total))
+    bit = F.pmod(F.xxhash64(*columns).bitwiseAND(F.lit((1 << 63) - 1)), F.lit(total))
     maps = level.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / _BITS).alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % _BITS).alias("bits"))
-    table = bytearray(total // 8)
+    bits = np.zeros(total // 8, np.uint8)
     for r in maps.toLocalIterator():  # of fixed size, whatever the input
-        table[r["part"] * (_BITS // 8) : (r["part"] + 1) * (_BITS // 8)] = r["bits"]
-    return spark.sparkContext.broadcast({"bits": bytes(table), "size": total})
+        bits[r["part"] * (_BITS // 8) : (r["part"] + 1) * (_BITS // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return spark.sparkContext.broadcast({"bits": bits, "size": total})
+
+
+def _numbered(texts: DataFrame, words: DataFrame, bound: int) -> DataFrame:
+    """Texts as numbers of frequent words (lang, phrase, number), a part of at most `bound` bytes of the dictionary at a time."""
+    spark: SparkSession = texts.sparkSession
+    size = words.agg(F.coalesce(F.sum(F.octet_length("phrase") + 64), F.lit(0)), F.coalesce(F.max("number"), F.lit(0))).first()
+    parts = max(1, -(-size[0] // bound))
+    width, rows = size[1] // parts + 1, texts
+    for i in range(parts):
+        own: dict[str, tuple[list, list]] = {}
+        for r in words.filter(F.col("number").between(i * width, (i + 1) * width - 1)).toLocalIterator():
+            of = own.setdefault(r["lang"], ([], []))
+            of[0].append(r["phrase"].encode())
+            of[1].append(r["number"])
+        part = spark.sparkContext.broadcast(own)
+        last = i == parts - 1
+        rows = written(rows.mapInArrow(_number(part, i == 0, last), "x binary" if last else "lang string, text string, x binary"), "numbers")
+        part.destroy()
+    return rows
 
 
 def levels(docs: DataFrame, most: int = 4, least: int = 30, text_col: str = "text", lang_col: str = "lang", bound: int = BOUND) -> tuple[list[DataFrame], DataFrame]:
-    """([(lang, phrase, f)] of frequent phrases of 1 to `most` words, (lang, n) of all words)."""
+    """([(lang, phrase, f)] of frequent phrases of 1 to `most` words (4 at most), (lang, n) of all words)."""
+    if not 2 <= most <= 4:
+        raise ValueError("phrases have two to four words")
     texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NONE)).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("text <> ''")
-    out: list[DataFrame] = []
+    words = written(texts.mapInArrow(_count_words, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f")), "words")
+    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    first = written(ranked(words.filter(F.col("f") >= least), "lang", "phrase", name="number").withColumn("number", F.col("number") - 1), "phrases1")
+    x = _numbered(texts, first, bound)
+    found: list[DataFrame] = []
     sent: list[Broadcast] = []
-    totals = None
-    for k in range(1, most + 1):
-        counted = texts.mapInArrow(_count(k, sent), "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-        if k == 1:
-            counted = written(counted, "words")
-            totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
-        out.append(written(counted.filter(F.col("f") >= least), f"phrases{k}"))
+    for k in range(2, most + 1):
+        counted = x.mapInArrow(_count(k, sent), "p long, q long, f long").groupBy("p", "q").agg(F.sum("f").alias("f"))
+        found.append(written(counted.filter(F.col("f") >= least), f"phrases{k}"))
         if k < most:
-            sent.append(_sent(out[-1], bound))
+            sent.append(_sent(found[-1], k, bound))
     for level in sent:
         level.destroy()  # what was counted is written
-    return out, totals
+    return [first.select("lang", "phrase", "f"), *_spelled(found, first)], totals
+
+
+def _spelled(found: list[DataFrame], words: DataFrame) -> list[DataFrame]:
+    """Phrases (p, q, f) of 2, 3, ... words as (lang, phrase, f)."""
+    low = F.lit((1 << 32) - 1)
+    of = lambda key: [F.shiftright(key, 32), F.col(key).bitwiseAND(low)]
+    every = None
+    for k, level in enumerate(found, 2):
+        numbers = [*of("p"), *(of("q") if k == 4 else [F.col("q")] * (k - 2))]
+        rows = level.select(F.lit(k).alias("k"), "p", "q", "f", F.posexplode(F.array(*numbers)).alias("pos", "number"))
+        every = rows if every is None else every.unionByName(rows)
+    named = every.join(words.select("number", "lang", F.col("phrase").alias("word")), "number")
+    spelled = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda w: w["word"]), " ")
+    spelt = written(named.groupBy("k", "p", "q").agg(F.first("lang").alias("lang"), F.first("f").alias("f"), spelled.alias("phrase")), "spelled")
+    return [spelt.filter(F.col("k") == k).select("lang", "phrase", "f") for k in range(2, len(found) + 2)]
 
 
 def _wide(c: str) -> Column:
