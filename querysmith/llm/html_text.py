@@ -31,17 +31,19 @@ from pyspark.sql import types as T
 from .common import shuffle_partitions, written
 
 #: Elements that show no text of the page, those that hold a frame, and those whose content isn't markup.
-UNSEEN = frozenset("script style noscript template svg math iframe object embed select button textarea head title canvas audio video datalist".split())
+UNSEEN = frozenset("script style noscript template svg annotation annotation-xml iframe object embed select button textarea head title canvas audio video datalist".split())
 FRAMES = frozenset("nav header footer aside form dialog menu".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that run inside a line; any other tag ends the line.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mi mn mo mrow msup msub msubsup mfrac msqrt mroot mtext mspace mstyle mover munder munderover semantics".split())
 #: Words of class, id or role that name adverts, notices of consent and readers' comments; other frame parts; what
 #: may follow such a word in a name; words before it that make it say something else.
-ADVERTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr comment comments disqus reply replies respond".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr comment comments disqus reply replies respond werbung anzeige anzeigen kommentar kommentare publicite commentaire commentaires publicidad anuncio anuncios comentario comentarios".split())
 PARTS = frozenset("banner menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer header masthead notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget widgets pagination pager toolbar search skip contentinfo complementary".split())
 HOLDERS = frozenset("area bar block body box button buttons center container content form group inner inline item items label left line link links list outer panel right row section slot text top bottom unit wrap wrapper".split())
+#: Words of names that say whose, where or which the part is; with any other word beside it a name is in doubt ("market-share").
+OF = frozenset("site page global main primary secondary left right top bottom upper lower inner outer side float floating sticky fixed mobile desktop post article blog news story entry user users reader readers visitor google dfp taboola outbrain social text image native house js wp bs md lg sm xs nav sub mega mini full header footer sidebar aside".split())
 NOT_NAMED = frozenset("has with no not non without is hide show".split())
 #: Elements and names that mark the article itself.
 CONTENT_TAGS = frozenset(("article", "main"))
@@ -56,18 +58,20 @@ IMPLIED: dict[str, tuple[frozenset, frozenset]] = {
 }
 #: Words from which on a line that isn't all links is prose.
 PROSE = 8
-#: Cells of an alignment that are kept as bits at once; longer ones are halved, so that memory stays linear in the lines.
-CELLS = 1 << 25
 #: Flags of lines.
-ARTICLE, LINKS, FRAME, NAMED, UNSEEN_PART = 1, 2, 4, 8, 16
+ARTICLE, LINKS, FRAME, NAMED, UNSEEN_PART, FORM, DOUBTED, MENU = 1, 2, 4, 8, 16, 32, 64, 128
+#: Those of a frame's lines.
+_OF_FRAME = LINKS | FRAME | NAMED | FORM | DOUBTED
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag ends at its ">" outside of quotes; where another "<" comes first there is none, so that no sign is looked at for many tags.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^<>]*+>|<\?[^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
 
 
 def _named(value: str) -> int:
-    """What the names of an element say: FRAME for adverts and comments, NAMED for other frame parts, else 0.
+    """What the names of an element say: FRAME for adverts and comments, NAMED for other frame parts, else 0; DOUBTED instead where
+    that is only the last word beside others that may say something else.
 
     A name is read as a compound: its last word is what it is ("site-footer"), unless that only holds something ("ad-slot")."""
     out = 0
@@ -76,8 +80,10 @@ def _named(value: str) -> int:
         while len(words) > 1 and words[-1] in HOLDERS:
             words.pop()
         if words and not NOT_NAMED.intersection(words[:-1]):
-            out |= FRAME if words[-1] in ADVERTS or words[0] in ADVERTS and words[-1] in PARTS else NAMED if words[-1] in PARTS else 0
-    return out
+            said = FRAME if words[-1] in ADVERTS or words[0] in ADVERTS and words[-1] in PARTS else NAMED if words[-1] in PARTS else 0
+            known = all(w in OF or w in HOLDERS or w in PARTS or w in ADVERTS for w in words)
+            out |= said if known or not said else DOUBTED
+    return out & -out if out & (FRAME | NAMED) else out
 
 
 def _kind(tag: str, attributes: str) -> int:
@@ -98,33 +104,38 @@ def _kind(tag: str, attributes: str) -> int:
                 names |= _named(value)
     if article:
         return ARTICLE
-    if tag in FRAMES:
+    if tag in FRAMES and tag != "form":
         return FRAME
-    return 0 if tag in ("html", "body") else FRAME if names & FRAME else names
+    if tag == "form":
+        return FRAME if names & FRAME else FORM
+    return 0 if tag in ("html", "body") else names
 
 
 def lines(page: str | None) -> tuple[list[str], list[int]]:
-    """The text lines of a page, in page order, and the flags of each: ARTICLE, FRAME and NAMED by the elements that it is in, LINKS
-    if all of it is links."""
+    """The text lines of a page, in page order, and the flags of each: ARTICLE, FRAME, NAMED, DOUBTED and FORM by the elements that it
+    is in, LINKS if all of it is links, MENU if it is several. A form around an article says nothing of the article's lines."""
     page = page or ""
     out: list[str] = []
     flags: list[int] = []
     stack: list[tuple[str, int]] = []  # open block elements, and others that matter: tag, kind
     names: dict[str, int] = {}  # how many of each are open
-    kinds = dict.fromkeys((0, ARTICLE, FRAME, NAMED, UNSEEN_PART), 0)
-    links = 0
+    kinds = dict.fromkeys((0, ARTICLE, FRAME, NAMED, UNSEEN_PART, FORM, DOUBTED), 0)
+    around: list[int] = []  # for each open article the forms that it is in
+    links = anchors = 0
     line: list[str] = []
     plain = linked = False
 
     def end():
-        nonlocal plain, linked
+        nonlocal plain, linked, anchors
         if line:
             text = " ".join(entities.unescape("".join(line)).split())
             if text:
                 out.append(text)
-                flags.append(sum(k for k in (ARTICLE, FRAME, NAMED) if kinds[k]) | (LINKS if linked and not plain else 0))
+                form = FORM if kinds[FORM] > (around[-1] if around else 0) else 0
+                flags.append(sum(k for k in (ARTICLE, FRAME, NAMED, DOUBTED) if kinds[k]) | form | ((LINKS | (MENU if anchors > 1 else 0)) if linked and not plain else 0))
             line.clear()
         plain = linked = False
+        anchors = 0
 
     def add(piece: str):
         nonlocal plain, linked
@@ -143,11 +154,13 @@ def lines(page: str | None) -> tuple[list[str], list[int]]:
         for place in range(len(stack) - 1, -1, -1):
             if stack[place][0] in tags:
                 end_of = stack[place:]
-                if any(kind in (FRAME, NAMED, ARTICLE) for _, kind in end_of):
+                if any(kind not in (0, UNSEEN_PART) for _, kind in end_of):
                     end()
                 for name, kind in end_of:
                     names[name] -= 1
                     kinds[kind] -= 1
+                    if kind == ARTICLE:
+                        around.pop()
                 del stack[place:]
                 return
             if stack[place][0] in bounds:
@@ -180,6 +193,7 @@ def lines(page: str | None) -> tuple[list[str], list[int]]:
             end()
         elif tag == "a":
             links += 1
+            anchors += 1
         if tag in IMPLIED:
             close(*IMPLIED[tag])
             if tag in ("li", "dt", "dd"):
@@ -199,42 +213,35 @@ def lines(page: str | None) -> tuple[list[str], list[int]]:
             # Blocks, and elements of the same name as an open one: their ends must not close an outer one.
             stack.append((tag, kind))
             names[tag] = names.get(tag, 0) + 1
+            if kind == ARTICLE:
+                around.append(kinds[FORM])
             kinds[kind] += 1
     end()
     return out, flags
 
 
 def common_lines(a: list, b: list) -> set[int]:
-    """Indices in `a` of a longest common subsequence with `b`. Memory is linear in the lines: what is long is halved."""
+    """Indices in `a` of a longest common subsequence with `b`."""
     here, there = set(a), set(b)
     kept, other = [i for i, line in enumerate(a) if line in there], [line for line in b if line in here]
     return {kept[i] for i in _subsequence([a[i] for i in kept], other)}
 
 
-def _rows(x: list, y: list, keep: bool) -> tuple[int, list[int]]:
-    """Rows of bits, one for each element of `y` (all if `keep`): a zero bit i after j elements says that the common length of
-    x[:i + 1] and y[:j] is one more than that of x[:i]."""
-    where: dict = {}
-    for i, line in enumerate(x):
-        where[line] = where.get(line, 0) | 1 << i
-    full = state = (1 << len(x)) - 1
+def _rows(where: dict, full: int, state: int, y: list) -> list[int]:
+    """Rows of bits, one after each element of `y` from `state` on: a zero bit i after j elements says that the common length of
+    x[:i + 1] and y[:j] is one more than that of x[:i]. where: the bits of x's lines."""
     states = [state]
     for line in y:
         match = where.get(line, 0)
         state = (state + (state & match) | state & ~match) & full
-        if keep:
-            states.append(state)
-    return state, states
-
+        states.append(state)
+    return states
 
-def _lengths(x: list, y: list) -> np.ndarray:
-    """The common lengths of x[:k] with all of y, for k from 0."""
-    state, _ = _rows(x, y, False)
-    bits = np.unpackbits(np.frombuffer(state.to_bytes(len(x) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(x)]
-    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
 
-
-def _subsequence(x: list, y: list) -> set[int]:
+def _subsequence(x: list, y: list, every: int = 0) -> set[int]:
+    """Indices in `x` of the common subsequence that a way back through all rows finds: the first place for the last line, and so on.
+    Of the rows one in `every` (a root of their number) is kept and those between are made again, so that memory is far below
+    their product and the lines are the same for every size."""
     head = 0
     while head < min(len(x), len(y)) and x[head] == y[head]:
         head += 1
@@ -245,27 +252,35 @@ def _subsequence(x: list, y: list) -> set[int]:
     x, y = x[head : len(x) - tail], y[head : len(y) - tail]
     if not x or not y:
         return out
-    if len(x) * len(y) > CELLS and len(y) > 1:
-        half = len(y) // 2
-        split = int((_lengths(x, y[:half]) + _lengths(x[::-1], y[half:][::-1])[::-1]).argmax())
-        first, second = _subsequence(x[:split], y[:half]), _subsequence(x[split:], y[half:])
-        return out | {head + i for i in first} | {head + split + i for i in second}
-    _, states = _rows(x, y, True)
-    i, j = len(x) - 1, len(y)
-    while i >= 0 and j > 0:
-        if states[j] >> i & 1:
-            i -= 1
-        elif not states[j - 1] >> i & 1:
-            j -= 1
-        else:
-            out.add(head + i)
-            i, j = i - 1, j - 1
+    where: dict = {}
+    for i, line in enumerate(x):
+        where[line] = where.get(line, 0) | 1 << i
+    full, every = (1 << len(x)) - 1, every or int(len(y) ** 0.5) + 1
+    kept = [full]
+    for at in range(0, len(y), every):
+        state = kept[-1]
+        for line in y[at : at + every]:
+            match = where.get(line, 0)
+            state = (state + (state & match) | state & ~match) & full
+        kept.append(state)
+    i = len(x) - 1
+    for part in range(len(kept) - 2, -1, -1):
+        states = _rows(where, full, kept[part], y[part * every : (part + 1) * every])
+        j = len(states) - 1
+        while i >= 0 and j > 0:
+            if states[j] >> i & 1:
+                i -= 1
+            elif not states[j - 1] >> i & 1:
+                j -= 1
+            else:
+                out.add(head + i)
+                i, j = i - 1, j - 1
     return out
 
 
 def compared(flag: int) -> bool:
     """Whether a line with these flags takes part in differencing: all but an article's own text."""
-    return not flag & ARTICLE or bool(flag & (LINKS | FRAME | NAMED))
+    return not flag & ARTICLE or bool(flag & _OF_FRAME)
 
 
 def shared_lines(own: list, flags: list[int], prose: list[bool], nearest: list | None, second: list | None) -> set[int]:
@@ -279,23 +294,35 @@ def shared_lines(own: list, flags: list[int], prose: list[bool], nearest: list |
     out = {i for i in common if not prose[i] or i in sure}
 
     def left(of: set[int]) -> list[int]:
-        return [i for i in range(len(own)) if i not in of and not flags[i] & (LINKS | FRAME | NAMED)]
+        return [i for i in range(len(own)) if i not in of and not flags[i] & _OF_FRAME]
 
     alone = second is None and any(prose[i] for i in out) and not any(prose[i] for i in left(out))
     if alone or not left(out):
         out = {i for i in out if not prose[i] or flags[i] & FRAME}
-    return out if left(out) else {i for i in out if flags[i] & (LINKS | FRAME | NAMED)}
+    return out if left(out) else {i for i in out if flags[i] & _OF_FRAME}
 
 
 def assemble(own: list[str], flags: list[int], deleted: set[int]) -> str:
-    """The main text: lines that differencing left and whose markup doesn't say that they are the frame's."""
-    left = [i for i in range(len(own)) if i not in deleted and not flags[i] & FRAME]
-    if not any(f & ARTICLE for f in flags):
-        text = [i for i in left if not flags[i] & LINKS]
-        doubted = sum(len(own[i]) for i in text if flags[i] & NAMED and is_prose(own[i], flags[i]))
+    """The main text: lines that differencing left and whose markup doesn't say that they are the frame's.
+
+    Lines that are several links alone are menus, and beside an article those that are one; an article's own stay. A form around
+    most of the text is the page's, not a part of it. A name in doubt isn't believed of an article's prose, nor where nothing else is left.
+    """
+    left = [i for i in range(len(own)) if i not in deleted]
+    article = any(f & ARTICLE for f in flags)
+    menu = LINKS if article else MENU
+    left = [i for i in left if not flags[i] & menu or flags[i] & ARTICLE]
+    plain = [i for i in left if not flags[i] & (FRAME | NAMED | DOUBTED | LINKS) and not (flags[i] & FORM and flags[i] & ARTICLE)]
+    forms = sum(len(own[i]) for i in plain if flags[i] & FORM)
+    form = FORM if 2 * forms <= sum(len(own[i]) for i in plain) else 0
+    out = [i for i in left if not flags[i] & FRAME and not flags[i] & (form if not flags[i] & ARTICLE else FORM)]
+    if not article:
+        text = [i for i in out if not flags[i] & LINKS]
+        doubted = sum(len(own[i]) for i in text if flags[i] & (NAMED | DOUBTED) and is_prose(own[i], flags[i]))
         if 2 * doubted > sum(len(own[i]) for i in text):
-            return " ".join(own[i] for i in left if not flags[i] & NAMED or is_prose(own[i], flags[i]))
-    return " ".join(own[i] for i in left if not flags[i] & NAMED)
+            return " ".join(own[i] for i in out if not flags[i] & (NAMED | DOUBTED) or is_prose(own[i], flags[i]))
+    kept = [i for i in out if not flags[i] & NAMED and not (flags[i] & DOUBTED and not (flags[i] & ARTICLE and is_prose(own[i], flags[i])))]
+    return " ".join(own[i] for i in kept or out if not flags[i] & NAMED)
 
 
 def is_prose(line: str, flag: int) -> bool:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -113,13 +114,34 @@ def test_against_brute_force(spark):
     assert got == want
 
 
-def test_long_alignments_are_halved(monkeypatch):
+def test_alignments_are_the_same_at_every_size():
+    """Which lines are shared doesn't depend on how many rows are kept on the way."""
     draw = random.Random(3)
-    monkeypatch.setattr(h, "CELLS", 64)
     for _ in range(300):
         a, b = ([draw.choice("abcdef") for _ in range(draw.randint(0, 60))] for _ in range(2))
         found, left = sorted(h.common_lines(a, b)), iter(b)
         assert len(found) == lcs(a, b) and all(a[i] in left for i in found)
+        assert len({frozenset(h._subsequence(a, b, every)) for every in (1, 2, 7, 1 << 25)}) == 1
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<!", '<a href="x" ', "<a '\"", "<?"])
+def test_odd_markup_takes_linear_time(piece):
+    began = time.process_time()
+    h.lines(piece * ((1 << 20) // len(piece)))
+    assert time.process_time() - began < 8  # by looking at every sign for each tag it would be hours
+
+
+BODY = "The body of the page is here, and it is longer than that."
+
+
+@pytest.mark.parametrize("page,text", [
+    (f'<form id="aspnetForm"><article><p>{BODY}</form>', BODY), (f"<form><div><p>{BODY}</div></form>", BODY), (f'<div class="job-ad"><p>{BODY}', BODY), ('<div class="post first-reply"><p>Short', "Short"),
+    (f'<article><p>Text.<section class="market-share"><p>{BODY}</section></article>', f"Text. {BODY}"), ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.", "Let x=2 be."),
+    (f"<div><a>Home</a> <a>About us</a></div><p>{BODY}", BODY), ("<div><a>Home</a> <a>About</a></div><article><p>Text<p><a>one</a> <a>two</a></article>", "Text one two"),
+    ("<article><p>Text<form><label>Name</label></form></article>", "Text"), (f"<form><label>Search</label></form><p>{BODY}", BODY), (f'<p>{BODY}<div class="werbung"><p>Kauf jetzt</div><div class="kommentare"><p>Toll</div>', BODY),
+])
+def test_forms_names_and_menus(page, text):
+    assert h.assemble(*h.lines(page), set()) == text
 
 
 def test_memory_of_long_alignments():
