@@ -29,8 +29,8 @@ from .subwords import counts, has_letter, letters
 
 #: Of the model and its fit. SAMPLE: most labelled rows a language that are fitted on, taken by a hash of their id and text.
 BUCKETS, DIM, SAMPLE, EPOCHS, RATE = 4096, 16, 400, 30, 0.5
-#: Labelled rows over all languages, and rows a language that this never takes away.
-TOTAL, FEWEST = 4096, 16
+#: Labelled rows over all languages; so as many languages are learned at most, the most frequent.
+TOTAL = 4096
 #: Share of a calibration set's rightly labelled texts that either measure of rejection may cost; added to shares before their logarithm.
 REJECT, RARE = 0.001, 1e-5
 #: Temperatures that calibration chooses from; texts whose products are computed together.
@@ -174,14 +174,15 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     """A model from at most `sample` rows a language among those where `learn` holds; None if there are none.
 
     Sampling is by a hash, not by position; features come from whole texts and only those (8 KB a row) reach the driver.
-    Every language is learned. All together have TOTAL rows at most, or FEWEST a language where these are more.
+    All together have TOTAL rows at most: each language has its part, down to a row, and of more than TOTAL languages the
+    most frequent (ties by name) are learned. What reaches the driver so has a bound, whatever the number of languages.
     """
     rows = docs.filter(learn & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").rlike(r"\p{L}"))
     rows = rows.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(F.lit("language"), F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`")).alias("h"))
-    sizes = rows.groupBy("lang").count().collect()
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TOTAL).collect()
     if not sizes:
         return None
-    sample = min(sample, max(TOTAL // len(sizes), FEWEST))
+    sample = min(sample, TOTAL // len(sizes))
     # A share of each language by hash that holds about twice the sample, so that ranking moves few rows.
     top = float(2**63)
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (2 * sample + 50) / r["count"])) for r in sizes], "lang string, share double")

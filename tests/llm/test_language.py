@@ -131,3 +131,14 @@ def test_unseen_scripts_are_rejected(spark):
     odd = ["漢字 漢字 日本語 " * 5, "это совсем другой язык и другие буквы " * 3, "Αυτό είναι ένα άλλο κείμενο " * 3, "asdf jkl qwer uiop zxcv bnm " * 4]
     rows = language.identify(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), model).collect()
     assert not any(r.language.accepted for r in rows)
+
+
+def test_very_many_languages_have_a_bound(spark, monkeypatch):
+    """20,000 values of lang: what is collected and learned doesn't grow with them, and the frequent ones are learned."""
+    monkeypatch.setattr(language, "TOTAL", 256)
+    common = [(i, text, lang) for i, text, lang in corpus(30)]
+    rows = common + [(1000 + i, f"word{i} other{i}", f"x{i}") for i in range(20_000)]
+    seen = []
+    monkeypatch.setattr(language, "train", lambda x, y, names: seen.append((len(x), names)) or "model")
+    assert language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)) == "model"
+    assert seen[0][0] <= 256 and len(seen[0][1]) == 256 and set(seen[0][1]) >= {lang for *_, lang in common}
