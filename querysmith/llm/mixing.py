@@ -91,15 +91,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The columns `keep` of `docs` (by default `id_col`) with `out`: a struct of source, size, source_size, target, rate, copies, taken.
 
     size: words of the text (null text: 0, which are never needed and get no copies beyond the whole part of their source's
-    rate). Null sources form a source, ordered last. Null ids are documents too. Ties in size are broken by a hash of the id,
+    rate). Null sources form a source, ordered last. Null ids are documents too, dealt out by their texts. Ties in size are broken by a hash of the id,
     then the id, then a hash of the text; rows that repeat in all three are alike, so it doesn't matter which of them gets a
     copy more, and reruns give the same rows. An empty table gives no rows. A column named as `out` is replaced.
     """
     kept = [c for c in keep or [id_col] if c.lower() != out.lower()]
-    name = F.struct(F.col(f"`{source_col}`").isNull().alias("null"), F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("name"))
+    name, dealt = F.struct(F.col(f"`{source_col}`").isNull().alias("null"), F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("name")), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("text "), F.xxhash64(F.col(f"`{text_col}`")).cast("string")))
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{source_col}`").cast("string").alias("source"), name.alias("key"), word_count(F.col(f"`{text_col}`")).alias("size"),
-        F.xxhash64(F.lit("mix"), F.col(f"`{id_col}`").cast("string")).alias("h"), F.col(f"`{id_col}`").cast("string").alias("tie"), F.xxhash64(F.col(f"`{text_col}`")).alias("tie2"),
+        F.xxhash64(F.lit("mix"), dealt).alias("h"), F.col(f"`{id_col}`").cast("string").alias("tie"), F.xxhash64(F.col(f"`{text_col}`")).alias("tie2"),
     ).withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int"))
     if text_col not in kept:
         rows = written(rows, "sizes")  # texts are read once; with texts among the kept columns, counting again is less than writing them

@@ -129,3 +129,15 @@ def test_unsettled_rates_are_an_error(spark):
     with pytest.raises(RuntimeError, match="settled"):
         m.balance(cells, goals, rounds=2)
     assert abs(m.balance(cells, goals).first().rate - 0.02) < 1e-9
+
+
+def test_null_ids_are_dealt_out(spark):
+    """Documents without an id aren't one group of the last ranking."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 10 == 0, "a").otherwise("b").alias("source"))
+    found = m.mix(rows, keep=["text"]).select("text", "mix.*")
+    taken = {r.source: (r.taken, r.target) for r in found.groupBy("source", "target").agg(F.sum("taken").alias("taken")).collect()}
+    assert found.count() == 2000 and all(abs(t - goal) <= 3 for t, goal in taken.values())
+    salts = rows.select(F.pmod(F.xxhash64(F.lit("mix"), F.concat(F.lit("text "), F.xxhash64("text").cast("string"))), F.lit(8))).distinct().count()
+    assert salts == 8
