@@ -30,7 +30,7 @@ NONE = "und"
 BOUND = 1 << 25
 
 #: Numbers that are counted together, sums that a task holds back, words that it counts before it hands them over.
-BLOCK, HELD, WORDS = 1 << 19, 1 << 20, 1 << 18
+BLOCK, HELD, WORDS = 1 << 18, 1 << 19, 1 << 18
 
 #: Bits of one of Spark's bitmaps.
 _BITS = 1 << 15

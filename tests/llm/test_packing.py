@@ -89,3 +89,29 @@ def test_sources_that_look_like_null(spark):
     pieces = packing.pack(spark.createDataFrame(rows, DOCS), tokenizer_path()).toPandas()
     got = {int(r.doc_id): r.source for r in pieces.itertuples()}
     assert {i: None if s is None or s != s else s for i, s in got.items()} == {i: s for i, _, s, *_ in rows}
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 0.5, "b": 0.3, "c": 0.2}])
+def test_against_a_round_robin_loop(spark, weights):
+    """The closed form gives the items in the order of a scheduler that goes round by round with deficits."""
+    draw = np.random.default_rng(6)
+    rows = [(i, " ".join(["one", "two", "three"][k] for k in draw.integers(0, 3, draw.integers(1, 90))), "abc"[i % 7 % 3], 0, 0) for i in range(80)]
+    window, segment = 64, 8
+    tokens = packing.tokenized(spark.createDataFrame(rows, DOCS).coalesce(1), tokenizer_path())
+    queues: dict[str, list] = {}
+    for r in sorted(tokens.collect(), key=lambda r: r.rid):
+        for start in range(0, r.n, segment):
+            queues.setdefault(r.source, []).append((r.rid, start, min(segment, r.n - start)))
+    whole = sum(n for q in queues.values() for *_, n in q)
+    quantum = {s: window * (weights[s.removeprefix("=")] if weights else sum(n for *_, n in q) / whole) for s, q in queues.items()}
+    order, deficit = [], dict.fromkeys(queues, 0.0)
+    while any(queues.values()):
+        for s in sorted(queues):
+            if queues[s]:
+                deficit[s] += quantum[s]
+                while queues[s] and queues[s][0][2] <= deficit[s] + 1e-9:
+                    deficit[s] -= queues[s][0][2]
+                    order.append(queues[s].pop(0))
+    pieces = sorted(packing.plan(tokens, window, segment, weights).collect(), key=lambda p: (p.sequence_id, p.offset))
+    ids = lambda parts: [(rid, at) for rid, start, n in parts for at in range(start, start + n)]
+    assert ids((p.rid, p.start, p.length) for p in pieces) == ids(order)
