@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 @dataclass
@@ -120,6 +121,93 @@ def gram(samples: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return samples.select(x, y).mapInPandas(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
+#: What an entity's samples add up to: their number, squared rewards, sum of x x' (row by row) and of y x.
+SUMS = "id string, n long, yy double, gram array<double>, moment array<double>"
+
+
+def sums_by_id(samples: DataFrame) -> DataFrame:
+    """SUMS of samples (id, x, y). Each task sends a row for each entity in it, so an entity with very many samples is no large group."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, own in batch.groupby("id"):
+                m, y = np.stack(own["x"].to_numpy()), own["y"].to_numpy(float)
+                rows.append((key, len(y), float(y @ y), (m.T @ m).ravel(), m.T @ y))
+            yield pd.DataFrame(rows, columns=["id", "n", "yy", "gram", "moment"])
+
+    parts = samples.select("id", "x", "y").mapInPandas(partial, SUMS)
+    return parts.groupBy("id").agg(F.sum("n").alias("n"), F.sum("yy").alias("yy"), vector_sum("gram"), vector_sum("moment"))
+
+
+def vector_sum(c: str) -> Column:
+    """The sum of arrays of one length in a group of a few rows, in an order that doesn't depend on how they arrive."""
+    lists = F.array_sort(F.collect_list(c))
+    return F.aggregate(F.slice(lists, 2, 1 << 30), F.element_at(lists, 1), lambda a, b: F.zip_with(a, b, lambda u, v: u + v)).alias(c)
+
+
+def merged_sums(known: DataFrame, new: DataFrame) -> DataFrame:
+    """SUMS of both tables, entity by entity."""
+    a, b = known.alias("a"), new.alias("b")
+    both = lambda c: F.when(F.col(f"a.{c}").isNull(), F.col(f"b.{c}")).when(F.col(f"b.{c}").isNull(), F.col(f"a.{c}"))
+    vectors = [both(c).otherwise(F.zip_with(f"a.{c}", f"b.{c}", lambda u, v: u + v)).alias(c) for c in ("gram", "moment")]
+    return a.join(b, "id", "full_outer").select("id", *[(F.coalesce(f"a.{c}", F.lit(0)) + F.coalesce(f"b.{c}", F.lit(0))).alias(c) for c in ("n", "yy")], *vectors)
+
+
+def total_gram(sums: DataFrame) -> DataFrame:
+    """(i, j, v) as of `gram`: what rows of SUMS add up to. Each task sends one row a cell."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            for g, m in zip(batch["gram"], batch["moment"], strict=True):
+                own = np.column_stack([np.reshape(g, (len(m), len(m))), m])
+                total = own if total is None else total + own
+        if total is not None:
+            d = len(total)
+            i, j = np.divmod(np.arange(d * (d + 1)), d + 1)
+            yield pd.DataFrame({"i": i, "j": np.where(j == d, -1, j), "v": total.ravel()})
+
+    return sums.select("gram", "moment").mapInPandas(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def from_sums(gram, moment, d: int, alpha: float) -> LinUCB:
+    """The model of what was summed; none of it if there is nothing."""
+    model = LinUCB(alpha).start(d)
+    if moment is not None:
+        model.add(np.reshape(gram, (d, d)), np.asarray(moment))
+    return model
+
+
+def score_by_entity(rows: DataFrame, sums: DataFrame, d: int, alpha: float) -> DataFrame:
+    """Candidates (id, x, ...) with `score` by their entity's own model, made from its sums where its candidates are."""
+
+    def score(candidates: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(candidates):
+            return candidates.assign(score=pd.Series(dtype=float))
+        model = from_sums(own["gram"].iloc[0], own["moment"].iloc[0], d, alpha) if len(own) else from_sums(None, None, d, alpha)
+        return candidates.assign(score=model.predict(np.stack(candidates["x"].to_numpy())))
+
+    schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
+    return rows.groupBy("id").cogroup(sums.select("id", "gram", "moment").groupBy("id")).applyInPandas(score, schema)
+
+
+def losses_by_entity(known: DataFrame, new: DataFrame, alpha: float) -> DataFrame:
+    """(loss): mean squared errors of new samples' sums under the models before, for each entity in both tables."""
+
+    def loss(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                d = len(r.moment)
+                model = from_sums(r.g, r.m, d, alpha)
+                out.append(model.learn(np.reshape(r.gram, (d, d)), np.asarray(r.moment), r.n, r.yy))
+            yield pd.DataFrame({"loss": out}, dtype=float)
+
+    before = known.select("id", F.col("gram").alias("g"), F.col("moment").alias("m"))
+    return new.join(before, "id").mapInPandas(loss, "loss double")
+
+
 def collect_gram(cells: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
     """The sums as arrays: d * (d + 1) numbers."""
     a, b = np.zeros((d, d)), np.zeros(d)

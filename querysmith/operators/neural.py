@@ -114,6 +114,21 @@ class Replay:
     def add(self, x: np.ndarray, y: np.ndarray) -> None:
         self.buffer.append((np.asarray(x, float), np.asarray(y, float)))
 
+    def values(self) -> dict:
+        """Weights, what the optimizer remembers and the buffer, for JSON."""
+        net = self.network
+        lists = lambda arrays: [a.tolist() for a in arrays]
+        return {"layers": [lists(layer) for layer in net.layers], "m": lists(net._m), "v": lists(net._v), "steps": net.steps, "buffer": [lists(part) for part in self.buffer]}
+
+    @classmethod
+    def of(cls, values: dict, rate: float, size: int, sample: int, split: bool, seed: int) -> Replay:
+        """The replay whose `values` are given."""
+        arrays = lambda lists: [np.array(a, float) for a in lists]
+        layers = [tuple(arrays(layer)) for layer in values["layers"]]
+        network = Network((layers[0][0].shape[0], *[len(b) for _, b in layers[:-1]]), rate, seed)
+        network.layers, network._m, network._v, network.steps = layers, arrays(values["m"]), arrays(values["v"]), values["steps"]
+        return cls(network, size, sample, split, seed, deque(tuple(arrays(part)) for part in values["buffer"]))
+
     def fit(self) -> float:
         """One step on a uniform sample of the buffer. split: gradients sample by sample, summed before the step."""
         draw = random.Random(f"{self.seed}/{self.network.steps}")

@@ -3,6 +3,11 @@
 A document's score for a query is a sum over its terms, so each term's contributions are looked up once and combinations are
 joined to them, rather than searched one by one. Only terms that an entity shares with its matches can find a match; what else
 is in a query can only take places from it.
+
+From three terms on, sets are cut before they are joined (branch and bound): weights aren't negative, so with more terms no document
+loses score, and a match gains at most its largest other weights. Documents that are above a match by more than that stay above it, which
+bounds the rank that any larger set with these two terms can reach. Only sets all of whose pairs may do as well as the best that is
+known of the entity are measured.
 """
 
 from __future__ import annotations
@@ -10,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import settled
 from .search import ranked
 
 
@@ -53,6 +59,59 @@ def reciprocal_ranks(queries: DataFrame, weighted: DataFrame, truth: DataFrame,
     return queries.join(rr, ["local_id", "query"], "left").select("local_id", "query", F.coalesce("rr", F.lit(0.0)).alias("rr"))
 
 
+def match_weights(overlap: DataFrame, weighted: DataFrame, truth: DataFrame) -> DataFrame:
+    """(local_id, external_id, ws): for each match the weights (keyword, w) of the terms that it shares with the entity, largest first."""
+    pairs = overlap.join(truth.select("local_id", "external_id").distinct(), "local_id")
+    rows = pairs.join(weighted.withColumnRenamed("id", "external_id"), ["external_id", "keyword"])
+    order = lambda a, b: F.when(a["w"] > b["w"], -1).when(a["w"] < b["w"], 1).otherwise(0)
+    return rows.groupBy("local_id", "external_id").agg(F.array_sort(F.collect_list(F.struct("keyword", "w")), order).alias("ws"))
+
+
+def pair_reach(pairs: DataFrame, weighted: DataFrame, truth: DataFrame, of_matches: DataFrame, size: int, k: int = 20) -> DataFrame:
+    """(local_id, query, reach): the largest reciprocal rank that a set of `size` terms with this pair may have; pairs that can't reach
+    the k best have none.
+
+    Rivals are the k best documents of the pair that aren't matches. A match is at best behind those that are above what the pair gives
+    it and its largest other weights."""
+    terms = pairs.select("local_id", "query", F.explode("query").alias("keyword"))
+    hits = terms.join(weighted.withColumnRenamed("id", "external_id"), "keyword").groupBy("local_id", "query", "external_id").agg(F.sum("w").alias("score"))
+    others = hits.join(truth.select("local_id", "external_id").distinct(), ["local_id", "external_id"], "left_anti")
+    rivals = ranked(others, k, ["local_id", "query"]).groupBy("local_id", "query").agg(F.collect_list("score").alias("rivals"))
+    rows = pairs.join(rivals, ["local_id", "query"], "left").join(of_matches, "local_id")
+    total = lambda ws: F.aggregate(ws, F.lit(0.0), lambda s, x: s + x["w"])
+    own, rest = F.filter("ws", lambda x: F.array_contains("query", x["keyword"])), F.filter("ws", lambda x: ~F.array_contains("query", x["keyword"]))
+    rows = rows.withColumn("most", total(own) + total(F.slice(rest, 1, size - 2)) + 2e-6)  # more than rounding can make up for
+    rank = F.coalesce(F.size(F.filter("rivals", lambda r: r > F.col("most"))), F.lit(0)) + 1
+    return rows.filter(rank <= k).groupBy("local_id", "query").agg((1 / F.min(rank)).alias("reach"))
+
+
+def bounded_sets(overlap: DataFrame, weighted: DataFrame, truth: DataFrame, size: int, k: int = 20, seeds: int = 10) -> DataFrame:
+    """(local_id, query): sets of `size` terms, three or more, among which are all that are best of their entity.
+
+    What is known to be reached comes from the best pairs, at most `seeds` an entity, with every other term, and for larger sets again
+    with every other term."""
+    pairs = settled(combinations(overlap, 2), "pairs")
+    grown = best_queries(reciprocal_ranks(pairs, weighted, truth, k), seeds)
+    for _ in range(size - 2):
+        more = grown.select("local_id", "query").join(overlap.select("local_id", "keyword"), "local_id").filter(~F.array_contains("query", F.col("keyword")))
+        more = settled(more.select("local_id", F.array_sort(F.concat("query", F.array("keyword"))).alias("query")).distinct(), "seeds")
+        measured = settled(reciprocal_ranks(more, weighted, truth, k), "seeds")
+        grown = best_queries(measured, seeds)
+    known = best_rr(measured).withColumnRenamed("best_rr", "known")
+    reach = pair_reach(pairs, weighted, truth, settled(match_weights(overlap, weighted, truth), "match-weights"), size, k)
+    kept = reach.join(known, "local_id", "left").filter(F.col("reach") >= F.coalesce("known", F.lit(0.0)) - 1e-9)
+    kept = settled(kept.select("local_id", F.col("query")[0].alias("a"), F.col("query")[1].alias("b")), "kept")
+    # Sets all of whose pairs are kept: each term more has to make a kept pair with every one before.
+    out = kept.select("local_id", F.array("a", "b").alias("query"), F.col("b").alias("last"))
+    for _ in range(size - 2):
+        n = F.size("query")
+        next_ = kept.select("local_id", F.col("a").alias("last"), F.col("b").alias("c"))
+        out = out.join(next_, ["local_id", "last"]).select("local_id", "query", "c").select("*", F.explode("query").alias("a"))
+        out = out.join(kept.withColumnRenamed("b", "c"), ["local_id", "a", "c"], "left_semi").groupBy("local_id", "query", "c").agg(F.count("*").alias("pairs"))
+        out = out.filter(F.col("pairs") == n).select("local_id", F.concat("query", F.array("c")).alias("query"), F.col("c").alias("last"))
+    return out.select("local_id", "query")
+
+
 def best_queries(measured: DataFrame, most: int = 100) -> DataFrame:
     """The best queries of each entity that find a match, in alphabetical order, `most` of them at most."""
     entity = Window.partitionBy("local_id")
@@ -96,12 +155,15 @@ def optimal_queries(local_signals: DataFrame, truth: DataFrame, external_signals
     known = truth.join(external_signals.select(F.col("id").alias("external_id")).distinct(), "external_id", "left_semi")
     if sample is not None:
         known = known.join(sample.select(F.col("id").alias("local_id")), "local_id", "left_semi")
-    overlap, fillers = overlap_terms(local_signals, known, external_signals), nonoverlap_terms(local_signals, known, external_signals)
+    # What each length starts from is written, so that plans don't grow with the length and nothing stays in memory.
+    overlap = settled(overlap_terms(local_signals, known, external_signals), "overlap")
+    fillers = settled(nonoverlap_terms(local_signals, known, external_signals), "fillers")
     vocabulary = external_signals.select("keyword").distinct()
     out: dict[int, DataFrame] = {}
     last: DataFrame | None = None
     for size in range(least, most + 1):
-        full = reciprocal_ranks(combinations(overlap, size), weighted, known, k).persist()
+        sets = combinations(overlap, size) if size < 3 else bounded_sets(overlap, weighted, known, size, k)
+        full = settled(reciprocal_ranks(settled(sets, "sets"), weighted, known, k), "measured")
         if last is not None:
             more = filler_queries(best_queries(last, keep), best_rr(last), best_rr(full), fillers)
         elif least > 1:
@@ -109,6 +171,6 @@ def optimal_queries(local_signals: DataFrame, truth: DataFrame, external_signals
             more = partial_queries(overlap.join(short, "local_id", "left_semi"), fillers.join(short, "local_id", "left_semi"), vocabulary, size)
         else:
             more = None
-        last = full if more is None else full.unionByName(reciprocal_ranks(more, weighted, known, k)).persist()
+        last = full if more is None else settled(full.unionByName(reciprocal_ranks(more, weighted, known, k)), "measured")
         out[size] = best_queries(last, keep)
     return out

@@ -25,3 +25,15 @@ def with_rank(df: DataFrame, *order: str, name: str = "rn", value: Column | None
     if total:
         out = out.withColumn(total, F.col("__s") + F.col("__t"))
     return out.drop("__v", "__slot", "__r", "__t", "__c", "__s")
+
+
+def with_rank_within(df: DataFrame, by: str, *order: str, name: str = "rn") -> DataFrame:
+    """Adds the rank from 1 within each group of `by`. Groups are range-partitioned by their order too, so a large one is in many tasks."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settled(df.repartitionByRange(n, by, *order).withColumn("__slot", F.spark_partition_id()), "ranked")
+    before = Window.partitionBy(by).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("__slot", by).agg(F.count("*").alias("__c"))  # a row a group and partition that it is in
+    offsets = sizes.select("__slot", by, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__slot", by).orderBy(*order))
+    out = dealt.withColumn("__r", own).join(offsets, ["__slot", by]).withColumn(name, (F.col("__before") + F.col("__r")).cast("long"))
+    return out.drop("__slot", "__r", "__before")

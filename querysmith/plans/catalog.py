@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..config import PolicyConfig, RunConfig
 from ..functions import text as txt
-from ..operators import bandit, buckets, evaluate, features, feedback, index, neural, optimal, sampling, search, selection
+from ..operators import bandit, blocks, buckets, evaluate, features, feedback, index, neural, optimal, sampling, search, selection
 from ..operators.ranking import with_rank
 from ..sources import tables as src
+from ..sources.store import settled
 from .dataset import Dataset, contained
 from .loop import play, progress
 
@@ -272,7 +273,7 @@ _VALUES = [
 @query(f"WITH {_P}, {_LEX}, {_sig('ps', 'pt')}, {_idf('i', 'ps', 'part')}, {_SPLIT}, {_SENSES}, v AS (SELECT *, tf_total / max(tf_total) OVER (PARTITION BY id) AS norm_tf FROM sp JOIN i USING (keyword) JOIN se USING (keyword)) SELECT id, keyword, attr, {', '.join(f'round({v}, 6) AS {n}' for v, n in zip(_VALUES, GIVEN.names, strict=True))} FROM v")
 def feature_vector_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parts(spark, sf_dir)
-    occ = index.occurrences(p).persist()
+    occ = index.occurrences(p)
     rows = features.featurize(occ, index.idf(index.signals(occ), p), GIVEN, lexicon(spark))
     return rows.select("id", "keyword", "attr", *[_r(F.col("x")[i]).alias(n) for i, n in enumerate(GIVEN.names)])
 
@@ -342,6 +343,13 @@ def keyword_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results_of(dataset(spark, sf_dir))
 
 
+@query(f"WITH {_SEARCH} SELECT intent_id, external_id, score, rank FROM res")
+def keyword_search_by_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same results from blocks of posting lists, without those that can't matter."""
+    d = dataset(spark, sf_dir)
+    return blocks.search(idf_queries(d), d.blocks)[0]
+
+
 @query(f"WITH {_TRUTH} SELECT * FROM truth")
 def truth_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset(spark, sf_dir).truth
@@ -528,9 +536,9 @@ def _played(spark: SparkSession, sf_dir: str, model: str, policy: PolicyConfig,
     d = dataset(spark, sf_dir)
     ids = with_rank(d.local_signals.select("id").distinct(), "id", name="pos")
     n = d.local.count()
-    series = ids.select(F.lit(1).alias("run_id"), F.explode(F.array(*[F.col("pos") + n * r for r in range(rounds)])).alias("pos"), F.col("id").alias("local_id")).persist()
+    series = ids.select(F.lit(1).alias("run_id"), F.explode(F.array(*[F.col("pos") + n * r for r in range(rounds)])).alias("pos"), F.col("id").alias("local_id"))
     run = RunConfig(interactions=rounds * n, query_length=2, distribution="fixed", model=model, batch=n, policy=policy)
-    return play(d, run, series, **how)
+    return play(d, run, settled(series, "series"), **how)
 
 
 _UNIT = "(('0x' || substr(md5({}), 1, 13))::BIGINT / 4503599627370496.0)"
@@ -663,6 +671,9 @@ _ONE = "SELECT local_id, [keyword] AS query FROM ov"
 _TWO = "SELECT a.local_id, [a.keyword, b.keyword] AS query FROM ov a JOIN ov b ON a.local_id = b.local_id AND a.keyword < b.keyword"
 
 
+_THREE = "SELECT a.local_id, [a.keyword, b.keyword, c.keyword] AS query FROM ov a JOIN ov b ON a.local_id = b.local_id AND a.keyword < b.keyword JOIN ov c ON b.local_id = c.local_id AND b.keyword < c.keyword"
+
+
 def _best_sql(of: str) -> str:
     return f"SELECT local_id, array_to_string(query, ' ') AS query, round(rr, 6) AS rr, n FROM (SELECT *, row_number() OVER (PARTITION BY local_id ORDER BY query) AS n FROM (SELECT *, rank() OVER (PARTITION BY local_id ORDER BY rr DESC) AS r FROM {of} WHERE rr > 0) WHERE r = 1) WHERE n <= 100"
 
@@ -712,6 +723,15 @@ def optimal_queries_len2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _best(optimal.reciprocal_ranks(optimal.combinations(_overlap(d), 2), d.weighted, d.truth))
 
 
+@query(f"WITH {_OVER}, {_rr_sql('r3', _THREE)} {_best_sql('r3')}")
+def optimal_queries_len3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three terms: sets that can't be the best of their entity are cut before they are joined to postings."""
+    d = dataset(spark, sf_dir)
+    overlap = settled(_overlap(d), "overlap")
+    sets = settled(optimal.bounded_sets(overlap, d.weighted, d.truth, 3), "sets")
+    return _best(optimal.reciprocal_ranks(sets, d.weighted, d.truth))
+
+
 def _filled(of: str, where: str = "true") -> str:
     """The best queries of `of` with one filler more, in SQL."""
     return f"SELECT DISTINCT b.local_id, list_sort(list_append(b.query, no.keyword)) AS query FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY local_id ORDER BY query) AS n FROM (SELECT *, rank() OVER (PARTITION BY local_id ORDER BY rr DESC) AS r FROM {of} WHERE rr > 0) WHERE r = 1) WHERE n <= 100) b JOIN no USING (local_id) WHERE {where}"
@@ -721,7 +741,7 @@ def _filled(of: str, where: str = "true") -> str:
 def filler_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best single terms with one filler more, as if no longer query of shared terms found a match."""
     d = noisy(spark, sf_dir)
-    one = optimal.reciprocal_ranks(optimal.combinations(_overlap(d), 1), d.weighted, d.truth).persist()
+    one = settled(optimal.reciprocal_ranks(optimal.combinations(_overlap(d), 1), d.weighted, d.truth), "measured")
     out = optimal.filler_queries(optimal.best_queries(one), optimal.best_rr(one), optimal.best_rr(one).limit(0), _fillers(d))
     return out.select("local_id", F.concat_ws(" ", "query").alias("query"))
 

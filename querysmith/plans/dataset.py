@@ -8,15 +8,19 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import features, index, search
-from ..sources.tables import cached_table
+from ..operators import blocks, features, index, search
+from ..sources.store import settled
+from ..sources.tables import cached_table, fingerprint
 
 
 @dataclass
 class Dataset:
     """local and external: (id, attributes...); truth: (local_id, external_id). Ids of the two sides must differ.
 
-    Derived tables are persisted on first use, or written below `store` and read from there by later runs.
+    Derived tables are persisted on first use (`close` gives them up), or written below `store` and read from there by later runs. What
+    is stored there goes by what it was made of: the contents of its side, by a pass over it or by `version` where the user gives
+    one, and the settings that matter to it. Several datasets may share a folder. With `skipping`, searches read posting lists by blocks
+    and leave out what can't be among the results, which are the same.
     """
 
     local: DataFrame
@@ -27,9 +31,38 @@ class Dataset:
     scorer: str = "bm25"
     store: str | None = None
     lexicon: DataFrame | None = None
+    version: str | None = None
+    skipping: bool = False
+
+    def _kept(self, name: str, make, side: str, **settings) -> DataFrame:
+        if not self.store:
+            return make().persist()
+        manifest = {"format": 1, "table": name, side: self._side(side), "stem": self.stem, "stop": self.stop} | settings
+        return cached_table(self.local.sparkSession, f"{self.store}/{name}", make, manifest=manifest)
+
+    def _side(self, side: str) -> str:
+        """What a side holds."""
+        known = self.__dict__.setdefault("_sides", {})
+        if side not in known:
+            known[side] = f"version {self.version}" if self.version is not None else fingerprint(getattr(self, side))
+        return known[side]
+
+    def close(self) -> None:
+        """Gives up what is held in memory; it is made again on the next use."""
+        for name in ("local_occ", "external_occ", "local_signals", "external_signals", "idf", "weighted"):
+            if (df := self.__dict__.pop(name, None)) is not None and not self.store:
+                df.unpersist()
 
-    def _kept(self, name: str, make) -> DataFrame:
-        return cached_table(self.local.sparkSession, f"{self.store}/{name}", make) if self.store else make().persist()
+    @cached_property
+    def blocks(self) -> blocks.BlockIndex:
+        if not self.store:
+            return blocks.build(self.weighted)
+        rows = self._kept("blocks", lambda: blocks.block_rows(self.weighted).sort("keyword", "tier", "sub"), "external", scorer=self.scorer)
+        return blocks.BlockIndex(rows, self._kept("tiers", lambda: blocks.tier_rows(rows), "external", scorer=self.scorer), 128)
+
+    def search(self, queries: DataFrame, k: int = 20) -> DataFrame:
+        """(intent_id, external_id, score, rank) of queries (intent_id, keyword)."""
+        return blocks.search(queries, self.blocks, k)[0] if self.skipping else search.search(queries, self.weighted, k)
 
     @property
     def attrs(self) -> list[str]:
@@ -37,27 +70,27 @@ class Dataset:
 
     @cached_property
     def local_occ(self) -> DataFrame:
-        return self._kept("local_occ", lambda: index.occurrences(self.local, stem=self.stem, stop=self.stop))
+        return self._kept("local_occ", lambda: index.occurrences(self.local, stem=self.stem, stop=self.stop), "local")
 
     @cached_property
     def external_occ(self) -> DataFrame:
-        return self._kept("external_occ", lambda: index.occurrences(self.external, stem=self.stem, stop=self.stop))
+        return self._kept("external_occ", lambda: index.occurrences(self.external, stem=self.stem, stop=self.stop), "external")
 
     @cached_property
     def local_signals(self) -> DataFrame:
-        return self._kept("local_signals", lambda: index.signals(self.local_occ))
+        return self._kept("local_signals", lambda: index.signals(self.local_occ), "local")
 
     @cached_property
     def external_signals(self) -> DataFrame:
-        return self._kept("external_signals", lambda: index.signals(self.external_occ))
+        return self._kept("external_signals", lambda: index.signals(self.external_occ), "external")
 
     @cached_property
     def idf(self) -> DataFrame:
-        return self._kept("idf", lambda: index.idf(self.local_signals, self.local))
+        return self._kept("idf", lambda: index.idf(self.local_signals, self.local), "local")
 
     @cached_property
     def weighted(self) -> DataFrame:
-        return self._kept("weighted", lambda: search.weighted_postings(index.postings(self.external_signals), self.scorer))
+        return self._kept("weighted", lambda: search.weighted_postings(index.postings(self.external_signals), self.scorer), "external", scorer=self.scorer)
 
     @cached_property
     def layout(self) -> features.Layout:
@@ -65,8 +98,8 @@ class Dataset:
 
     def only(self, ids: DataFrame) -> Dataset:
         """The same dataset for some local entities; frequencies and buckets stay those of all."""
-        rest = Dataset(self.local.join(ids.select("id"), "id", "left_semi"), self.external, self.truth, self.stem, self.stop, self.scorer, None, self.lexicon)
-        rest.__dict__.update({k: self.__dict__[k] for k in ("external_occ", "external_signals", "weighted") if k in self.__dict__})
+        rest = Dataset(self.local.join(ids.select("id"), "id", "left_semi"), self.external, self.truth, self.stem, self.stop, self.scorer, None, self.lexicon, None, self.skipping)
+        rest.__dict__.update({k: self.__dict__[k] for k in ("external_occ", "external_signals", "weighted", "blocks") if k in self.__dict__})
         rest.__dict__.update(idf=self.idf, layout=self.layout)
         return rest
 
@@ -81,7 +114,7 @@ def contained(local: DataFrame, external: DataFrame, text: str = "text") -> Data
     words = F.split(F.col(text), r"\s+")
     inner = local.select("id", text, F.explode(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))).alias("word")).filter("word <> ''")
     docs = external.select("id", F.explode(F.array_distinct(words)).alias("word"))
-    asked = docs.join(inner.select("word").distinct(), "word", "left_semi").persist()
+    asked = settled(docs.join(inner.select("word").distinct(), "word", "left_semi"), "asked")
     df = asked.groupBy("word").agg(F.count("*").alias("df"))
     rarest = inner.join(df, "word", "left").groupBy("id", text).agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
     candidates = rarest.select(F.col("id").alias("local_id"), F.col(text).alias("__needle"), "word").join(asked.withColumnRenamed("id", "external_id"), "word")
@@ -97,7 +130,7 @@ def _holding(short: DataFrame, docs: DataFrame, most: int = 3) -> DataFrame:
     of white space alone, any word."""
     parts = F.split("__needle", r"\s+")
     longest = F.array_max(F.transform(parts, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    needles = short.withColumn("part", longest).withColumn("gram", F.substring("part", 1, most)).persist()
+    needles = settled(short.withColumn("part", longest).withColumn("gram", F.substring("part", 1, most)), "needles")
     vocabulary = docs.select("word").distinct()
     # Grams of words, of every length up to `most`; the empty one is that of white space.
     grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(0), F.lit(most)), lambda n: F.col("word").substr(i, n)))))

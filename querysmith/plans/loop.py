@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
-from ..operators import evaluate, features, feedback, index, search
+from ..operators import evaluate, features, feedback, index
 from ..operators.sampling import permutation, series_draws, uniform_draws, zipf_draws, zipf_weights
 from ..sources.store import exists, scratch, settled
 from .dataset import Dataset
@@ -62,6 +62,23 @@ class Loop:
         self.layout = features.Layout(base.attrs, base.idf, base.length, base.tf, borrowed=c.supervised_term_borrowing, external=c.external_feat_specific or c.external_feat_specific_unsupervised, unsupervised=c.external_feat_specific_unsupervised)
         self._static: DataFrame | None = None
 
+    def snapshot(self) -> tuple[dict, dict[str, DataFrame]]:
+        """All that the run has learned: values for JSON, and tables."""
+        values, tables = self.policy.snapshot()
+        state = {f"state-{name}": df for name, df in vars(self.state).items() if df is not None}
+        return values, tables | state
+
+    def restore(self, values: dict, tables: dict[str, DataFrame]) -> None:
+        """Goes on from what `snapshot` gave."""
+        self.policy.restore(values, tables)
+        self.state = State(**{name.removeprefix("state-"): df for name, df in tables.items() if name.startswith("state-")})
+
+    def close(self) -> None:
+        """Gives up what is held in memory; the loop can go on."""
+        if self._static is not None:
+            self._static.unpersist()
+            self._static = None
+
     def _pairs(self, pairs: DataFrame | None) -> DataFrame:
         return self.spark.createDataFrame([], "local_id string, external_id string") if pairs is None else pairs
 
@@ -112,9 +129,10 @@ class Loop:
         number of the first of them."""
         data, run, c = self.data, self.run, self.run.policy
         asked = batch.select(F.col("local_id").alias("id")).distinct()
-        offered = self.candidates(asked).persist()
-        query = self.policy.query(offered, run.query_length, run.seed(self.run_id) * 100_003 + first).withColumn("intent_id", F.col("id")).persist()
-        results = search.search(query, data.weighted, run.top_k_size).persist()
+        # Written, not kept in memory: plans stay small, and lost executors take nothing along.
+        offered = settled(self.candidates(asked), "offered")
+        query = settled(self.policy.query(offered, run.query_length, run.seed(self.run_id) * 100_003 + first).withColumn("intent_id", F.col("id")), "query")
+        results = settled(data.search(query, run.top_k_size), "results")
         y = evaluate.rewards(query.select("intent_id", "pos", "keyword", "attr"), results, data.truth, data.external_signals)
         terms = settled(query.join(y.select("intent_id", "pos", "y"), ["intent_id", "pos"]).select("id", "pos", "keyword", "attr", "score", "is_external", "x", "y"), "terms")
         found = evaluate.metrics(asked.select(F.col("id").alias("intent_id")), results, data.truth)
@@ -132,8 +150,6 @@ class Loop:
                 now = self.candidates(asked).select(F.col("id").alias("local_id"), "keyword", "attr", "is_external", F.col("x").alias("now"))
                 samples = samples.join(now, ["local_id", "keyword", "attr", "is_external"], "left").withColumn("x", F.coalesce("now", "x")).drop("now")
             loss = self.policy.update(samples.select("interaction", F.col("local_id").alias("id"), "pos", "keyword", "is_external", "x", "y"))
-        for df in (offered, query, results):
-            df.unpersist()
         names = [f.split()[0] for f in LOG.replace("struct<keyword:string,attr:string,score:double>", "").split(", ")]
         return log.withColumn("run_id", F.lit(self.run_id).cast("long")).withColumn("loss", F.lit(loss).cast("double")).select(*names)
 
@@ -168,7 +184,9 @@ def play(data: Dataset, run: RunConfig, series: DataFrame | None = None, findabl
         data = data.only(evaluate.in_series(data.local.select("id"), series))
     out = None
     for run_id in range(1, run.average_runs + 1):
-        log = Loop(data, make(run.model, run.policy, **how), run, run_id).play(intents(data, run, run_id, series))
+        loop = Loop(data, make(run.model, run.policy, **how), run, run_id)
+        log = loop.play(intents(data, run, run_id, series))
+        loop.close()
         out = log if out is None else out.unionByName(log)
     return out
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..config import PolicyConfig
 from ..operators import bandit, neural
+from ..operators.ranking import with_rank
 from ..operators.sampling import epsilon_greedy
 from ..operators.selection import probability_mass, top_terms
+from ..sources.store import settled
 
 
 class Policy(ABC):
@@ -45,6 +47,13 @@ class Policy(ABC):
     def weights(self) -> np.ndarray | None:
         return None
 
+    def snapshot(self) -> tuple[dict, dict[str, DataFrame]]:
+        """All that was learned: values for JSON, and tables."""
+        return {}, {}
+
+    def restore(self, values: dict, tables: dict[str, DataFrame]) -> None:
+        """Takes what `snapshot` gave back."""
+
 
 class IdfPolicy(Policy):
     """The rarest terms; learns nothing."""
@@ -102,6 +111,17 @@ class DatasetPolicy(Policy):
     def weights(self) -> np.ndarray | None:
         return self.local.weights()
 
+    def snapshot(self) -> tuple[dict, dict[str, DataFrame]]:
+        return {side: [m.a.tolist(), m.b.tolist()] for side, m in (("local", self.local), ("external", self.external)) if m.is_fitted}, {}
+
+    def restore(self, values: dict, tables: dict[str, DataFrame]) -> None:
+        for side in ("local", "external"):
+            model = bandit.LinUCB(self.config.alpha)
+            if side in values:
+                a, b = (np.array(v) for v in values[side])
+                model.add(a - np.eye(len(b)), b)
+            setattr(self, side, model)
+
 
 class HybridPolicy(DatasetPolicy):
     """The shared model, and models of their own for entities that do poorly while the shared one makes no progress.
@@ -109,74 +129,97 @@ class HybridPolicy(DatasetPolicy):
     An entity's own model knows all its samples and nothing else, and the shared model all samples of the other entities. A new
     model so is the sum of samples that were kept, and the shared model loses exactly what it gains. Terms borrowed without
     supervision have shorter vectors and one model for all entities.
+
+    What is known of entities is a table (`entities`: own, whether it has a model; last, its last reciprocal rank; and the sums of its
+    samples), merged with a round's sums by entity and written. Models are made of the sums where an entity's candidates are. On the
+    driver are the shared model and what tells progress: the means of the last two windows and the sum of the one that is open.
     """
 
     name = "hybrid"
 
     def __init__(self, config: PolicyConfig):
         super().__init__(config)
-        self.own: dict[str, bandit.LinUCB] = {}
-        self.sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # of entities without a model: what their samples add up to
-        self.last: dict[str, float] = {}
+        self.entities: DataFrame | None = None
         self.windows: list[float] = []
-        self.open: list[float] = []
-
-    def triggered(self, local_id: str) -> bool:
-        poor = local_id in self.last and self.last[local_id] <= self.config.rr_threshold
-        return local_id not in self.own and poor and len(self.windows) > 1 and self.windows[-2] >= self.windows[-1]
-
-    def split(self, ids: list[str]) -> None:
-        """Gives models to the entities that ask for one now."""
-        for i in ids:
-            if self.triggered(i):
-                self.own[i] = bandit.LinUCB(self.config.alpha)
-                if i in self.sums:
-                    gram, moment = self.sums.pop(i)
-                    self.own[i].add(gram, moment)
-                    self.local.add(-gram, -moment)
+        self.seen, self.open = 0, 0.0
+
+    def stuck(self) -> bool:
+        return len(self.windows) > 1 and self.windows[-2] >= self.windows[-1]
+
+    def split(self, asked: DataFrame) -> None:
+        """Gives models to the entities (id) that ask for one now."""
+        if self.entities is None or not self.stuck():
+            return
+        poor = (~F.col("own")) & (F.col("last") <= self.config.rr_threshold)
+        new = settled(self.entities.filter(poor).join(asked, "id", "left_semi"), "split")
+        d = new.agg(F.max(F.size("moment"))).first()[0]
+        if d is None:
+            return
+        if d > 0:
+            gram, moment = bandit.collect_gram(bandit.total_gram(new.filter("moment IS NOT NULL")), d)
+            self.local.add(-gram, -moment)
+        rest = self.entities.join(new.select("id"), "id", "left_anti")
+        self.entities = settled(rest.unionByName(new.withColumn("own", F.lit(True))), "entities")
 
     def score(self, candidates: DataFrame) -> DataFrame:
-        ids = [r["id"] for r in candidates.select("id").distinct().collect()]  # a round's entities
-        self.split(ids)
-        special = {i: self.own[i] for i in ids if i in self.own}
-        return self._sided(candidates, lambda side, d: bandit.score_column(self.external, F.col("x"), d) if side else bandit.score_by_key(special, self.local, F.col("id"), F.col("x"), d))
-
-    def observe(self, interaction: int, local_id: str, rewards: list[float]) -> None:
-        rr = max(rewards, default=0.0)
-        self.open.append(rr)
-        if len(self.open) == self.config.window_size:
-            self.windows = [*self.windows[-1:], sum(self.open) / len(self.open)]
-            self.open = []
-        if self.windows:
-            self.last[local_id] = rr
+        self.split(candidates.select("id").distinct())
+        if self.entities is None:
+            return super().score(candidates)
+        own = self.entities.filter("own").join(candidates.select("id").distinct(), "id", "left_semi")
+        special = (~F.col("is_external")) & F.col("__own")
+        rows = settled(candidates.join(own.select("id", F.lit(True).alias("__own")), "id", "left").withColumn("__own", F.coalesce("__own", F.lit(False))), "candidates")
+        d = rows.filter(special).agg(F.max(F.size("x"))).first()[0]
+        if d is None:
+            return super().score(candidates)
+        mine = bandit.score_by_entity(rows.filter(special).drop("__own"), own, d, self.config.alpha).withColumn("score", F.round("score", 9))
+        return super().score(rows.filter(~special).drop("__own")).unionByName(mine)
+
+    def _observe(self, samples: DataFrame) -> DataFrame:
+        """Takes in a round's reciprocal ranks in their order; (id, last) of entities whose last one counts, those after the first window."""
+        size = self.config.window_size
+        turns = with_rank(samples.groupBy("interaction").agg(F.first("id").alias("id"), F.greatest(F.max("y"), F.lit(0.0)).alias("rr")), "interaction", name="place")
+        turns = settled(turns.withColumn("place", F.col("place") + self.seen), "turns")
+        window = F.floor((F.col("place") - 1) / size)
+        sums = turns.groupBy(window.alias("w")).agg(F.sum("rr").alias("rr"), F.count("*").alias("n")).orderBy(F.desc("w")).limit(3).collect()
+        first, opened, open_ = self.seen // size, self.seen % size, self.open
+        self.open = 0.0
+        for r in sorted(sums, key=lambda r: r["w"]):
+            total, n = (r["rr"] + open_, r["n"] + opened) if r["w"] == first else (r["rr"], r["n"])
+            if n == size:
+                self.windows = [*self.windows[-1:], total / size]
+            else:
+                self.open = total
+        self.seen = turns.agg(F.max("place")).first()[0] or self.seen
+        return turns.filter(F.col("place") >= size).groupBy("id").agg(F.max_by("rr", "place").alias("last"))
 
     def update(self, samples: DataFrame) -> float | None:
-        return self.learn(in_order(samples))
-
-    def learn(self, samples: list[dict]) -> float | None:
-        losses, shared = [], []
-        by_id: dict[str, list[dict]] = {}
-        for s in samples:
-            by_id.setdefault(s["id"], []).append(s)
-        for i, rows in by_id.items():
-            local = [s for s in rows if not s["is_external"]]
-            if local and i in self.own:
-                losses.append(self.own[i].fit(*_arrays(local)))
-            elif local:
-                x, y = _arrays(local)
-                gram, moment = self.sums.get(i, (0.0, 0.0))
-                self.sums[i] = (gram + x.T @ x, moment + x.T @ y)
-                shared += local
-        borrowed = [s for s in samples if s["is_external"]]
-        for model, rows in ((self.local, shared), (self.external, borrowed)):
-            if rows:
-                losses.append(model.fit(*_arrays(rows)))
-        turns: dict[int, list[dict]] = {}
-        for s in samples:
-            turns.setdefault(s.get("interaction", 0), []).append(s)
-        for number, rows in sorted(turns.items()):
-            self.observe(number, rows[0]["id"], [s["y"] for s in rows])
-        return float(np.mean(losses)) if losses else None
+        samples = settled(samples, "samples")
+        last = self._observe(samples)
+        new = settled(bandit.sums_by_id(samples.filter("NOT is_external")), "sums")
+        known = self.entities if self.entities is not None else samples.sparkSession.createDataFrame([], f"{bandit.SUMS}, own boolean, last double")
+        flags = known.select("id", "own", F.col("last").alias("before")).join(last, "id", "full_outer")
+        flags = flags.select("id", F.coalesce("own", F.lit(False)).alias("own"), F.coalesce("last", "before").alias("last"))
+        merged = bandit.merged_sums(known.select("id", "n", "yy", "gram", "moment"), new).join(flags, "id", "full_outer").withColumn("own", F.coalesce("own", F.lit(False)))
+        owners = known.filter("own")
+        losses = bandit.losses_by_entity(owners, new, self.config.alpha).agg(F.sum("loss").alias("loss"), F.count("*").alias("n")).first()
+        loss, models = losses["loss"] or 0.0, losses["n"]
+        shared = new.join(owners.select("id"), "id", "left_anti")
+        borrowed = samples.filter("is_external").select("x", "y")
+        sizes = shared.agg(F.sum("n").alias("n"), F.sum("yy").alias("yy"), F.max(F.size("moment")).alias("d")).first(), borrowed.agg(F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.max(F.size("x")).alias("d")).first()
+        for model, cells, r in ((self.local, bandit.total_gram(shared), sizes[0]), (self.external, bandit.gram(borrowed), sizes[1])):
+            if r["n"]:
+                loss += model.learn(*bandit.collect_gram(cells, r["d"]), r["n"], r["yy"])
+                models += 1
+        self.entities = settled(merged, "entities")
+        return loss / models if models else None
+
+    def snapshot(self) -> tuple[dict, dict[str, DataFrame]]:
+        values, tables = super().snapshot()
+        return values | {"windows": self.windows, "seen": self.seen, "open": self.open}, tables | ({} if self.entities is None else {"entities": self.entities})
+
+    def restore(self, values: dict, tables: dict[str, DataFrame]) -> None:
+        super().restore(values, tables)
+        self.windows, self.seen, self.open, self.entities = list(values["windows"]), values["seen"], values["open"], tables.get("entities")
 
 
 class NeuralPolicy(Policy):
@@ -194,7 +237,7 @@ class NeuralPolicy(Policy):
         self.vectors, self.hidden, self.seed, self.found_only = vectors, hidden, seed, subwords is not None
         if subwords:
             sequences, patterns, places = subwords
-            self.vectors = neural.mean_pool(places, neural.prepare(sequences, patterns)).persist()
+            self.vectors = settled(neural.mean_pool(places, neural.prepare(sequences, patterns)), "vectors")
         self.replay: neural.Replay | None = None
         self.width = 0
 
@@ -236,6 +279,20 @@ class NeuralPolicy(Policy):
             loss = self.replay.fit()
         return loss
 
+    def snapshot(self) -> tuple[dict, dict[str, DataFrame]]:
+        if self.replay is None:
+            return {}, {}
+        values = self.replay.values() | {"width": self.width}
+        return values | ({"attrs": self.attrs} if hasattr(self, "attrs") else {}), {}
+
+    def restore(self, values: dict, tables: dict[str, DataFrame]) -> None:
+        if values:
+            c = self.config
+            self.replay = neural.Replay.of(values, c.learning_rate, c.buffer_size, c.buffer_sample_size, c.split_sample, self.seed)
+            self.width = values["width"]
+            if "attrs" in values:
+                self.attrs = values["attrs"]
+
 
 def make(name: str, config: PolicyConfig, **how) -> Policy:
     return {p.name: p for p in (IdfPolicy, DatasetPolicy, HybridPolicy, NeuralPolicy)}[name](config, **how)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import row_string
 from ..operators.ranking import with_rank
-from .store import exists
+from .store import exists, read_text, write_text
 
 
 def read_entities(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
@@ -49,13 +51,30 @@ def header(df: DataFrame) -> list[str]:
     return df.columns
 
 
-def cached_table(spark: SparkSession, path: str, make: Callable[[], DataFrame], bucket_by: str | None = None, buckets: int = 0) -> DataFrame:
-    """The table at `path`, made and written first if it isn't complete yet. A half-written one is written anew."""
-    if not complete(spark, path):
+def fingerprint(df: DataFrame) -> str:
+    """What a table holds, whatever the order of its rows: its schema, their number, two sums of their hashes. One pass, no shuffle."""
+    row = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
+    other = F.xxhash64(F.lit("other"), row)
+    sums = df.agg(F.count("*"), *[F.sum(h.cast("decimal(38,0)")) for h in (row, other)]).first()
+    return hashlib.sha256(json.dumps([df.schema.jsonValue(), *map(str, sums)]).encode()).hexdigest()
+
+
+def cached_table(spark: SparkSession, path: str, make: Callable[[], DataFrame], bucket_by: str | None = None, buckets: int = 0, manifest: dict | None = None) -> DataFrame:
+    """The table at `path`, made and written first if it isn't complete yet. A half-written one is written anew.
+
+    manifest: what the table is made of (fingerprints, settings). It becomes part of the path, so that tables of other contents have
+    places of their own, and lies beside the data; a table whose manifest isn't the one that is asked for is written anew.
+    """
+    said = json.dumps(manifest, sort_keys=True) if manifest is not None else None
+    if said is not None:
+        path = f"{path}-{hashlib.sha256(said.encode()).hexdigest()[:16]}"
+    if not complete(spark, path) or (said is not None and read_text(spark, f"{path}/_manifest.json") != said):
         df = make()
         if bucket_by:
             df = df.repartition(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), bucket_by).sortWithinPartitions(bucket_by)
         df.write.mode("overwrite").parquet(path)
+        if said is not None:
+            write_text(spark, f"{path}/_manifest.json", said)
     return spark.read.parquet(path)
 
 

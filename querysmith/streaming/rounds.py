@@ -1,7 +1,8 @@
 """Intents as a stream: each micro-batch is a round of interactions.
 
 Event order inside a micro-batch is by interaction number. The log is appended by batch id, so that a batch that is replayed
-after a failure replaces its own rows.
+after a failure replaces its own rows. What was learned is written as a version by batch id too, before Spark counts the batch as
+done: a stream that is started again, by another driver or after a failure inside a batch, goes on from the version before.
 """
 
 from __future__ import annotations
@@ -13,18 +14,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..plans import snapshots
 from ..plans.loop import Loop
 
 
 def start(stream: DataFrame, loop: Loop, log_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Plays a stream of (interaction, local_id) and writes the log below `log_path`, one directory a batch."""
+    """Plays a stream of (interaction, local_id) and writes the log below `log_path`, one directory a batch.
+
+    The loop may be a new one: with a checkpoint of an earlier start it takes what was learned until then.
+    """
+    root, new, held = f"{checkpoint}/learned", loop.snapshot(), -1
 
     def play(batch: DataFrame, batch_id: int) -> None:
+        nonlocal held
+        if held != batch_id - 1 or not batch_id:
+            before = [v for v in snapshots.versions(loop.spark, root) if v < batch_id]
+            if before:
+                snapshots.load(loop, root, before[-1])
+            else:
+                loop.restore(*new)
+        held = -2  # if the batch fails, what is in memory counts no more
         size, path = loop.run.batch, f"{log_path}/batch_id={batch_id}"
         numbers = [r["interaction"] for r in batch.select("interaction").orderBy("interaction").collect()]  # of one micro-batch
         for at in range(0, len(numbers), size):
             part = batch.filter(F.col("interaction").between(numbers[at], numbers[min(at + size, len(numbers)) - 1])).select("interaction", "local_id")
             loop.round(part, numbers[at]).write.mode("append" if at else "overwrite").parquet(path)
+        snapshots.save(loop, root, batch_id)
+        held = batch_id
 
     writer = stream.writeStream.foreachBatch(play).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

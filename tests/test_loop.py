@@ -63,14 +63,114 @@ def test_other_policies_run(spark, data, how):
     assert [r.interaction for r in log] == [1, 2, 3, 4] and all(0 <= r.rr <= 1 and len(r.query) >= 1 for r in log)
 
 
-def test_hybrid_moves_samples():
+SAMPLE = "interaction long, id string, pos int, keyword string, is_external boolean, x array<double>, y double"
+
+
+def test_hybrid_moves_samples(spark):
     p = HybridPolicy(PolicyConfig(window_size=1, rr_threshold=0.5))
-    x = [{"interaction": 1, "id": "e", "is_external": False, "x": [1.0, 2.0], "y": 0.0}, {"interaction": 2, "id": "f", "is_external": False, "x": [0.0, 1.0], "y": 1.0}]
-    p.learn(x)
-    p.observe(3, "e", [0.0])
-    p.observe(4, "e", [0.0])
-    p.split(["e", "f"])
-    assert set(p.own) == {"e"} and np.allclose(p.local.a, np.eye(2) + np.outer([0, 1], [0, 1])) and np.allclose(p.own["e"].a, np.eye(2) + np.outer([1, 2], [1, 2]))
+    rows = [(1, "e", 1, "k", False, [1.0, 2.0], 0.0), (2, "f", 1, "k", False, [0.0, 1.0], 1.0), (3, "e", 1, "k", True, [1.0], 0.0), (4, "e", 1, "k", True, [1.0], 0.0)]
+    p.update(spark.createDataFrame(rows, SAMPLE))
+    p.split(spark.createDataFrame([("e",), ("f",)], "id string"))
+    known = {r.id: r for r in p.entities.collect()}
+    assert {i for i, r in known.items() if r.own} == {"e"} and np.allclose(p.local.a, np.eye(2) + np.outer([0, 1], [0, 1]))
+    assert np.allclose(np.reshape(known["e"].gram, (2, 2)), np.outer([1, 2], [1, 2]))
+
+
+class Sequential:
+    """The hybrid policy over plain rows, one after the other, everything in memory."""
+
+    def __init__(self, c):
+        self.c, self.shared, self.loose, self.own, self.kept, self.last, self.windows, self.open = c, LinUCB(c.alpha), LinUCB(c.alpha), {}, {}, {}, [], []
+
+    def split(self, ids):
+        for i in ids:
+            if i not in self.own and self.last.get(i, 9) <= self.c.rr_threshold and len(self.windows) > 1 and self.windows[-2] >= self.windows[-1]:
+                self.own[i] = LinUCB(self.c.alpha)
+                for x, y in self.kept.pop(i, []):
+                    self.own[i].fit(x, y)
+                    self.shared.remove(x, y)
+
+    def update(self, rows):
+        losses, groups = [], {}
+        for r in rows:
+            groups.setdefault((r[4], r[1] if r[1] in self.own and not r[4] else None), []).append(r)
+        for (external, i), part in groups.items():
+            x, y = np.array([r[5] for r in part]), np.array([r[6] for r in part])
+            losses.append((self.loose if external else self.own[i] if i else self.shared).fit(x, y))
+            if not external and not i:
+                for r in part:
+                    self.kept.setdefault(r[1], []).append((np.array([r[5]]), np.array([r[6]])))
+        for n in sorted({r[0] for r in rows}):
+            part = [r for r in rows if r[0] == n]
+            self.open.append(max(r[6] for r in part))
+            if len(self.open) == self.c.window_size:
+                self.windows, self.open = [*self.windows, float(np.mean(self.open))], []
+            if self.windows:
+                self.last[part[0][1]] = max(r[6] for r in part)
+        return float(np.mean(losses))
+
+
+def test_hybrid_against_the_sequential_rule(spark):
+    """Rounds of all sizes, some entities far more often than others: sums, splits, scores and losses are those of a plain loop."""
+    draw = np.random.default_rng(4)
+    config = PolicyConfig(window_size=4, rr_threshold=0.4)
+    ours, plain, at = HybridPolicy(config), Sequential(config), 0
+    candidates = [(f"e{i}", f"k{j}", j % 3 == 2, (draw.random(2) if j % 3 == 2 else draw.random(3)).tolist()) for i in range(5) for j in range(4)]
+    offered = spark.createDataFrame(candidates, "id string, keyword string, is_external boolean, x array<double>").repartition(3)
+    for size in (3, 7, 1, 12, 6, 9):
+        rows = []
+        for at in range(at + 1, at + size + 1):
+            i = int(draw.choice(5, p=[0.6, 0.1, 0.1, 0.1, 0.1]))
+            rows += [(at, f"e{i}", j, f"k{j}", j == 2, (draw.random(2) if j == 2 else draw.random(3)).tolist(), float(draw.choice([0.0, 0.1, 0.5, 1.0]))) for j in range(int(draw.integers(1, 4)))]
+        assert ours.update(spark.createDataFrame(rows, SAMPLE).repartition(3)) == pytest.approx(plain.update(rows))
+        assert np.allclose(ours.windows, plain.windows[-2:]) and ours.open == pytest.approx(sum(plain.open))
+        scores = {(r.id, r.keyword): r.score for r in ours.score(offered).collect()}
+        plain.split(sorted({c[0] for c in candidates}))
+        known = {r.id: r for r in ours.entities.collect()}
+        assert {i for i, r in known.items() if r.own} == set(plain.own) and {i: r["last"] for i, r in known.items() if r["last"] is not None} == pytest.approx(plain.last)
+        assert np.allclose(ours.local.a, plain.shared.a) and np.allclose(ours.local.b, plain.shared.b)
+        for i, model in plain.own.items():
+            assert np.allclose(np.reshape(known[i].gram, (3, 3)) + np.eye(3), model.a) if known[i].gram else np.allclose(model.start(3).a, np.eye(3))
+        for i, k, external, x in candidates:
+            model = plain.loose if external else plain.own.get(i, plain.shared)
+            assert scores[i, k] == pytest.approx(model.predict(np.array([x]))[0], abs=1e-8)
+    assert plain.own and set(plain.own) != {f"e{i}" for i in range(5)}
+
+
+@pytest.mark.parametrize("how", [{"model": "dataset_level", "supervised_term_borrowing": True}, {"model": "hybrid", "window_size": 1, "rr_threshold": 1.0, "unsupervised_term_borrowing": True}, {"model": "neural"}])
+def test_a_stream_that_is_started_again_goes_on(spark, data, tmp_path, how, monkeypatch):
+    """A new loop, after an end and after a failure inside of a batch, plays what an uninterrupted stream plays."""
+    from querysmith.plans import snapshots
+    from querysmith.streaming import rounds
+
+    config = {k: v for k, v in how.items() if k != "model"}
+    run = RunConfig(interactions=8, query_length=2, distribution="fixed", model=how["model"], batch=2, policy=PolicyConfig(**config))
+    intents = [(i + 1, who) for i, who in enumerate(["b:1", "b:2", "b:1", "b:3", "b:2", "b:1", "b:1", "b:2"])]
+    parts = [spark.createDataFrame(intents[i : i + 2], "interaction long, local_id string").coalesce(1) for i in range(0, 8, 2)]
+    extra = {"hidden": (8,)} if how["model"] == "neural" else {}
+
+    def start(name, *new):
+        for part in new:
+            part.write.mode("append").parquet(f"{tmp_path}/{name}/in")
+        stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}/in")
+        rounds.start(stream, L.Loop(data, make(run.model, run.policy, **extra), run), f"{tmp_path}/{name}/log", f"{tmp_path}/{name}/cp").awaitTermination()
+        return spark.read.parquet(f"{tmp_path}/{name}/log").orderBy("interaction").drop("batch_id").collect()
+
+    whole = start("whole", *parts)
+    start("cut", parts[0])
+    start("cut", parts[1])
+    save, fails = snapshots.save, [True]
+
+    def once_broken(*args, **more):
+        if fails.pop() if fails else False:
+            raise OSError("lost")
+        return save(*args, **more)
+
+    monkeypatch.setattr(snapshots, "save", once_broken)
+    with pytest.raises(Exception, match="lost"):
+        start("cut", parts[2])
+    assert start("cut", parts[3]) == whole
+    assert len(snapshots.versions(spark, f"{tmp_path}/cut/cp/learned")) == 2
 
 
 def test_sent_share_and_borrowing(spark, data):
