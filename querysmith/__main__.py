@@ -27,7 +27,9 @@ def load(spark: SparkSession, path: str, store: str | None = None, stem: bool =
 
     def side(name: str, prefix: str) -> DataFrame:
         df = tables.read_entities(spark, f"{path}/{name}.csv")
-        df = tables.upsert_by_id(df.withColumn("__pos", F.monotonically_increasing_id()), df.columns[0], "__pos").drop("first_pos")
+        # Of a directory the files count in the order of their names, whichever Spark reads first.
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+        df = tables.upsert_by_id(df.withColumn("__pos", place), df.columns[0], "__pos").drop("first_pos")
         return tables.as_entities(df, df.columns[0], df.columns[1:], prefix)
 
     pairs = tables.read_pairs(spark, f"{path}/ground_truth.csv")

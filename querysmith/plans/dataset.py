@@ -47,6 +47,11 @@ class Dataset:
             known[side] = f"version {self.version}" if self.version is not None else fingerprint(getattr(self, side))
         return known[side]
 
+    def prepare(self) -> Dataset:
+        """Sets up what all runs over the dataset share, so that several may start at once."""
+        _ = self.layout, self.local_signals, self.external_signals, self.weighted, self.blocks if self.skipping else None
+        return self
+
     def close(self) -> None:
         """Gives up what is held in memory; it is made again on the next use."""
         for name in ("local_occ", "external_occ", "local_signals", "external_signals", "idf", "weighted"):

@@ -8,6 +8,7 @@ sums (the square of a vector's length), and for policies that learn in order (hy
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -176,18 +177,29 @@ class Loop:
         return self.spark.read.schema(out.schema).parquet(path) if exists(self.spark, path) else out
 
 
-def play(data: Dataset, run: RunConfig, series: DataFrame | None = None, findable_only: bool = False, **how) -> DataFrame:
-    """The logs of all repetitions of a run, each with models and state of its own."""
+def play(data: Dataset, run: RunConfig, series: DataFrame | None = None, findable_only: bool = False, at_once: int = 4, **how) -> DataFrame:
+    """The logs of all repetitions of a run, each with models and state of its own.
+
+    Up to `at_once` are played at the same time: their jobs share the executors, and the dataset's structures are built once.
+    """
     if findable_only:
         data = data.only(evaluate.findable(data.local.select("id"), data.truth))
     if series is not None:
         data = data.only(evaluate.in_series(data.local.select("id"), series))
-    out = None
-    for run_id in range(1, run.average_runs + 1):
+
+    def repetition(run_id: int) -> DataFrame:
         loop = Loop(data, make(run.model, run.policy, **how), run, run_id)
-        log = loop.play(intents(data, run, run_id, series))
-        loop.close()
-        out = log if out is None else out.unionByName(log)
+        try:
+            return loop.play(intents(data, run, run_id, series))
+        finally:
+            loop.close()
+
+    data.prepare()
+    with ThreadPoolExecutor(min(at_once, len(run.run_ids))) as pool:
+        logs = list(pool.map(repetition, run.run_ids))
+    out = logs[0]
+    for log in logs[1:]:
+        out = out.unionByName(log)
     return out
 
 

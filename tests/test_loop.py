@@ -205,6 +205,14 @@ def test_distributed_sums_are_those_of_the_samples(spark):
     assert np.allclose(policy.local.theta, one.theta) and np.allclose(policy.external.theta, two.theta)
 
 
+def test_repetitions_at_once_are_those_one_by_one(spark, data):
+    """Runs with numbers and seeds of their own, played together: the log of each is that of the run alone."""
+    how = {"interactions": 6, "query_length": 1, "distribution": "uniform", "model": "dataset_level", "batch": 3}
+    both = L.play(data, RunConfig(runs=(2, 5), seeds=(11, 12), **how)).orderBy("run_id", "interaction").collect()
+    alone = [r for i, seed in ((2, 11), (5, 12)) for r in L.play(data, RunConfig(runs=(i,), seeds=(seed,), **how), at_once=1).orderBy("interaction").collect()]
+    assert both == alone and len(both) == 12
+
+
 def test_draws_and_progress(spark, data):
     for distribution in ("uniform", "zipfian"):
         run = RunConfig(interactions=30, query_length=1, distribution=distribution, model="idf", batch=30, average_runs=2)
