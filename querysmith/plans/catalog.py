@@ -19,6 +19,7 @@ from ..sources import tables as src
 from ..sources.store import settled
 from .dataset import Dataset, contained
 from .loop import play, progress
+from .policies import make
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -526,6 +527,28 @@ def hybrid_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _played(spark, sf_dir, "hybrid", PolicyConfig(window_size=20))
 
 
+_ENTITIES = (
+    f"{_SAMPLES}, o AS (SELECT id, row_number() OVER (ORDER BY id) AS place, count(*) OVER () AS all_, greatest(max(y), 0) AS rr FROM f GROUP BY id), p AS (SELECT place, rr FROM o UNION ALL SELECT place + all_, rr FROM o), "
+    "w AS (SELECT (place - 1) // 7 AS w, avg(rr) AS mean FROM p GROUP BY 1 HAVING count(*) = 7), l AS (SELECT mean, row_number() OVER (ORDER BY w DESC) AS n FROM w), "
+    "stuck AS (SELECT (SELECT mean FROM l WHERE n = 2) >= (SELECT mean FROM l WHERE n = 1) AS stuck), s AS (SELECT id, count(*) AS n, sum(list_sum(x) * list_sum(x)) AS g, sum(y * list_sum(x)) AS m FROM f GROUP BY id)"
+)
+
+
+@query(f"WITH {_ENTITIES.replace(', w AS (SELECT (place', ', win AS (SELECT (place').replace('FROM w)', 'FROM win)')} SELECT id, stuck AND rr <= 0.4 AS own, round(rr, 6) AS last, 2 * n AS n, round(2 * g, 4) AS gram_sum, round(2 * m, 4) AS moment_sum FROM s JOIN o USING (id), stuck")
+def hybrid_entity_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the hybrid policy keeps of entities after two rounds of the same samples, and which of them get models of their own then."""
+    d = dataset(spark, sf_dir)
+    samples = settled(small_samples(d), "samples")
+    order = settled(with_rank(samples.select("id").distinct(), "id", name="interaction"), "order")
+    rows = samples.join(order, "id").select("interaction", "id", F.lit(1).alias("pos"), "keyword", F.lit(False).alias("is_external"), "x", "y")
+    policy = make("hybrid", PolicyConfig(window_size=7, rr_threshold=0.4))
+    policy.update(rows)
+    policy.update(rows.withColumn("interaction", F.col("interaction") + order.count()))
+    policy.split(order.select("id"))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, v: s + v), 4)
+    return policy.entities.select("id", "own", _r("last").alias("last"), "n", total("gram").alias("gram_sum"), total("moment").alias("moment_sum"))
+
+
 @query()
 def neural_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _played(spark, sf_dir, "neural", PolicyConfig(), hidden=(32, 32))
