@@ -11,7 +11,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
@@ -62,6 +62,8 @@ class Loop:
         base = data.layout
         self.layout = features.Layout(base.attrs, base.idf, base.length, base.tf, borrowed=c.supervised_term_borrowing, external=c.external_feat_specific or c.external_feat_specific_unsupervised, unsupervised=c.external_feat_specific_unsupervised)
         self._static: DataFrame | None = None
+        #: Of each round: interactions, their mean reciprocal rank, documents returned, matches, the loss. Taken as the log is written.
+        self.metrics: list[dict] = []
 
     def snapshot(self) -> tuple[dict, dict[str, DataFrame]]:
         """All that the run has learned: values for JSON, and tables."""
@@ -139,7 +141,10 @@ class Loop:
         found = evaluate.metrics(asked.select(F.col("id").alias("intent_id")), results, data.truth)
         nested = terms.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "keyword", "attr", "score"))), lambda t: F.struct(t["keyword"], t["attr"], t["score"].cast("double"))).alias("query"))
         log = batch.join(found.withColumnRenamed("intent_id", "local_id"), "local_id").join(nested.withColumnRenamed("id", "local_id"), "local_id", "left")
-        log = settled(log.select("interaction", "local_id", F.coalesce("query", F.array()).alias("query"), "n_returned", "n_matches", "rr", "precision", "recall"), "measured")
+        seen = Observation()
+        log = log.select("interaction", "local_id", F.coalesce("query", F.array()).alias("query"), "n_returned", "n_matches", "rr", "precision", "recall")
+        log = log.observe(seen, F.count("*").alias("interactions"), F.avg("rr").alias("mrr"), F.sum("n_returned").alias("returned"), F.sum("n_matches").alias("matches"))
+        log = settled(log, "measured")
         before = (self.state.matched, self.state.unsupervised)
         if c.supervised_term_borrowing or c.unsupervised_term_borrowing or c.external_feat_specific:
             self._remember(asked, offered, terms, evaluate.matches(results, data.truth).select(F.col("intent_id").alias("local_id"), "external_id").distinct())
@@ -151,6 +156,7 @@ class Loop:
                 now = self.candidates(asked).select(F.col("id").alias("local_id"), "keyword", "attr", "is_external", F.col("x").alias("now"))
                 samples = samples.join(now, ["local_id", "keyword", "attr", "is_external"], "left").withColumn("x", F.coalesce("now", "x")).drop("now")
             loss = self.policy.update(samples.select("interaction", F.col("local_id").alias("id"), "pos", "keyword", "is_external", "x", "y"))
+        self.metrics.append(seen.get | {"loss": loss})
         names = [f.split()[0] for f in LOG.replace("struct<keyword:string,attr:string,score:double>", "").split(", ")]
         return log.withColumn("run_id", F.lit(self.run_id).cast("long")).withColumn("loss", F.lit(loss).cast("double")).select(*names)
 

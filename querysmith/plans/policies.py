@@ -5,7 +5,7 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import PolicyConfig
@@ -94,15 +94,22 @@ class DatasetPolicy(Policy):
     def score(self, candidates: DataFrame) -> DataFrame:
         return self._sided(candidates, lambda side, d: bandit.score_column(self.external if side else self.local, F.col("x"), d))
 
+    @staticmethod
+    def _written(samples: DataFrame) -> tuple[DataFrame, dict]:
+        """Samples as a table, with what was observed while it was written: n, yy (of squared rewards) and d (length of a vector) of own
+        terms (n0, ...) and of borrowed ones (n1, ...)."""
+        seen, counts = Observation(), []
+        for i, side in enumerate((~F.col("is_external"), F.col("is_external"))):
+            counts += [F.count_if(side).alias(f"n{i}"), F.sum(F.when(side, F.col("y") * F.col("y"))).alias(f"yy{i}"), F.max(F.when(side, F.size("x"))).alias(f"d{i}")]
+        return settled(samples.observe(seen, *counts), "samples"), seen.get
+
     def update(self, samples: DataFrame) -> float | None:
-        samples = samples.persist()
-        sizes = samples.groupBy("is_external").agg(F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.max(F.size("x")).alias("d")).collect()
+        samples, seen = self._written(samples)
         losses = []
-        for r in sorted(sizes, key=lambda r: r["is_external"]):
-            model = self.external if r["is_external"] else self.local
-            sums = bandit.collect_gram(bandit.gram(samples.filter(F.col("is_external") == r["is_external"])), r["d"])
-            losses.append(model.learn(*sums, r["n"], r["yy"]))
-        samples.unpersist()
+        for i, model in enumerate((self.local, self.external)):
+            if seen[f"n{i}"]:
+                sums = bandit.collect_gram(bandit.gram(samples.filter(F.col("is_external") == bool(i))), seen[f"d{i}"])
+                losses.append(model.learn(*sums, seen[f"n{i}"], seen[f"yy{i}"]))
         return float(np.mean(losses)) if losses else None
 
     def is_fitted(self) -> bool:
@@ -193,7 +200,7 @@ class HybridPolicy(DatasetPolicy):
         return turns.filter(F.col("place") >= size).groupBy("id").agg(F.max_by("rr", "place").alias("last"))
 
     def update(self, samples: DataFrame) -> float | None:
-        samples = settled(samples, "samples")
+        samples, seen = self._written(samples)
         last = self._observe(samples)
         new = settled(bandit.sums_by_id(samples.filter("NOT is_external")), "sums")
         known = self.entities if self.entities is not None else samples.sparkSession.createDataFrame([], f"{bandit.SUMS}, own boolean, last double")
@@ -205,7 +212,7 @@ class HybridPolicy(DatasetPolicy):
         loss, models = losses["loss"] or 0.0, losses["n"]
         shared = new.join(owners.select("id"), "id", "left_anti")
         borrowed = samples.filter("is_external").select("x", "y")
-        sizes = shared.agg(F.sum("n").alias("n"), F.sum("yy").alias("yy"), F.max(F.size("moment")).alias("d")).first(), borrowed.agg(F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.max(F.size("x")).alias("d")).first()
+        sizes = shared.agg(F.sum("n").alias("n"), F.sum("yy").alias("yy"), F.max(F.size("moment")).alias("d")).first(), {c: seen[f"{c}1"] for c in ("n", "yy", "d")}
         for model, cells, r in ((self.local, bandit.total_gram(shared), sizes[0]), (self.external, bandit.gram(borrowed), sizes[1])):
             if r["n"]:
                 loss += model.learn(*bandit.collect_gram(cells, r["d"]), r["n"], r["yy"])

@@ -3,10 +3,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from querysmith.config import PolicyConfig, RunConfig
-from querysmith.operators.bandit import LinUCB
+from querysmith.operators.bandit import LinUCB, collect_gram, gram
 from querysmith.plans import loop as L
 from querysmith.plans.dataset import Dataset, contained
 from querysmith.plans.policies import HybridPolicy, make
+from querysmith.sources.store import settled
 
 
 @pytest.fixture(scope="module")
@@ -213,6 +214,27 @@ def test_repetitions_at_once_are_those_one_by_one(spark, data):
     assert both == alone and len(both) == 12
 
 
+def test_metrics_of_rounds_need_no_jobs(spark, data):
+    """Counts and means of a round are observed as its tables are written: learning takes one job for each side's sums, no more."""
+    run = RunConfig(interactions=4, query_length=2, distribution="fixed", model="dataset_level", batch=2)
+    loop = L.Loop(data, make(run.model, run.policy), run)
+    log = loop.play(spark.createDataFrame([(p, i) for _, p, i in SERIES], "interaction long, local_id string")).collect()
+    for i, m in enumerate(loop.metrics):
+        part = [r for r in log if 2 * i < r.interaction <= 2 * i + 2]
+        assert m["interactions"] == 2 and m["mrr"] == pytest.approx(np.mean([r.rr for r in part])) and m["loss"] == pytest.approx(part[0].loss)
+        assert (m["returned"], m["matches"]) == (sum(r.n_returned for r in part), sum(r.n_matches for r in part))
+    rows = spark.createDataFrame([(1, "e", 1, "k", False, [1.0, 2.0], 0.5), (1, "e", 2, "l", True, [1.0], 0.5)], SAMPLE)
+    tracker, jobs = spark.sparkContext.statusTracker(), {}
+    for name, work in (("write", lambda: settled(rows, "samples")), ("gram", lambda: collect_gram(gram(rows.filter("NOT is_external")), 2)), ("update", lambda: loop.policy.update(rows))):
+        spark.sparkContext.setJobGroup(name, name)
+        if name == "update":
+            loop.policy = make("dataset_level", run.policy)
+        work()
+        jobs[name] = len(tracker.getJobIdsForGroup(name))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert jobs["update"] == jobs["write"] + 2 * jobs["gram"]
+
+
 def test_draws_and_progress(spark, data):
     for distribution in ("uniform", "zipfian"):
         run = RunConfig(interactions=30, query_length=1, distribution=distribution, model="idf", batch=30, average_runs=2)
