@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import settled
 from .ranking import with_rank
 
 
@@ -44,21 +45,26 @@ def permutation(entities: DataFrame, seed: int) -> DataFrame:
     return entities.select("id", unit(seed, F.col("id")).alias("place"))
 
 
-def zipf_draws(weights: DataFrame, n: int, seed: int, cells: int = 1024) -> DataFrame:
+def zipf_draws(weights: DataFrame, n: int, seed: int) -> DataFrame:
     """(interaction, local_id): the first entity whose running weight reaches the draw; the last one if rounding leaves a gap.
 
-    The range join is an equality join on cells of [0, 1): an entity is in the cells that its interval meets, which are as
-    many as there are entities and cells together.
+    Draws and running weights are range-partitioned together and merged in each partition, so a task has its part of the draws and
+    entities, however the weights are spread: the entity of a draw is the next running weight in order, or the first of the partitions
+    behind.
     """
-    bounds = weights.select("id", "rn", (F.col("upto") - F.col("weight")).alias("lo"), "upto")
-    last = bounds.agg(F.max("rn").alias("last"))
-    bounds = bounds.join(F.broadcast(last)).withColumn("hi", F.when(F.col("rn") == F.col("last"), 2.0).otherwise(F.col("upto")))
-    cell = lambda c: F.least(F.lit(cells - 1), F.greatest(F.lit(0), F.floor(c * cells)))
-    dealt = bounds.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
-    draws = interactions(weights.sparkSession, n, seed).withColumn("cell", cell(F.col("u")))
-    # Intervals may overlap by rounding; the first counts.
-    found = draws.join(dealt, "cell").filter((F.col("u") <= F.col("hi")) & (F.col("u") >= F.col("lo") - 1e-12))
-    return found.groupBy("interaction").agg(F.min_by("id", "rn").alias("local_id"))
+    bounds = weights.select(F.col("upto").alias("v"), F.lit(1).alias("kind"), "rn", "id", F.lit(None).cast("long").alias("interaction"))
+    draws = interactions(weights.sparkSession, n, seed).select(F.col("u").alias("v"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("rn"), F.lit(None).cast(weights.schema["id"].dataType).alias("id"), "interaction")
+    parts = int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settled(bounds.unionByName(draws).repartitionByRange(parts, "v", "kind", "rn").withColumn("slot", F.spark_partition_id()), "merged")
+    # Backwards, so that the next in order is the last that was seen.
+    back = Window.partitionBy("slot").orderBy(F.desc("v"), F.desc("kind"), F.desc("rn")).rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.withColumn("own", F.last(F.when(F.col("kind") == 1, F.col("id")), ignorenulls=True).over(back)).filter("kind = 0")
+    firsts = dealt.groupBy("slot").agg(F.min_by("id", F.when(F.col("kind") == 1, F.struct("v", "rn"))).alias("first"))
+    behind = Window.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    firsts = firsts.select("slot", F.last("first", ignorenulls=True).over(behind).alias("behind"))
+    last = weights.agg(F.max_by("id", "rn").alias("last"))  # one row
+    rows = found.join(F.broadcast(firsts), "slot").join(F.broadcast(last))
+    return rows.select("interaction", F.coalesce("own", "behind", "last").alias("local_id"))
 
 
 def series_draws(series: DataFrame, run_id: int) -> DataFrame:

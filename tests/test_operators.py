@@ -274,3 +274,22 @@ def test_draws_depend_on_nothing_but_their_seed(spark):
     many = ids.select(F.lit("k").alias("id"), "ord", "score")
     first = [r.ord for r in sampling.epsilon_greedy(many, 30, 0.5, 3).orderBy("pos").collect()]
     assert sorted(first) == list(range(30)) and first != list(range(29, -1, -1))
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_draws_are_those_of_a_search_in_the_running_weights(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        w = sampling.zipf_weights(sampling.permutation(spark.createDataFrame([(f"e{i}",) for i in range(3000)], "id string"), 2))
+        rows = w.orderBy("rn").collect()
+        draws = {r.interaction: r.u for r in sampling.interactions(spark, 500, 9).collect()}
+        at = np.searchsorted([r.upto for r in rows], [draws[i] for i in sorted(draws)])
+        got = {r.interaction: r.local_id for r in sampling.zipf_draws(w, 500, 9).collect()}
+        assert [got[i] for i in sorted(draws)] == [rows[min(k, 2999)].id for k in at] and len(got) == 500
+        # Weights that don't add up to one: what is beyond goes to the last entity.
+        half = spark.createDataFrame([("a", 1, 0.1, 0.1), ("b", 2, 0.0, 0.1), ("c", 3, 0.2, 0.3)], "id string, rn long, weight double, upto double")
+        assert {r.local_id: u for r in sampling.zipf_draws(half, 300, 9).collect() for u in [draws[r.interaction]]}.keys() == {"a", "c"}
+        assert all(r.local_id == ("a" if draws[r.interaction] <= 0.1 else "c") for r in sampling.zipf_draws(half, 300, 9).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
