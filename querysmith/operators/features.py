@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import has_non_alpha, is_title, is_upper
 from .buckets import Buckets, find_buckets, one_hot
 from .index import norm_tf, signals, split_by_attribute, with_idf
+from .lemmas import lemmas
 
 #: Parts of speech in the order of their features.
 POS = ("noun", "verb", "adj", "adv")
@@ -56,11 +57,12 @@ def shapes(occ: DataFrame) -> DataFrame:
 
 
 def pos_shares(occ: DataFrame, lexicon: DataFrame | None) -> DataFrame:
-    """(id, keyword, noun, verb, adj, adv): shares of senses of the original tokens' lemmas. lexicon: (form, pos, n_senses)."""
+    """(id, keyword, noun, verb, adj, adv): shares of senses of the original tokens' lemmas. lexicon: (form, pos, n_senses) of lemmas."""
     terms = occ.select("id", "keyword", F.lower("token").alias("form")).distinct()
     if lexicon is None:
         return terms.select("id", "keyword").distinct().select("id", "keyword", *[F.lit(0.0).alias(p) for p in POS])
-    found = terms.join(lexicon, "form", "left").groupBy("id", "keyword").agg(*[F.coalesce(F.sum(F.when(F.col("pos") == p, F.col("n_senses"))), F.lit(0)).alias(p) for p in POS])
+    senses = lemmas(terms.select("form").distinct(), lexicon)
+    found = terms.join(senses, "form", "left").groupBy("id", "keyword").agg(*[F.coalesce(F.sum(F.when(F.col("pos") == p, F.col("n_senses"))), F.lit(0)).alias(p) for p in POS])
     total = F.greatest(sum((F.col(p) for p in POS[1:]), F.col(POS[0])), F.lit(1))
     return found.select("id", "keyword", *[(F.col(p) / total).alias(p) for p in POS])
 
@@ -100,7 +102,8 @@ def featurize(occ: DataFrame, weights: DataFrame, layout: Layout, lexicon: DataF
     if lexicon is None:
         senses = own.select("id", "keyword", "attr", *[F.lit(0.0).alias(p) for p in POS])
     else:
-        forms = occ.select("id", "keyword", "attr", F.lower("token").alias("form")).distinct().join(lexicon, "form", "left")
+        forms = occ.select("id", "keyword", "attr", F.lower("token").alias("form")).distinct()
+        forms = forms.join(lemmas(forms.select("form").distinct(), lexicon), "form", "left")
         sums = forms.groupBy("id", "keyword", "attr").agg(*[F.coalesce(F.sum(F.when(F.col("pos") == p, F.col("n_senses"))), F.lit(0)).alias(p) for p in POS])
         total = F.greatest(sum((F.col(p) for p in POS[1:]), F.col(POS[0])), F.lit(1))
         senses = sums.select("id", "keyword", "attr", *[(F.col(p) / total).alias(p) for p in POS])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import PolicyConfig, RunConfig
 from ..functions import text as txt
-from ..operators import bandit, blocks, buckets, evaluate, features, feedback, index, neural, optimal, sampling, search, selection
+from ..operators import bandit, blocks, buckets, evaluate, features, feedback, index, lemmas, neural, optimal, sampling, search, selection
 from ..operators.ranking import with_rank
 from ..sources import tables as src
 from ..sources.store import settled
@@ -220,9 +220,14 @@ def token_shape_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.shapes(dataset(spark, sf_dir).external_occ).select("id", "keyword", "title", "upper", txt.has_non_alpha(F.col("keyword")).alias("non_alpha"), F.length("keyword").alias("length"))
 
 
-#: A toy lexicon of word forms for the parts' names: (form, part of speech, senses).
-LEXICON = [("steel", "noun", 2), ("steel", "verb", 1), ("brass", "noun", 3), ("copper", "noun", 4), ("copper", "verb", 1), ("tin", "noun", 3), ("tin", "verb", 2), ("nickel", "noun", 3), ("small", "adj", 10), ("small", "adv", 2), ("large", "adj", 6), ("standard", "noun", 5), ("standard", "adj", 5), ("economy", "noun", 4), ("polished", "adj", 3), ("part", "noun", 12), ("part", "verb", 5), ("part", "adv", 1)]
-_LEX = f"lex(form, pos, n) AS (VALUES {', '.join(map(str, LEXICON))})"
+#: A toy lexicon of lemmas for the parts' names: (form, part of speech, senses).
+LEXICON = [("steel", "noun", 2), ("steel", "verb", 1), ("brass", "noun", 3), ("copper", "noun", 4), ("copper", "verb", 1), ("tin", "noun", 3), ("tin", "verb", 2), ("nickel", "noun", 3), ("small", "adj", 10), ("small", "adv", 2), ("large", "adj", 6), ("standard", "noun", 5), ("standard", "adj", 5), ("economy", "noun", 4), ("polished", "adj", 3), ("part", "noun", 12), ("part", "verb", 5), ("part", "adv", 1), ("plate", "verb", 4), ("plate", "noun", 14), ("brush", "verb", 5), ("polish", "verb", 4), ("anodize", "verb", 1), ("case", "noun", 20), ("bag", "noun", 9)]
+_TRIED = [(pos, i, *e) for pos, endings in lemmas.ENDINGS.items() for i, e in enumerate((("", ""), *endings))]
+_LEX = (
+    f"known(lemma, pos, n) AS (VALUES {', '.join(map(str, LEXICON))}), tried(pos, place, ending, instead) AS (VALUES {', '.join(map(str, _TRIED))}), "
+    "lex AS (SELECT c.form, c.pos, arg_min(known.n, c.place) AS n FROM (SELECT form, pos, place, left(form, length(form) - length(ending)) || instead AS lemma FROM (SELECT DISTINCT lower(token) AS form FROM pt) AS k, tried "
+    "WHERE ends_with(form, ending)) AS c JOIN known ON known.lemma = c.lemma AND known.pos = c.pos GROUP BY c.form, c.pos)"
+)
 
 
 def lexicon(spark: SparkSession) -> DataFrame:

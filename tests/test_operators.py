@@ -293,3 +293,22 @@ def test_draws_are_those_of_a_search_in_the_running_weights(spark, parts):
         assert all(r.local_id == ("a" if draws[r.interaction] <= 0.1 else "c") for r in sampling.zipf_draws(half, 300, 9).collect())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_lemmas(spark):
+    from querysmith.operators.lemmas import lemmas
+
+    lexicon = spark.createDataFrame([("dog", "noun", 7), ("dog", "verb", 1), ("box", "noun", 10), ("city", "noun", 3), ("make", "verb", 49), ("run", "verb", 41), ("go", "verb", 30), ("man", "noun", 11), ("fine", "adj", 5), ("better", "adj", 2), ("good", "adj", 21), ("s", "noun", 1), ("bus", "noun", 3)], "form string, pos string, n_senses long")
+    exceptions = spark.createDataFrame([("went", "verb", "go"), ("better", "adj", "good"), ("mice", "noun", "mouse")], "form string, pos string, lemma string")
+    forms = ["dogs", "boxes", "cities", "making", "runs", "went", "men", "finer", "better", "s", "ing", "mice", "buses", "bus", "nothing", "", "dogs"]
+    got = {(r.form, r.pos): (r.lemma, r.n_senses) for r in lemmas(spark.createDataFrame([(f,) for f in forms], "form string").distinct(), lexicon, exceptions).collect()}
+    assert got == {("dogs", "noun"): ("dog", 7), ("dogs", "verb"): ("dog", 1), ("boxes", "noun"): ("box", 10), ("cities", "noun"): ("city", 3), ("making", "verb"): ("make", 49), ("runs", "verb"): ("run", 41), ("went", "verb"): ("go", 30),
+                   ("men", "noun"): ("man", 11), ("finer", "adj"): ("fine", 5), ("better", "adj"): ("good", 21), ("s", "noun"): ("s", 1), ("buses", "noun"): ("bus", 3), ("bus", "noun"): ("bus", 3)}
+    assert lemmas(spark.createDataFrame([("better",)], "form string"), lexicon).first().lemma == "better"
+
+
+def test_inflected_forms_have_senses(spark):
+    occ = index.occurrences(spark.createDataFrame([("1", "dogs making unknowns")], "id string, t string"))
+    lexicon = spark.createDataFrame([("dog", "noun", 3), ("dog", "verb", 1), ("make", "verb", 2)], "form string, pos string, n_senses long")
+    got = {r.keyword: (r.noun, r.verb) for r in features.pos_shares(occ, lexicon).collect()}
+    assert got == {"dogs": (0.75, 0.25), "making": (0.0, 1.0), "unknowns": (0.0, 0.0)}
