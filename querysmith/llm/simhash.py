@@ -7,6 +7,10 @@ emitted and dealt out by that half: what meets in a task are all fingerprints wh
 equal up to one flip. The second flips, all in the other half, change nothing about the deal
 and are made after the shuffle, where variants are matched as whole 64-bit words.
 
+A half may be common to very many fingerprints. Where a key could gather more than 33 BLOCK rows,
+its rows make their second flips before the shuffle instead and are dealt out by whole words,
+of which none can have more than some hundred different fingerprints around it.
+
 Fingerprints that share a variant form a star around one of them, never all pairs; every link
 is verified by its number of differing bits. Equal fingerprints are one node from the start.
 """
@@ -16,14 +20,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_written, scratch_path, shuffle_partitions, written
 
 #: Distance of a link, fixed by the scheme of halves: up to one flip in a half, up to two more in the other.
 RADIUS = 3
-#: Fingerprints (own rows of a half) that are handled at once in a task.
+#: Fingerprints (own rows of a half) that are handled at once in a task. A half that this many fingerprints have is crowded.
 BLOCK = 4096
 
 
@@ -145,12 +149,65 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(*(np.concatenate(x) for x in zip(*kept, strict=True)))
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Links (a, b), a < b, between the distinct fingerprints `fp`: enough that every two within RADIUS bits are connected."""
+def crowded(fps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Keys (half, key) within one flip of a half that at least `block` of the distinct fingerprints have. All other keys gather
+    fewer than 33 `block` rows."""
+    halves = F.array(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32))
+    common = fps.select(F.posexplode(halves).alias("half", "own")).groupBy("half", "own").count().filter(F.col("count") >= block)
+    flipped = F.array(F.col("own"), *[F.col("own").bitwiseXOR(F.lit(1 << k)) for k in range(32)])
+    return common.select("half", F.explode(flipped).alias("key")).distinct()
+
+
+def _emit_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row (half, key, fp): its variant, and of unflipped rows also those by one or two flips in the other half.
+    Rows (word, far, fp); far: by two flips."""
+    import numpy as np
+
+    one = np.uint64(1)
+    flips = []
+    for half in (0, 1):
+        rest = [one << np.uint64(k) for k in range(64) if k // 32 != half]
+        flips.append(np.array([0, *rest, *(f | g for i, f in enumerate(rest) for g in rest[i + 1 :])], np.uint64))
+    far = np.arange(len(flips[0])) > 32
+    for batch in batches:
+        half, key, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("half", "key", "fp"))
+        key, fp, at = key.view(np.uint64), fp.view(np.uint64), half.astype(np.uint64) * np.uint64(32)
+        turned = (fp >> at & np.uint64(0xFFFFFFFF)) ^ key
+        words = fp ^ (turned << at)
+        out = turned != 0
+        yield pa.record_batch({"word": pa.array(words[out].view(np.int64)), "far": pa.array(np.zeros(out.sum(), bool)), "fp": pa.array(fp[out].view(np.int64))})
+        for h in (0, 1):
+            mine = fp[~out & (half == h)]
+            for i in range(0, len(mine), 1 << 9):
+                some = mine[i : i + (1 << 9)]
+                yield pa.record_batch({"word": pa.array((some[:, None] ^ flips[h][None, :]).ravel().view(np.int64)), "far": pa.array(np.tile(far, len(some))), "fp": pa.array(np.repeat(some, len(far)).view(np.int64))})
+
+
+def _meet_at_words(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of rows (half, key, fp), dealt out by whole words. The middle of a word's star is at most one flip away from it,
+    so that no other is more than RADIUS from the middle; words that are two flips from all that have them join none."""
+    around = Window.partitionBy("word").orderBy("far", "fp")  # at most some hundred different fingerprints
+    stars = rows.mapInArrow(_emit_words, "word long, far boolean, fp long").distinct()
+    stars = stars.withColumn("middle", F.first(F.struct("far", "fp")).over(around)).filter(~F.col("middle.far")).select("fp", F.col("middle.fp").alias("middle"))
+    near = stars.filter((F.col("fp") != F.col("middle")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))) <= RADIUS))
+    return near.select(F.least("fp", "middle").alias("a"), F.greatest("fp", "middle").alias("b"))
+
+
+def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b), a < b, between the distinct fingerprints `fp`: enough that every two within RADIUS bits are connected.
+
+    Keys that could gather 33 `block` rows or more are dealt out by whole words, all others by themselves; the links found are
+    verified alike. An empty table has no links.
+    """
     n = shuffle_partitions(fps.sparkSession)
     emitted = fps.select("fp").mapInArrow(_emit, "half int, key long, fp long")
+    hot = written(crowded(fps, block), "crowded")
+    apart = None
+    if not hot.isEmpty():
+        apart = _meet_at_words(emitted.join(hot, ["half", "key"], "left_semi"))
+        emitted = emitted.join(hot, ["half", "key"], "left_anti")
     met = emitted.repartition(n, "half", "key").sortWithinPartitions("half", "key").mapInArrow(_meet, "a long, b long")
-    return met.distinct()
+    return (met.union(apart) if apart is not None else met).distinct()
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:

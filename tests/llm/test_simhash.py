@@ -76,6 +76,58 @@ def test_every_distance_in_every_split(spark):
             assert ((x, y) in links) == ((a ^ b).bit_count() <= 3)
 
 
+def same_components(links, fps):
+    signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
+    pairs = [(r.a, r.b) for r in links.collect()]
+    assert all(a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= 3 for a, b in pairs)
+    root = {f: f for f in signed}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    want, got = brute_components(fps), [find(f) for f in signed]
+    return len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
+
+
+@pytest.mark.parametrize("block", [1, 5, 40])
+def test_crowded_halves(spark, block):
+    """Halves that many have, low and high, and links from them to others: the same components however many keys are crowded."""
+    rng = np.random.default_rng(block)
+    fps = [0, 2**64 - 1]
+    for shift in (0, 32):
+        half = int(rng.integers(0, 2**32)) << shift
+        fps += [half ^ int(x) << (32 - shift) for x in rng.integers(0, 2**32, 40)]
+        for _ in range(12):
+            other = int(rng.integers(0, 2**32)) << (32 - shift)
+            for _ in range(10):
+                flips = rng.choice(64, rng.integers(0, 6), replace=False)
+                fps.append(half ^ other ^ sum(1 << int(f) for f in flips if rng.random() < 0.7 or shift <= f < shift + 32))
+    fps = sorted(set(fps))
+    df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
+    assert not s.crowded(df, block).isEmpty() and same_components(s.links(df, block), fps)
+
+
+def test_a_very_common_half(spark):
+    """5,000 fingerprints with one high half: none of their keys reaches a task whole, and all that is near is found."""
+    rng = np.random.default_rng(3)
+    high = 0xDEADBEEF << 32
+    fps = {high | int(x) for x in rng.integers(0, 2**32, 5000)}
+    for f in sorted(fps)[:300]:
+        fps.add(f ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(1, 5), replace=False)))
+    fps = sorted(fps)
+    df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long").repartition(4)
+    hot = {(r.half, r.key) for r in s.crowded(df).collect()}
+    assert hot == {(1, 0xDEADBEEF)} | {(1, 0xDEADBEEF ^ 1 << k) for k in range(32)}
+    rest = df.mapInArrow(s._emit, "half int, key long, fp long").join(s.crowded(df), ["half", "key"], "left_anti")
+    assert rest.groupBy("half", "key").count().agg({"count": "max"}).first()[0] < 33 * s.BLOCK
+    assert same_components(s.links(df), fps)
+
+
 def test_long_chain_and_star(spark):
     chain = [(i, i + 1) for i in range(200)]
     star = [(1000, i) for i in range(1001, 1300)]
