@@ -81,12 +81,11 @@ def summary(measured: DataFrame, queries: DataFrame) -> DataFrame:
 
 def rewards(queries: DataFrame, results: DataFrame, truth: DataFrame, external_signals: DataFrame) -> DataFrame:
     """(intent_id, pos, keyword, attr, y): for each query term the mean over matches of rr if the match has the term, else 0."""
-    found = matches(results, truth).select("intent_id", "external_id", "rr")
-    n = found.groupBy("intent_id").agg(F.count("*").alias("n_matches"))
+    found = matches(results, truth).select("intent_id", "external_id", "rr", F.count("*").over(Window.partitionBy("intent_id")).alias("n_matches"))
     has = external_signals.select(F.col("id").alias("external_id"), "keyword")
-    hit = queries.select("intent_id", "keyword").distinct().join(found, "intent_id").join(has, ["external_id", "keyword"]).groupBy("intent_id", "keyword").agg(F.sum("rr").alias("sum_rr"))
-    rows = queries.join(n, "intent_id", "left").join(hit, ["intent_id", "keyword"], "left")
-    return rows.select("intent_id", "pos", "keyword", "attr", F.coalesce(F.col("sum_rr") / F.col("n_matches"), F.lit(0.0)).alias("y"))
+    hit = queries.select("intent_id", "keyword").distinct().join(found, "intent_id").join(has, ["external_id", "keyword"])
+    hit = hit.groupBy("intent_id", "keyword").agg((F.sum("rr") / F.max("n_matches")).alias("y"))
+    return queries.join(hit, ["intent_id", "keyword"], "left").select("intent_id", "pos", "keyword", "attr", F.coalesce("y", F.lit(0.0)).alias("y"))
 
 
 def running_mean(log: DataFrame, value: str = "rr", order: str = "interaction", by: list[str] | None = None, every: int = 1) -> DataFrame:

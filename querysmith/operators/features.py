@@ -67,6 +67,11 @@ def pos_shares(occ: DataFrame, lexicon: DataFrame | None) -> DataFrame:
     return found.select("id", "keyword", *[(F.col(p) / total).alias(p) for p in POS])
 
 
+def sense_counts(forms: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(form, noun, verb, adj, adv): numbers of senses of the lemmas of distinct forms, null where there are none."""
+    return lemmas(forms, lexicon).groupBy("form").agg(*[F.sum(F.when(F.col("pos") == p, F.col("n_senses"))).alias(p) for p in POS])
+
+
 def external_frequency(matched: DataFrame, external_signals: DataFrame) -> DataFrame:
     """(local_id, keyword, external_tf): a term's normalized frequency in the entity's matches, those without it counting 0.
     matched: (local_id, external_id)."""
@@ -90,25 +95,32 @@ def feature_columns(layout: Layout) -> list[Column]:
     return [c.cast("double") for c in out]
 
 
+def _sum_of(structs: str, field_name: str) -> Column:
+    return F.aggregate(structs, F.lit(0).cast("long"), lambda total, s: total + s[field_name])
+
+
 def featurize(occ: DataFrame, weights: DataFrame, layout: Layout, lexicon: DataFrame | None = None, is_local: bool = True, extra: DataFrame | None = None, max_tf: DataFrame | None = None) -> DataFrame:
     """(id, keyword, attr, ord, attr_ord, is_local, x): one vector a query candidate, that is a term in an attribute.
 
     A candidate's other attributes count 0 in its shares, which are taken of the whole entity's frequency.
     extra: (id, keyword) with is_borrowed, external_tf, unsupervised_tf, as far as the layout asks for them.
+    All that is counted by entity is one aggregation and two windows: where `occ` is dealt out by id, none of them shuffles.
     """
-    split = split_by_attribute(occ)
     # Title and capitals of a candidate look at its own attribute's tokens.
-    own = occ.groupBy("id", "keyword", "attr").agg(F.bool_or(is_title(F.col("token"))).alias("title"), F.bool_or(is_upper(F.col("token"))).alias("upper"))
+    shape = [F.bool_or(is_title(F.col("token"))).alias("title"), F.bool_or(is_upper(F.col("token"))).alias("upper")]
     if lexicon is None:
-        senses = own.select("id", "keyword", "attr", *[F.lit(0.0).alias(p) for p in POS])
+        rows = split_by_attribute(occ, *shape)
+        rows = rows.select("*", *[F.lit(0.0).alias(p) for p in POS])
     else:
-        forms = occ.select("id", "keyword", "attr", F.lower("token").alias("form")).distinct()
-        forms = forms.join(lemmas(forms.select("form").distinct(), lexicon), "form", "left")
-        sums = forms.groupBy("id", "keyword", "attr").agg(*[F.coalesce(F.sum(F.when(F.col("pos") == p, F.col("n_senses"))), F.lit(0)).alias(p) for p in POS])
-        total = F.greatest(sum((F.col(p) for p in POS[1:]), F.col(POS[0])), F.lit(1))
-        senses = sums.select("id", "keyword", "attr", *[(F.col(p) / total).alias(p) for p in POS])
+        forms = occ.withColumn("form", F.lower("token"))
+        forms = forms.join(sense_counts(forms.select("form").distinct(), lexicon), "form", "left")
+        known = F.struct("form", *[F.coalesce(F.col(p), F.lit(0)).cast("long").alias(p) for p in POS])
+        rows = split_by_attribute(forms, *shape, F.collect_set(known).alias("__forms"))  # of one term: its unstemmed forms
+        rows = rows.select("*", *[_sum_of("__forms", p).alias(f"__{p}") for p in POS])
+        total = F.greatest(sum((F.col(f"__{p}") for p in POS[1:]), F.col(f"__{POS[0]}")), F.lit(1))
+        rows = rows.select("*", *[(F.col(f"__{p}") / total).alias(p) for p in POS]).drop("__forms", *[f"__{p}" for p in POS])
     top = F.max("tf_total").over(Window.partitionBy("id"))
-    rows = with_idf(split.withColumn("norm_tf", F.col("tf_total") / top), weights).join(own, ["id", "keyword", "attr"]).join(senses, ["id", "keyword", "attr"])
+    rows = with_idf(rows.withColumn("norm_tf", F.col("tf_total") / top), weights)
     rows = rows.withColumn("attr_tf", F.array(*[F.when(F.col("attr") == a, F.col("tf_attr")).otherwise(F.lit(0)) for a in layout.attrs])).withColumn("is_local", F.lit(is_local))
     if extra is not None:
         rows = rows.join(extra, ["id", "keyword"], "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_stop_word, stems, tokens
@@ -58,12 +58,13 @@ def same_signal(a: str = "a", b: str = "b"):
     return (F.col(f"{a}.keyword") == F.col(f"{b}.keyword")) & (F.col(f"{a}.origins") == F.col(f"{b}.origins"))
 
 
-def split_by_attribute(occ: DataFrame) -> DataFrame:
+def split_by_attribute(occ: DataFrame, *more: Column) -> DataFrame:
     """(id, keyword, attr, tf_attr, tf_total, ord, attr_ord): a term once for each attribute it occurs in, with its frequency there
-    and in the whole entity; ord is the term's first place, attr_ord that of the attribute within the term."""
-    per = occ.groupBy("id", "keyword", "attr").agg(F.sum("cnt").alias("tf_attr"), F.min("ord").alias("attr_ord"))
+    and in the whole entity; ord is the term's first place, attr_ord that of the attribute within the term. Then come `more`
+    aggregates over the term's tokens in the attribute."""
+    per = occ.groupBy("id", "keyword", "attr").agg(F.sum("cnt").alias("tf_attr"), F.min("ord").alias("attr_ord"), *more)
     whole = Window.partitionBy("id", "keyword")  # an entity's rows of one term: as many as it has attributes
-    return per.select("id", "keyword", "attr", "tf_attr", F.sum("tf_attr").over(whole).alias("tf_total"), F.min("attr_ord").over(whole).alias("ord"), "attr_ord")
+    return per.select("id", "keyword", "attr", "tf_attr", F.sum("tf_attr").over(whole).alias("tf_total"), F.min("attr_ord").over(whole).alias("ord"), "attr_ord", *per.columns[5:])
 
 
 def document_frequency(sig: DataFrame) -> DataFrame:

@@ -279,7 +279,7 @@ _VALUES = [
 @query(f"WITH {_P}, {_LEX}, {_sig('ps', 'pt')}, {_idf('i', 'ps', 'part')}, {_SPLIT}, {_SENSES}, v AS (SELECT *, tf_total / max(tf_total) OVER (PARTITION BY id) AS norm_tf FROM sp JOIN i USING (keyword) JOIN se USING (keyword)) SELECT id, keyword, attr, {', '.join(f'round({v}, 6) AS {n}' for v, n in zip(_VALUES, GIVEN.names, strict=True))} FROM v")
 def feature_vector_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parts(spark, sf_dir)
-    occ = index.occurrences(p)
+    occ = index.occurrences(p.repartition("id"))
     rows = features.featurize(occ, index.idf(index.signals(occ), p), GIVEN, lexicon(spark))
     return rows.select("id", "keyword", "attr", *[_r(F.col("x")[i]).alias(n) for i, n in enumerate(GIVEN.names)])
 

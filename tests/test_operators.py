@@ -312,3 +312,34 @@ def test_inflected_forms_have_senses(spark):
     lexicon = spark.createDataFrame([("dog", "noun", 3), ("dog", "verb", 1), ("make", "verb", 2)], "form string, pos string, n_senses long")
     got = {r.keyword: (r.noun, r.verb) for r in features.pos_shares(occ, lexicon).collect()}
     assert got == {"dogs": (0.75, 0.25), "making": (0.0, 1.0), "unknowns": (0.0, 0.0)}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_of_terms_with_several_forms(spark):
+    """Senses of a term are those of its forms in the attribute, each form once; counts by entity need one shuffle."""
+    rows = [("1", "run", "runs", "t", 1, 0), ("1", "run", "Runs", "t", 1, 1), ("1", "run", "running", "t", 2, 2), ("1", "run", "run", "b", 1, 3), ("1", "odd", "odd", "b", 1, 4), ("2", "run", "RUN", "t", 1, 0)]
+    occ = spark.createDataFrame(rows, "id string, keyword string, token string, attr string, cnt long, ord long").repartition(3, "id")
+    lexicon = spark.createDataFrame([("run", "verb", 3), ("run", "noun", 1), ("running", "noun", 1)], "form string, pos string, n_senses long")
+    weights = spark.createDataFrame([("run", 0.5)], "keyword string, idf double")
+    layout = features.Layout(("t", "b"))
+    df = features.featurize(occ, weights, layout, lexicon)
+    got = {(r.id, r.keyword, r.attr): dict(zip(layout.names, r.x, strict=True)) for r in df.collect()}
+    t, b, odd, two = got["1", "run", "t"], got["1", "run", "b"], got["1", "odd", "b"], got["2", "run", "t"]
+    assert len(got) == 4 and (t["noun"], t["verb"], b["noun"], b["verb"]) == (0.4, 0.6, 0.25, 0.75) and not any(odd[p] for p in features.POS)
+    assert (t["share_t"], t["share_b"], t["norm_tf"], odd["norm_tf"]) == (0.8, 0.0, 1.0, 0.2) and (t["title"], t["upper"], b["title"], two["upper"]) == (1, 0, 0, 1)
+    bare = features.featurize(occ, weights, layout)
+    assert plan(bare).count("hashpartitioning(id#") == 1
+    assert features.featurize(occ.limit(0), weights, layout, lexicon).count() == 0
+
+
+def test_rewards_use_results_once(spark):
+    results = spark.range(1, 4).select(F.lit("q").alias("intent_id"), F.concat(F.lit("d"), "id").alias("external_id"), F.col("id").cast("int").alias("rank"))
+    queries = spark.createDataFrame([("q", 1, "a", "t"), ("q", 2, "b", "t"), ("none", 1, "a", "t")], "intent_id string, pos int, keyword string, attr string")
+    truth = spark.createDataFrame([("q", "d1"), ("d3", "q")], "local_id string, external_id string")
+    terms = spark.createDataFrame([("d1", "a"), ("d3", "a"), ("d2", "b"), ("d3", "c")], "id string, keyword string")
+    df = evaluate.rewards(queries, results, truth, terms)
+    assert plan(df).count("Range (") == 1
+    assert {(r.intent_id, r.keyword): r.y for r in df.collect()} == {("q", "a"): (1 + 1 / 3) / 2, ("q", "b"): 0.0, ("none", "a"): 0.0}
