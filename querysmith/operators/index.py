@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_stop_word, stems, tokens
+from ..sources.store import settled
 
 
 def unpivot(entities: DataFrame, attrs: list[str] | None = None) -> DataFrame:
@@ -98,6 +99,26 @@ def postings(sig: DataFrame) -> DataFrame:
     return sig.select("keyword", "id", "tf", F.sum("tf").over(Window.partitionBy("id")).alias("dl"))
 
 
+def postings_of(entities: DataFrame, keywords: DataFrame, stop: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(keyword, id, tf, dl) of some keywords (keyword) alone, and (n, avgdl) of all entities with a term.
+
+    One pass over the texts: other tokens are dropped before anything is shuffled, and a row for each text brings its length along.
+    Ids that repeat count as one entity.
+    """
+    key = entities.columns[0]
+    words = F.flatten(F.array(*[tokens(F.col(f"`{a}`").cast("string")) for a in entities.columns[1:]]))
+    words = F.filter(words, lambda t: ~is_stop_word(t)) if stop else words
+    texts = entities.select(F.col(f"`{key}`").cast("string").alias("id"), words.alias("words"))
+    rows = texts.select("id", F.size("words").alias("size"), F.explode(F.concat("words", F.array(F.lit("")))).alias("token")).select("id", "size", F.lower("token").alias("keyword"))
+    # No token is empty. Written, so that Spark knows how few they are and sends them along.
+    asked = settled(keywords.select("keyword").union(keywords.sparkSession.createDataFrame([("",)], "keyword string")).distinct(), "keywords")
+    counted = rows.join(asked, "keyword").repartition("id").groupBy("id", "keyword").agg(F.count("*").alias("tf"), F.sum("size").alias("size"))
+    dl = F.max(F.when(F.col("keyword") == "", F.col("size"))).over(Window.partitionBy("id"))
+    counted = settled(counted.select("keyword", "id", "tf", dl.alias("dl")), "postings")
+    totals = counted.filter("keyword = '' AND dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return counted.filter("keyword <> ''"), totals
+
+
 def nested_postings(sig: DataFrame) -> DataFrame:
     """(keyword, df, docs): a posting list of (id, tf) for each term. For small vocabularies; long lists belong in the long form."""
     return sig.groupBy("keyword").agg(F.count("*").alias("df"), F.array_sort(F.collect_list(F.struct("id", "tf"))).alias("docs"))

@@ -27,10 +27,12 @@ def overlap_count() -> Column:
 SCORERS: dict[str, Callable[[], Column]] = {"bm25": bm25, "tfidf": tfidf, "overlap_count": overlap_count}
 
 
-def weighted_postings(posts: DataFrame, scorer: str = "bm25") -> DataFrame:
-    """(keyword, id, w): what a term adds to a document's score. Computed once, it makes a search a join and a sum."""
+def weighted_postings(posts: DataFrame, scorer: str = "bm25", totals: DataFrame | None = None) -> DataFrame:
+    """(keyword, id, w): what a term adds to a document's score. Computed once, it makes a search a join and a sum. `totals` are
+    (n, avgdl) of all documents, where the postings are those of some terms."""
     df = posts.groupBy("keyword").agg(F.count("*").alias("df"))
-    totals = posts.groupBy("id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    if totals is None:
+        totals = posts.groupBy("id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     rows = posts.join(df, "keyword").join(F.broadcast(totals))  # one row
     return rows.select("keyword", "id", SCORERS[scorer]().alias("w"))
 

@@ -97,10 +97,10 @@ class Loop:
             return self._static.join(asked, "id", "left_semi")
         ids = asked.select(F.col("id").alias("local_id"))
         matched = self._pairs(self.state.matched).join(ids, "local_id", "left_semi")
-        frequency = features.external_frequency(matched, data.external_signals)
+        frequency = features.external_frequency(matched, data.matched_signals)
         extra = frequency.select(F.col("local_id").alias("id"), "keyword", F.col("external_tf") if c.external_feat_specific else F.lit(None).cast("double").alias("external_tf"))
         freely = self._pairs(self.state.unsupervised).join(ids, "local_id", "left_semi")
-        loose = features.external_frequency(freely, data.external_signals)
+        loose = features.external_frequency(freely, data.matched_signals)
         extra = extra.join(loose.select(F.col("local_id").alias("id"), "keyword", F.col("external_tf").alias("unsupervised_tf")), ["id", "keyword"], "full_outer").withColumn("is_borrowed", F.lit(False))
         own = data.local_occ.join(asked, "id", "left_semi")
         parts = [with_idf(features.featurize(own, data.idf, self.layout, data.lexicon, extra=extra)).withColumn("is_external", F.lit(False))]
@@ -123,7 +123,7 @@ class Loop:
     def _borrowed(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
         """Occurrences of terms of matched documents that an entity lacks, as if they were its own; a term of several documents
         comes from the first."""
-        rows = pairs.join(self.data.external_occ.withColumnRenamed("id", "external_id"), "external_id").withColumnRenamed("local_id", "id").join(known, ["id", "keyword"], "left_anti")
+        rows = pairs.join(self.data.matched_occ.withColumnRenamed("id", "external_id"), "external_id").withColumnRenamed("local_id", "id").join(known, ["id", "keyword"], "left_anti")
         first = rows.groupBy("id", "keyword").agg(F.min("external_id").alias("external_id"))
         return rows.join(first, ["id", "keyword", "external_id"], "left_semi").select("id", "keyword", "token", "attr", "cnt", "ord")
 
@@ -136,7 +136,7 @@ class Loop:
         offered = settled(self.candidates(asked), "offered")
         query = settled(self.policy.query(offered, run.query_length, run.seed(self.run_id) * 100_003 + first).withColumn("intent_id", F.col("id")), "query")
         results = settled(data.search(query, run.top_k_size), "results")
-        y = evaluate.rewards(query.select("intent_id", "pos", "keyword", "attr"), results, data.truth, data.external_signals)
+        y = evaluate.rewards(query.select("intent_id", "pos", "keyword", "attr"), results, data.truth, data.matched_signals)
         terms = settled(query.join(y.select("intent_id", "pos", "y"), ["intent_id", "pos"]).select("id", "pos", "keyword", "attr", "score", "is_external", "x", "y"), "terms")
         found = evaluate.metrics(asked.select(F.col("id").alias("intent_id")), results, data.truth)
         nested = terms.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "keyword", "attr", "score"))), lambda t: F.struct(t["keyword"], t["attr"], t["score"].cast("double"))).alias("query"))
