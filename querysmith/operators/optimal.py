@@ -1,8 +1,12 @@
 """Optimal queries by exhaustive search, for all entities at once.
 
-A document's score for a query is a sum over its terms, so each term's contributions are looked up once and combinations are
-joined to them, rather than searched one by one. Only terms that an entity shares with its matches can find a match; what else
-is in a query can only take places from it.
+A document's score for a query is a sum over its terms, so each term's contributions are looked up once, rather than searched one
+by one. Only terms that an entity shares with its matches can find a match; what else is in a query can only take places from it.
+
+Queries of an entity are measured on the `HEAD` best documents of each of its terms and on its matches, whose scores are exact. Other
+documents have at most the last head weight of each term. So a query is settled if as many documents as are asked for are above its
+best match there, or if the last weights add up to less than the match has. Queries that are neither are joined to all postings. How
+many documents an entity is measured on so doesn't grow with the table.
 
 From three terms on, sets are cut before they are joined (branch and bound): weights aren't negative, so with more terms no document
 loses score, and a match gains at most its largest other weights. Documents that are above a match by more than that stay above it, which
@@ -12,12 +16,17 @@ known of the entity are measured.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import settled
 from .search import ranked
 
+#: Documents of a term on which its queries are measured first.
+HEAD = 64
+
 
 def match_terms(truth: DataFrame, external_signals: DataFrame) -> DataFrame:
     """(local_id, keyword): terms of an entity's matches in the index."""
@@ -50,8 +59,8 @@ def combinations(terms: DataFrame, size: int) -> DataFrame:
     return out.select("local_id", "query")
 
 
-def reciprocal_ranks(queries: DataFrame, weighted: DataFrame, truth: DataFrame, k: int = 20) -> DataFrame:
-    """(local_id, query, rr) of queries (local_id, query): the reciprocal rank of the best match among the k best documents."""
+def measured_by_join(queries: DataFrame, weighted: DataFrame, truth: DataFrame, k: int = 20) -> DataFrame:
+    """`reciprocal_ranks` over all postings of the queries' terms."""
     terms = queries.select("local_id", "query", F.explode("query").alias("keyword"))
     hits = terms.join(weighted.withColumnRenamed("id", "external_id"), "keyword").groupBy("local_id", "query", "external_id").agg(F.round(F.sum("w"), 6).alias("score"))
     best = ranked(hits, k, ["local_id", "query"]).join(truth.select("local_id", "external_id").distinct(), ["local_id", "external_id"], "left_semi")
@@ -59,6 +68,82 @@ def reciprocal_ranks(queries: DataFrame, weighted: DataFrame, truth: DataFrame,
     return queries.join(rr, ["local_id", "query"], "left").select("local_id", "query", F.coalesce("rr", F.lit(0.0)).alias("rr"))
 
 
+def heads(terms: DataFrame, weighted: DataFrame, truth: DataFrame, head: int = HEAD) -> DataFrame:
+    """(local_id, external_id, is_match, keyword, w): what an entity's terms (local_id, keyword) add to the best documents of each and to
+    its matches. Rows without a document have the last head weights of terms that have more postings, or none."""
+    terms = settled(terms.select("local_id", "keyword").distinct(), "terms")
+    posts = weighted.join(terms.select("keyword").distinct(), "keyword", "left_semi").withColumnRenamed("id", "external_id")
+    # One more than a head has, so that it is known whether there are more.
+    place = F.row_number().over(Window.partitionBy("keyword").orderBy(F.desc("w"), "external_id"))
+    best = settled(posts.withColumn("n", place).filter(F.col("n") <= head + 1), "heads")
+    last = best.groupBy("keyword").agg(F.min(F.when(F.col("n") == head, F.col("w"))).alias("w"), F.max("n").alias("n")).filter(F.col("n") > head).select("keyword", "w")
+    about = terms.join(last, "keyword", "left").select("local_id", F.lit(None).cast("string").alias("external_id"), F.lit(False).alias("is_match"), "keyword", "w")
+    near = terms.join(best.filter(F.col("n") <= head), "keyword").select("local_id", "external_id", F.lit(False).alias("is_match"))
+    near = near.unionByName(truth.select("local_id", "external_id", F.lit(True).alias("is_match")).join(terms.select("local_id").distinct(), "local_id", "left_semi"))
+    near = settled(near.groupBy("local_id", "external_id").agg(F.max("is_match").alias("is_match")), "near")
+    known = settled(near.select("external_id").distinct(), "near")
+    rows = near.join(posts.join(known, "external_id", "left_semi"), "external_id").join(terms, ["local_id", "keyword"])
+    return rows.select("local_id", "external_id", "is_match", "keyword", "w").unionByName(about)
+
+
+def _measure(queries: pd.DataFrame, docs: pd.DataFrame, k: int) -> pd.DataFrame:
+    """An entity's queries with rr on its heads, and whether it is that on all documents. For those that aren't sure: the rank so far, the
+    best match with its score, and the least that each of the terms has to add for a document outside to be above it."""
+    lone = docs["external_id"].isna().to_numpy()
+    place = {w: i for i, w in enumerate(docs["keyword"][lone])}
+    last = docs["w"][lone].to_numpy(float)
+    docs = docs[~lone]
+    ids, row = np.unique(docs["external_id"].to_numpy(str), return_inverse=True)
+    at, n = docs["keyword"].map(place).to_numpy(int), len(ids)
+    w, there, match = np.zeros((n, len(place))), np.zeros((n, len(place)), bool), np.zeros(n, bool)
+    w[row, at], there[row, at], match[row] = docs["w"], True, docs["is_match"]
+    match = np.flatnonzero(match)
+    rr, sure = np.zeros(len(queries)), np.ones(len(queries), bool)
+    rank_, own_, match_, need_ = np.zeros(len(queries), int), np.zeros(len(queries)), np.full(len(queries), None, object), [None] * len(queries)
+    sizes = queries["query"].map(len).to_numpy()
+    for size in np.unique(sizes) if len(match) else ():
+        of = np.flatnonzero(sizes == size)
+        for some in np.array_split(of, -(-len(of) * n // 1_000_000)):
+            q = np.array([[place[t] for t in query] for query in queries["query"].iloc[some]]).reshape(len(some), size)
+            score, hit, most = np.zeros((n, len(some))), np.zeros((n, len(some)), bool), np.zeros(len(some))
+            for i in range(size):
+                score += w[:, q[:, i]]
+                hit |= there[:, q[:, i]]
+                most += np.nan_to_num(last[q[:, i]])
+            score = np.where(hit, np.rint(score * 1e6), -1)  # as they are rounded before ranking
+            best = match[score[match].argmax(axis=0)]  # of equal scores the first by id
+            own = score[best, range(len(some))]
+            ahead = (score > own) | (score == own) & (np.arange(n)[:, None] < best)
+            rank = ahead.sum(axis=0) + 1
+            found = (own >= 0) & (rank <= k)
+            rr[some] = np.where(found, 1 / rank, 0)
+            sure[some] = ~found | np.isnan(last[q]).all(axis=1) | (np.rint(most * 1e6) + 1 < own)
+            rank_[some], own_[some], match_[some] = rank, own / 1e6, ids[best]
+            need = own[:, None] / 1e6 - (most[:, None] - np.nan_to_num(last[q])) - 2e-6
+            for i, least in zip(some, need, strict=True):
+                need_[i] = least
+    return queries.assign(rr=rr, sure=sure, rank=rank_, own=own_, match=match_, need=need_)[["local_id", "query", "rr", "sure", "rank", "own", "match", "need"]]
+
+
+def reciprocal_ranks(queries: DataFrame, weighted: DataFrame, truth: DataFrame, k: int = 20, head: int = HEAD) -> DataFrame:
+    """(local_id, query, rr) of queries (local_id, query): the reciprocal rank of the best match among the k best documents. Weights
+    aren't negative."""
+    queries = settled(queries.select("local_id", "query"), "queries")
+    docs = settled(heads(queries.select("local_id", F.explode("query").alias("keyword")), weighted, truth, max(head, k)), "heads")
+    schema = "local_id string, query array<string>, rr double, sure boolean, rank long, own double, match string, need array<double>"
+    tried = queries.groupBy("local_id").cogroup(docs.groupBy("local_id")).applyInPandas(lambda q, d: _measure(q, d, k), schema)
+    tried = settled(tried, "tried")
+    rest = tried.filter("not sure")
+    # Documents outside the heads that are above: each of their terms is under the head's last weight.
+    terms = rest.select("local_id", "query", F.explode(F.arrays_zip(F.col("query").alias("keyword"), F.col("need").alias("need"))).alias("t")).select("local_id", "query", "t.keyword", "t.need")
+    hits = terms.join(weighted.withColumnRenamed("id", "external_id"), "keyword").filter(F.col("w") >= F.col("need")).groupBy("local_id", "query", "external_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    above = hits.join(rest.select("local_id", "query", "own", "match"), ["local_id", "query"]).filter((F.col("score") > F.col("own")) | (F.col("score") == F.col("own")) & (F.col("external_id") < F.col("match")))
+    above = above.join(docs.select("local_id", "external_id").filter("external_id IS NOT NULL").distinct(), ["local_id", "external_id"], "left_anti").groupBy("local_id", "query").agg(F.count("*").alias("more"))
+    rank = F.col("rank") + F.coalesce("more", F.lit(0))
+    rest = rest.join(above, ["local_id", "query"], "left").select("local_id", "query", F.when(rank <= k, 1 / rank).otherwise(0.0).alias("rr"))
+    return tried.filter("sure").select("local_id", "query", "rr").unionByName(rest)
+
+
 def match_weights(overlap: DataFrame, weighted: DataFrame, truth: DataFrame) -> DataFrame:
     """(local_id, external_id, ws): for each match the weights (keyword, w) of the terms that it shares with the entity, largest first."""
     pairs = overlap.join(truth.select("local_id", "external_id").distinct(), "local_id")
@@ -158,7 +243,7 @@ def optimal_queries(local_signals: DataFrame, truth: DataFrame, external_signals
     # What each length starts from is written, so that plans don't grow with the length and nothing stays in memory.
     overlap = settled(overlap_terms(local_signals, known, external_signals), "overlap")
     fillers = settled(nonoverlap_terms(local_signals, known, external_signals), "fillers")
-    vocabulary = external_signals.select("keyword").distinct()
+    vocabulary = weighted.select("keyword").distinct()
     out: dict[int, DataFrame] = {}
     last: DataFrame | None = None
     for size in range(least, most + 1):

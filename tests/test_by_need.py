@@ -34,3 +34,18 @@ def test_contractions_in_one_pass(spark):
     t = "cannot CANNOT gimmE gonna gotta lemme wanna cannots acannot can-not cannot-gonna x---y a--b ----"
     row = spark.createDataFrame([(t,)], "t string").select(txt.prepared(F.col("t"))).first()[0]
     assert row == "can not CAN NOT gim mE gon na got ta lem me wan na cannots acannot can-not can not-gon na x -- -y a -- b  --  -- "
+
+
+def test_ranks_on_heads_are_those_of_all_postings(spark):
+    r = random.Random(3)
+    words = [f"w{i:02d}" for i in range(12)]
+    weighted = [(w, f"d{d}", r.choice([0.5, 1.0, round(r.random() * 3, 2)])) for w in words for d in r.sample(range(60), r.randint(3, 50))]
+    sets = [(f"l{e}", sorted(r.sample(words, n))) for e in range(3) for n in (1, 2, 2, 2, 3, 3, 3, 3)]
+    truth = [(f"l{e}", f"d{r.randrange(60)}") for e in range(3) for _ in range(6)] * 2
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in ((sets, "local_id string, query array<string>"), (weighted, "keyword string, id string, w double"), (truth, "local_id string, external_id string"))]
+    rows = lambda df: sorted((x.local_id, tuple(x.query), round(x.rr, 9)) for x in df.collect())
+    frames[0] = frames[0].distinct()
+    expected = rows(optimal.measured_by_join(*frames, 10))
+    for head in (10, 20, 400):
+        assert rows(optimal.reciprocal_ranks(*frames, 10, head)) == expected
+    assert len({x[2] for x in expected}) > 2
