@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_stop_word, stems, tokens
+from ..functions.text import STOP_WORDS, is_stop_word, stems, tokens
 from ..sources.store import settled
 
 
@@ -99,20 +99,40 @@ def postings(sig: DataFrame) -> DataFrame:
     return sig.select("keyword", "id", "tf", F.sum("tf").over(Window.partitionBy("id")).alias("dl"))
 
 
-def postings_of(entities: DataFrame, keywords: DataFrame, stop: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(keyword, id, tf, dl) of some keywords (keyword) alone, and (n, avgdl) of all entities with a term.
+def term_lists(entities: DataFrame, stop: bool = True) -> DataFrame:
+    """(id, words): the lower-cased tokens of each row, repeats included. One pass, no shuffle."""
+    key = entities.columns[0]
+    cells = [tokens(F.col(f"`{a}`").cast("string")) for a in entities.columns[1:]]
+    words = F.transform(F.flatten(F.array(*cells)) if len(cells) > 1 else cells[0], F.lower)
+    words = F.filter(words, lambda t: ~t.isin(STOP_WORDS)) if stop else words
+    return entities.select(F.col(f"`{key}`").cast("string").alias("id"), words.alias("words"))
+
+
+#: So many words at most are looked for inside of lists; more are joined to the lists' words.
+FEW = 1_000
+
 
-    One pass over the texts: other tokens are dropped before anything is shuffled, and a row for each text brings its length along.
+def listed(lists: DataFrame, keywords: DataFrame, once: bool = False) -> DataFrame:
+    """(id, size, keyword) of `term_lists`: those words that are among `keywords` (keyword), and for each list a row with the empty
+    word, which no token is. With `once`, words of a list come once."""
+    # Written, so that Spark knows how few they are and sends them along.
+    asked = settled(keywords.select("keyword").distinct(), "keywords")
+    few = [r["keyword"] for r in asked.limit(FEW + 1).collect()]
+    words = F.filter("words", lambda w: w.isin(few)) if len(few) <= FEW else F.col("words")
+    words = F.array_distinct(words) if once else words
+    rows = lists.select("id", F.size("words").alias("size"), F.explode(F.concat(words, F.array(F.lit("")))).alias("keyword"))
+    if len(few) <= FEW:
+        return rows
+    return rows.join(asked.union(asked.sparkSession.createDataFrame([("",)], "keyword string")), "keyword").select("id", "size", "keyword")
+
+
+def postings_of(lists: DataFrame, keywords: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(keyword, id, tf, dl) of some keywords (keyword) alone, and (n, avgdl) of all entities with a term, from `term_lists`.
+
+    One pass over the lists: other tokens are dropped before anything is shuffled, and a row for each list brings its length along.
     Ids that repeat count as one entity.
     """
-    key = entities.columns[0]
-    words = F.flatten(F.array(*[tokens(F.col(f"`{a}`").cast("string")) for a in entities.columns[1:]]))
-    words = F.filter(words, lambda t: ~is_stop_word(t)) if stop else words
-    texts = entities.select(F.col(f"`{key}`").cast("string").alias("id"), words.alias("words"))
-    rows = texts.select("id", F.size("words").alias("size"), F.explode(F.concat("words", F.array(F.lit("")))).alias("token")).select("id", "size", F.lower("token").alias("keyword"))
-    # No token is empty. Written, so that Spark knows how few they are and sends them along.
-    asked = settled(keywords.select("keyword").union(keywords.sparkSession.createDataFrame([("",)], "keyword string")).distinct(), "keywords")
-    counted = rows.join(asked, "keyword").repartition("id").groupBy("id", "keyword").agg(F.count("*").alias("tf"), F.sum("size").alias("size"))
+    counted = listed(lists, keywords).repartition("id").groupBy("id", "keyword").agg(F.count("*").alias("tf"), F.sum("size").alias("size"))
     dl = F.max(F.when(F.col("keyword") == "", F.col("size"))).over(Window.partitionBy("id"))
     counted = settled(counted.select("keyword", "id", "tf", dl.alias("dl")), "postings")
     totals = counted.filter("keyword = '' AND dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))

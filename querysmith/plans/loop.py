@@ -135,8 +135,9 @@ class Loop:
         # Written, not kept in memory: plans stay small, and lost executors take nothing along.
         offered = settled(self.candidates(asked), "offered")
         query = settled(self.policy.query(offered, run.query_length, run.seed(self.run_id) * 100_003 + first).withColumn("intent_id", F.col("id")), "query")
-        results = settled(data.search(query, run.top_k_size), "results")
-        y = evaluate.rewards(query.select("intent_id", "pos", "keyword", "attr"), results, data.truth, data.matched_signals)
+        results, held = data.searched(query, run.top_k_size)
+        results = settled(results, "results")
+        y = evaluate.rewards(query.select("intent_id", "pos", "keyword", "attr"), results, data.truth, held)
         terms = settled(query.join(y.select("intent_id", "pos", "y"), ["intent_id", "pos"]).select("id", "pos", "keyword", "attr", "score", "is_external", "x", "y"), "terms")
         found = evaluate.metrics(asked.select(F.col("id").alias("intent_id")), results, data.truth)
         nested = terms.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "keyword", "attr", "score"))), lambda t: F.struct(t["keyword"], t["attr"], t["score"].cast("double"))).alias("query"))

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from querysmith.functions import text as txt
-from querysmith.operators import optimal
+from querysmith.operators import evaluate, index, optimal
 from querysmith.plans.dataset import Dataset, contained
 from querysmith.sources.tables import as_entities
 
@@ -30,6 +30,39 @@ def test_search_by_need_is_that_of_the_index(spark):
     assert rows(part.matched_signals) == rows(full.external_signals.join(named, "id", "left_semi"))
 
 
+def test_tokens_are_written_once_and_matches_are_told_by_postings(spark, monkeypatch):
+    local, external = sides(spark)
+    passes, real = [], index.term_lists
+    monkeypatch.setattr(index, "term_lists", lambda *a: passes.append(1) or real(*a))
+    part = Dataset(local, external, contained(local, external).persist(), by_need=True)
+    queries = part.local_signals.select(F.col("id").alias("intent_id"), "keyword", F.lit("text").alias("attr"), F.col("ord").alias("pos")).filter("keyword < 'w3'")
+    first, held = part.searched(queries)
+    part.searched(queries.filter("keyword < 'w2'"))[0].collect()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert len(passes) == 1 and "matched_signals" not in vars(part)
+    assert rows(evaluate.rewards(queries, first, part.truth, held)) == rows(evaluate.rewards(queries, first, part.truth, part.matched_signals))
+    assert {r.y > 0 for r in evaluate.rewards(queries, first, part.truth, held).collect()} == {True, False}
+
+
+def test_many_words_are_joined(spark, monkeypatch):
+    local, external = sides(spark)
+    part = Dataset(local, external, contained(local, external).persist(), by_need=True)
+    rows = lambda few: (monkeypatch.setattr(index, "FEW", few), [sorted(map(tuple, df.collect())) for df in index.postings_of(part.term_lists, part.local_signals)])[1]
+    assert rows(1_000) == rows(3) != [[], []]
+
+
+def test_texts_are_looked_up_by_tokens(spark):
+    r = random.Random(5)
+    words = ["Alpha", "beta,", "«gamma»", "can--not", "cannot", "the", "--", "...", "d'e", "Σας", "x", "naïve", "I", "gonna!"]
+    space = [" ", "\n", "\t ", "  "]
+    docs = [(f"d:{i}", "".join(w for _ in range(r.randint(0, 40)) for w in (r.choice(words), r.choice(space)))) for i in range(80)] + [("d:1", "the beta, x"), ("d:n", None)]
+    local = [(f"b:{i}", t[s : s + r.randint(0, 40)]) for i in range(120) for t in [docs[r.randrange(80)][1]] for s in [r.randint(0, len(t))]] + [("b:n", None)]
+    frames = [spark.createDataFrame(rows, "id string, text string") for rows in (local, docs)]
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    got = rows(contained(*frames, lists=index.term_lists(frames[1])))
+    assert got == sorted({(a, d) for a, t in local for d, u in docs if t and u and t in u}) and len(got) > 200
+
+
 def test_contractions_in_one_pass(spark):
     t = "cannot CANNOT gimmE gonna gotta lemme wanna cannots acannot can-not cannot-gonna x---y a--b ----"
     row = spark.createDataFrame([(t,)], "t string").select(txt.prepared(F.col("t"))).first()[0]
