@@ -62,6 +62,7 @@ class Loop:
         base = data.layout
         self.layout = features.Layout(base.attrs, base.idf, base.length, base.tf, borrowed=c.supervised_term_borrowing, external=c.external_feat_specific or c.external_feat_specific_unsupervised, unsupervised=c.external_feat_specific_unsupervised)
         self._static: DataFrame | None = None
+        self._read: tuple = (None, None, None)
         #: Of each round: interactions, their mean reciprocal rank, documents returned, matches, the loss. Taken as the log is written.
         self.metrics: list[dict] = []
 
@@ -97,21 +98,23 @@ class Loop:
             return self._static.join(asked, "id", "left_semi")
         ids = asked.select(F.col("id").alias("local_id"))
         matched = self._pairs(self.state.matched).join(ids, "local_id", "left_semi")
-        frequency = features.external_frequency(matched, data.matched_signals)
+        occ = self._matched_occ()
+        signals = index.signals(occ)
+        frequency = features.external_frequency(matched, signals)
         extra = frequency.select(F.col("local_id").alias("id"), "keyword", F.col("external_tf") if c.external_feat_specific else F.lit(None).cast("double").alias("external_tf"))
         freely = self._pairs(self.state.unsupervised).join(ids, "local_id", "left_semi")
-        loose = features.external_frequency(freely, data.matched_signals)
+        loose = features.external_frequency(freely, signals)
         extra = extra.join(loose.select(F.col("local_id").alias("id"), "keyword", F.col("external_tf").alias("unsupervised_tf")), ["id", "keyword"], "full_outer").withColumn("is_borrowed", F.lit(False))
         own = data.local_occ.join(asked, "id", "left_semi")
         parts = [with_idf(features.featurize(own, data.idf, self.layout, data.lexicon, extra=extra)).withColumn("is_external", F.lit(False))]
         known = data.local_signals.select("id", "keyword").join(asked, "id", "left_semi")
         order = F.lit(1 << 60)
         if c.supervised_term_borrowing and self.state.matched is not None:
-            terms = self._borrowed(matched, known)
+            terms = self._borrowed(matched, known, occ)
             parts.append(with_idf(features.featurize(terms, data.idf, self.layout, data.lexicon, is_local=False, extra=extra.withColumn("is_borrowed", F.lit(True)))).withColumn("is_external", F.lit(False)).withColumn("ord", F.col("ord") + order))
             known = known.union(terms.select("id", "keyword").distinct())
         if self.state.unsupervised is not None:
-            terms = self._borrowed(freely, known)
+            terms = self._borrowed(freely, known, occ)
             short = features.featurize_external(terms.select("id", "keyword").distinct(), data.idf, self.layout, loose if c.external_feat_specific_unsupervised else None)
             rows = index.split_by_attribute(terms).join(short, ["id", "keyword"])
             parts.append(with_idf(rows.select("id", "keyword", "attr", (F.col("ord") + order).alias("ord"), "attr_ord", F.lit(False).alias("is_local"), "x")).withColumn("is_external", F.lit(True)))
@@ -120,10 +123,23 @@ class Loop:
             out = out.unionByName(p)
         return out
 
-    def _borrowed(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
+    def _matched_occ(self) -> DataFrame:
+        """Occurrences in external entities that were matched so far; each is read once, in the round after which it is known."""
+        matched, freely = self.state.matched, self.state.unsupervised
+        if self._read[0] is not matched or self._read[1] is not freely:
+            ids = self._pairs(matched).union(self._pairs(freely)).select(F.col("external_id").alias("id")).distinct()
+            before = self._read[2]
+            new = settled(ids if before is None else ids.join(before.select("id"), "id", "left_anti"), "matched-ids")
+            if before is None or not new.isEmpty():
+                occ = self.data.occurrences_in(new)
+                before = settled(occ if before is None else before.unionByName(occ), "matched-occ")
+            self._read = (matched, freely, before)
+        return self._read[2]
+
+    def _borrowed(self, pairs: DataFrame, known: DataFrame, occ: DataFrame) -> DataFrame:
         """Occurrences of terms of matched documents that an entity lacks, as if they were its own; a term of several documents
         comes from the first."""
-        rows = pairs.join(self.data.matched_occ.withColumnRenamed("id", "external_id"), "external_id").withColumnRenamed("local_id", "id").join(known, ["id", "keyword"], "left_anti")
+        rows = pairs.join(occ.withColumnRenamed("id", "external_id"), "external_id").withColumnRenamed("local_id", "id").join(known, ["id", "keyword"], "left_anti")
         first = rows.groupBy("id", "keyword").agg(F.min("external_id").alias("external_id"))
         return rows.join(first, ["id", "keyword", "external_id"], "left_semi").select("id", "keyword", "token", "attr", "cnt", "ord")
 

@@ -4,9 +4,11 @@ import random
 
 from pyspark.sql import functions as F
 
+from querysmith.config import PolicyConfig, RunConfig
 from querysmith.functions import text as txt
 from querysmith.operators import evaluate, index, optimal
 from querysmith.plans.dataset import Dataset, contained
+from querysmith.plans.loop import play
 from querysmith.sources.tables import as_entities
 
 
@@ -44,6 +46,19 @@ def test_tokens_are_written_once_and_matches_are_told_by_postings(spark, monkeyp
     assert {r.y > 0 for r in evaluate.rewards(queries, first, part.truth, held).collect()} == {True, False}
 
 
+def test_borrowing_reads_matched_texts_alone(spark):
+    local, external = sides(spark)
+    truth = contained(local, external).persist()
+    policy = PolicyConfig(supervised_term_borrowing=True, external_feat_specific=True)
+    run = RunConfig(interactions=12, query_length=2, distribution="uniform", model="dataset_level", batch=6, policy=policy)
+    logs = []
+    for by_need in (False, True):
+        data = Dataset(local, external, truth, by_need=by_need)
+        logs.append(sorted((r.interaction, r.local_id, tuple(q.keyword for q in r.query), r.n_matches, round(r.rr, 9)) for r in play(data, run).collect()))
+    assert logs[0] == logs[1] and any(x[-1] > 0 for x in logs[0])
+    assert "matched_occ" not in vars(data)
+
+
 def test_many_words_are_joined(spark, monkeypatch):
     local, external = sides(spark)
     part = Dataset(local, external, contained(local, external).persist(), by_need=True)
