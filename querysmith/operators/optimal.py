@@ -5,8 +5,10 @@ by one. Only terms that an entity shares with its matches can find a match; what
 
 Queries of an entity are measured on the `HEAD` best documents of each of its terms and on its matches, whose scores are exact. Other
 documents have at most the last head weight of each term. So a query is settled if as many documents as are asked for are above its
-best match there, or if the last weights add up to less than the match has. Queries that are neither are joined to all postings. How
-many documents an entity is measured on so doesn't grow with the table.
+best match there, or if the last weights add up to less than the match has. Where only the best queries are asked for, it is settled too
+if more documents are above than above the best one that is sure. For queries that are left open the documents above are counted, block of
+documents by block: each posting goes to its block once and each block has all open queries, so what is written grows with postings
+and with queries, but not with their product.
 
 From three terms on, sets are cut before they are joined (branch and bound): weights aren't negative, so with more terms no document
 loses score, and a match gains at most its largest other weights. Documents that are above a match by more than that stay above it, which
@@ -16,8 +18,11 @@ known of the entity are measured.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +32,9 @@ from .search import ranked
 #: Documents of a term on which its queries are measured first.
 HEAD = 64
 
+#: Postings of a block of documents, and bytes of open queries that a block has at a time.
+BLOCK, PACKED = 500_000, 32_000_000
+
 
 def match_terms(truth: DataFrame, external_signals: DataFrame) -> DataFrame:
     """(local_id, keyword): terms of an entity's matches in the index."""
@@ -86,62 +94,139 @@ def heads(terms: DataFrame, weighted: DataFrame, truth: DataFrame, head: int = H
     return rows.select("local_id", "external_id", "is_match", "keyword", "w").unionByName(about)
 
 
-def _measure(queries: pd.DataFrame, docs: pd.DataFrame, k: int) -> pd.DataFrame:
-    """An entity's queries with rr on its heads, and whether it is that on all documents. For those that aren't sure: the rank so far, the
-    best match with its score, and the least that each of the terms has to add for a document outside to be above it."""
+def _measure(queries: pd.DataFrame, docs: pd.DataFrame, k: int, best_only: bool) -> pd.DataFrame:
+    """An entity's queries with rr on its heads, and whether it is that on all documents. For those that aren't sure: the best match with
+    its score in millionths, and the last rank that matters. With `best_only`, queries that aren't among the best are left out."""
     lone = docs["external_id"].isna().to_numpy()
     place = {w: i for i, w in enumerate(docs["keyword"][lone])}
     last = docs["w"][lone].to_numpy(float)
     docs = docs[~lone]
-    ids, row = np.unique(docs["external_id"].to_numpy(str), return_inverse=True)
+    row, ids = pd.factorize(docs["external_id"].to_numpy(object), sort=True)
     at, n = docs["keyword"].map(place).to_numpy(int), len(ids)
-    w, there, match = np.zeros((n, len(place))), np.zeros((n, len(place)), bool), np.zeros(n, bool)
-    w[row, at], there[row, at], match[row] = docs["w"], True, docs["is_match"]
+    w, there, match = np.zeros((len(place), n)), np.zeros((len(place), n), bool), np.zeros(n, bool)
+    w[at, row], there[at, row], match[row] = docs["w"], True, docs["is_match"]
     match = np.flatnonzero(match)
-    rr, sure = np.zeros(len(queries)), np.ones(len(queries), bool)
-    rank_, own_, match_, need_ = np.zeros(len(queries), int), np.zeros(len(queries)), np.full(len(queries), None, object), [None] * len(queries)
+    sure, rank_, own_, match_ = np.ones(len(queries), bool), np.full(len(queries), k + 1), np.zeros(len(queries), np.int64), np.full(len(queries), None, object)
     sizes = queries["query"].map(len).to_numpy()
     for size in np.unique(sizes) if len(match) else ():
         of = np.flatnonzero(sizes == size)
-        for some in np.array_split(of, -(-len(of) * n // 1_000_000)):
-            q = np.array([[place[t] for t in query] for query in queries["query"].iloc[some]]).reshape(len(some), size)
-            score, hit, most = np.zeros((n, len(some))), np.zeros((n, len(some)), bool), np.zeros(len(some))
-            for i in range(size):
-                score += w[:, q[:, i]]
-                hit |= there[:, q[:, i]]
-                most += np.nan_to_num(last[q[:, i]])
-            score = np.where(hit, np.rint(score * 1e6), -1)  # as they are rounded before ranking
-            best = match[score[match].argmax(axis=0)]  # of equal scores the first by id
-            own = score[best, range(len(some))]
-            ahead = (score > own) | (score == own) & (np.arange(n)[:, None] < best)
-            rank = ahead.sum(axis=0) + 1
-            found = (own >= 0) & (rank <= k)
-            rr[some] = np.where(found, 1 / rank, 0)
-            sure[some] = ~found | np.isnan(last[q]).all(axis=1) | (np.rint(most * 1e6) + 1 < own)
-            rank_[some], own_[some], match_[some] = rank, own / 1e6, ids[best]
-            need = own[:, None] / 1e6 - (most[:, None] - np.nan_to_num(last[q])) - 2e-6
-            for i, least in zip(some, need, strict=True):
-                need_[i] = least
-    return queries.assign(rr=rr, sure=sure, rank=rank_, own=own_, match=match_, need=need_)[["local_id", "query", "rr", "sure", "rank", "own", "match", "need"]]
-
-
-def reciprocal_ranks(queries: DataFrame, weighted: DataFrame, truth: DataFrame, k: int = 20, head: int = HEAD) -> DataFrame:
+        q = np.array([place[t] for query in queries["query"].iloc[of] for t in query]).reshape(-1, size)
+        best, own = np.zeros(len(q), int), np.full(len(q), -1, np.int64)
+        for some in np.array_split(np.arange(len(q)), -(-len(q) * len(match) * size // 1_000_000)):
+            score = np.rint(w[:, match][q[some]].sum(axis=1) * 1e6)  # as they are rounded before ranking
+            score[~there[:, match][q[some]].any(axis=1)] = -1
+            best[some], own[some] = match[score.argmax(axis=1)], score.max(axis=1)  # of equal scores the first by id
+        some = np.flatnonzero(own >= 0)
+        of, q, best, own = of[some], q[some], best[some], own[some]
+        rank_[of] = _above(w, there, ids, q, own, ids[best], k) + 1
+        sure[of] = (rank_[of] > k) | np.isnan(last[q]).all(axis=1) | (np.rint(np.nan_to_num(last)[q].sum(axis=1) * 1e6) + 1 < own)
+        own_[of], match_[of] = own, ids[best]
+    rr = np.where(rank_ <= k, 1 / rank_, 0)
+    limit = min(k, rank_[sure].min(initial=k)) if best_only else k
+    out = queries.assign(rr=rr, sure=sure, own=own_, match=match_, most=limit)[["local_id", "query", "rr", "sure", "own", "match", "most"]]
+    return out[rank_ <= limit] if best_only else out
+
+
+def reciprocal_ranks(queries: DataFrame, weighted: DataFrame, truth: DataFrame, k: int = 20, head: int = HEAD, best_only: bool = False) -> DataFrame:
     """(local_id, query, rr) of queries (local_id, query): the reciprocal rank of the best match among the k best documents. Weights
-    aren't negative."""
+    aren't negative. With `best_only`, queries that are behind others of their entity may be missing; those that are best are all there."""
     queries = settled(queries.select("local_id", "query"), "queries")
-    docs = settled(heads(queries.select("local_id", F.explode("query").alias("keyword")), weighted, truth, max(head, k)), "heads")
-    schema = "local_id string, query array<string>, rr double, sure boolean, rank long, own double, match string, need array<double>"
-    tried = queries.groupBy("local_id").cogroup(docs.groupBy("local_id")).applyInPandas(lambda q, d: _measure(q, d, k), schema)
+    docs = heads(queries.select("local_id", F.explode("query").alias("keyword")), weighted, truth, max(head, k))
+    schema = "local_id string, query array<string>, rr double, sure boolean, own long, match string, most int"
+    tried = queries.groupBy("local_id").cogroup(docs.groupBy("local_id")).applyInPandas(lambda q, d: _measure(q, d, k, best_only), schema)
     tried = settled(tried, "tried")
-    rest = tried.filter("not sure")
-    # Documents outside the heads that are above: each of their terms is under the head's last weight.
-    terms = rest.select("local_id", "query", F.explode(F.arrays_zip(F.col("query").alias("keyword"), F.col("need").alias("need"))).alias("t")).select("local_id", "query", "t.keyword", "t.need")
-    hits = terms.join(weighted.withColumnRenamed("id", "external_id"), "keyword").filter(F.col("w") >= F.col("need")).groupBy("local_id", "query", "external_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    above = hits.join(rest.select("local_id", "query", "own", "match"), ["local_id", "query"]).filter((F.col("score") > F.col("own")) | (F.col("score") == F.col("own")) & (F.col("external_id") < F.col("match")))
-    above = above.join(docs.select("local_id", "external_id").filter("external_id IS NOT NULL").distinct(), ["local_id", "external_id"], "left_anti").groupBy("local_id", "query").agg(F.count("*").alias("more"))
-    rank = F.col("rank") + F.coalesce("more", F.lit(0))
-    rest = rest.join(above, ["local_id", "query"], "left").select("local_id", "query", F.when(rank <= k, 1 / rank).otherwise(0.0).alias("rr"))
-    return tried.filter("sure").select("local_id", "query", "rr").unionByName(rest)
+    known, rest = tried.filter("sure").select("local_id", "query", "rr"), tried.filter("not sure")
+    return known if rest.isEmpty() else known.unionByName(counted_by_blocks(rest, weighted))
+
+
+def _pack(queries: pd.DataFrame) -> pd.DataFrame:
+    """An entity's open queries of one size as a row: its terms, and sets of their places."""
+    terms, at = np.unique(np.array([t for q in queries["query"] for t in q], object), return_inverse=True)
+    matches, match = np.unique(queries["match"].to_numpy(object), return_inverse=True)
+    row = (queries["local_id"].iloc[0], len(queries["query"].iloc[0]), list(terms), at.astype(np.int32).tobytes(), queries["own"].to_numpy(np.int64).tobytes(), list(matches), match.astype(np.int32).tobytes(), queries["most"].iloc[0])
+    return pd.DataFrame([row], columns=["local_id", "size", "terms", "sets", "own", "matches", "match", "most"])
+
+
+def _above(w: np.ndarray, there: np.ndarray, ids: np.ndarray, sets: np.ndarray, own: np.ndarray, match: np.ndarray, most: int) -> np.ndarray:
+    """How many documents (columns of w) are above each query's match; `most` where it's more.
+
+    Those with the largest weights come first, so that most queries that can be dropped are dropped early; a query ends at the first
+    document whose largest weights add up to less than its match has."""
+    top = np.rint(np.partition(w, len(w) - sets.shape[1], axis=0)[len(w) - sets.shape[1] :].sum(axis=0) * 1e6) + 1
+    order = np.argsort(-top, kind="stable")
+    w, there, ids, n = w[:, order], there[:, order], ids[order], len(ids)
+    end = np.searchsorted(-top[order], -own, side="right")
+    count, open_, a, width = np.zeros(len(sets), int), np.flatnonzero(end > 0), 0, 32
+    while len(open_):
+        b = min(a + width, n)
+        part = np.ascontiguousarray(w[:, a:b])
+        for some in np.array_split(open_, -(-len(open_) * (b - a) // 200_000)):
+            q = sets[some]
+            score = part[q[:, 0]]
+            for i in range(1, q.shape[1]):
+                score += part[q[:, i]]
+            at, doc = np.nonzero(score >= (own[some] / 1e6 - 1e-6)[:, None])
+            score, least, of = np.rint(score[at, doc] * 1e6), own[some][at], some[at]
+            ahead = score > least
+            tie = np.flatnonzero(score == least)
+            ahead[tie] = (ids[a + doc[tie]] < match[of[tie]]) & ((least[tie] > 0) | there[sets[of[tie]], (a + doc[tie])[:, None]].any(axis=1))
+            count += np.bincount(of[ahead], minlength=len(sets))
+        a, width = b, width * 2
+        open_ = open_[(end[open_] > a) & (count[open_] < most)]
+    return np.minimum(count, most)
+
+
+def _count(packed: pa.Table, posts: pa.Table) -> Iterator[tuple[str, int, bytes]]:
+    """For each row of `_pack` how many of a block's documents are above, as 32-bit integers."""
+    codes = [posts[c].combine_chunks().dictionary_encode() if len(posts) else None for c in ("keyword", "id")]
+    if not len(posts):
+        return
+    (word, words), (doc, ids) = ((c.indices.to_numpy(), c.dictionary.to_numpy(zero_copy_only=False)) for c in codes)
+    order = np.argsort(word, kind="stable")
+    doc, weight, start = doc[order], posts["w"].to_numpy()[order], np.searchsorted(word[order], np.arange(len(words) + 1))
+    place = {t: i for i, t in enumerate(words)}
+    for x in packed.to_pylist():
+        w, there = np.zeros((len(x["terms"]), len(ids))), np.zeros((len(x["terms"]), len(ids)), bool)
+        for i, t in enumerate(x["terms"]):
+            if (p := place.get(t)) is not None:
+                rows = slice(start[p], start[p + 1])
+                w[i, doc[rows]], there[i, doc[rows]] = weight[rows], True
+        some = np.flatnonzero(there.any(axis=0))
+        sets, own, match = np.frombuffer(x["sets"], np.int32).reshape(-1, x["size"]), np.frombuffer(x["own"], np.int64), np.array(x["matches"], object)[np.frombuffer(x["match"], np.int32)]
+        if len(some):
+            yield x["local_id"], x["size"], _above(w[:, some], there[:, some], ids[some], sets, own, match, x["most"]).astype(np.int32).tobytes()
+
+
+def _ranked_sets(packed: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+    """The queries of a row of `_pack`, from what is above in each block."""
+    x = packed.iloc[0]
+    sets = np.frombuffer(x["sets"], np.int32).reshape(-1, x["size"])
+    rank = sum((np.frombuffer(c, np.int32).astype(int) for c in counts["above"]), np.ones(len(sets), int))
+    terms = np.array(x["terms"], object)
+    return pd.DataFrame({"local_id": x["local_id"], "query": list(terms[sets]), "rr": np.where(rank <= x["most"], 1 / rank, 0)})
+
+
+def counted_by_blocks(queries: DataFrame, weighted: DataFrame) -> DataFrame:
+    """(local_id, query, rr) of queries (local_id, query, own, match, most): documents that score more than `own` millionths, or as much
+    with a smaller id than `match`, are above. rr is 0 from `most` of them on."""
+    columns = "terms array<string>, sets binary, own binary, matches array<string>, match binary, most int"
+    packed = queries.withColumn("size", F.size("query")).groupBy("local_id", "size").applyInPandas(_pack, f"local_id string, size int, {columns}")
+    packed = settled(packed, "packed")
+    size = packed.agg(F.sum(F.length("sets") + F.length("own") + F.length("match"))).first()[0]
+    groups, blocks = -(-size // PACKED), max(1, -(-weighted.count() // BLOCK))
+    packed = packed.withColumn("part", F.pmod(F.xxhash64("local_id"), F.lit(groups)))
+    asked = settled(packed.select("part", F.explode("terms").alias("keyword")).distinct(), "asked")
+    posts = weighted.join(asked, "keyword").select("part", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "keyword", "id", "w")
+    sent = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, sizes, above = zip(*_count(left, right), strict=True) if len(left) and len(right) else ((), (), ())
+        rows = list(zip(names, sizes, above, strict=True))
+        return pa.table({"local_id": pa.array([r[0] for r in rows], pa.string()), "size": pa.array([r[1] for r in rows], pa.int32()), "above": pa.array([r[2] for r in rows], pa.binary())})
+
+    counts = sent.groupBy("part", "block").cogroup(posts.groupBy("part", "block")).applyInArrow(count, "local_id string, size int, above binary")
+    counts = settled(counts, "counts")
+    return packed.groupBy("local_id", "size").cogroup(counts.groupBy("local_id", "size")).applyInPandas(_ranked_sets, "local_id string, query array<string>, rr double")
 
 
 def match_weights(overlap: DataFrame, weighted: DataFrame, truth: DataFrame) -> DataFrame:
@@ -176,11 +261,11 @@ def bounded_sets(overlap: DataFrame, weighted: DataFrame, truth: DataFrame, size
     What is known to be reached comes from the best pairs, at most `seeds` an entity, with every other term, and for larger sets again
     with every other term."""
     pairs = settled(combinations(overlap, 2), "pairs")
-    grown = best_queries(reciprocal_ranks(pairs, weighted, truth, k), seeds)
+    grown = best_queries(reciprocal_ranks(pairs, weighted, truth, k, best_only=True), seeds)
     for _ in range(size - 2):
         more = grown.select("local_id", "query").join(overlap.select("local_id", "keyword"), "local_id").filter(~F.array_contains("query", F.col("keyword")))
         more = settled(more.select("local_id", F.array_sort(F.concat("query", F.array("keyword"))).alias("query")).distinct(), "seeds")
-        measured = settled(reciprocal_ranks(more, weighted, truth, k), "seeds")
+        measured = settled(reciprocal_ranks(more, weighted, truth, k, best_only=True), "seeds")
         grown = best_queries(measured, seeds)
     known = best_rr(measured).withColumnRenamed("best_rr", "known")
     reach = pair_reach(pairs, weighted, truth, settled(match_weights(overlap, weighted, truth), "match-weights"), size, k)
@@ -248,7 +333,7 @@ def optimal_queries(local_signals: DataFrame, truth: DataFrame, external_signals
     last: DataFrame | None = None
     for size in range(least, most + 1):
         sets = combinations(overlap, size) if size < 3 else bounded_sets(overlap, weighted, known, size, k)
-        full = settled(reciprocal_ranks(settled(sets, "sets"), weighted, known, k), "measured")
+        full = settled(reciprocal_ranks(settled(sets, "sets"), weighted, known, k, best_only=True), "measured")
         if last is not None:
             more = filler_queries(best_queries(last, keep), best_rr(last), best_rr(full), fillers)
         elif least > 1:
@@ -256,6 +341,6 @@ def optimal_queries(local_signals: DataFrame, truth: DataFrame, external_signals
             more = partial_queries(overlap.join(short, "local_id", "left_semi"), fillers.join(short, "local_id", "left_semi"), vocabulary, size)
         else:
             more = None
-        last = full if more is None else settled(full.unionByName(reciprocal_ranks(more, weighted, known, k)), "measured")
+        last = full if more is None else settled(full.unionByName(reciprocal_ranks(more, weighted, known, k, best_only=True)), "measured")
         out[size] = best_queries(last, keep)
     return out
