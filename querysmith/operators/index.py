@@ -115,15 +115,14 @@ FEW = 1_000
 def listed(lists: DataFrame, keywords: DataFrame, once: bool = False) -> DataFrame:
     """(id, size, keyword) of `term_lists`: those words that are among `keywords` (keyword), and for each list a row with the empty
     word, which no token is. With `once`, words of a list come once."""
-    # Written, so that Spark knows how few they are and sends them along.
-    asked = settled(keywords.select("keyword").distinct(), "keywords")
-    few = [r["keyword"] for r in asked.limit(FEW + 1).collect()]
+    # Written with the empty word, so that Spark knows how few they are and sends them along, instead of dealing out all words.
+    empty = keywords.sparkSession.range(1).select(F.lit("").alias("keyword"))
+    asked = settled(keywords.select("keyword").union(empty).distinct().coalesce(1), "keywords")
+    few = [r["keyword"] for r in asked.filter("keyword <> ''").limit(FEW + 1).collect()]
     words = F.filter("words", lambda w: w.isin(few)) if len(few) <= FEW else F.col("words")
     words = F.array_distinct(words) if once else words
     rows = lists.select("id", F.size("words").alias("size"), F.explode(F.concat(words, F.array(F.lit("")))).alias("keyword"))
-    if len(few) <= FEW:
-        return rows
-    return rows.join(asked.union(asked.sparkSession.createDataFrame([("",)], "keyword string")), "keyword").select("id", "size", "keyword")
+    return rows if len(few) <= FEW else rows.join(asked, "keyword").select("id", "size", "keyword")
 
 
 def postings_of(lists: DataFrame, keywords: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -80,7 +80,9 @@ def heads(terms: DataFrame, weighted: DataFrame, truth: DataFrame, head: int = H
     """(local_id, external_id, is_match, keyword, w): what an entity's terms (local_id, keyword) add to the best documents of each and to
     its matches. Rows without a document have the last head weights of terms that have more postings, or none."""
     terms = settled(terms.select("local_id", "keyword").distinct(), "terms")
-    posts = weighted.join(terms.select("keyword").distinct(), "keyword", "left_semi").withColumnRenamed("id", "external_id")
+    # The words are written in one piece: they are sent along then, and each task keeps the first of a word before postings are dealt out.
+    words = settled(terms.select("keyword").distinct().coalesce(1), "words")
+    posts = weighted.join(words, "keyword", "left_semi").withColumnRenamed("id", "external_id")
     # One more than a head has, so that it is known whether there are more.
     place = F.row_number().over(Window.partitionBy("keyword").orderBy(F.desc("w"), "external_id"))
     best = settled(posts.withColumn("n", place).filter(F.col("n") <= head + 1), "heads")
@@ -127,11 +129,13 @@ def _measure(queries: pd.DataFrame, docs: pd.DataFrame, k: int, best_only: bool)
     return out[rank_ <= limit] if best_only else out
 
 
-def reciprocal_ranks(queries: DataFrame, weighted: DataFrame, truth: DataFrame, k: int = 20, head: int = HEAD, best_only: bool = False) -> DataFrame:
+def reciprocal_ranks(queries: DataFrame, weighted: DataFrame, truth: DataFrame, k: int = 20, head: int = HEAD, best_only: bool = False, docs: DataFrame | None = None) -> DataFrame:
     """(local_id, query, rr) of queries (local_id, query): the reciprocal rank of the best match among the k best documents. Weights
-    aren't negative. With `best_only`, queries that are behind others of their entity may be missing; those that are best are all there."""
+    aren't negative. With `best_only`, queries that are behind others of their entity may be missing; those that are best are all there.
+    `docs` are `heads` of at least the queries' terms, where several calls share them."""
     queries = settled(queries.select("local_id", "query"), "queries")
-    docs = heads(queries.select("local_id", F.explode("query").alias("keyword")), weighted, truth, max(head, k))
+    if docs is None:
+        docs = heads(queries.select("local_id", F.explode("query").alias("keyword")), weighted, truth, max(head, k))
     schema = "local_id string, query array<string>, rr double, sure boolean, own long, match string, most int"
     tried = queries.groupBy("local_id").cogroup(docs.groupBy("local_id")).applyInPandas(lambda q, d: _measure(q, d, k, best_only), schema)
     tried = settled(tried, "tried")
@@ -329,11 +333,12 @@ def optimal_queries(local_signals: DataFrame, truth: DataFrame, external_signals
     overlap = settled(overlap_terms(local_signals, known, external_signals), "overlap")
     fillers = settled(nonoverlap_terms(local_signals, known, external_signals), "fillers")
     vocabulary = weighted.select("keyword").distinct()
+    docs = settled(heads(overlap.unionByName(fillers), weighted, known, max(HEAD, k)), "heads")
     out: dict[int, DataFrame] = {}
     last: DataFrame | None = None
     for size in range(least, most + 1):
         sets = combinations(overlap, size) if size < 3 else bounded_sets(overlap, weighted, known, size, k)
-        full = settled(reciprocal_ranks(settled(sets, "sets"), weighted, known, k, best_only=True), "measured")
+        full = settled(reciprocal_ranks(settled(sets, "sets"), weighted, known, k, best_only=True, docs=docs), "measured")
         if last is not None:
             more = filler_queries(best_queries(last, keep), best_rr(last), best_rr(full), fillers)
         elif least > 1:
@@ -341,6 +346,6 @@ def optimal_queries(local_signals: DataFrame, truth: DataFrame, external_signals
             more = partial_queries(overlap.join(short, "local_id", "left_semi"), fillers.join(short, "local_id", "left_semi"), vocabulary, size)
         else:
             more = None
-        last = full if more is None else settled(full.unionByName(reciprocal_ranks(more, weighted, known, k, best_only=True)), "measured")
+        last = full if more is None else settled(full.unionByName(reciprocal_ranks(more, weighted, known, k, best_only=True, docs=docs)), "measured")
         out[size] = best_queries(last, keep)
     return out

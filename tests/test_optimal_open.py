@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from querysmith.operators import optimal
+from querysmith.operators import index, optimal
 
 
 def rows(df):
@@ -53,3 +53,13 @@ def test_open_queries_are_not_multiplied_by_postings(spark):
     n = written(spark, lambda: found.extend(optimal.reciprocal_ranks(sets, *frames[1:], 20, 20).collect()))
     assert sorted({(r.local_id, r.rr) for r in found}) == [("l0", 1.0), ("l1", 0.5)] and len(found) == 440
     assert n < 40_000, n  # 440 sets of three terms with 400 postings each are 528,000
+
+
+def test_words_that_are_not_asked_for_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(index, "FEW", 3)
+    lists = spark.createDataFrame([(f"d{i}", [f"x{j}" for j in range(500)] + ["a", "b", "c", "d", "d"]) for i in range(40)], "id string, words array<string>")
+    asked = spark.createDataFrame([(w,) for w in "abcdz"], "keyword string")
+    found = []
+    n = written(spark, lambda: found.extend(index.postings_of(lists, asked)))
+    assert sorted((x.keyword, x.tf, x.dl) for x in found[0].collect()) == sorted([(w, 1 + (w == "d"), 505) for w in "abcd"] * 40)
+    assert n < 1_000, n  # 20,000 words
