@@ -117,7 +117,7 @@ def listed(lists: DataFrame, keywords: DataFrame, once: bool = False) -> DataFra
     word, which no token is. With `once`, words of a list come once."""
     # Written with the empty word, so that Spark knows how few they are and sends them along, instead of dealing out all words.
     empty = keywords.sparkSession.range(1).select(F.lit("").alias("keyword"))
-    asked = settled(keywords.select("keyword").union(empty).distinct().coalesce(1), "keywords")
+    asked = settled(keywords.select("keyword").union(empty).distinct(), "keywords")
     few = [r["keyword"] for r in asked.filter("keyword <> ''").limit(FEW + 1).collect()]
     words = F.filter("words", lambda w: w.isin(few)) if len(few) <= FEW else F.col("words")
     words = F.array_distinct(words) if once else words

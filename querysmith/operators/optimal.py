@@ -80,8 +80,8 @@ def heads(terms: DataFrame, weighted: DataFrame, truth: DataFrame, head: int = H
     """(local_id, external_id, is_match, keyword, w): what an entity's terms (local_id, keyword) add to the best documents of each and to
     its matches. Rows without a document have the last head weights of terms that have more postings, or none."""
     terms = settled(terms.select("local_id", "keyword").distinct(), "terms")
-    # The words are written in one piece: they are sent along then, and each task keeps the first of a word before postings are dealt out.
-    words = settled(terms.select("keyword").distinct().coalesce(1), "words")
+    # The words are written, so that they are sent along, and each task keeps the first of a word before postings are dealt out.
+    words = settled(terms.select("keyword").distinct(), "words")
     posts = weighted.join(words, "keyword", "left_semi").withColumnRenamed("id", "external_id")
     # One more than a head has, so that it is known whether there are more.
     place = F.row_number().over(Window.partitionBy("keyword").orderBy(F.desc("w"), "external_id"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import settled
+
 #: Parameters of BM25.
 K1, B = 1.2, 0.75
 
@@ -33,6 +35,8 @@ def weighted_postings(posts: DataFrame, scorer: str = "bm25", totals: DataFrame
     df = posts.groupBy("keyword").agg(F.count("*").alias("df"))
     if totals is None:
         totals = posts.groupBy("id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    else:
+        df = settled(df, "df")  # few terms: they are sent along, and postings aren't dealt out
     rows = posts.join(df, "keyword").join(F.broadcast(totals))  # one row
     return rows.select("keyword", "id", SCORERS[scorer]().alias("w"))
 

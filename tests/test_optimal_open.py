@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from querysmith.operators import index, optimal
+from querysmith.operators import index, optimal, search
 
 
 def rows(df):
@@ -63,3 +63,11 @@ def test_words_that_are_not_asked_for_are_not_shuffled(spark, monkeypatch):
     n = written(spark, lambda: found.extend(index.postings_of(lists, asked)))
     assert sorted((x.keyword, x.tf, x.dl) for x in found[0].collect()) == sorted([(w, 1 + (w == "d"), 505) for w in "abcd"] * 40)
     assert n < 1_000, n  # 20,000 words
+
+
+def test_postings_are_not_shuffled_for_their_frequencies(spark):
+    posts = spark.createDataFrame([(f"w{j}", f"d{i}", 1, 50) for i in range(60) for j in range(50)], "keyword string, id string, tf long, dl long")
+    totals, found = spark.createDataFrame([(60, 50.0)], "n long, avgdl double"), []
+    n = written(spark, lambda: found.extend(search.weighted_postings(posts, "tfidf", totals).collect()))
+    assert len(found) == 3_000 and {r.w for r in found} == {0.0}
+    assert n < 1_000, n  # 3,000 postings
